@@ -1,0 +1,4 @@
+"""Registered queries over the driver tables and the SQL that gives the same rows."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
