@@ -1,12 +1,15 @@
 """Registered queries of the training-data operators, and SQL where it can express them."""
 
-from . import exact_dedup, pii
+from . import exact_dedup, mixing, pii, sharding
 
 QUERIES = {
+    "op3_mixing": mixing.op3_mixing,
+    "op5_sharding": sharding.op5_sharding,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op10_pii": pii.op10_pii,
 }
 
 ORACLE_SQL = {
+    "op3_mixing": mixing.OP3_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
 }
