@@ -1,15 +1,20 @@
 """Registered queries of the training-data operators, and SQL where it can express them."""
 
-from . import exact_dedup, mixing, pii, sharding
+from . import decontaminate, exact_dedup, mixing, pii, secret_scan, sharding, warc
 
 QUERIES = {
+    "op1_secret_scan": secret_scan.op1_secret_scan,
     "op3_mixing": mixing.op3_mixing,
+    "op4_warc": warc.op4_warc,
     "op5_sharding": sharding.op5_sharding,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op10_pii": pii.op10_pii,
 }
 
 ORACLE_SQL = {
     "op3_mixing": mixing.OP3_SQL,
+    "op4_warc": warc.OP4_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op7_decontaminate": decontaminate.OP7_SQL,
 }
