@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators, and SQL where it can express them."""
 
-from . import decontaminate, exact_dedup, mixing, pii, secret_scan, sharding, warc
+from . import decontaminate, exact_dedup, lm_score, mixing, pii, quality, secret_scan, sharding, warc
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -9,6 +9,8 @@ QUERIES = {
     "op5_sharding": sharding.op5_sharding,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_lm_score": lm_score.op8_lm_score,
+    "op9_quality": quality.op9_quality,
     "op10_pii": pii.op10_pii,
 }
 
