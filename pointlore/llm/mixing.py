@@ -50,17 +50,17 @@ def mix_sources(
     weights: tuple[int, ...] = (1, 2, 3),
     cap: int = 3,
     seed: str = "mix",
-    bucket_rows: int = 50_000,
     columns: tuple[str, str, str] = ("doc_id", "source", "text"),
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken. ``bucket_rows``: rows that one window sorts."""
+    """One row per document: doc_id, size, source_size, target, taken."""
     doc_id, source, text = (F.col(c) for c in columns)
     text = F.coalesce(text.cast("string"), F.lit(""))
     read = docs.select(doc_id.alias("doc_id"), source.cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), text.alias("text"))
     sized = stage(read.select("doc_id", "source", "size", (-F.log(uniform("doc_id", seed=seed)) / quality_weight(F.col("text"), F.col("size"))).alias("key")), "mix-sizes")
     targets = source_targets(sized, weights, cap)
     known = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    share = F.ceil(F.col("n_rows") / F.lit(bucket_rows))
+    # As many buckets in a source as rows in a bucket: neither the windows nor the offsets grow with the source alone.
+    share = F.ceil(F.sqrt(F.col("n_rows").cast("double")))
     bucket = F.floor(share * (1.0 - F.exp(-F.col("key")))).cast("long")
     placed = running_total(known.withColumn("_b", bucket), ["source_no"], "_b", [F.col("key"), F.col("doc_id"), F.col("size")], "size", "_before")
     budget = F.floor("target").cast("long")
