@@ -75,3 +75,17 @@ def spans_of(text: Column, pattern: str, valid=None, context: int = 32) -> Colum
     )
     found = F.aggregate(parts, F.struct(F.lit(0).alias("pos"), none.alias("out")), add, lambda acc: acc["out"])
     return F.when(text.rlike(pattern), found).otherwise(none)
+
+
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, bits: int = 27) -> DataFrame:
+    """Rows of ``df`` whose long ``key`` may be among the longs of ``keys`` (one column): none of those is missed.
+
+    A bitmap of at most 2**bits bits (16 MB) is broadcast; what hits it by chance is for the caller to drop.
+    """
+    slots = 1 << max(15, min(bits, (8 * keys.count()).bit_length()))
+    place = F.pmod(F.xxhash64(keys.columns[0]), F.lit(slots))
+    marks = keys.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bitmap"))
+    probe = df.withColumn("_p", F.pmod(F.xxhash64(key), F.lit(slots))).withColumn("_bucket", F.bitmap_bucket_number("_p")).join(F.broadcast(marks), "_bucket")
+    byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(bitmap_bit_position(_p) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.getbit(byte, (F.bitmap_bit_position("_p") % 8).cast("int")) == 1
+    return probe.filter(hit).drop("_p", "_bucket", "_bitmap")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import maybe_in, stage, table
 
 
 def rice_encode(values: np.ndarray, bits: int) -> bytes:
@@ -104,14 +104,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marked = stage(marked.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "dedup-marked")
 
     # A bitmap of fixed size tells most unmarked texts apart before the shuffle; a false hit is only one more suspect.
-    n_marked = marked.count()
-    slots = 1 << max(15, min(27, (8 * n_marked).bit_length()))
-    place = F.pmod(F.col("fp"), F.lit(slots))
-    marks = marked.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
-    probe = plain.withColumn("p", place).withColumn("bucket", F.bitmap_bucket_number("p")).join(F.broadcast(marks), "bucket")
-    pos = F.bitmap_bit_position("p")
-    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(bitmap_bit_position(p) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    maybe = probe.filter(F.getbit(byte, (pos % 8).cast("int")) == 1)
+    maybe = maybe_in(plain, F.col("fp"), marked.select("fp"))
 
     # Partial aggregation folds hot copies before the shuffle; grouping by the text compares its bytes.
     groups = (
