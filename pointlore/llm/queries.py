@@ -1,9 +1,10 @@
 """Registered queries of the training-data operators, and SQL where it can express them."""
 
-from . import decontaminate, exact_dedup, lm_score, mixing, pii, quality, secret_scan, sharding, warc
+from . import decontaminate, exact_dedup, jaccard_join, lm_score, mixing, pii, quality, secret_scan, sharding, warc
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_mixing": mixing.op3_mixing,
     "op4_warc": warc.op4_warc,
     "op5_sharding": sharding.op5_sharding,
