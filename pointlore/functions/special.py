@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def ks_p_asymptotic(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
@@ -50,7 +51,7 @@ def _ks_exact(d: float, n: int, m: int) -> float:
     return min(1.0, max(0.0, 1.0 - math.exp(math.log(inside[m]) + log_scale - total)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ks_p_exact(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     """Two-sided exact p-value; falls back on the series beyond 10,000 values a side."""
     out = []
@@ -63,12 +64,12 @@ def ks_p_exact(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     return p.map(lambda x: None if pd.isna(x) else NormalDist().inv_cdf(min(max(x, 1e-300), 1 - 1e-16)))
 
@@ -98,7 +99,7 @@ def _beta_tail(x: float, a: float, b: float) -> float:
     return front * (f - 1.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(x) or pd.isna(v) else _beta_tail(v / (v + x * x), v / 2, 0.5) for x, v in zip(t, df)], dtype="float64")
 
@@ -121,7 +122,7 @@ def nnls_small(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
     return best
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def nnls(gram: pd.Series, right: pd.Series) -> pd.Series:
     """Gram is the flattened k x k matrix of sums of products, right the k sums with the target."""
     return pd.Series([nnls_small(np.asarray(g, float).reshape(len(r), len(r)), np.asarray(r, float)).tolist() for g, r in zip(gram, right)])

@@ -35,6 +35,11 @@ def fixed_grid(df: DataFrame, keys: list[str], lo: float, hi: float, width: floa
     return _grid(df.select(*keys).distinct().select(*keys, F.lit(n).alias("n"), F.lit(float(a)).alias("x0"), F.lit(float(b)).alias("x1")), keys)
 
 
+def _small(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Grids per measure or mode are tiny and broadcast; those per cell grow with the cells and are left to the planner."""
+    return F.broadcast(df) if set(keys) <= {"measure", "mode"} else df
+
+
 def _grid(ends: DataFrame, keys: list[str]) -> DataFrame:
     step = F.when(F.col("n") > 1, (F.col("x1") - F.col("x0")) / (F.col("n") - 1)).otherwise(0.0)
     g = ends.withColumn("step", step).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
@@ -59,14 +64,14 @@ def histogram(samples: DataFrame, grid: DataFrame, sample_keys: list[str], grid_
     """
     ends = _ends(grid, grid_keys)
     w = F.lit(width) if width is not None else F.col("step")
-    s = samples.join(F.broadcast(ends), grid_keys) if grid_keys else samples.crossJoin(F.broadcast(ends))
+    s = samples.join(_small(ends, grid_keys), grid_keys) if grid_keys else samples.crossJoin(F.broadcast(ends))
     s = s.withColumn("_i", _index_below(F.col("value"), F.col("x0") - w / 2, F.col("step")))
     last = F.col("n") - 1
     top = F.col("x0") + last * F.col("step") + w / 2
     s = s.withColumn("_i", F.when((F.col("_i") >= last) & (F.col("value") <= top), last).otherwise(F.col("_i")))
     counted = s.filter("_i >= 0 and _i < n").groupBy(*sample_keys, F.col("_i").cast("int").alias("i")).agg(F.count(F.lit(1)).alias("_c"))
     groups = samples.select(*sample_keys).distinct()
-    full = groups.join(F.broadcast(grid.select(*grid_keys, "i", "x")), grid_keys) if grid_keys else groups.crossJoin(F.broadcast(grid.select("i", "x")))
+    full = groups.join(_small(grid.select(*grid_keys, "i", "x"), grid_keys), grid_keys) if grid_keys else groups.crossJoin(F.broadcast(grid.select("i", "x")))
     return full.join(counted, [*sample_keys, "i"], "left").select(*sample_keys, "i", "x", F.coalesce("_c", F.lit(0)).cast("double").alias("y"))
 
 
@@ -96,7 +101,7 @@ def kde(samples: DataFrame, grid: DataFrame, sample_keys: list[str], grid_keys:
     folded = samples.groupBy(*sample_keys, "value").agg(F.count(F.lit(1)).alias("_w"))
     stats = samples.groupBy(*sample_keys).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.stddev_samp("value").alias("_sd"))
     stats = stats.withColumn("_h", bandwidth_factor(F.col("_n"), bandwidth) * F.col("_sd"))
-    points = F.broadcast(grid.select(*grid_keys, "i", "x"))
+    points = _small(grid.select(*grid_keys, "i", "x"), grid_keys)
     rows = folded.join(stats, sample_keys)
     rows = rows.join(points, grid_keys) if grid_keys else rows.crossJoin(points)
     u = F.try_divide(F.col("x") - F.col("value"), F.col("_h"))
@@ -129,13 +134,13 @@ def distance_pdfs(samples: DataFrame, method: str = "discrete", bin_width: float
 
 def ecdf(samples: DataFrame, grid: DataFrame, sample_keys: list[str], grid_keys: list[str]) -> DataFrame:
     """Share of values up to each grid point. Values go to their first grid point, and a running sum does the rest."""
-    ends = F.broadcast(_ends(grid, grid_keys))
+    ends = _small(_ends(grid, grid_keys), grid_keys)
     s = samples.join(ends, grid_keys) if grid_keys else samples.crossJoin(ends)
     below = _index_below(F.col("value"), F.col("x0"), F.col("step"))
     first = F.greatest(F.lit(0), F.when(F.col("x0") + below * F.col("step") == F.col("value"), below).otherwise(below + 1))
     counted = s.withColumn("i", first.cast("int")).groupBy(*sample_keys, "i").agg(F.count(F.lit(1)).alias("_c"))
     totals = samples.groupBy(*sample_keys).agg(F.count("value").alias("_n"))
-    points = F.broadcast(grid.select(*grid_keys, "i", "x"))
+    points = _small(grid.select(*grid_keys, "i", "x"), grid_keys)
     full = totals.join(points, grid_keys) if grid_keys else totals.crossJoin(points)
     so_far = W.partitionBy(*sample_keys).orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     y = F.coalesce(F.try_divide(F.sum(F.coalesce("_c", F.lit(0))).over(so_far), F.col("_n")), F.lit(0.0))

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..functions.storage import written
 from ..model import KEYS, STD_FLOOR
 from .curves import _grid, ecdf, joint_curves, pointwise_envelope, r_grid
 from .expressions import valid_samples
@@ -75,7 +76,7 @@ def monte_carlo_per_cell(obs: DataFrame, sims: DataFrame, n_grid: int = 100, sta
     oc = o.join(s.select(*keys).distinct(), ["measure", "cell_id"]).select(*keys, F.lit("obs").alias("curve_id"), "value")
     sc = s.select(*keys, F.col("seed").alias("curve_id"), "value")
     grid = r_grid(oc.unionByName(sc), keys, n=n_grid)
-    curves = [ecdf(c, grid, [*keys, "curve_id"], keys) for c in (oc, sc)]
+    curves = [written(ecdf(c, grid, [*keys, "curve_id"], keys), "curves") for c in (oc, sc)]
     each = envelope_test(*curves, keys, statistic)
     joint = envelope_test(*[joint_curves(c, [*keys, "curve_id"], n_grid) for c in curves], ["mode", "cell_id"], statistic).withColumn("measure", F.lit("joint"))
     return each.unionByName(joint).drop("curve_id")
@@ -94,6 +95,7 @@ def pairwise_curve_test(curves: DataFrame, statistic: str = "integrated", alpha:
 
     ``curves``: measure, mode, curve_id, i, x, y. Gives tests (with q-values by pair and measure) and rejection rates.
     """
+    curves = written(curves, "curves")
     if joint_n:
         curves = curves.unionByName(joint_curves(curves, ["measure", "mode", "curve_id"], joint_n).withColumn("measure", F.lit("joint")), allowMissingColumns=True)
     size = curves.select("measure", "mode", "curve_id").distinct().groupBy("measure", "mode").agg(F.count(F.lit(1)).alias("_n"))
@@ -103,6 +105,7 @@ def pairwise_curve_test(curves: DataFrame, statistic: str = "integrated", alpha:
     obs = pairs.join(curves.withColumnRenamed("mode", "mode_a"), ["measure", "mode_a"]).select("measure", "mode_a", "mode_b", "curve_id", "i", "y")
     # Moments and simulated statistics depend on mode b alone; the pair enters with the observed curves.
     sims = curves.withColumnRenamed("mode", "mode_b").join(b, ["measure", "mode_b"], "left_semi").select("measure", "mode_b", "curve_id", "i", "y")
+    # A mode's name may hold any character; the separator is one that texts do not use.
     keyed = obs.withColumn("curve_id", F.concat_ws("␟", "mode_a", "curve_id")).drop("mode_a")
     t = envelope_test(keyed, sims, ["measure", "mode_b"], statistic)
     t = t.withColumn("mode_a", F.substring_index("curve_id", "␟", 1)).withColumn("curve_id", F.substring_index("curve_id", "␟", -1))

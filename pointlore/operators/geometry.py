@@ -1,12 +1,11 @@
 """Distances, surfaces, grids and components of point sets (C), as joins and column expressions."""
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..functions.storage import written
 from .expressions import expand_box, round_out
 
 GROUP = ["mode", "cell_id", "seed"]
@@ -264,18 +263,6 @@ def ripley_k_summary(points: DataFrame, cells: DataFrame) -> DataFrame:
     return k.groupBy("mode", "i").agg(F.max("r").alias("r"), F.avg("k").alias("mean"), F.percentile("k", F.lit(0.025)).alias("lo"), F.percentile("k", F.lit(0.975)).alias("hi"))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the session names."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def component_centroids(voxels: DataFrame, keys: tuple[str, ...] = ("image_id", "channel", "value")) -> DataFrame:
     """C14: components of equal voxels (26 neighbours): label, centroid, size and whether it is the image's largest (first on ties).
 
@@ -286,13 +273,13 @@ def component_centroids(voxels: DataFrame, keys: tuple[str, ...] = ("image_id",
     around = F.array(*[F.struct(*[F.lit(o).alias(c) for o, c in zip((i, j, k), XYZ)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)])
     shifted = v.withColumn("_o", F.explode(around)).select(*key, F.col("id").alias("a"), F.struct(*[(F.col(c) + F.col(f"_o.{c}")).alias(c) for c in XYZ]).alias("b"))
     edges = shifted.join(v.select(*key, F.col("id").alias("b")), [*key, "b"])
-    both = _written(edges.select(*key, "a", "b").unionByName(edges.select(*key, F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = _written(v.withColumn("label", F.col("id")))
+    both = written(edges.select(*key, "a", "b").unionByName(edges.select(*key, F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = written(v.withColumn("label", F.col("id")))
     while True:
         other = both.join(labels.select(*key, F.col("id").alias("b"), "label"), [*key, "b"]).groupBy(*key, F.col("a").alias("id")).agg(F.min("label").alias("_m"))
         low = labels.join(other, [*key, "id"], "left").withColumn("_new", F.least("label", F.coalesce("_m", "label")))
         jump = low.select(*key, F.col("id").alias("_new"), F.col("_new").alias("_far"))
-        new = _written(low.join(jump, [*key, "_new"], "left").select(*key, *XYZ, "id", F.least("_new", F.coalesce("_far", "_new")).alias("label"), (F.least("_new", F.coalesce("_far", "_new")) != F.col("label")).alias("_moved")))
+        new = written(low.join(jump, [*key, "_new"], "left").select(*key, *XYZ, "id", F.least("_new", F.coalesce("_far", "_new")).alias("label"), (F.least("_new", F.coalesce("_far", "_new")) != F.col("label")).alias("_moved")))
         labels = new.drop("_moved")
         if new.filter("_moved").isEmpty():
             break

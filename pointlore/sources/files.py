@@ -79,7 +79,7 @@ def read_meshes(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
 
     A mesh is one file; its lines are numbered inside it, so no order across tasks is needed.
     """
-    text = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split("value", r"\r?\n").alias("_l"))
+    text = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n").alias("_l"))
     tokens = lambda kind: F.transform(F.filter("_l", lambda s: s.rlike(rf"^{kind}\s")), lambda s: F.split(F.trim(s), r"\s+"))
     v = text.select("file", F.posexplode(tokens("v")).alias("_i", "_t")).select("file", (F.col("_i") + 1).alias("vertex"), *[F.col("_t")[j + 1].cast("double").alias(c) for j, c in enumerate("xyz")])
     f = text.select("file", F.posexplode(tokens("f")).alias("face", "_t"))

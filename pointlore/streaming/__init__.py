@@ -1,0 +1 @@
+"""No operator of this library is a stream: all inputs are finished experiments. The package is kept for sources that grow."""
