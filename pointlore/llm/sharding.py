@@ -6,7 +6,7 @@ shard at most, however large a group is. Each round is a Spark join and a window
 copies of a text want to move to the shard that holds most of them, and a move is accepted while the
 running sum of the movers stays within what the shard's quota leaves. Texts with one copy are linked
 to nothing; they fill the shards at the end, so counts differ by one at most. A group that is larger
-than a quota is cut into as few shards as the quotas allow. Only DataFrame functions are used.
+than a quota is cut, as is one whose shard is full. Only DataFrame functions are used.
 
 Null texts equal one another and have size 1; null and repeated ids are rows like any other; an empty
 table gives an empty result; extra columns are ignored.
@@ -68,6 +68,8 @@ def propagate(state: DataFrame, quota: list[int], rounds: int, buckets: int, sla
         gain = (F.col("_best")["n"] > F.col("n")) | ((F.col("_best")["n"] == F.col("n")) & (F.col("_to") < F.col("shard")))
         wish = stage(wish.select("key", "shard", "n", F.when(F.col("_to").isNotNull() & gain & (F.col("_to") != F.col("shard")), F.col("_to")).alias("to"), F.when(F.col("_total") > 0, F.col("_best")["n"] / F.col("_total")).alias("pull")), f"shard-wish-{no}")
         movers = wish.filter("to is not null")
+        if movers.isEmpty():
+            break
         # Strongest pull first: ten classes of pull, then hashed buckets, then the key.
         klass = (F.lit(9) - F.least(F.lit(9), F.floor(F.col("pull") * 10))) * buckets + _bucket(F.col("key"), buckets)
         queued = running_total(movers.withColumn("_b", klass.cast("long")), ["to"], "_b", [F.col("key"), F.col("shard")], "n", "_a")
@@ -75,8 +77,6 @@ def propagate(state: DataFrame, quota: list[int], rounds: int, buckets: int, sla
         queued = queued.withColumn("_went", went)
         moved = queued.select("key", F.explode(F.array(F.struct(F.col("to").alias("shard"), F.col("_went").alias("n")), F.struct(F.col("shard").alias("shard"), (F.col("n") - F.col("_went")).alias("n")))).alias("p")).select("key", "p.shard", "p.n")
         state = stage(wish.filter("to is null").select("key", "shard", "n").unionByName(moved).filter("n > 0").groupBy("key", "shard").agg(F.sum("n").alias("n")), f"shard-state-{no}")
-        if _loads(state, shards) == loads and not movers.take(1):
-            break
     return state
 
 
@@ -95,7 +95,7 @@ def settle(state: DataFrame, single: DataFrame, quota: list[int], buckets: int)
     return stage(kept.unionByName(filled).groupBy("key", "shard").agg(F.sum("n").alias("n")), "shard-places")
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 4, buckets: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 10, buckets: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null)."""
     text = F.col(text_col).cast("string")
     base = docs.select(
