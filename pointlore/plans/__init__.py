@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
 from ..model import ORACLE_SQL, QUERIES
-from . import basic_queries, curve_queries, space_queries  # noqa: F401
+from . import basic_queries, curve_queries, more_queries, space_queries  # noqa: F401
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
