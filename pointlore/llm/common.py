@@ -82,7 +82,7 @@ def maybe_in(df: DataFrame, key: Column, keys: DataFrame, bits: int = 27) -> Dat
 
     A bitmap of at most 2**bits bits (16 MB) is broadcast; what hits it by chance is for the caller to drop.
     """
-    slots = 1 << max(15, min(bits, (8 * keys.count()).bit_length()))
+    slots = 1 << max(15, min(bits, (32 * keys.count()).bit_length()))
     place = F.pmod(F.xxhash64(keys.columns[0]), F.lit(slots))
     marks = keys.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bitmap"))
     probe = df.withColumn("_p", F.pmod(F.xxhash64(key), F.lit(slots))).withColumn("_bucket", F.bitmap_bucket_number("_p")).join(F.broadcast(marks), "_bucket")

@@ -10,22 +10,21 @@ from pyspark.sql import functions as F
 from .common import stage
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges: a, b. Gives (node, root) for every node of an edge; root is the least node of its component."""
     e = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = stage(large, "cc-large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("x"), F.col("a").alias("y"), "m")
-        small = small.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("m").alias("b")), F.struct(F.col("y").alias("a"), F.col("m").alias("b")))).alias("p")).select("p.a", "p.b").filter("a <> b").distinct()
-        done = stage(small, "cc-small")
-        # A forest of stars: no node is both a leaf and a root, and nothing moved in this round.
-        if not done.join(done.select(F.col("a").alias("b")), "b", "left_semi").take(1) and done.groupBy("a").count().filter("count > 1").isEmpty() and done.count() == large.count():
-            e = done
+        ends = F.array(F.struct(F.col("x").alias("a"), F.col("m").alias("b")), F.struct(F.col("y").alias("a"), F.col("m").alias("b")))
+        e = stage(small.select(F.explode(ends).alias("p")).select("p.a", "p.b").filter("a <> b").distinct(), "cc-small")
+        # Done when the edges are stars: each leaf has one root, and no root is a leaf.
+        ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("leaf")), F.struct(F.col("b").alias("v"), F.lit(0).alias("leaf")))).alias("p"))
+        if ends.groupBy("p.v").agg(F.sum("p.leaf").alias("n"), F.min("p.leaf").alias("l"), F.max("p.leaf").alias("h")).filter("n > 1 or l <> h").isEmpty():
             break
-        e = done
     roots = e.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -4,7 +4,7 @@ A document is the set of its five-word shingles; documents with equal sets are o
 start. Each set is embedded in 128 tokens (the least shingle of each of 128 hash ranges). A run splits
 all sets on sampled tokens: sets that share the token at a coordinate go to the same child, and every
 node samples 1/similarity coordinates in expectation, so that a pair above the threshold survives in
-expectation at every depth. A bucket that is small is compared by brute force; a large one is split
+expectation at every depth. After the first splits, a bucket that is small is compared by brute force; a large one is split
 further down to a fixed depth, and what still shares every sampled token is compared in pairs of blocks.
 Runs repeat until a pair at the threshold is missed with at most ``miss``. Found pairs only connect sets to
 cells; inside a cell the exact sets are compared block by block, so every link is exact, is counted at
@@ -133,9 +133,10 @@ def jaccard_join(
     similarity: float = 0.8,
     shingle: int = 5,
     leaf: int = 64,
-    depth: int = 4,
+    depth: int = 3,
+    first_look: int = 3,
     miss: float = 1e-4,
-    block: int = 128,
+    block: int = 512,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -149,73 +150,92 @@ def jaccard_join(
                 sets = shingle_sets(texts[a : a + 500], shingle)
                 yield pd.DataFrame({
                     "doc_id": ids.iloc[a : a + 500].array, "n": [len(s) for s in sets],
-                    "node": [fingerprint(s) if len(s) else None for s in sets],
+                    "node": [fingerprint(s) if len(s) else None for s in sets],  # a set; its first half, nid, stands for it in the search
                     "sketch": [embed(s) if len(s) else None for s in sets],
                 })
 
     members = stage(read.mapInPandas(embedded, "doc_id long, n long, node binary, sketch binary"), "join-members")
     nodes = members.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies"), F.any_value("sketch").alias("sketch"))
-    nodes = stage(nodes, "join-nodes")
+    nodes = stage(nodes.withColumn("nid", F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long")), "join-nodes")
     runs = runs_for(similarity, depth, miss)
 
-    def first_level(batches):
-        for pdf in batches:
-            sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, COORDS)
-            for run in range(runs):
-                rows, path = children(np.full(len(pdf), mix(np.array([run + 1], np.uint64))[0]), sketch, 0, similarity)
-                yield pd.DataFrame({"node": pdf["node"].to_numpy()[rows], "path": path.view(np.int64)})
+    with_sketch = nodes.select("nid", "n", "sketch")
+
+    def descend(sketch: np.ndarray, path: np.ndarray, levels: range) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.arange(len(path))
+        for level in levels:
+            step, path = children(path, sketch[rows], level, similarity)
+            rows = rows[step]
+        return rows, path
+
+    def splitter(start: range | None, levels: range):
+        """Rows (nid, path) after ``levels`` more splits; a path tells what a row shares so far. ``start``: runs that begin here."""
 
-    def next_level(level):
         def split(batches):
             for pdf in batches:
-                sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, COORDS)
-                rows, path = children(pdf["path"].to_numpy(np.int64).view(np.uint64), sketch, level, similarity)
-                yield pd.DataFrame({"node": pdf["node"].to_numpy()[rows], "path": path.view(np.int64)})
+                sketch, nid = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, COORDS), pdf["nid"].to_numpy()
+                roots = [np.full(len(pdf), mix(np.array([r + 1], np.uint64))[0]) for r in start] if start else [pdf["path"].to_numpy(np.int64).view(np.uint64)]
+                for root in roots:
+                    rows, path = descend(sketch, root, levels)
+                    yield pd.DataFrame({"nid": nid[rows], "path": path.view(np.int64)})
 
         return split
 
-    rows = nodes.select("node", "sketch").mapInPandas(first_level, "node binary, path long")
-    small, large = [], None
-    for level in range(1, depth + 1):
-        rows = stage(rows, f"join-level-{level}")
-        counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.sum(F.hash("node").cast("long")).alias("sum"), F.bit_xor(F.xxhash64("node")).alias("xor")).filter("m > 1")
-        # Runs often find the same bucket again; one of each is enough.
-        once = stage(counts.groupBy("m", "sum", "xor").agg(F.min("path").alias("path")).select("path", "m"), f"join-buckets-{level}")
-        inside = rows.join(once, "path")
-        small.append(inside.filter(F.col("m") <= leaf).select("path", "node"))
-        large = inside.filter(F.col("m") > leaf).select("path", "node", "m")
-        if level < depth:
-            rows = large.select("path", "node").join(nodes.select("node", "sketch"), "node").mapInPandas(next_level(level), "node binary, path long")
-    leaves = small[0]
-    for s in small[1:]:
-        leaves = leaves.unionByName(s)
-
     def compare(batches):
         for pdf in batches:
             a, b = [], []
             for bucket in pdf["bucket"]:
-                nodes_in = [x["node"] for x in bucket]
+                bucket = sorted(bucket, key=lambda x: x["nid"])
                 sketch = np.frombuffer(b"".join(x["sketch"] for x in bucket), np.uint16).reshape(-1, COORDS)
                 root = forest(sketch_links(sketch, np.array([x["n"] for x in bucket]), similarity))
                 for i in np.flatnonzero(root != np.arange(len(root))):
-                    a.append(nodes_in[i])
-                    b.append(nodes_in[root[i]])
-            yield pd.DataFrame({"a": a, "b": b})
-
-    with_sketch = nodes.select("node", "n", "sketch")
-    entry = F.struct("node", "n", "sketch")
-    buckets = leaves.join(with_sketch, "node").groupBy("path").agg(F.collect_list(entry).alias("bucket")).select("bucket")  # at most ``leaf`` entries
-    # Large buckets at full depth: pairs of blocks, each of about ``block`` sets.
-    blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    laid = large.withColumn("nb", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    laid = laid.select("path", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    pairs = laid.join(with_sketch, "node").groupBy("path", "i", "j").agg(F.collect_list(entry).alias("bucket")).select("bucket")
-    edges = buckets.unionByName(pairs).mapInPandas(compare, "a binary, b binary").distinct()
-    cells = stage(components(edges), "join-cells")
+                    a.append(bucket[i]["nid"])
+                    b.append(bucket[root[i]]["nid"])
+            yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    def search(these: range, known: DataFrame | None) -> DataFrame:
+        """Edges (a, b) that the runs find. A bucket whose sets are all connected already tells nothing new and is left out."""
+        # The first splits need no look at the buckets: a pair must share them all in any case.
+        rows = nodes.select("nid", "sketch").mapInPandas(splitter(these, range(first_look)), "nid long, path long")
+        leaves = large = None
+        for level in range(first_look, depth + 1):
+            rows = stage(rows, f"join-level-{level}")
+            sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+            hit = stage(rows.join(sizes, "path"), f"join-hits-{level}")
+            group = hit.withColumn("g", F.col("nid")) if known is None else hit.join(known.withColumnRenamed("node", "nid"), "nid", "left").withColumn("g", F.coalesce("root", "nid"))
+            told = group.groupBy("path", "m").agg(F.min("g").alias("g1"), F.max("g").alias("g2"), F.bit_xor(F.xxhash64("nid")).alias("xor")).filter("g1 <> g2")
+            # Runs often find the same bucket again; one of each is enough.
+            once = told.groupBy("m", "g1", "g2", "xor").agg(F.min("path").alias("path")).select("path")
+            inside = stage(hit.join(once, "path"), f"join-buckets-{level}")
+            small = inside.filter(F.col("m") <= leaf).select("path", "nid")
+            leaves = small if leaves is None else leaves.unionByName(small)
+            large = inside.filter(F.col("m") > leaf)
+            if level < depth:
+                rows = large.select("path", "nid").join(nodes.select("nid", "sketch"), "nid").mapInPandas(splitter(None, range(level, level + 1)), "nid long, path long")
+        # Only the sketches of sets in open buckets move.
+        open_sets = leaves.select("nid").unionByName(large.select("nid")).distinct()
+        near = stage(maybe_in(with_sketch, F.col("nid"), open_sets), "join-sketches")
+        entry = F.struct("nid", "n", "sketch")
+        buckets = leaves.join(near, "nid").groupBy("path").agg(F.collect_list(entry).alias("bucket")).select("bucket")  # at most ``leaf`` entries
+        # Large buckets at full depth: pairs of blocks, each of about ``block`` sets.
+        blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
+        own = F.pmod(F.xxhash64("nid"), blocks).cast("int")
+        laid = large.withColumn("nb", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        laid = laid.select("path", "nid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        pairs = laid.join(near, "nid").groupBy("path", "i", "j").agg(F.collect_list(entry).alias("bucket")).select("bucket")
+        return buckets.unionByName(pairs).mapInPandas(compare, "a long, b long").distinct()
+
+    # The first runs find most of it; the others then look only at buckets that could still connect something.
+    first = min(2, runs)
+    edges = stage(search(range(first), None), "join-edges")
+    if runs > first:
+        # One hop is enough to know most of what is connected.
+        hop = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+        edges = edges.unionByName(search(range(first, runs), hop))
+    cells = stage(components(edges).withColumnRenamed("node", "nid"), "join-cells")
 
     # Exact sets of the sets in cells, each from the text of one document.
-    wanted = stage(cells.join(nodes.select("node", "head", "copies"), "node"), "join-wanted")
+    wanted = stage(cells.join(nodes.select("nid", "node", "head", "copies"), "nid"), "join-wanted")
     sizes = wanted.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     texts = maybe_in(read, F.coalesce("doc_id", F.lit(-1)), wanted.select(F.coalesce("head", F.lit(-1)).alias("h")))
 
@@ -227,7 +247,7 @@ def jaccard_join(
                 yield pd.DataFrame({"node": [fingerprint(s) for s in sets], "items": [s.tobytes() for s in sets]})
 
     sets = texts.mapInPandas(full_sets, "node binary, items binary")
-    placed = wanted.join(sizes, "root").withColumn("nb", F.ceil(F.col("m") / F.lit(block)).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    placed = wanted.join(sizes, "root").withColumn("nb", F.ceil(F.col("m") / F.lit(block // 2)).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     full = stage(sets.join(placed, "node").groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("items", "root", "copies", "nb", "own")]), "join-sets")
     spread = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "copies", "items")
 
