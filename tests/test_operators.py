@@ -204,3 +204,30 @@ def test_pad_and_binary_correlation(spark):
     for (i, j), r in got.items():
         assert r == pytest.approx(want[i, j])
     assert len(got) == 10
+
+
+def test_column_metadata_and_missing_work(spark):
+    from pointlore.operators import catalog as K
+
+    df = frame(spark, [("a", 1.0)], "CellId string, radius double")
+    rows = {r["column"]: (r["type"], r["description"]) for r in K.column_metadata(df, {"radius": "unit radius"}).collect()}
+    assert rows == {"CellId": ("string", ""), "radius": ("double", "unit radius")}
+    expected = frame(spark, [("x", 1), ("x", 2), ("y", 1)], "item string, seed int")
+    missing, done = K.missing_work(expected, frame(spark, [("x", 1), ("y", 1), ("y", 1)], "item string, seed int"))
+    assert [(r["item"], r["seed"]) for r in missing.collect()] == [("x", 2)]
+    assert {r["item"]: r["done"] for r in done.collect()} == {"x": False, "y": True}
+
+
+def test_norm_factor_errors(spark):
+    df = frame(spark, [("d", 0.0), ("scaled_d", 0.0)], "measure string, f double")
+    ok = df.filter("measure = 'scaled_d'").select(B.norm_factor("intracellular_radius", F.col("measure"), F.col("f")).alias("x"))
+    assert ok.first()["x"] == 1.0
+    with pytest.raises(Exception, match="no factor"):
+        df.select(B.norm_factor("intracellular_radius", F.col("measure"), F.col("f")).alias("x")).collect()
+
+
+def test_components_of_voxels(spark):
+    v = frame(spark, [("i", "c", 1, *p) for p in [(0, 0, 0), (1, 1, 1), (2, 2, 2), (5, 5, 5), (5, 6, 5), (9, 9, 9)]], "image_id string, channel string, value int, x int, y int, z int")
+    c, _ = C.component_centroids(v)
+    got = sorted((r["size"], r["largest"], r["cx"]) for r in c.collect())
+    assert got == [(1, False, 9.0), (2, False, 5.0), (3, True, 1.0)]
