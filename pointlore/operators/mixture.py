@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.special import nnls
+from ..functions.storage import written
 from .curves import interp
 
 JOINT = "joint"
@@ -127,12 +128,14 @@ def cross_validate(occ: DataFrame, occ_comb: DataFrame, modes: list[str], baseli
     keys = ["repeat", "fold"]
     cells, _ = baseline_cells(occ, baseline)
     placed = assign_folds(cells, folds, repeats, seed)
-    grid = baseline_grid(occ_comb, baseline)
-    matrix = design(occ_comb, grid, modes)
+    # Every fold uses these small tables; they are computed once.
+    grid = written(baseline_grid(occ_comb, baseline), "grid")
+    matrix = written(design(occ_comb, grid, modes), "design")
     few = F.when(F.count(F.lit(1)) < folds, F.raise_error(F.lit("fewer cells than folds")).cast("int")).otherwise(0)
     placed = placed.join(placed.groupBy("repeat").agg(few.alias("_few")), "repeat").filter("_few = 0").drop("_few")
     train = placed.withColumnRenamed("fold", "_own").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).filter("fold <> _own").select("repeat", "fold", "cell_id")
     coefs, mse = fit_mixture(mean_curve(occ, train, grid, baseline, keys), matrix, modes, keys)
+    coefs = written(coefs, "coefs")
     test = evaluate(occ, coefs, matrix, grid, placed.select("repeat", "fold", "cell_id"), modes, baseline, keys, grouping)
     return {"folds": placed, "coefs": coefs, "train": mse, "test": test, "grid": grid, "matrix": matrix}
 

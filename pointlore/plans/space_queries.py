@@ -14,7 +14,7 @@ from ..operators import occupancy as G
 from ..operators import profiles as P
 from ..operators import twosample as T
 from ..sources import files as A
-from .curve_queries import grid_sql, hist_sql, norm_sql, walk_sql
+from .curve_queries import KSKEYS, KSP, PAIRS, base_sql, grid_sql, hist_sql, norm_sql, walk_sql
 from . import workflows as Q
 
 W0 = 25.0
@@ -571,20 +571,24 @@ def q03_randomness_test(spark, d):
     return Q.randomness_test(s.filter("mode = 'A'").select("measure", "cell_id", "value"), sims, 40).select("measure", "mode", "n_cells", r6("rejected").alias("rejected"))
 
 
-@query()
+@query(f"WITH {CV.replace('range(3)', 'range(10)')}, j AS (SELECT repeat, fold, c0, c1 FROM fit WHERE scope = 'joint'), b AS (SELECT * FROM j UNION ALL SELECT NULL, NULL, avg(c0), avg(c1) FROM j) SELECT repeat, fold, m AS mode, CASE WHEN m = 'R' THEN 'radial' ELSE 'uniform' END AS gradient, round(CASE WHEN m = 'R' THEN c1 ELSE c0 END / (c0 + c1), 5) + 0.0 AS weight FROM b, (VALUES ('R'), ('N')) v(m)")
 def q04_mixed_rule(spark, d):
     occ, comb = _curves(spark, d)
     out = Q.mixed_rule(occ, comb, MODES2, "A", spark.createDataFrame([("R", "radial"), ("N", "uniform")], "mode string, gradient string"))
     return out["weights"].withColumn("weight", F.round("weight", 5) + 0.0)
 
 
-@query()
+@query(f"""{PAIRS}, o AS (SELECT CASE WHEN mode_1 = '1-URGENT' THEN mode_2 ELSE mode_1 END AS m, emd FROM walk WHERE (mode_1 = '1-URGENT') <> (mode_2 = '1-URGENT')),
+a AS (SELECT count(*) FILTER (m = '2-HIGH') * ln(sum(emd * emd) FILTER (m = '2-HIGH') / count(*) FILTER (m = '2-HIGH')) + 6 AS a1, count(*) FILTER (m = '3-MEDIUM') * ln(sum(emd * emd) FILTER (m = '3-MEDIUM') / count(*) FILTER (m = '3-MEDIUM')) + 4 AS a2 FROM o)
+SELECT round(a1, 4) + 0.0 AS aic_with, round(a2, 4) + 0.0 AS aic_without, CASE WHEN a1 < a2 THEN 'with structure' ELSE 'without structure' END AS best,
+CASE WHEN abs(a1 - a2) <= 2 THEN 'Both models have substantial support' WHEN abs(a1 - a2) <= 7 THEN 'Considerably less support for losing model' WHEN abs(a1 - a2) <= 10 THEN 'Little support for losing model' ELSE 'Essentially no support for losing model' END AS interpretation FROM a""")
 def q05_colocalisation(spark, d):
     p = T.emd_all_pairs(samples_orders(spark, d))
     return Q.colocalisation(p, "1-URGENT", "2-HIGH", "3-MEDIUM").select("aic_with", "aic_without", "best", "interpretation")
 
 
-@query()
+@query(f"""WITH {SAMPLES_ITEMS}, {base_sql("SELECT 'A' AS baseline")}, {walk_sql(KSKEYS, 'sides')}
+SELECT measure, mode, count(*) AS n, round(avg(ks), 6) + 0.0 AS mean_ks, round(avg(emd), 6) + 0.0 AS mean_emd, round(avg(({KSP} >= 0.05)::INT::DOUBLE), 6) + 0.0 AS similar_share FROM walk GROUP BY ALL""")
 def q06_variation(spark, d):
     """Modes are the levels of a variation; everything is compared with the first level."""
     s = samples_items(spark, d)
