@@ -5,14 +5,14 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions.storage import shared_path
-from ..model import CELLS_VEC, POINTS_VEC, SAMPLES_EVENTS, SAMPLES_ORDERS, cells_vec, points_vec, query, r6, samples_events, samples_orders, table
+from ..model import CELLS_VEC, ORACLE_SQL, POINTS_VEC, SAMPLES_EVENTS, SAMPLES_ITEMS, SAMPLES_ORDERS, cells_vec, points_vec, query, r6, samples_events, samples_orders, table
 from ..operators import curves as D
 from ..operators import geometry as C
 from ..operators import mixture as H
 from ..operators import occupancy as G
 from ..operators import profiles as P
 from ..sources import files as A
-from .curve_queries import grid_sql, hist_sql, norm_sql
+from .curve_queries import ecdf_sql, grid_sql, hist_sql, norm_sql
 from .space_queries import BIN, COMMON, CURVE, CV, DIST, G3, TARGET, _binned, _curves, _cv, _inputs, _target, fit_sql, profiles, MODES2
 
 
@@ -128,3 +128,15 @@ def e05_summarize_single(spark, d):
 
     r = summarize_cells(_e03(spark, d))[1].filter("measure <> 'joint'")
     return r.select("measure", "mode", "n_cells", r6("rejected").alias("rejected"), r6("rejected_positive").alias("rejected_positive"))
+
+
+# SQL for queries registered elsewhere, with the helpers of this module.
+ORACLE_SQL["g10_occupancy_kde"] = f"""WITH {SAMPLES_ORDERS}, av AS (SELECT measure, cell_id, value FROM samples), tp AS (SELECT measure, cell_id, max(value) AS top, quantile_cont(value, 0.95) AS p95 FROM av GROUP BY ALL),
+e AS (SELECT measure, quantile_cont(top, 1.0) AS x1 FROM tp GROUP BY 1), kg AS (SELECT measure, cell_id, i::INT AS i, i * (x1 / 49) AS x FROM e JOIN tp USING (measure), range(50) r(i)),
+{_kde_sql('measure, cell_id', 'av', 'ka')}, occ AS (SELECT measure, mode, cell_id, value FROM samples), {_kde_sql('measure, mode, cell_id', 'occ', 'ko')}, {norm_sql('measure, cell_id', 'na', 'ka')}, {norm_sql('measure, mode, cell_id', 'no', 'ko')}
+SELECT no.measure, no.mode, no.cell_id, no.i, round(no.x, 6) + 0.0 AS x, round(CASE WHEN no.x <= p95 THEN exp(ln(greatest(no.y, 1e-10)) - ln(greatest(na.y, 1e-10))) END, 5) + 0.0 AS occupancy FROM no JOIN na ON na.measure = no.measure AND na.cell_id = no.cell_id AND na.i = no.i JOIN tp ON tp.measure = no.measure AND tp.cell_id = no.cell_id"""
+
+ORACLE_SQL["d13_joint_curves"] = f"""WITH {SAMPLES_ITEMS}, {grid_sql('measure', n=60)}, {ecdf_sql('measure, mode, cell_id, seed', 'measure')}, t AS (SELECT j, j * 59 / 39.0::DOUBLE AS t, least(floor(j * 59 / 39.0::DOUBLE), 58)::INT AS k FROM range(40) r(j)),
+no AS (SELECT measure, row_number() OVER (ORDER BY measure) - 1 AS no FROM (SELECT DISTINCT measure FROM samples))
+SELECT a.mode, a.cell_id, a.seed, (no * 40 + j)::INT AS i, round(no + j / 39.0::DOUBLE, 6) + 0.0 AS x, round(a.y + (b.y - a.y) * (t - k), 6) + 0.0 AS y
+FROM t JOIN curve a ON a.i = k JOIN curve b ON b.measure = a.measure AND b.mode = a.mode AND b.cell_id = a.cell_id AND b.seed = a.seed AND b.i = k + 1 JOIN no ON no.measure = a.measure"""
