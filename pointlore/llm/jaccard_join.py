@@ -1,12 +1,12 @@
 """Jaccard similarity self-join on word shingles by chosen paths.
 
 A document is the set of its five-word shingles; documents with equal sets are one class from the
-start. Each set is embedded in 128 tokens (the least shingle of each of 128 hash ranges). A run splits
+start. Each set is embedded in 128 tokens (the least shingle under each of 128 hashes). A run splits
 all sets on sampled tokens: sets that share the token at a coordinate go to the same child, and every
 node samples 1/similarity coordinates in expectation, so that a pair above the threshold survives in
 expectation at every depth. After the first splits, a bucket that is small is compared by brute force; a large one is split
 further down to a fixed depth, and what still shares every sampled token is compared in pairs of blocks.
-Runs repeat until a pair at the threshold is missed with at most ``miss``. Found pairs only connect sets to
+Runs repeat until a pair at the threshold is missed with chance ``miss`` at most. Found pairs only connect sets to
 cells; inside a cell the exact sets are compared block by block, so every link is exact, is counted at
 both ends, and no list of pairs is ever made.
 
@@ -29,6 +29,10 @@ from .hashing import mix, windows, word_hashes
 
 COORDS = 128
 _SALT = [np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD6E8FEB86659FD93)]
+_rng = np.random.default_rng(20240301)
+#: One hash per coordinate, a permutation of 32 bits: the shingles are hashed already.
+_FLIP = _rng.integers(0, 1 << 32, (COORDS, 1), dtype=np.uint32)
+_TIMES = _rng.integers(0, 1 << 31, (COORDS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
@@ -49,16 +53,12 @@ def fingerprint(x: np.ndarray) -> bytes:
 
 
 def embed(x: np.ndarray) -> bytes:
-    """16 bits of the least shingle in each hash range; an empty range takes the next one's, told apart by the distance."""
-    at = np.searchsorted(x, np.arange(COORDS, dtype=np.uint64) << np.uint64(57))
-    full = np.diff(np.append(at, len(x))) > 0
-    value = np.zeros(COORDS, np.uint64)
-    value[full] = x[at[full]]
-    there = np.flatnonzero(full)
-    nxt = np.searchsorted(there, np.arange(COORDS))
-    src = there[nxt % len(there)]
-    far = ((src - np.arange(COORDS)) % COORDS).astype(np.uint64)
-    return (mix(value[src] + far * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
+    """16 bits of the least shingle under each of 128 hashes, so that coordinates are independent for sets of any size."""
+    x = (x >> np.uint64(32)).astype(np.uint32)
+    least = np.full(COORDS, 0xFFFFFFFF, np.uint32)
+    for a in range(0, len(x), 512):
+        np.minimum(least, ((x[None, a : a + 512] ^ _FLIP) * _TIMES).min(1), out=least)
+    return (mix(least.astype(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
 
 
 def children(path: np.ndarray, sketch: np.ndarray, depth: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -74,12 +74,20 @@ def children(path: np.ndarray, sketch: np.ndarray, depth: int, similarity: float
 
 
 def runs_for(similarity: float, depth: int, miss: float) -> int:
-    """Runs after which a pair at the threshold is missed with chance ``miss``: each run is a branching process of mean 1 or more."""
-    second, lost = 1 / similarity - 1, 0.0
+    """Runs after which a pair at the threshold is missed with chance ``miss``: each run is a branching process of mean 1 or more.
+
+    All runs look at the same sketches, so the chance is taken over the number of coordinates at which a pair agrees.
+    """
+    second, agree = 1 / similarity - 1, np.arange(COORDS + 1) / COORDS
+    chance = np.array([math.comb(COORDS, k) * similarity**k * (1 - similarity) ** (COORDS - k) for k in range(COORDS + 1)])
+    lost = np.zeros(COORDS + 1)
     for _ in range(depth):
-        one = 1 - similarity * (1 - lost)
+        one = 1 - agree * (1 - lost)
         lost = one * (1 - second) + one * one * second
-    return max(1, math.ceil(math.log(miss) / math.log(lost)))
+    runs = 1
+    while (chance * lost**runs).sum() > miss:
+        runs += 1
+    return runs
 
 
 def forest(close: np.ndarray) -> np.ndarray:

@@ -197,6 +197,23 @@ def test_jaccard_join(spark, leaf, block):
     assert [got[i]["class_id"] for i, _ in rows] == classes
 
 
+@pytest.mark.parametrize("n", [5, 10, 20, 40])
+def test_isolated_pairs_of_small_sets_meet_miss(n):
+    """n shingles against the first four fifths of them, followed through the splits of all runs."""
+    pairs, depth, miss = 20000, 3, 1e-4
+    words = [[f"p{k}w{i}" for i in range(n + 4)] for k in range(pairs)]
+    sets = jaccard_join.shingle_sets([" ".join(x) for w in words for x in (w, w[: n - n // 5 + 4])], 5)
+    sketch = np.frombuffer(b"".join(jaccard_join.embed(s) for s in sets), np.uint16).reshape(pairs, 2, -1)
+    left = np.arange(pairs)
+    for run in range(jaccard_join.runs_for(0.8, depth, miss)):
+        rows, path = left, np.full(len(left), hashing.mix(np.array([run + 1], np.uint64))[0])
+        for level in range(depth):
+            (step, one), (_, two) = (jaccard_join.children(path, sketch[rows, side], level, 0.8) for side in (0, 1))
+            rows, path = rows[step[one == two]], one[one == two]
+        left = np.setdiff1d(left, rows)
+    assert len(left) <= 8  # 2 are expected at ``miss``; more than 8 have a chance below 1 in 4,000
+
+
 def test_jaccard_join_nasty(spark):
     assert jaccard_join.jaccard_join(empty(spark)).count() == 0
     got = jaccard_join.jaccard_join(nasty(spark)).collect()
