@@ -2,7 +2,8 @@
 
 Three base kinds come from patterns alone. Values that follow a credential word are cut, at minimum
 cost, into dictionary words, dates, repeats, keyboard walks and brute-force stretches; a value whose
-cheapest cut needs at least 10**``min_log10`` guesses is a span of the kind ``guess``. Patterns run in the JVM;
+cheapest cut needs at least 10**``min_log10`` guesses is a span of the kind ``guess``; values of 8 characters or
+more are tried, of any length. Patterns run in the JVM;
 only the proposed values go to Python, in Arrow batches.
 
 A null text counts as empty; empty texts and tables give no span; repeated rows are scanned each for
@@ -25,8 +26,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 #: Wider than the base: a credential word, a few joining characters or words, then one value.
 CONTEXT_WORDS = r"pass(?:word|wd|phrase|code)?|pwd|credentials?|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|bearer|login"
-GUESS = rf"(?i)(?<![A-Za-z])(?:{CONTEXT_WORDS})[\"']?(?:\x20(?:is|was|for|key|code)){{0,2}}\x20*[:=]?\x20*[\"']?[A-Za-z0-9+/_.=!@#$%^&*~-]{{8,64}}+(?![A-Za-z0-9+/_.=!@#$%^&*~-])"
-GUESS_VALUE = r"([A-Za-z0-9+/_.=!@#$%^&*~-]{8,64})$"
+GUESS = rf"(?i)(?<![A-Za-z])(?:{CONTEXT_WORDS})[\"']?(?:\x20(?:is|was|for|key|code)){{0,2}}\x20*[:=]?\x20*[\"']?([A-Za-z0-9+/_.=!@#$%^&*~-]{{8,}}+)"
+GUESS_VALUE = f"{GUESS}$"
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Frequent parts of passwords, commonest first; the rank is the cost.
@@ -52,6 +53,7 @@ def guess_cost(value: str) -> float:
         if a and b and abs(a[0] - b[0]) + abs(a[1] - b[1]) == 1:
             walk[i] = walk[i - 1] + 1
     best = [0.0] * (n + 1)
+    since = [[[] for _ in range(unit)] for unit in range(9)]  # by unit and place: starts from which it repeats
     for end in range(1, n + 1):
         cost = best[end - 1] + 1.0  # brute force: ten guesses a character, as for a digit
         if not value[end - 1].isdigit():
@@ -68,12 +70,25 @@ def guess_cost(value: str) -> float:
                 found.append(math.log10(len(KEY_AT) * size * 4))
             if found:
                 cost = min(cost, best[start] + min(found))
-        for unit in range(1, min(8, end // 2) + 1):  # repeats of a unit, as long as they go back
-            times, at = 1, end - unit
-            while at >= unit and low[at - unit : at] == low[end - unit : end]:
-                times, at = times + 1, at - unit
-                if times >= (3 if unit == 1 else 2):
-                    cost = min(cost, best[at] + unit * math.log10(26) + math.log10(times))
+        for unit in range(1, min(8, end) + 1):  # repeats of a unit, as long as they go back
+            starts = since[unit][end % unit]
+            if low[max(0, end - 2 * unit) : end - unit] != low[end - unit : end]:
+                starts.clear()
+            starts.append(end - unit)
+            least = 3 if unit == 1 else 2
+            # The lead of a later start only shrinks: what is behind an earlier one stays behind, and an earlier one without a lead is done.
+            live = []
+            for s in starts:
+                if live and best[s] >= best[live[-1]] + math.log10((end - live[-1]) / (end - s)):
+                    continue
+                while live and (end - s) // unit >= least and best[live[-1]] >= best[s]:
+                    live.pop()
+                live.append(s)
+            starts[:] = live
+            for s in live:
+                times = (end - s) // unit
+                if times >= least:
+                    cost = min(cost, best[s] + unit * math.log10(26) + math.log10(times))
         best[end] = cost
     return best[n]
 

@@ -145,6 +145,20 @@ def test_guess_spans(spark):
     assert by == {1: ["Zq9!kk2#LmP0x7"], 2: []}
 
 
+def test_guess_spans_of_long_values(spark):
+    key = "".join(np.random.default_rng(3).choice(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789-_."), 200))
+    got = secret_scan.find_secrets(docs_of(spark, [(1, f"Authorization: Bearer {key} ok", "a"), (2, f"login={key}", "a")])).collect()
+    assert [("guess", key) in [(s["kind"], s["value"]) for s in r["spans"]] for r in got] == [True, True]
+
+
+def test_guess_cost_of_long_repeats():
+    g = np.random.default_rng(4)
+    for _ in range(150):
+        v = "".join("".join(g.choice(list("ab1"), int(g.integers(1, 4)))) * int(g.integers(1, 6)) for _ in range(4))
+        assert secret_scan.guess_cost(v) == pytest.approx(brute_cost(v)), v
+    assert secret_scan.guess_cost("a" * 30000) == pytest.approx(math.log10(26) + math.log10(30000))
+
+
 # --- similarity join and exact copies --------------------------------------------------------------
 
 
