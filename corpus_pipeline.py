@@ -1,12 +1,11 @@
 """Corpus pipeline: quality classifier, near duplicates, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all that the stage before
-kept. All but the last return the columns of ``docs``, so further columns travel along. A null id
-cannot be told from another null id: such documents pass the stages that decide by id (2 and 3, whole
-and once) and are judged by their text elsewhere.
+kept. All but the last return the columns of ``docs``, so further columns travel along. Stages 2 and 4
+decide row by row, by a key of their own: rows that share an id, or have none, are documents of their own.
 """
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointlore.llm.common import stage, table
@@ -16,6 +15,8 @@ from pointlore.llm.mixing import mix_sources
 from pointlore.llm.quality import fit_on, score_column
 from pointlore.llm.sharding import shard_documents
 
+KEY = "__pipeline_key"
+
 
 def quality(spark, docs: DataFrame, sf_dir: str, threshold: float = 0.7) -> DataFrame:
     """Keep documents that the classifier accepts."""
@@ -23,14 +24,18 @@ def quality(spark, docs: DataFrame, sf_dir: str, threshold: float = 0.7) -> Data
     return docs.filter(score(F.col("text").cast("string")) >= threshold)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Rows with a key each, written so that the key stays."""
+    return stage(docs.withColumn(KEY, F.monotonically_increasing_id()), "pipeline-keyed")
+
+
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates: the one with the least id, once."""
-    heads = jaccard_join(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi").select(*docs.columns)
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    once = W.partitionBy("doc_id").orderBy("text", F.to_json(F.struct(*rest)) if rest else F.lit(""))
-    kept = kept.withColumn("__pipeline_nth", F.row_number().over(once)).filter("__pipeline_nth = 1").drop("__pipeline_nth")
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """Keep one row of each group of near duplicates: the one with the least id; a null id comes last."""
+    rows = keyed(docs)
+    classes = jaccard_join(rows, id_col=KEY).select(KEY, "class_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), KEY)
+    heads = rows.select(KEY, order.alias("o")).join(classes, KEY).groupBy("class_id").agg(F.min("o").alias("o")).select(F.col(f"o.{KEY}").alias(KEY))
+    return rows.join(heads, KEY, "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +46,11 @@ def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat each document as often as the mix takes it; a part of at least half a document counts as one."""
-    taken = mix_sources(docs)
+    rows = keyed(docs)
+    taken = mix_sources(rows, row=KEY)
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    times = taken.filter("doc_id is not null").groupBy("doc_id").agg(F.max(copies).alias("__pipeline_copies")).filter("__pipeline_copies > 0")
-    repeated = docs.join(times, "doc_id").withColumn("__pipeline_nth", F.explode(F.sequence(F.lit(1), "__pipeline_copies"))).select(*docs.columns)
-    return repeated.unionByName(docs.filter("doc_id is null"))
+    times = taken.select(KEY, copies.alias("__pipeline_copies")).filter("__pipeline_copies > 0")
+    return rows.join(times, KEY).withColumn("__pipeline_nth", F.explode(F.sequence(F.lit(1), "__pipeline_copies"))).select(*docs.columns)
 
 
 def shard(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,23 +51,29 @@ def mix_sources(
     cap: int = 3,
     seed: str = "mix",
     columns: tuple[str, str, str] = ("doc_id", "source", "text"),
+    row: str | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
+    """One row per document: doc_id, size, source_size, target, taken.
+
+    ``row``: a column that tells rows apart; it is kept, breaks ties and is the seed of rows without an id.
+    """
+    own = [row] if row else []
     doc_id, source, text = (F.col(c) for c in columns)
     text = F.coalesce(text.cast("string"), F.lit(""))
-    read = docs.select(doc_id.alias("doc_id"), source.cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), text.alias("text"))
-    sized = stage(read.select("doc_id", "source", "size", (-F.log(uniform("doc_id", seed=seed)) / quality_weight(F.col("text"), F.col("size"))).alias("key")), "mix-sizes")
+    read = docs.select(*own, doc_id.alias("doc_id"), source.cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), text.alias("text"))
+    seeded = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row"), F.col(row).cast("string"))) if row else F.col("doc_id")
+    sized = stage(read.select(*own, "doc_id", "source", "size", (-F.log(uniform(seeded, seed=seed)) / quality_weight(F.col("text"), F.col("size"))).alias("key")), "mix-sizes")
     targets = source_targets(sized, weights, cap)
     known = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     # As many buckets in a source as rows in a bucket: neither the windows nor the offsets grow with the source alone.
     share = F.ceil(F.sqrt(F.col("n_rows").cast("double")))
     bucket = F.floor(share * (1.0 - F.exp(-F.col("key")))).cast("long")
-    placed = running_total(known.withColumn("_b", bucket), ["source_no"], "_b", [F.col("key"), F.col("doc_id"), F.col("size")], "size", "_before")
+    placed = running_total(known.withColumn("_b", bucket), ["source_no"], "_b", [F.col("key"), F.col("doc_id"), F.col("size"), *[F.col(c) for c in own]], "size", "_before")
     budget = F.floor("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(0)
     rest = budget - whole * F.col("source_size") - F.col("_before")
     taken = whole * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least("size", rest))
-    return placed.select(F.col("doc_id").alias(columns[0]), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select(*own, F.col("doc_id").alias(columns[0]), "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

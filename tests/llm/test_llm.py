@@ -504,3 +504,14 @@ def test_pipeline(spark):
         assert dict(P.STAGES)[name](spark, empty(spark), DATA).count() == 0
 
 
+def test_pipeline_decides_row_by_row(spark):
+    import corpus_pipeline as P
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = docs_of(spark, [(1, a, "s"), (2, a + " end", "s"), (2, b, "s"), (None, c, "s"), (None, c, "s"), (None, b, "s")])
+    got = P.near_duplicates(spark, docs, DATA).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, c), (1, a), (2, b)]
+    none = docs_of(spark, [(None, f"x{i} y z", "st"[i % 3 == 0]) for i in range(60)])
+    taken = P.mix(spark, none, DATA).count()
+    whole = mixing.mix_sources(none).agg({"taken": "sum"}).collect()[0][0]
+    assert abs(taken - whole / 3) <= 2
