@@ -12,9 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees; a temporary one only where the session names none."""
+    """The folder every executor sees. A session that names none gets a temporary one in local mode and an error elsewhere."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -51,41 +53,70 @@ def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[Colum
     )
 
 
-def spans_of(text: Column, pattern: str, valid=None, context: int = 32) -> Column:
-    """Leftmost non-overlapping matches of a Java pattern: array of (s, e, v, b).
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
-    s and e count code points, e is exclusive, v is the matched text and b the last ``context``
-    characters of the stretch before it. ``valid`` keeps a match or drops it, without a retry.
-    Matches come from regexp_extract_all and their places from the lengths of the pieces between
-    them, so everything stays in the JVM.
+def spans_of(text: Column, pattern: str, valid=None, context: int = 32) -> Column:
+    """Leftmost non-overlapping matches of a Java pattern: array of (s, e, v, b, f).
+
+    s and e count code points, e is exclusive, v is the matched text, b the last ``context`` characters
+    before it and f the first ones after it. ``valid`` keeps a match or drops it, without a retry.
+    Matches come from regexp_extract_all and their places from the lengths of the pieces between them,
+    so everything stays in the JVM. Places are added up in stretches of about the square root of the
+    number of matches: within a stretch from its own start, between stretches from their sums. So the
+    work grows with n * sqrt(n) of n matches, not with their square.
     """
-    none = F.expr("cast(array() as array<struct<s:int,e:int,v:string,b:string>>)")
-
-    def add(acc: Column, x: Column) -> Column:
-        s = acc["pos"] + F.length(x["p"])
-        e = s + F.coalesce(F.length(x["v"]), F.lit(0))
-        hit = F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v"), F.right(x["p"], F.lit(context)).alias("b"))
-        keep = x["v"].isNotNull() if valid is None else x["v"].isNotNull() & F.coalesce(valid(x["v"]), F.lit(False))
-        return F.struct(e.alias("pos"), F.when(keep, F.concat(acc["out"], F.array(hit))).otherwise(acc["out"]).alias("out"))
-
-    parts = F.zip_with(
-        F.split(text, pattern, -1),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda p, v: F.struct(p.alias("p"), v.alias("v")),
-    )
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("pos"), none.alias("out")), add, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    none = F.expr("cast(array() as array<struct<s:int,e:int,v:string,b:string,f:string>>)")
+    no_number = F.expr("cast(array() as array<int>)")
+    size = F.lit(context)
 
+    def place(at: Column, x: Column) -> Column:
+        return F.concat(at, F.array(F.coalesce(F.try_element_at(at, F.lit(-1)), F.lit(0)) + x))
 
-def maybe_in(df: DataFrame, key: Column, keys: DataFrame, bits: int = 27) -> DataFrame:
-    """Rows of ``df`` whose long ``key`` may be among the longs of ``keys`` (one column): none of those is missed.
+    def stretches(parts: Column) -> Column:
+        step = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(parts).cast("double"))).cast("int"))
+        return F.transform(F.sequence(F.lit(1), F.size(parts), step), lambda at: F.slice(parts, at, step))
+
+    def ends_in(stretch: Column) -> Column:
+        return F.aggregate(stretch, no_number, lambda at, x: place(at, F.length(x["p"]) + F.length(x["v"])))
+
+    def add_starts(ends: Column) -> Column:
+        before = F.aggregate(ends, no_number, lambda at, x: place(at, F.element_at(x, -1)))
+        return F.flatten(F.transform(ends, lambda x, i: let(F.when(i > 0, F.get(before, i - 1)).otherwise(0), lambda o: F.transform(x, lambda e: e + o))))
+
+    def hits(pieces: Column, found: Column) -> Column:
+        parts = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, v: F.struct(p.alias("p"), v.alias("v")))
+        ends = let(parts, lambda x: let(F.transform(stretches(x), ends_in), add_starts))
 
-    A bitmap of at most 2**bits bits (16 MB) is broadcast; what hits it by chance is for the caller to drop.
+        def hit(x: Column, i: Column) -> Column:
+            near = F.when(F.length(F.get(pieces, i)) < context, F.concat(F.coalesce(F.right(F.get(pieces, i - 1), size), F.lit("")), F.coalesce(F.get(found, i - 1), F.lit("")), F.get(pieces, i)))
+            before = F.right(F.coalesce(near, F.get(pieces, i)), size)
+            return F.struct((x["e"] - F.length(x["v"])).alias("s"), x["e"].alias("e"), x["v"].alias("v"), before.alias("b"), F.left(F.get(pieces, i + 1), size).alias("f"))
+
+        every = F.transform(F.zip_with(found, ends, lambda v, e: F.struct(v.alias("v"), e.alias("e"))), hit)
+        return every if valid is None else F.filter(every, lambda h: F.coalesce(valid(h["v"]), F.lit(False)))
+
+    looked = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, let(F.split(text, pattern, -1), lambda pieces: hits(pieces, found))).otherwise(none))
+    return F.when(text.rlike(pattern), looked).otherwise(none)
+
+
+def probably_in(df: DataFrame, key: Column, keys: DataFrame, out: str, bits: int = 27) -> DataFrame:
+    """``df`` with a boolean ``out``: whether its long ``key`` may be among the longs of ``keys`` (one column).
+
+    No key that is there is missed. A bitmap of at most 2**bits bits (16 MB) is broadcast; what hits it
+    by chance is for the caller to tell apart.
     """
     slots = 1 << max(15, min(bits, (32 * keys.count()).bit_length()))
     place = F.pmod(F.xxhash64(keys.columns[0]), F.lit(slots))
     marks = keys.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bitmap"))
-    probe = df.withColumn("_p", F.pmod(F.xxhash64(key), F.lit(slots))).withColumn("_bucket", F.bitmap_bucket_number("_p")).join(F.broadcast(marks), "_bucket")
+    probe = df.withColumn("_p", F.pmod(F.xxhash64(key), F.lit(slots))).withColumn("_bucket", F.bitmap_bucket_number("_p")).join(F.broadcast(marks), "_bucket", "left")
     byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(bitmap_bit_position(_p) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.getbit(byte, (F.bitmap_bit_position("_p") % 8).cast("int")) == 1
-    return probe.filter(hit).drop("_p", "_bucket", "_bitmap")
+    hit = F.coalesce(F.getbit(byte, (F.bitmap_bit_position("_p") % 8).cast("int")) == 1, F.lit(False))
+    return probe.withColumn(out, hit).drop("_p", "_bucket", "_bitmap")
+
+
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, bits: int = 27) -> DataFrame:
+    """Rows of ``df`` whose long ``key`` may be among the longs of ``keys``: none of those is missed."""
+    return probably_in(df, key, keys, "_hit", bits).filter("_hit").drop("_hit")

@@ -1,10 +1,16 @@
 """Secrets: patterns propose spans, a guess-cost dynamic programme confirms values in credential context.
 
-Three base kinds come from patterns alone. Values that follow a credential word are cut, at minimum
-cost, into dictionary words, dates, repeats, keyboard walks and brute-force stretches; a value whose
-cheapest cut needs at least 10**``min_log10`` guesses is a span of the kind ``guess``; values of 8 characters or
-more are tried, of any length. Patterns run in the JVM;
-only the proposed values go to Python, in Arrow batches.
+Three base kinds come from patterns alone. Values that stand behind a credential word and a separator
+(``:``, ``=``, " is ", " was ", or the blank after "bearer") are cut, at minimum cost, into dictionary
+words, dates, repeats, keyboard walks and brute-force stretches; a value whose cheapest cut needs at
+least 10**``min_log10`` guesses is a span of the kind ``guess``. Values of 8 characters or more are
+tried, of any length: shorter ones cannot reach the least ``min_log10`` that is of use (10).
+
+The dictionary holds the commonest words of the corpus itself, counted over all documents; a word's
+rank is its cost. ``max_words`` (20,000) bounds it, as it goes to every executor. Keyboard walks and
+the number of repeats have no bound; a repeated unit has at most ``UNIT`` (64) characters.
+
+Patterns run in the JVM; only the proposed values go to Python, in Arrow batches.
 
 A null text counts as empty; empty texts and tables give no span; repeated rows are scanned each for
 itself; extra columns are ignored.
@@ -12,7 +18,10 @@ itself; extra columns are ignored.
 
 import math
 import re
+from collections import defaultdict
 
+import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,81 +29,139 @@ from pyspark.sql import functions as F
 from .common import spans_of, table
 
 WORDS_BEFORE = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
-ASSIGN = rf"(?:{WORDS_BEFORE})[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]++"
-ASSIGN_VALUE = rf"^(?:{WORDS_BEFORE})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)$"
+ASSIGN = rf"(?:{WORDS_BEFORE})[\"']?\x20*+[:=]\x20*+[\"']?[A-Za-z0-9+/_.=-]++"
+ASSIGN_VALUE = rf"^(?:{WORDS_BEFORE})[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]+)$"
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
-#: Wider than the base: a credential word, a few joining characters or words, then one value.
+#: Wider than the base: a credential word, a separator, then one value.
 CONTEXT_WORDS = r"pass(?:word|wd|phrase|code)?|pwd|credentials?|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|bearer|login"
-GUESS = rf"(?i)(?<![A-Za-z])(?:{CONTEXT_WORDS})[\"']?(?:\x20(?:is|was|for|key|code)){{0,2}}\x20*[:=]?\x20*[\"']?([A-Za-z0-9+/_.=!@#$%^&*~-]{{8,}}+)"
+SEPARATOR = r"[\"']?(?:\x20(?:key|code|value)){0,2}(?:\x20*+[:=]|\x20++(?:is|was)(?:\x20*+[:=]|(?=\x20)))"
+GUESS = rf"(?i)(?<![A-Za-z])(?:(?:{CONTEXT_WORDS}){SEPARATOR}|bearer(?=\x20))\x20*+[\"']?([A-Za-z0-9+/_.=!@#$%^&*~-]{{8,}}+)"
 GUESS_VALUE = f"{GUESS}$"
 
 KINDS = ("assign", "access", "hex", "guess")
-#: Frequent parts of passwords, commonest first; the rank is the cost.
-COMMON = """password admin welcome login letmein master secret dragon monkey shadow sunshine princess football
-baseball superman batman trustno iloveyou hello freedom whatever qwerty abc user root test guest changeme default
-token key api pass love summer winter spring autumn monday friday january june october company server data dev prod
-the and for with that this from have will your""".split()
-RANK = {w: i + 1 for i, w in enumerate(COMMON)}
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 KEY_AT = {c: (r, i) for r, row in enumerate(KEY_ROWS) for i, c in enumerate(row)}
-DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:(?:19|20)?\d\d)")
-LEET = str.maketrans("@4301!5$7", "aaeoliSst".lower())
-
-
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of ``value`` needs; its parts multiply."""
-    n = len(value)
-    low = value.lower()
-    plain = low.translate(LEET)
-    walk = [1] * n  # characters of the keyboard walk that ends here
-    for i in range(1, n):
-        a, b = KEY_AT.get(low[i - 1]), KEY_AT.get(low[i])
-        if a and b and abs(a[0] - b[0]) + abs(a[1] - b[1]) == 1:
-            walk[i] = walk[i - 1] + 1
-    best = [0.0] * (n + 1)
-    since = [[[] for _ in range(unit)] for unit in range(9)]  # by unit and place: starts from which it repeats
-    for end in range(1, n + 1):
-        cost = best[end - 1] + 1.0  # brute force: ten guesses a character, as for a digit
-        if not value[end - 1].isdigit():
-            cost += math.log10(2.6)
-        for start in range(max(0, end - 24), end - 1):
-            size = end - start
-            part, word = low[start:end], plain[start:end]
-            found = []
-            if word in RANK:
-                found.append(math.log10(RANK[word] + 1) + (part != word) * 0.5 + (part != value[start:end]) * 0.3)
-            if 4 <= size <= 10 and DATE.fullmatch(part):
-                found.append(math.log10(365 * 120) if size > 4 else math.log10(120))
-            if size >= 3 and walk[end - 1] >= size:
-                found.append(math.log10(len(KEY_AT) * size * 4))
-            if found:
-                cost = min(cost, best[start] + min(found))
-        for unit in range(1, min(8, end) + 1):  # repeats of a unit, as long as they go back
-            starts = since[unit][end % unit]
-            if low[max(0, end - 2 * unit) : end - unit] != low[end - unit : end]:
-                starts.clear()
-            starts.append(end - unit)
-            least = 3 if unit == 1 else 2
-            # The lead of a later start only shrinks: what is behind an earlier one stays behind, and an earlier one without a lead is done.
-            live = []
-            for s in starts:
-                if live and best[s] >= best[live[-1]] + math.log10((end - live[-1]) / (end - s)):
-                    continue
-                while live and (end - s) // unit >= least and best[live[-1]] >= best[s]:
-                    live.pop()
-                live.append(s)
-            starts[:] = live
-            for s in live:
-                times = (end - s) // unit
-                if times >= least:
-                    cost = min(cost, best[s] + unit * math.log10(26) + math.log10(times))
-        best[end] = cost
-    return best[n]
-
-
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_log10: float = 10.0) -> DataFrame:
-    """One row per document: its id and an array of spans (start, rank, end, kind, value, log10_guesses), by start and kind."""
+NEXT_KEYS = {a + b for a, p in KEY_AT.items() for b, q in KEY_AT.items() if abs(p[0] - q[0]) + abs(p[1] - q[1]) == 1}
+DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:(?:19|20)?\d\d)", re.ASCII)
+LEET = str.maketrans("@4301!5$7", "aaeolisst")
+UNIT = 64
+LETTER = math.log10(26)
+
+
+def common_words(docs: DataFrame, text_col: str = "text", max_words: int = 20_000) -> list[str]:
+    """The commonest words of 3 to 24 letters (A-Z, case ignored) of all documents, commonest first."""
+    words = docs.select(F.explode(F.split(F.lower(F.col(text_col).cast("string")), "[^a-z]++")).alias("w"))
+    counted = words.filter(F.length("w").between(3, 24)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(max_words).collect()]
+
+
+class Guesser:
+    """Guess costs with a dictionary, commonest word first. The automaton finds all its words in one pass."""
+
+    def __init__(self, words: list[str]):
+        self.rank = {w: i + 1 for i, w in enumerate(words)}
+        self.automaton = ahocorasick.Automaton()
+        for w, i in self.rank.items():
+            self.automaton.add_word(w, (len(w), math.log10(i + 1)))
+        if words:
+            self.automaton.make_automaton()
+
+    def parts(self, value: str) -> dict[int, list[tuple[int, float]]]:
+        """Words and dates of a value: by end, (start, cost)."""
+        low, found = value.lower(), defaultdict(list)
+        plain = low.translate(LEET)
+        for last, (size, cost) in self.automaton.iter(plain) if self.rank else ():
+            a, b = last + 1 - size, last + 1
+            found[b].append((a, cost + (low[a:b] != plain[a:b]) * 0.5 + (low[a:b] != value[a:b]) * 0.3))
+        digit = [c in "0123456789" for c in low]
+        for a in range(len(low) - 3):
+            if digit[a] and (digit[a + 1] or digit[a + 2]):
+                for b in range(a + 4, min(a + 10, len(low)) + 1):
+                    if digit[b - 1] and DATE.fullmatch(low, a, b):
+                        found[b].append((a, math.log10(365 * 120) if b - a > 4 else math.log10(120)))
+        return found
+
+    def cost(self, value: str) -> float:
+        """log10 of the guesses that the cheapest segmentation of ``value`` needs; its parts multiply.
+
+        The time is linear in the length, as ``Leads`` keep the few starts of walks and repeats that can still win.
+        """
+        n, low = len(value), value.lower()
+        found, runs = self.parts(value), repeats(low)
+        best, walk, since, next_run, live_runs = [0.0] * (n + 1), Leads(), 0, 0, []
+        for end in range(1, n + 1):
+            c = value[end - 1]
+            cost = best[end - 1] + (1.0 if "0" <= c <= "9" else 1.0 + math.log10(2.6))  # brute force: ten guesses a digit
+            for start, price in found.get(end, ()):
+                cost = min(cost, best[start] + price)
+            if end > 1 and low[end - 2 : end] not in NEXT_KEYS:
+                walk, since = Leads(), end - 1
+            if end - since >= 3:
+                walk.add(end - 3, best)
+                cost = min(cost, walk.least(end, best) + math.log10(len(KEY_AT) * 4))
+            while next_run < len(runs) and runs[next_run][0] < end:
+                live_runs.append((*runs[next_run], defaultdict(Leads)))
+                next_run += 1
+            if live_runs:
+                live_runs = [r for r in live_runs if r[1] >= end]
+                for a, _, unit, leads in live_runs:
+                    start = end - unit * (3 if unit == 1 else 2)
+                    if start >= a:
+                        lead = leads[end % unit]
+                        lead.add(start, best)
+                        cost = min(cost, lead.least(end, best) + unit * LETTER - math.log10(unit))
+            best[end] = cost
+        return best[n]
+
+
+class Leads:
+    """Starts s that may give the least best[s] + log10(end - s) at this or a later end.
+
+    The lead of a later start only shrinks as the end moves on: what is behind an earlier one stays
+    behind, and an earlier one without a lead is done. So few stay.
+    """
+
+    def __init__(self):
+        self.starts: list[int] = []
+
+    def add(self, start: int, best: list[float]) -> None:
+        while self.starts and best[self.starts[-1]] >= best[start]:
+            self.starts.pop()
+        self.starts.append(start)
+
+    def least(self, end: int, best: list[float]) -> float:
+        kept, low = [], math.inf
+        for s in self.starts:
+            now = best[s] + math.log10(end - s)
+            if now < low:
+                kept.append(s)
+                low = now
+        self.starts = kept
+        return low
+
+
+def repeats(low: str) -> list[tuple[int, int, int]]:
+    """(start, end, unit) of every longest stretch that repeats a unit of at most UNIT characters: 3 times if of one, else twice."""
+    x, out = np.frombuffer(low.encode("utf-32-le"), np.uint32), []
+    for unit in range(1, min(UNIT, len(x) // 2) + 1):
+        same = np.diff(np.concatenate(([False], x[unit:] == x[:-unit], [False])).view(np.int8))
+        first, last = np.flatnonzero(same == 1), np.flatnonzero(same == -1)
+        for a, b in zip(first, last + unit):
+            if b - a >= max(3, 2 * unit):
+                # A stretch whose unit itself repeats is cheaper by the shorter unit.
+                if not any(unit % d == 0 and (x[a + d : b] == x[a : b - d]).all() for d in range(1, unit // 2 + 1)):
+                    out.append((int(a), int(b), unit))
+    return sorted(out)
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_log10: float = 10.0, words: list[str] | None = None) -> DataFrame:
+    """One row per document: its id and an array of spans (start, rank, end, kind, value, log10_guesses), by start and kind.
+
+    ``words``: a dictionary, commonest first, instead of the commonest words of ``docs``.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common_words(docs, text_col) if words is None else words)
+    made: list[Guesser] = []
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = docs.select(
         F.col(id_col).alias(id_col),
@@ -112,7 +179,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     @F.pandas_udf("array<double>")
     def costs(values: pd.Series) -> pd.Series:
-        return values.map(lambda vs: [guess_cost(v) for v in vs] if vs is not None and len(vs) else [])
+        if not made:
+            made.append(Guesser(shared.value))
+        return values.map(lambda vs: [made[0].cost(v) for v in vs] if vs is not None and len(vs) else [])
 
     none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,value:string,log10_guesses:double>>)")
     span = lambda s, kind, cost: F.struct(s["s"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["e"].alias("end"), F.lit(kind).alias("kind"), s["v"].alias("value"), cost.alias("log10_guesses"))
