@@ -1,5 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score.
 
+Beside the base kinds there are account numbers (kind iban): in one piece, or printed in groups of four
+with blanks between, where each group but the first holds a digit. Context words count within 32
+characters on either side of a span.
+
 All of it is DataFrame functions. A null text counts as empty and gives no span; empty tables give
 empty results; repeated rows are scanned each for itself; further columns of the input are ignored.
 """
@@ -15,7 +19,10 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])"
+IBAN = (
+    r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+"
+    r"|\x20[A-Z0-9]{4}(?:\x20(?=[A-Z]{0,3}[0-9])[A-Z0-9]{4}){1,6}+(?:\x20(?=[A-Z]{0,2}[0-9])[A-Z0-9]{1,3}+)?)(?![A-Za-z0-9])"
+)
 
 IP_PARTS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])){3}$"
 
@@ -44,6 +51,7 @@ def luhn(value: Column) -> Column:
 
 def mod97(value: Column) -> Column:
     """Whether an account number passes the mod-97 check."""
+    value = F.replace(value, F.lit(" "))
     turned = F.split(F.concat(F.substring(value, 5, 40), F.substring(value, 1, 4)), "")
     rest = F.aggregate(
         turned,
@@ -69,9 +77,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     }
 
     def scored(kind: str) -> Column:
-        score = lambda s: F.lit(BASE_SCORE[kind]) + F.when(s["b"].rlike(CONTEXT[kind]), 0.2).otherwise(0.0)
+        score = lambda s: F.lit(BASE_SCORE[kind]) + F.when(s["b"].rlike(CONTEXT[kind]) | s["f"].rlike(CONTEXT[kind]), 0.2).otherwise(0.0)
         one = lambda s: F.struct(F.lit(kind).alias("kind"), s["s"].alias("start"), s["e"].alias("end"), s["v"].alias("value"), score(s).alias("score"))
-        return F.transform(F.coalesce(F.col(f"_{kind}"), F.expr("cast(array() as array<struct<s:int,e:int,v:string,b:string>>)")), one)
+        return F.transform(F.coalesce(F.col(f"_{kind}"), F.expr("cast(array() as array<struct<s:int,e:int,v:string,b:string,f:string>>)")), one)
 
     found = docs.select(F.col(id_col).alias(id_col), *[c.alias(f"_{k}") for k, c in spans.items()])
     return found.select(id_col, F.concat(*[scored(k) for k in KINDS]).alias("spans"))
