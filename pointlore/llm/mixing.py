@@ -65,9 +65,10 @@ def mix_sources(
     sized = stage(read.select(*own, "doc_id", "source", "size", (-F.log(uniform(seeded, seed=seed)) / quality_weight(F.col("text"), F.col("size"))).alias("key")), "mix-sizes")
     targets = source_targets(sized, weights, cap)
     known = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    # As many buckets in a source as rows in a bucket: neither the windows nor the offsets grow with the source alone.
+    # Steps of the key's logarithm: whatever the weights, a unit of it holds at most 1/e of the rows in expectation. With as
+    # many steps a unit as the root of the source's rows, neither the windows nor the offsets grow with the source alone.
     share = F.ceil(F.sqrt(F.col("n_rows").cast("double")))
-    bucket = F.floor(share * (1.0 - F.exp(-F.col("key")))).cast("long")
+    bucket = F.floor(share * F.log(F.col("key"))).cast("long")
     placed = running_total(known.withColumn("_b", bucket), ["source_no"], "_b", [F.col("key"), F.col("doc_id"), F.col("size"), *[F.col(c) for c in own]], "size", "_before")
     budget = F.floor("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(0)
