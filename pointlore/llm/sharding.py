@@ -2,9 +2,10 @@
 
 Documents with equal texts are linked through their text, never pair by pair. Copies of one text are
 interchangeable, so the propagation state is (text, shard, number of copies): a row for every text and
-shard at most, however large a group is. Each round is a Spark join and a window over that state: the
-copies of a text want to move to the shard that holds most of them, and a move is accepted while the
-running sum of the movers stays within what the shard's quota leaves. Texts with one copy are linked
+shard at most, however large a group is. A round is a window over each text's few rows
+and a join with the sums of buckets of movers: the copies of a text want to move to the shard that
+holds most of them, and a move is accepted while the running sum of the movers stays within what the
+shard's quota leaves. Texts with one copy are linked
 to nothing; they fill the shards at the end, so counts differ by one at most. A group that is larger
 than a quota is cut, as is one whose shard is full. Only DataFrame functions are used.
 
@@ -12,6 +13,8 @@ Null texts equal one another and have size 1; null and repeated ids are rows lik
 table gives an empty result; extra columns are ignored.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -95,19 +98,25 @@ def settle(state: DataFrame, single: DataFrame, quota: list[int], buckets: int)
     return stage(kept.unionByName(filled).groupBy("key", "shard").agg(F.sum("n").alias("n")), "shard-places")
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 10, buckets: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null)."""
+def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 10, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null).
+
+    ``buckets`` cut running sums into windows: by default about the root of the number of rows, so that
+    neither a window nor the list of bucket sums grows with the input alone.
+    """
     text = F.col(text_col).cast("string")
     base = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.unhex(F.sha2(F.coalesce(F.concat(F.lit("t"), text), F.lit("")), 256)).alias("key"),
-        # Copies of one text are told apart by salt and order, not by one long window.
-        F.pmod(F.xxhash64(F.col(id_col), F.length(text)), F.lit(buckets)).cast("int").alias("salt"),
         F.pmod(F.hash(F.col(id_col)), F.lit(shards)).alias("shard"),
     )
     base = stage(base, "shard-base")
+    if buckets is None:
+        buckets = max(16, math.isqrt(base.count()))
+    # Copies of one text are told apart by salt and order, not by one long window.
+    base = base.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)).cast("int"))
     parts = stage(base.groupBy("key", "shard", "salt").agg(F.count(F.lit(1)).alias("n")), "shard-parts")
     state = parts.groupBy("key", "shard").agg(F.sum("n").alias("n"))
     linked = F.sum("n").over(W.partitionBy("key")) > 1
