@@ -7,8 +7,9 @@ decompresses one frame.
 
 Of records with equal payloads the one with the largest id is the response and the others revisit it,
 where the payload has at least ``revisit_from`` bytes. A null payload is empty; a null URL is the empty
-URI; rows that repeat the largest id are all responses; a null id stays null and is never referred to
-while its payload has another id. An empty table gives an empty archive. Extra columns are ignored.
+URI; rows that repeat the largest id are all responses, and rows that repeat an id write records of one
+record id; a null id stays null and is never referred to while its payload has another id. An empty
+table gives an empty archive. Extra columns are ignored.
 """
 
 import base64
@@ -24,10 +25,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import maybe_in, probably_in, shared_dir, stage, table
 
 SKIPPABLE, SEEK_SKIPPABLE, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, b"\xb1\xea\x92\x8f"
-#: The text writer ends each file with this "line separator": the last bytes of the seek table.
+#: Spark has no sink for plain binary files. A bundle is the one line of a text file in ISO-8859-1, which the writer copies byte
+#: by byte, and the last bytes of its seek table are the "line separator" that ends each file. Tests read the bytes back.
 SEEK_MAGIC_LATIN1 = SEEK_MAGIC.decode("latin-1")
 
 
@@ -124,10 +126,22 @@ def write_archives(
     rid, url, body = (F.col(c) for c in columns)
     payload = F.coalesce(body.cast("string").cast("binary"), F.lit(b""))
     rows = pages.select(rid.cast("long").alias("rid"), url.cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha"), F.octet_length(payload).alias("n"))
-    heads = rows.groupBy("sha", "n").agg(F.max("rid").alias("head"), F.count(F.lit(1)).alias("copies"))
-    known = rows.join(heads, ["sha", "n"])
-    revisit = (F.col("n") >= revisit_from) & F.col("head").isNotNull() & ~F.col("rid").eqNullSafe(F.col("head"))
-    ready = known.select("rid", "url", "sha", "n", F.when(revisit, F.col("head")).alias("head"), F.when(~revisit, F.col("payload")).alias("payload"))
+    digests = stage(rows.select("rid", "sha", "n"), "warc-digests")
+    heads = digests.filter(F.col("n") >= revisit_from).groupBy("sha", "n").agg(F.max("rid").alias("head"), F.count(F.lit(1)).alias("copies"))
+    heads = stage(heads.filter("copies > 1 and head is not null").select("sha", "n", "head"), "warc-heads")
+    # Only rows whose payload probably occurs twice are joined with the heads, and of those only rows that may be a response
+    # carry their payload along: the largest id of each payload, rows without an id and payloads below ``revisit_from``.
+    key, own = F.xxhash64("sha", "n"), F.xxhash64("sha", "n", "rid")
+    twice = heads.select(key.alias("k"))
+    largest = maybe_in(digests, key, twice).groupBy("sha", "n").agg(F.max("rid").alias("rid")).select(own.alias("k"))
+    seen = probably_in(rows, key, twice, "twice")
+    alone = seen.filter("not twice").select("rid", "url", "sha", "n", F.lit(None).cast("long").alias("head"), "payload")
+    held = probably_in(seen.filter("twice"), own, largest, "first")
+    carried = F.when(F.col("first") | F.col("rid").isNull() | (F.col("n") < revisit_from), F.col("payload"))
+    known = held.select("rid", "url", "sha", "n", carried.alias("payload")).join(heads, ["sha", "n"], "left")
+    revisit = F.col("head").isNotNull() & ~F.col("rid").eqNullSafe(F.col("head"))
+    copies = known.select("rid", "url", "sha", "n", F.when(revisit, F.col("head")).alias("head"), F.when(~revisit, F.col("payload")).alias("payload"))
+    ready = alone.unionByName(copies)
 
     def pack(batches):
         bundle = Bundle(frame_bytes, level)
