@@ -8,7 +8,8 @@ any length, in blocks.
 The model is fitted on the driver on a bounded sample of labelled rows (``max_train`` documents of at
 most ``max_train_bytes`` bytes each, by hash order); scoring is an Arrow UDF in the tasks. Labels,
 language, source and ids are not inputs of a score. Null and empty texts score as the empty byte
-string; without usable labels every score is 1. Repeated rows score alike; extra columns are ignored.
+string; without usable labels every score is 1. Of a labelled id with several texts the least one is
+learned from; repeated rows score alike; extra columns are ignored.
 """
 
 from dataclasses import dataclass
@@ -168,8 +169,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train
     usable = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).filter(F.col("_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("_id"))
     chosen = usable.groupBy("_id").agg(F.max("y").alias("y")).orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(max_train)
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").cast("binary").alias("body")).filter(F.octet_length("body") <= max_train_bytes)
-    rows = texts.join(F.broadcast(chosen), "_id").collect()  # bounded by max_train and max_train_bytes
-    rows.sort(key=lambda r: (r["_id"], r["body"]))
+    # Of an id with several texts one is learned from, so what comes here is bounded by max_train texts of max_train_bytes.
+    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "y").agg(F.min("body").alias("body")).collect()
+    rows.sort(key=lambda r: r["_id"])
     return fit([bytes(r["body"]) for r in rows], np.array([r["y"] for r in rows]))
 
 
