@@ -486,20 +486,33 @@ def brute_hits(text, items, k=10):
             if tuple(w[i : i + n]) in wins:
                 hit.update(range(i, i + n))
                 found.add(item)
-    return len(w), len(hit), sorted(found)
+    return len(w), len(hit), sorted(found - {None})
 
 
-def test_contamination(spark):
-    items = [("a", "one two three four five six seven eight nine ten eleven"), ("b", "two three"), ("c", ""), ("d", None), ("e", "spaces tabs"), ("b", "nine ten eleven")]
-    got = decontaminate.find_contamination(nasty(spark), spark.createDataFrame(items, "item_id string, text string")).collect()
+@pytest.mark.parametrize("part_windows", [200_000, 3])
+def test_contamination(spark, part_windows):
+    items = [("a", "one two three four five six seven eight nine ten eleven"), ("b", "two three"), ("c", ""), ("d", None), ("e", "spaces tabs"), ("b", "nine ten eleven"), (None, "odd spaces"), (None, "two three")]
+    table = spark.createDataFrame([(i, t, 9, 8) for i, t in items], "item_id string, text string, doc_id int, n_words int")
+    got = decontaminate.find_contamination(nasty(spark), table, part_windows=part_windows).collect()
     left = collections.Counter((i, *map(str, brute_hits(t, items))) for i, t in NASTY)
     for r in got:
         left[r["doc_id"], str(r["n_words"]), str(r["n_hit"]), str(r["items"])] -= 1
         if r["doc_id"] == 17:
             assert NASTY[17][1][r["spans"][0]["start"] : r["spans"][-1]["end"]].startswith("One, two! THREE")
     assert not +left and not -left
+    clean = decontaminate.drop_contaminated(nasty(spark), table, part_windows=part_windows)
+    assert clean.columns == nasty(spark).columns
+    assert collections.Counter(r["doc_id"] for r in clean.collect()) == collections.Counter(i for i, t in NASTY if not brute_hits(t, items)[1])
     none = decontaminate.find_contamination(nasty(spark), spark.createDataFrame([], "item_id string, text string"))
     assert none.filter("n_hit > 0").count() == 0 and none.count() == len(NASTY)
+    assert decontaminate.find_contamination(empty(spark), table, part_windows=part_windows).count() == 0
+
+
+def test_contamination_of_a_long_text(spark):
+    items = [("a", " ".join(f"w{i}" for i in range(12)))]
+    text = "filler " * 150_000 + items[0][1] + " end" * 1000
+    got = decontaminate.find_contamination(docs_of(spark, [(1, text, "s")]), spark.createDataFrame(items, "item_id string, text string")).first()
+    assert (got["n_hit"], got["items"], text[got["spans"][0]["start"] : got["spans"][0]["end"]]) == (12, ["a"], items[0][1])
 
 
 # --- scores ------------------------------------------------------------------------------------------
