@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointlore.llm.common import stage, table
-from pointlore.llm.decontaminate import benchmark_matcher
+from pointlore.llm.decontaminate import drop_contaminated
 from pointlore.llm.jaccard_join import jaccard_join
 from pointlore.llm.mixing import mix_sources
 from pointlore.llm.quality import fit_on, score_column
@@ -40,8 +40,7 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item."""
-    match = benchmark_matcher(table(spark, sf_dir, "benchmark"))
-    return docs.filter(match(F.col("text").cast("string"))["n_hit"] == 0)
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
