@@ -518,8 +518,9 @@ def test_contamination_of_a_long_text(spark):
 # --- scores ------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("order,chars", [(1, 10**6), (2, 200), (3, 1500)])
-def test_lm_scores(spark, order, chars):
+@pytest.mark.parametrize("order,chars,keys", [(1, 10**6, 10**6), (2, 200, 40), (3, 1500, 10**6), (3, 300, 25), (4, 400, 200)])
+def test_lm_scores(spark, order, chars, keys):
+    """Few ``keys`` make groups of blocks exchange their lists over several levels."""
     rows = NASTY[:17] + [(100 + k, f"a b c{k % 4} d{k % 3} e") for k in range(40)]
     tok = [re.findall(r"[^ \t-\r]+", (t or "").translate(LOWER)) + ["</s>"] for _, t in rows]
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
@@ -550,13 +551,49 @@ def test_lm_scores(spark, order, chars):
                     p = (counts[g] + 4.0 * p) / (state + 4.0)
             total += math.log10(p)
         want[i, h, len(w), sum(counts[(x,)] > 0 for x in w), round(base, 6), round(total, 6)] += 1
-    got = lm_score.score_documents(docs_of(spark, [(i, t, "s") for i, t in rows]), order=order, block_chars=chars, blocks_per_owner=2).collect()
+    got = lm_score.score_documents(docs_of(spark, [(i, t, "s") for i, t in rows]), order=order, block_chars=chars, max_keys=keys, fan_bits=2).collect()
     for r in got:
         assert r["train_tokens"] == n
         want[r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)] -= 1
     assert not +want and not -want
 
 
+def test_automaton_reads_long_texts_in_stretches():
+    g = np.random.default_rng(6)
+    tokens, sizes = lm_score.tokens_of([" ".join(g.choice(list("abcdef"), n)) for n in (1, 700, 3, 256, 257, 40)] + [""])
+    vocab, place = np.unique(tokens, return_inverse=True)
+    levels = lm_score.levels_of(vocab, place, sizes, 4)
+    learned = np.arange(len(place)) < 500  # counts of real texts: the contexts of what is seen are seen
+    totals = [np.bincount(x.at[learned & (x.at >= 0)], minlength=len(x.keys)).astype(float) for x in levels]
+    a = lm_score.Automaton(levels, totals, np.cumsum(sizes) - sizes, 500, 7, 2, 2.0)
+    whole = a.walk(sizes, 10**6)
+    assert len(set(a.fail)) > 2 and (whole < 0).all()
+    # A plain reader, one token after the other, over the same states and arcs.
+    arcs = {int(k): (w, t) for k, w, t in zip(a.arc, a.weight, a.to)}
+    want = []
+    for begin, n in zip(np.cumsum(sizes) - sizes, sizes):
+        state = 1
+        for w in place[begin : begin + n]:
+            cost = 0.0
+            while state * a.width + w not in arcs:
+                cost, state = cost + a.penalty[state], a.fail[state]
+            weight, state = arcs[state * a.width + w]
+            want.append(cost + weight)
+    np.testing.assert_allclose(whole, want)
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 256])
+def test_automaton_stretches_agree(stretch):
+    g = np.random.default_rng(7)
+    tokens, sizes = lm_score.tokens_of([" ".join(g.choice(list("abcdef"), n)) for n in (1, 700, 3, 256, 257, 40)])
+    vocab, place = np.unique(tokens, return_inverse=True)
+    levels = lm_score.levels_of(vocab, place, sizes, 3)
+    learned = np.arange(len(place)) < 500
+    totals = [np.bincount(x.at[learned & (x.at >= 0)], minlength=len(x.keys)).astype(float) for x in levels]
+    a = lm_score.Automaton(levels, totals, np.cumsum(sizes) - sizes, 500, 7, 2, 4.0)
+    np.testing.assert_allclose(a.walk(sizes, stretch), a.walk(sizes, 10**6))
+
+
 def test_lm_empty(spark):
     assert lm_score.score_documents(empty(spark)).count() == 0
 
