@@ -134,7 +134,7 @@ def exchange(lists: DataFrame, n_keys: int, bits: int, max_keys: int, fan_bits:
     groups adds its lists up, cuts them ``fan_bits`` finer and asks in turn.
     """
     groups = -(-n_keys // (max_keys << bits))
-    if groups == 1 or bits + fan_bits > 40:
+    if groups <= 1 or bits + fan_bits > 40:
         return lists.repartition(max(1, 3 << bits), "range").groupBy("range").applyInPandas(answer, ANSWERS)
     mine = stage(lists.withColumn("group", F.pmod(F.xxhash64("sender"), F.lit(groups))), "lm-lists")
 
