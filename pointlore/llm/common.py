@@ -53,6 +53,19 @@ def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[Colum
     )
 
 
+def with_groups(df: DataFrame, groups: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """Left join of rows with their groups; ``weight`` tells how many of the ``total`` rows a group has, and is dropped.
+
+    Groups of more than a 10,000th of the rows are fewer than 10,000: those are broadcast, so their rows stay where they are. No
+    key of the shuffled join that is left has more rows than that.
+    """
+    hot = F.col(weight) * 10_000 > total
+    large, small = groups.filter(hot).drop(weight), groups.filter(~hot).drop(weight)
+    there = df.join(F.broadcast(large.withColumn("_there", F.lit(True))), on, "left")
+    rest = df.join(F.broadcast(large.select(*on)), on, "left_anti").join(small, on, "left")
+    return there.filter("_there").drop("_there").unionByName(rest)
+
+
 def let(value: Column, use) -> Column:
     """``use`` of a value that is computed once, however often ``use`` names it."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -1,13 +1,13 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Each step is a minimum per node (combined before the shuffle) and a join; every round is written to the shared folder.
-A node of any degree stays spread over tasks, and no step makes more edges than it read.
+The edges of a node of any degree stay spread over tasks, and no step makes more edges than it read.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, with_groups
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,11 +15,11 @@ def components(edges: DataFrame) -> DataFrame:
     e = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")), "cc-least")
+        large = with_groups(both, least, ["a"], "n", 2 * e.count()).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = stage(large, "cc-large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("x"), F.col("a").alias("y"), "m")
+        low = stage(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "cc-low")
+        small = with_groups(large, low, ["a"], "n", large.count()).select(F.col("b").alias("x"), F.col("a").alias("y"), "m")
         ends = F.array(F.struct(F.col("x").alias("a"), F.col("m").alias("b")), F.struct(F.col("y").alias("a"), F.col("m").alias("b")))
         e = stage(small.select(F.explode(ends).alias("p")).select("p.a", "p.b").filter("a <> b").distinct(), "cc-small")
         # Done when the edges are stars: each leaf has one root, and no root is a leaf.

@@ -4,11 +4,12 @@ A document is the set of its five-word shingles; documents with equal sets are o
 start. Each set is embedded in 128 tokens (the least shingle under each of 128 hashes). A run splits
 all sets on sampled tokens: sets that share the token at a coordinate go to the same child, and every
 node samples 1/similarity coordinates in expectation, so that a pair above the threshold survives in
-expectation at every depth. After the first splits, a bucket that is small is compared by brute force; a large one is split
-further down to a fixed depth, and what still shares every sampled token is compared in pairs of blocks.
-Runs repeat until a pair at the threshold is missed with chance ``miss`` at most. Found pairs only connect sets to
-cells; inside a cell the exact sets are compared block by block, so every link is exact, is counted at
-both ends, and no list of pairs is ever made.
+expectation at every depth. From the third split on buckets are looked at: a small one is compared by
+brute force; in a large one every set is compared with one pivot, and the bucket splits on unless all its
+sets are close to it. At full depth the sets that are not close to the pivot meet the bucket in blocks.
+Runs repeat until a pair at the threshold is missed with chance ``miss`` at most. Found pairs only connect
+sets to cells. Inside a cell the exact sets decide, each by its difference from the cell's pivot, so
+every link is exact, is counted at both ends, and no list of pairs is ever made.
 
 Documents with fewer than five words are one shingle of all their words; empty and null texts have
 none and are linked to nothing. The class is the least doc_id of the connected documents; a null id is
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_in, stage, table
+from .common import maybe_in, stage, table, with_groups
 from .components import components
 from .hashing import mix, windows, word_hashes
 
@@ -102,38 +103,43 @@ def forest(close: np.ndarray) -> np.ndarray:
         root = new
 
 
+def close(same: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether a share ``same`` of equal coordinates and sizes n and m allow the threshold. Estimates of small sets get more room."""
+    least, most = np.minimum(n, m), np.maximum(n, m)
+    need = np.where(least >= 256, similarity - 0.16, np.where(least >= 64, similarity - 0.3, similarity - 0.6))
+    return (same >= need) & (least >= similarity * most - 1e-9)
+
+
 def sketch_links(sketch: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
-    """Pairs whose embedded similarity allows the threshold. Small sets fill few ranges, so their estimate gets more room."""
+    """Pairs whose embedded similarity allows the threshold."""
     m = len(sketch)
     same = np.empty((m, m), np.float32)
     for a in range(0, m, 32):
         same[a : a + 32] = (sketch[a : a + 32, None] == sketch[None]).mean(2, dtype=np.float32)
-    least, most = np.minimum(n[:, None], n[None]), np.maximum(n[:, None], n[None])
-    need = np.where(least >= 256, similarity - 0.16, np.where(least >= 64, similarity - 0.3, similarity - 0.6))
-    return (same >= need) & (least >= similarity * most - 1e-9)
-
-
-def exact_links(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Pairs whose Jaccard similarity is at least ``similarity``; only shingles of two sets or more are laid out, in stretches."""
-    m, sizes = len(sets), np.array([len(s) for s in sets])
-    every = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), sizes)
-    order = np.argsort(every, kind="stable")
-    every, owner = every[order], owner[order]
-    new = np.concatenate(([True], every[1:] != every[:-1]))
-    column = np.cumsum(new) - 1
-    often = np.bincount(column) > 1
-    keep = often[column]
-    owner, column = owner[keep], (np.cumsum(often) - 1)[column[keep]]
-    shared = np.zeros((m, m), np.float64)
-    n_columns = int(often.sum())
-    for a in range(0, n_columns, 8192):
-        lo, hi = np.searchsorted(column, (a, a + 8192))
-        block = np.zeros((m, min(8192, n_columns - a)), np.float32)
-        block[owner[lo:hi], column[lo:hi] - a] = 1
-        shared += block @ block.T
-    union = sizes[:, None] + sizes[None] - shared
-    return (shared >= similarity * union - 1e-9) & (shared > 0)
+    return close(same, n[:, None], n[None], similarity)
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Number of common elements of every a with every b; only elements of both sides are laid out, in stretches."""
+    out = np.zeros((len(a), len(b)), np.float64)
+    left, right = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (a, b))
+    both = np.intersect1d(left, right)
+    rows = [np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (a, b)]
+    if not len(both):
+        return out
+    at = [np.searchsorted(both, v) for v in (left, right)]
+    for k, v in enumerate((left, right)):
+        keep = both[np.minimum(at[k], len(both) - 1)] == v
+        rows[k], at[k] = rows[k][keep], at[k][keep]
+    for lo in range(0, len(both), 4096):
+        block = []
+        for k, m in enumerate((len(a), len(b))):
+            inside = (at[k] >= lo) & (at[k] < lo + 4096)
+            x = np.zeros((m, min(4096, len(both) - lo)), np.float32)
+            x[rows[k][inside], at[k][inside] - lo] = 1
+            block.append(x)
+        out += block[0] @ block[1].T
+    return out
 
 
 def jaccard_join(
@@ -141,40 +147,70 @@ def jaccard_join(
     similarity: float = 0.8,
     shingle: int = 5,
     leaf: int = 64,
-    depth: int = 3,
+    depth: int = 5,
     first_look: int = 3,
     miss: float = 1e-4,
     block: int = 512,
+    block_bytes: int = 32 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
+    trace: list | None = None,
 ) -> DataFrame:
-    """One row per document: id, class_id, n_links (other documents at ``similarity`` or more), n_shingles."""
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """One row per document: id, class_id, n_links (other documents at ``similarity`` or more), n_shingles.
+
+    Buckets of at most ``leaf`` sets are compared by brute force, larger ones split on, down to ``depth``. A group of the exact
+    comparison holds about ``block`` sets or ``block_bytes`` bytes. ``trace`` gathers (level, small, large, open) buckets.
+    """
+    kind = docs.schema[id_col].dataType
+    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def embedded(batches):
         for pdf in batches:
-            ids, texts = pdf["doc_id"].astype("Int64"), pdf["text"].tolist()
+            ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
             for a in range(0, len(texts), 500):
                 sets = shingle_sets(texts[a : a + 500], shingle)
                 yield pd.DataFrame({
-                    "doc_id": ids.iloc[a : a + 500].array, "n": [len(s) for s in sets],
+                    "doc_id": ids[a : a + 500], "n": [len(s) for s in sets],
                     "node": [fingerprint(s) if len(s) else None for s in sets],  # a set; its first half, nid, stands for it in the search
                     "sketch": [embed(s) if len(s) else None for s in sets],
                 })
 
-    members = stage(read.mapInPandas(embedded, "doc_id long, n long, node binary, sketch binary"), "join-members")
+    told = read.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(embedded, "doc_id string, n long, node binary, sketch binary")
+    members = stage(told.withColumn("doc_id", F.col("doc_id").cast(kind)), "join-members")
     nodes = members.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies"), F.any_value("sketch").alias("sketch"))
     nodes = stage(nodes.withColumn("nid", F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long")), "join-nodes")
-    runs = runs_for(similarity, depth, miss)
+    edges = stage(find_pairs(nodes.select("nid", "n", "sketch"), similarity, leaf, depth, first_look, miss, block, trace), "join-edges")
+    cells = stage(components(edges).withColumnRenamed("node", "nid"), "join-cells")
+
+    # Exact sets of the sets in cells, each from the text of one document. A cell's pivot is the set with the most edges.
+    degree = edges.select(F.explode(F.array("a", "b")).alias("nid")).groupBy("nid").agg(F.count(F.lit(1)).alias("degree"))
+    wanted = stage(cells.join(nodes.select("nid", "n", "node", "head", "copies"), "nid").join(degree, "nid"), "join-wanted")
+    shape = wanted.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("items"), F.max_by("nid", F.struct("degree", "nid")).alias("pivot"))
+    parts = F.greatest(F.ceil(F.col("m") / F.lit(block)), F.ceil(F.col("items") * 8 / F.lit(block_bytes))).cast("int")
+    placed = with_groups(wanted, shape.select("root", "pivot", parts.alias("parts"), "m"), ["root"], "m", wanted.count()).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    texts = maybe_in(read, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), wanted.select(F.xxhash64(F.coalesce(F.col("head").cast("string"), F.lit(""))).alias("h"))).select("text")
+
+    def full_sets(batches):
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            for a in range(0, len(texts), 500):
+                sets = [s for s in shingle_sets(texts[a : a + 500], shingle) if len(s)]
+                yield pd.DataFrame({"node": [fingerprint(s) for s in sets], "items": [s.tobytes() for s in sets]})
 
-    with_sketch = nodes.select("nid", "n", "sketch")
+    sets = texts.mapInPandas(full_sets, "node binary, items binary")
+    full = stage(sets.join(placed, "node").groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("items", "root", "copies", "parts", "own", "nid", "pivot")]), "join-sets")
+    groups = stage(exact_classes(full, similarity, block, block_bytes), "join-classes")
+    every = nodes.select("node", "head", "copies").join(groups, "node", "left").select("node", "head", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class", "node").alias("class"))
+    every = stage(every, "join-groups")
+    heads = stage(every.groupBy("class").agg(F.min("head").alias("class_id"), F.count(F.lit(1)).alias("m")), "join-heads")
+    classes = with_groups(every, heads, ["class"], "m", every.count())
+    classes = stage(classes.select("node", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "copies"), "join-told")
+    out = with_groups(members.select("doc_id", "n", "node"), classes, ["node"], "copies", members.count())
+    return out.select(F.col("doc_id").alias(id_col), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n").alias("n_shingles"))
 
-    def descend(sketch: np.ndarray, path: np.ndarray, levels: range) -> tuple[np.ndarray, np.ndarray]:
-        rows = np.arange(len(path))
-        for level in levels:
-            step, path = children(path, sketch[rows], level, similarity)
-            rows = rows[step]
-        return rows, path
+
+def find_pairs(nodes: DataFrame, similarity: float, leaf: int, depth: int, first_look: int, miss: float, block: int, trace: list | None) -> DataFrame:
+    """Edges (a, b) between sets that are probably similar. nodes: nid, n, sketch."""
 
     def splitter(start: range | None, levels: range):
         """Rows (nid, path) after ``levels`` more splits; a path tells what a row shares so far. ``start``: runs that begin here."""
@@ -183,29 +219,46 @@ def jaccard_join(
             for pdf in batches:
                 sketch, nid = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, COORDS), pdf["nid"].to_numpy()
                 roots = [np.full(len(pdf), mix(np.array([r + 1], np.uint64))[0]) for r in start] if start else [pdf["path"].to_numpy(np.int64).view(np.uint64)]
-                for root in roots:
-                    rows, path = descend(sketch, root, levels)
+                for path in roots:
+                    rows = np.arange(len(pdf))
+                    for level in levels:
+                        step, path = children(path, sketch[rows], level, similarity)
+                        rows = rows[step]
                     yield pd.DataFrame({"nid": nid[rows], "path": path.view(np.int64)})
 
         return split
 
+    def sketches(column: pd.Series) -> np.ndarray:
+        return np.frombuffer(b"".join(column), np.uint16).reshape(-1, COORDS)
+
     def compare(batches):
+        """Brute force inside small buckets."""
         for pdf in batches:
             a, b = [], []
             for bucket in pdf["bucket"]:
                 bucket = sorted(bucket, key=lambda x: x["nid"])
-                sketch = np.frombuffer(b"".join(x["sketch"] for x in bucket), np.uint16).reshape(-1, COORDS)
-                root = forest(sketch_links(sketch, np.array([x["n"] for x in bucket]), similarity))
+                root = forest(sketch_links(sketches([x["sketch"] for x in bucket]), np.array([x["n"] for x in bucket]), similarity))
                 for i in np.flatnonzero(root != np.arange(len(root))):
                     a.append(bucket[i]["nid"])
                     b.append(bucket[root[i]]["nid"])
             yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    def search(these: range, known: DataFrame | None) -> DataFrame:
-        """Edges (a, b) that the runs find. A bucket whose sets are all connected already tells nothing new and is left out."""
+    def star(batches):
+        """Whether each set of a large bucket is close to the bucket's pivot."""
+        for pdf in batches:
+            same = (sketches(pdf["sketch"]) == sketches(pdf["pivot_sketch"])).mean(1, dtype=np.float32)
+            yield pdf[["path", "nid", "m", "pivot"]].assign(near=close(same, pdf["n"].to_numpy(), pdf["pivot_n"].to_numpy(), similarity) | (pdf["nid"] == pdf["pivot"]).to_numpy())
+
+    def with_sketch(rows: DataFrame) -> DataFrame:
+        """Only the sketches of sets in open buckets move."""
+        return rows.join(maybe_in(nodes, F.col("nid"), rows.select("nid").distinct()), "nid")
+
+    entry = F.struct("nid", "n", "sketch")
+
+    def search(these: range, known: DataFrame | None) -> list[DataFrame]:
+        """Edges that the runs find. A bucket whose sets are all connected already tells nothing new and is left out."""
         # The first splits need no look at the buckets: a pair must share them all in any case.
-        rows = nodes.select("nid", "sketch").mapInPandas(splitter(these, range(first_look)), "nid long, path long")
-        leaves = large = None
+        rows, edges = nodes.select("nid", "sketch").mapInPandas(splitter(these, range(first_look)), "nid long, path long"), []
         for level in range(first_look, depth + 1):
             rows = stage(rows, f"join-level-{level}")
             sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
@@ -215,67 +268,130 @@ def jaccard_join(
             # Runs often find the same bucket again; one of each is enough.
             once = told.groupBy("m", "g1", "g2", "xor").agg(F.min("path").alias("path")).select("path")
             inside = stage(hit.join(once, "path"), f"join-buckets-{level}")
-            small = inside.filter(F.col("m") <= leaf).select("path", "nid")
-            leaves = small if leaves is None else leaves.unionByName(small)
-            large = inside.filter(F.col("m") > leaf)
+            small, large = inside.filter(F.col("m") <= leaf), inside.filter(F.col("m") > leaf)
+            bucket = with_sketch(small).groupBy("path").agg(F.collect_list(entry).alias("bucket")).select("bucket")  # at most ``leaf`` entries
+            edges.append(stage(bucket.mapInPandas(compare, "a long, b long").distinct(), f"join-small-{level}"))
+            # In a large bucket every set is compared with one pivot; a bucket that is close to its pivot as a whole is done.
+            # Salted by the bucket's size, as all sets of a bucket meet its pivot.
+            salts = F.ceil(F.col("m") / F.lit(8 * block)).cast("int")
+            pivot = large.groupBy("path", "m").agg(F.min_by("nid", F.xxhash64("nid")).alias("pivot"))
+            pivot = pivot.join(nodes.select(F.col("nid").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch")), "pivot").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("m")
+            salted = with_sketch(large).withColumn("salt", F.pmod(F.xxhash64("nid"), salts).cast("int"))
+            stars = stage(salted.join(pivot, ["path", "salt"]).mapInPandas(star, "path long, nid long, m long, pivot long, near boolean"), f"join-stars-{level}")
+            edges.append(stars.filter("near and nid <> pivot").select(F.col("nid").alias("a"), F.col("pivot").alias("b")).distinct())
+            open_paths = stars.filter("not near").groupBy("path").agg(F.count(F.lit(1)).alias("far"))
+            open_rows = stage(stars.join(open_paths, "path"), f"join-open-{level}")
+            if trace is not None:
+                trace.append((level, small.select("path").distinct().count(), large.select("path").distinct().count(), open_paths.count()))
+            if open_rows.isEmpty():
+                return edges
             if level < depth:
-                rows = large.select("path", "nid").join(nodes.select("nid", "sketch"), "nid").mapInPandas(splitter(None, range(level, level + 1)), "nid long, path long")
-        # Only the sketches of sets in open buckets move.
-        open_sets = leaves.select("nid").unionByName(large.select("nid")).distinct()
-        near = stage(maybe_in(with_sketch, F.col("nid"), open_sets), "join-sketches")
-        entry = F.struct("nid", "n", "sketch")
-        buckets = leaves.join(near, "nid").groupBy("path").agg(F.collect_list(entry).alias("bucket")).select("bucket")  # at most ``leaf`` entries
-        # Large buckets at full depth: pairs of blocks, each of about ``block`` sets.
-        blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
-        own = F.pmod(F.xxhash64("nid"), blocks).cast("int")
-        laid = large.withColumn("nb", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        laid = laid.select("path", "nid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        pairs = laid.join(near, "nid").groupBy("path", "i", "j").agg(F.collect_list(entry).alias("bucket")).select("bucket")
-        return buckets.unionByName(pairs).mapInPandas(compare, "a long, b long").distinct()
+                rows = with_sketch(open_rows.select("path", "nid")).mapInPandas(splitter(None, range(level, level + 1)), "nid long, path long")
+        # What still shares every sampled token at full depth: the sets that are not close to the pivot meet all sets of the bucket, block by block.
+        far_blocks, blocks = F.ceil(F.col("far") / F.lit(block)).cast("int"), F.ceil(F.col("m") / F.lit(block)).cast("int")
+        spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        own = lambda n: F.pmod(F.xxhash64("nid"), n).cast("int")
+        asking = open_rows.filter("not near").select("path", "nid", own(far_blocks).alias("i"), spread(blocks).alias("j"))
+        asked = open_rows.select("path", "nid", spread(far_blocks).alias("i"), own(blocks).alias("j"))
+        pairs = with_sketch(asking.unionByName(asked).distinct()).groupBy("path", "i", "j").agg(F.collect_list(entry).alias("bucket")).select("bucket")
+        return [*edges, pairs.mapInPandas(compare, "a long, b long").distinct()]
+
+    def all_of(found: list[DataFrame]) -> DataFrame:
+        out = found[0]
+        for more in found[1:]:
+            out = out.unionByName(more)
+        return out
 
     # The first runs find most of it; the others then look only at buckets that could still connect something.
+    runs = runs_for(similarity, depth, miss)
     first = min(2, runs)
-    edges = stage(search(range(first), None), "join-edges")
+    edges = stage(all_of(search(range(first), None)), "join-edges")
     if runs > first:
         # One hop is enough to know most of what is connected.
-        hop = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-        edges = edges.unionByName(search(range(first, runs), hop))
-    cells = stage(components(edges).withColumnRenamed("node", "nid"), "join-cells")
+        hop = edges.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("root"))
+        edges = edges.unionByName(all_of(search(range(first, runs), hop)))
+    return edges
 
-    # Exact sets of the sets in cells, each from the text of one document.
-    wanted = stage(cells.join(nodes.select("nid", "node", "head", "copies"), "nid"), "join-wanted")
-    sizes = wanted.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    texts = maybe_in(read, F.coalesce("doc_id", F.lit(-1)), wanted.select(F.coalesce("head", F.lit(-1)).alias("h")))
 
-    def full_sets(batches):
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for a in range(0, len(texts), 500):
-                sets = [s for s in shingle_sets(texts[a : a + 500], shingle) if len(s)]
-                yield pd.DataFrame({"node": [fingerprint(s) for s in sets], "items": [s.tobytes() for s in sets]})
+def exact_classes(full: DataFrame, similarity: float, block: int, block_bytes: int) -> DataFrame:
+    """(node, links, class) of the sets in cells. full: node, items, root (the cell), copies, parts, own, nid, pivot.
 
-    sets = texts.mapInPandas(full_sets, "node binary, items binary")
-    placed = wanted.join(sizes, "root").withColumn("nb", F.ceil(F.col("m") / F.lit(block // 2)).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    full = stage(sets.join(placed, "node").groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("items", "root", "copies", "nb", "own")]), "join-sets")
-    spread = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "copies", "items")
-
-    def verify(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        link = exact_links([np.frombuffer(x, np.uint64) for x in pdf["items"]], similarity)
-        np.fill_diagonal(link, False)
-        own, nodes_in = pdf["own"].to_numpy(), pdf["node"].to_numpy()
-        if key[1] != key[2]:  # pairs inside a block belong to the group of that block alone
-            link &= own[:, None] != own[None]
-        return pd.DataFrame({"node": nodes_in, "links": link @ pdf["copies"].to_numpy(), "root": nodes_in[forest(link)]})
-
-    found = stage(spread.groupBy("root", "i", "j").applyInPandas(verify, "node binary, links long, root binary"), "join-found")
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    groups = nodes.select("node", "head", "copies").join(links, "node", "left").join(joined, "node", "left").select("node", "head", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
-    groups = stage(groups, "join-groups")
-    heads = groups.groupBy("root").agg(F.min("head").alias("class_id"))
-    classes = groups.join(heads, "root").select("node", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    out = members.select("doc_id", "n", "node").join(classes, "node", "left")
-    return out.select(F.col("doc_id").alias(id_col), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n").alias("n_shingles"))
+    With P the pivot's set and x = P without ``lacks`` elements and with ``adds`` others, two sets of a cell have
+    |x & y| = |P| - lacks - lacks' + o and |x | y| = |P| + adds + adds' - o, o being the common elements of their differences
+    from P. So with w = lacks + similarity * adds they are linked when w + w' - (1 + similarity) o <= (1 - similarity) |P|.
+    Without o that is a count of w in order: no pairs. Only sets with w beyond half of the bound can need an o, and
+    only they meet the other sets' differences, block by block.
+    """
+    pivots = full.filter("nid = pivot").select("root", F.col("items").alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("own"))
+
+    def differ(sets: pd.DataFrame, pivot: pd.DataFrame) -> pd.DataFrame:
+        p = np.frombuffer(pivot["p"].iloc[0], np.uint64)
+        rows = []
+        for x in sets["items"]:
+            x = np.frombuffer(x, np.uint64)
+            d = np.setxor1d(x, p, assume_unique=True)
+            adds = (len(d) + len(x) - len(p)) // 2
+            rows.append((len(p), len(d) - adds, adds, d.tobytes()))
+        out = pd.DataFrame(rows, columns=["n_pivot", "lacks", "adds", "diff"])
+        return pd.concat([sets[["root", "node", "copies", "parts", "own", "pivot", "nid"]].reset_index(drop=True), out], axis=1)
+
+    about = "root long, node binary, copies long, parts int, own int, pivot long, nid long, n_pivot long, lacks long, adds long"
+    diffs = stage(full.groupBy("root", "own").cogroup(pivots.groupBy("root", "own")).applyInPandas(differ, f"{about}, diff binary"), "join-diffs")
+
+    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links that need no o, for every (lacks, adds) of a cell."""
+        w = pdf["lacks"].to_numpy() + similarity * pdf["adds"].to_numpy()
+        bound = (1 - similarity) * pdf["n_pivot"].iloc[0] + 1e-9
+        by = np.argsort(w)
+        total = np.concatenate(([0], np.cumsum(pdf["n"].to_numpy()[by])))
+        return pdf[["root", "parts", "lacks", "adds"]].assign(plain=total[np.searchsorted(w[by], bound - w, "right")], itself=2 * w <= bound, far=(2 * w > bound) & (w + w.max() > bound), alone=w > bound)
+
+    counted = diffs.groupBy("root", "parts", "n_pivot", "lacks", "adds").agg(F.sum("copies").alias("n"))
+    ranks = counted.groupBy("root").applyInPandas(rank, "root long, parts int, lacks long, adds long, plain long, itself boolean, far boolean, alone boolean")
+    ranks = ranks.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    known = stage(diffs.join(ranks, ["root", "own", "lacks", "adds"]).withColumn("links", F.col("plain") - F.when(F.col("itself"), F.col("copies")).otherwise(0)), "join-ranks")
+
+    # Far sets and all sets of their cells, in blocks.
+    total = known.count()
+    wide = known.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("diff")).alias("b"), F.count(F.when(F.col("far"), 1)).alias("far_m"), F.sum(F.when(F.col("far"), F.octet_length("diff"))).alias("far_b")).filter("far_m > 0")
+    part = lambda n, b: F.greatest(F.ceil(F.col(n) / F.lit(block)), F.ceil(F.col(b) / F.lit(block_bytes))).cast("int")
+    wide = stage(wide.select("root", part("far_m", "far_b").alias("ni"), part("m", "b").alias("nj"), "m"), "join-wide")
+    laid = with_groups(known, wide, ["root"], "m", total).filter("ni is not null")
+    columns = ["root", "i", "j", "asks", "node", "copies", "far", "n_pivot", "lacks", "adds", "diff"]
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = laid.filter("far").withColumn("i", own("ni")).withColumn("j", spread("nj")).withColumn("asks", F.lit(True)).select(*columns)
+    asked = laid.withColumn("j", own("nj")).withColumn("i", spread("ni")).withColumn("asks", F.lit(False)).select(*columns)
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        f, a = pdf[pdf["asks"]].reset_index(drop=True), pdf[~pdf["asks"]].reset_index(drop=True)
+        if not len(f) or not len(a):
+            return pd.DataFrame({"node": [], "links": [], "to": []})
+        wf, wa = (x["lacks"].to_numpy() + similarity * x["adds"].to_numpy() for x in (f, a))
+        o = overlaps(*[[np.frombuffer(d, np.uint64) for d in x["diff"]] for x in (f, a)])
+        bound, least = (1 - similarity) * pdf["n_pivot"].iloc[0] + 1e-9, wf[:, None] + wa[None]
+        other = f["node"].to_numpy()[:, None] != a["node"].to_numpy()[None]
+        link = (least - (1 + similarity) * o <= bound) & other
+        more = link & (least > bound)
+        square = np.zeros((len(f) + len(a),) * 2, bool)
+        square[: len(f), len(f) :] = link
+        root = forest(square | square.T)
+        node = np.concatenate((f["node"].to_numpy(), a["node"].to_numpy()))
+        # A far set counts all its sets here; a set that is not far counts the far ones.
+        links = np.concatenate((more @ a["copies"].to_numpy(), np.where(a["far"].to_numpy(bool), 0, f["copies"].to_numpy() @ more)))
+        return pd.DataFrame({"node": node, "links": links.astype(np.int64), "to": node[root]})
+
+    met = stage(asking.unionByName(asked).groupBy("root", "i", "j").applyInPandas(meet, "node binary, links long, to binary"), "join-met")
+    more = met.groupBy("node").agg(F.sum("links").alias("more"))
+    sizes = known.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.max(F.when(F.col("nid") == F.col("pivot"), F.col("node"))).alias("pivot_node"))
+    sizes = sizes.join(wide.select("root", F.lit(True).alias("mixed")), "root", "left")
+    near = stage(with_groups(known.select("root", "node", "links", "alone"), stage(sizes, "join-sizes"), ["root"], "m", total), "join-near")
+    # Whatever is linked to the pivot is one class; where far sets are, their links may add to it or connect others.
+    star = near.filter("mixed and not alone and node <> pivot_node").select(F.col("node").alias("a"), F.col("pivot_node").alias("b"))
+    reached = components(star.unionByName(met.filter("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b"))))
+    out = near.join(more, "node", "left").join(reached.withColumnRenamed("root", "reached"), "node", "left")
+    group = F.when(F.col("mixed"), F.coalesce("reached", "node")).otherwise(F.col("pivot_node"))
+    return out.select("node", (F.col("links") + F.coalesce("more", F.lit(0))).alias("links"), group.alias("class"))
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:

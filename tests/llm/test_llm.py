@@ -287,19 +287,69 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("leaf,block", [(64, 512), (3, 6)])
-def test_jaccard_join(spark, leaf, block):
-    rows = near_rows()
+@pytest.mark.parametrize("leaf,block,depth", [(64, 512, 5), (3, 6, 5)])
+def test_jaccard_join(spark, leaf, block, depth):
+    rows, trace = near_rows(), []
     links, classes = brute_join(rows)
-    got = {r["doc_id"]: r for r in jaccard_join.jaccard_join(docs_of(spark, [(i, t, "s") for i, t in rows]), leaf=leaf, block=block).collect()}
+    got = {r["doc_id"]: r for r in jaccard_join.jaccard_join(docs_of(spark, [(i, t, "s") for i, t in rows]), leaf=leaf, block=block, depth=depth, trace=trace).collect()}
     assert [got[i]["n_links"] for i, _ in rows] == links
     assert [got[i]["class_id"] for i, _ in rows] == classes
+    assert any(small for _, small, _, _ in trace)
+    if depth == 5 and leaf == 3:  # large buckets were met and split further
+        assert any(large for _, _, large, _ in trace) and max(level for level, *_ in trace) > 3
+
+
+@pytest.mark.parametrize("first,depth,leaf", [(3, 5, 8), (1, 2, 2)])
+def test_exact_classes_of_chains(spark, first, depth, leaf):
+    """Cells whose sets drift away from the pivot: most links need the overlap of differences."""
+    g = np.random.default_rng(12)
+    rows, n = [], 0
+    for size in (60, 90):
+        words = [f"v{size}x{i}" for i in range(size + 40)]
+        for _ in range(40):
+            at = int(g.integers(0, size - 1))
+            words = words[:at] + [f"n{n}"] + words[at + 1 :] if n % 2 else words[:-1] + [f"n{n}"]
+            rows.append((n, " ".join(words)))
+            n += 1
+    rows += [(n + k, rows[k * 7][1]) for k in range(8)]
+    links, classes = brute_join(rows)
+    trace = []
+    got = {r["doc_id"]: r for r in jaccard_join.jaccard_join(docs_of(spark, [(i, t, "s") for i, t in rows]), block=16, leaf=leaf, depth=depth, first_look=first, trace=trace).collect()}
+    assert [got[i]["n_links"] for i, _ in rows] == links and max(links) > 5
+    assert [got[i]["class_id"] for i, _ in rows] == classes
+    if first == 1:  # some large buckets were left open at full depth
+        assert any(left for level, *_, left in trace if level == depth)
+
+
+def test_overlaps():
+    g = np.random.default_rng(13)
+    a, b = ([np.unique(g.integers(0, 9000, n, dtype=np.uint64)) for n in g.integers(0, 6000, 5)] for _ in range(2))
+    assert jaccard_join.overlaps(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_jaccard_recall_on_documents(spark, sf):
+    docs = spark.read.parquet(f"{DATA.replace('sf0.001', sf)}/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    links, classes = brute_join(rows)
+    got = {r["doc_id"]: r for r in jaccard_join.jaccard_join(docs).collect()}
+    found = [got[i]["n_links"] for i, _ in rows]
+    assert all(f <= n for f, n in zip(found, links)) and sum(found) >= 0.9 * sum(links) > 0
+    assert sum(got[i]["class_id"] == c for (i, _), c in zip(rows, classes)) >= 0.99 * len(rows)
+
+
+def test_jaccard_join_of_text_ids_and_long_texts(spark):
+    g = np.random.default_rng(14)
+    long = list(g.choice([f"w{i}" for i in range(5000)], 200_000))
+    docs = spark.createDataFrame([("x9", " ".join(long), 1), ("x1", " ".join(long[:-50]), 1), ("y", "short one", 1), (None, "short  one", 1)], "doc_id string, text string, node int")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_join(docs).collect()}
+    assert got == {"x9": ("x1", 1), "x1": ("x1", 1), "y": ("y", 1), None: ("y", 1)}
 
 
 @pytest.mark.parametrize("n", [5, 10, 20, 40])
 def test_isolated_pairs_of_small_sets_meet_miss(n):
     """n shingles against the first four fifths of them, followed through the splits of all runs."""
-    pairs, depth, miss = 20000, 3, 1e-4
+    pairs, depth, miss = 20000, 5, 1e-4
     words = [[f"p{k}w{i}" for i in range(n + 4)] for k in range(pairs)]
     sets = jaccard_join.shingle_sets([" ".join(x) for w in words for x in (w, w[: n - n // 5 + 4])], 5)
     sketch = np.frombuffer(b"".join(jaccard_join.embed(s) for s in sets), np.uint16).reshape(pairs, 2, -1)
