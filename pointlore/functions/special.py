@@ -20,7 +20,7 @@ def ks_p_asymptotic(d: Column, n: Column, m: Column, terms: int = 100) -> Column
 
 
 def _ks_exact(d: float, n: int, m: int) -> float:
-    """Share of lattice paths that leave the band of width d: path counting with a scale against overflow."""
+    """Share of lattice paths that leave the band of width d: path counting with a scale against overflow, a row at a time."""
     if n * m == 0:
         return float("nan")
     g = math.gcd(n, m)
@@ -28,18 +28,17 @@ def _ks_exact(d: float, n: int, m: int) -> float:
     if h <= 0:
         return 1.0
     step_n, step_m = m // g, n // g
-    inside = np.zeros(m + 1)
-    inside[0] = 1.0
-    for j in range(1, m + 1):  # first row: i = 0
-        inside[j] = inside[j - 1] * 1.0 if step_m * j < h else 0.0
-    log_scale = 0.0
+    inside, log_scale = np.zeros(m + 1), 0.0
+    inside[: min(m, (h - 1) // step_m) + 1] = 1.0
     for i in range(1, n + 1):
-        ok = np.abs(i * step_n - np.arange(m + 1) * step_m) < h
-        run = 0.0
-        for j in range(m + 1):
-            run = (inside[j] + (run if j else 0.0)) if ok[j] else 0.0
-            inside[j] = run
-        top = inside.max()
+        # The band of a row is a stretch of columns: a path reaches a column from below or along the row.
+        lo, hi = max(0, (i * step_n - h) // step_m + 1), min(m, -((-i * step_n - h) // step_m) - 1)
+        if lo > hi:
+            return 1.0
+        inside[:lo] = 0.0
+        inside[lo : hi + 1] = np.cumsum(inside[lo : hi + 1])
+        inside[hi + 1 :] = 0.0
+        top = inside[lo : hi + 1].max()
         if top == 0:
             return 1.0
         if top > 1e200:

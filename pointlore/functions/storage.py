@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the session's checkpoint folder; a temporary folder only where the session names none."""
+    """A new path in the session's checkpoint folder. A session that names none gets a temporary one in local mode and an error elsewhere."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"

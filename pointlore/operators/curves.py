@@ -132,14 +132,19 @@ def distance_pdfs(samples: DataFrame, method: str = "discrete", bin_width: float
     return curves, pointwise_envelope(curves, ["measure", "mode"], alpha)
 
 
-def ecdf(samples: DataFrame, grid: DataFrame, sample_keys: list[str], grid_keys: list[str]) -> DataFrame:
-    """Share of values up to each grid point. Values go to their first grid point, and a running sum does the rest."""
+def ecdf(samples: DataFrame, grid: DataFrame, sample_keys: list[str], grid_keys: list[str], groups: DataFrame | None = None) -> DataFrame:
+    """Share of values up to each grid point. Values go to their first grid point, and a running sum does the rest.
+
+    ``groups``: the sample keys that get a curve, also where they have no value (a curve of 0); by default those of the samples.
+    """
     ends = _small(_ends(grid, grid_keys), grid_keys)
     s = samples.join(ends, grid_keys) if grid_keys else samples.crossJoin(ends)
     below = _index_below(F.col("value"), F.col("x0"), F.col("step"))
     first = F.greatest(F.lit(0), F.when(F.col("x0") + below * F.col("step") == F.col("value"), below).otherwise(below + 1))
     counted = s.withColumn("i", first.cast("int")).groupBy(*sample_keys, "i").agg(F.count(F.lit(1)).alias("_c"))
     totals = samples.groupBy(*sample_keys).agg(F.count("value").alias("_n"))
+    if groups is not None:
+        totals = groups.join(totals, sample_keys, "left")
     points = _small(grid.select(*grid_keys, "i", "x"), grid_keys)
     full = totals.join(points, grid_keys) if grid_keys else totals.crossJoin(points)
     so_far = W.partitionBy(*sample_keys).orderBy("i").rowsBetween(W.unboundedPreceding, 0)
@@ -199,19 +204,29 @@ def interp(curves: DataFrame, grid: DataFrame, curve_keys: list[str], grid_keys:
     return both.filter("_t = 1").select(*curve_keys, "i", "x", y.alias("y"))
 
 
-def joint_curves(curves: DataFrame, keys: list[str], n: int = 100, measure: str = "measure") -> DataFrame:
-    """Every curve on a uniform grid of [0, 1], measures one after the other. A curve of no x-range interpolates first to last."""
+def unit_curves(curves: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """Every curve on a uniform grid of [0, 1]: keys, i, x, y. A curve of no x-range interpolates first to last.
+
+    Values have twelve decimals, so that curves that agree at a point still do after the interpolation.
+    """
     by = W.partitionBy(*keys)
     lo, hi = F.min("x").over(by), F.max("x").over(by)
     count, order = F.count(F.lit(1)).over(by), F.row_number().over(by.orderBy("i"))
     flat = F.coalesce(F.try_divide((order - 1).cast("double"), count - 1), F.lit(0.0))
-    unit = curves.withColumn("_lo", lo).withColumn("_hi", hi).withColumn("_flat", flat)
-    unit = unit.withColumn("x", F.when(F.col("_hi") > F.col("_lo"), (F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.col("_flat"))).drop("_lo", "_hi", "_flat")
+    ends = F.when((F.col("_order") == 1) | (F.col("_order") == F.col("_count")), F.col("_flat"))
+    unit = curves.withColumn("_lo", lo).withColumn("_hi", hi).withColumn("_flat", flat).withColumn("_order", order).withColumn("_count", count)
+    unit = unit.withColumn("x", F.when(F.col("_hi") > F.col("_lo"), (F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(ends))
+    unit = unit.filter("x is not null").drop("_lo", "_hi", "_flat", "_order", "_count")
     grid = curves.sparkSession.range(n).select(F.col("id").cast("int").alias("i"), (F.col("id") / float(n - 1)).alias("x"))
-    even = interp(unit, grid, keys, [])
+    return interp(unit, grid, keys, []).withColumn("y", F.round("y", 12))
+
+
+def joint_curves(curves: DataFrame, keys: list[str], n: int = 100, measure: str = "measure") -> DataFrame:
+    """Every curve on a uniform grid of [0, 1], measures one after the other."""
+    even = unit_curves(curves, keys, n)
     rank = curves.select(measure).distinct().withColumn("_no", F.row_number().over(W.orderBy(measure)) - 1)  # one row a measure
     rest = [k for k in keys if k != measure]
-    return even.join(F.broadcast(rank), measure).select(*rest, (F.col("_no") * n + F.col("i")).cast("int").alias("i"), (F.col("_no") + F.col("x")).alias("x"), "y")
+    return even.join(rank, measure).select(*rest, (F.col("_no") * n + F.col("i")).cast("int").alias("i"), (F.col("_no") + F.col("x")).alias("x"), "y")
 
 
 def rank_cdf(samples: DataFrame, keys: list[str]) -> DataFrame:

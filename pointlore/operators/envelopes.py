@@ -5,34 +5,86 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import written
 from ..model import KEYS, STD_FLOOR
-from .curves import _grid, ecdf, joint_curves, pointwise_envelope, r_grid
+from .curves import _grid, ecdf, joint_curves, pointwise_envelope, r_grid, unit_curves
 from .expressions import valid_samples
 
 
+def share_above(obs: DataFrame, sims: DataFrame, keys: list[str]) -> DataFrame:
+    """Monte Carlo p-value of every observed statistic: (simulated ones at least as large + 1) / (simulated ones + 1).
+
+    One sort of both sides and a running count; no observed statistic meets a simulated one. A key without simulated ones is left out.
+    """
+    o = obs.withColumn("_at", F.col("statistic") - 1e-12).withColumn("_sim", F.lit(0))
+    s = sims.select(*keys, F.col("statistic").alias("_at"), F.lit(1).alias("_sim"))
+    by = W.partitionBy(*keys)
+    so_far = F.sum("_sim").over(by.orderBy(F.desc("_at"), F.desc("_sim")).rowsBetween(W.unboundedPreceding, 0))
+    both = o.unionByName(s, allowMissingColumns=True).withColumn("_k", so_far).withColumn("_n", F.sum("_sim").over(by))
+    return both.filter("_sim = 0 and _n > 0").withColumn("p_value", (F.col("_k") + 1) / (F.col("_n") + 1)).drop("_at", "_sim", "_k", "_n")
+
+
 def envelope_test(obs: DataFrame, sims: DataFrame, keys: list[str], statistic: str = "supremum") -> DataFrame:
-    """Every observed curve against the simulated ones of its keys: statistic, Monte Carlo p, sign.
+    """Every observed curve against the simulated ones of its keys: statistic, sign, Monte Carlo p.
 
-    ``obs``: keys, curve_id, i, y; ``sims``: keys, curve_id, i, y. Simulated curves are measured by their own mean and deviation
-    as the observed ones are; the integral has unit spacing.
+    ``obs``: keys, curve_id, i, y; ``sims``: keys, curve_id, i, y. Deviations are standardised by the simulated curves' mean and
+    deviation at each point; simulated curves are measured by the same. ``supremum`` takes the largest and its sign, ``integrated``
+    the integral (unit spacing) and the sign of the mean, ``rank`` the least rank from the side of the mean (see rank_test).
     """
+    if statistic == "rank":
+        return rank_test(obs, sims, keys)
     moments = sims.groupBy(*keys, "i").agg(F.avg("y").alias("_m"), F.coalesce(F.stddev_samp("y"), F.lit(0.0)).alias("_s"))
     moments = moments.withColumn("_s", F.when(F.col("_s") == 0, STD_FLOOR).otherwise(F.col("_s")))
 
     def measured(curves: DataFrame) -> DataFrame:
         z = curves.join(moments, [*keys, "i"]).withColumn("_z", (F.col("y") - F.col("_m")) / F.col("_s"))
-        by = W.partitionBy(*keys, "curve_id").orderBy("i")
-        z = z.withColumn("_t", (F.abs("_z") + F.abs(F.lead("_z").over(by))) / 2)
-        at = F.max_by(F.col("y") - F.col("_m"), F.struct(F.abs("_z"), -F.col("i")))
         if statistic == "supremum":
-            stat, sign = F.max(F.abs("_z")), at
+            stat, sign = F.max(F.abs("_z")), F.max_by("_z", F.struct(F.abs("_z"), -F.col("i")))
         else:
-            stat, sign = F.coalesce(F.sum("_t"), F.lit(0.0)), F.avg(F.col("y") - F.col("_m"))
+            # The sum of trapezoids of unit width: all points but half of each end.
+            first, last = F.min_by(F.abs("_z"), "i"), F.max_by(F.abs("_z"), "i")
+            stat, sign = F.sum(F.abs("_z")) - (first + last) / 2, F.avg("_z")
         return z.groupBy(*keys, "curve_id").agg(stat.alias("statistic"), F.when(sign < 0, -1).otherwise(1).alias("sign"))
 
-    o = measured(obs)
-    s = measured(sims).select(*keys, F.col("statistic").alias("_sim"))
-    p = (F.count(F.when(F.col("_sim") >= F.col("statistic") - 1e-12, 1)) + 1) / (F.count("_sim") + 1)
-    return o.join(s, keys).groupBy(*keys, "curve_id", "statistic", "sign").agg(p.alias("p_value"))
+    return share_above(measured(obs), measured(sims), keys)
+
+
+def rank_test(obs: DataFrame, sims: DataFrame, keys: list[str]) -> DataFrame:
+    """E02 for many observed curves of a key, each ranked among the simulated ones: statistic (u or v), sign, exact p.
+
+    With b simulated values below an observed one at a point and c not below, u is the least b + 1 and v the least c + 1. A
+    simulated curve is as extreme as v when its least rank from above is below v among the simulated ones alone, or is v at a point
+    where the observed curve does not push it down, that is where c >= v (from below: likewise with u and b). The one simulated
+    value of such a rank at such a point is looked up, so observed and simulated curves never meet in pairs.
+    """
+    by = W.partitionBy(*keys, "i")
+    s = sims.select(*keys, F.col("curve_id").cast("string").alias("_curve"), "i", "y")
+    ranked = s.withColumn("_low", F.row_number().over(by.orderBy("y", "_curve"))).withColumn("_n", F.count(F.lit(1)).over(by)).withColumn("_mean", F.avg("y").over(by))
+    ranked = written(ranked.withColumn("_high", F.col("_n") + 1 - F.col("_low")), "ranks")
+    depth = ranked.groupBy(*keys, "_curve").agg(F.min("_low").alias("_low"), F.min("_high").alias("_high"))
+    per_point = ranked.groupBy(*keys, "i").agg(F.max("_n").alias("_n"), F.max("_mean").alias("_mean"))
+    # Counts below each observed value: one sort of both sides, observed ones first among equals.
+    both = obs.select(*keys, "curve_id", "i", "y", F.lit(0).alias("_sim")).unionByName(s.select(*keys, "i", "y", F.lit(1).alias("_sim")), allowMissingColumns=True)
+    below = F.sum("_sim").over(by.orderBy("y", "_sim").rowsBetween(W.unboundedPreceding, 0))
+    o = both.withColumn("_b", below).filter("_sim = 0").join(per_point, [*keys, "i"]).withColumn("_c", F.col("_n") - F.col("_b"))
+    o = written(o.select(*keys, "curve_id", "i", "_b", "_c", "_n", (F.col("y") - F.col("_mean")).alias("_d")), "ranked")
+    tail = o.groupBy(*keys, "curve_id").agg(F.when(F.avg("_d") < 0, -1).otherwise(1).alias("sign"), (F.min("_b") + 1).alias("_u"), (F.min("_c") + 1).alias("_v"), F.max("_n").alias("_n"))
+    tail = tail.withColumn("statistic", F.when(F.col("sign") > 0, F.col("_v")).otherwise(F.col("_u"))).drop("_u", "_v")
+    # Simulated curves of a lesser least rank: a running count over the few distinct ranks of a key.
+    sides = depth.select(*keys, F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("_high").alias("r")), F.struct(F.lit(-1).alias("sign"), F.col("_low").alias("r")))).alias("p")).select(*keys, "p.sign", "p.r")
+    counts = sides.groupBy(*keys, "sign", F.col("r").cast("double").alias("statistic")).agg(F.count(F.lit(1)).alias("_m"))
+    asked = tail.withColumn("statistic", F.col("statistic").cast("double"))
+    so_far = F.sum("_m").over(W.partitionBy(*keys, "sign").orderBy("statistic", F.col("_m").isNotNull().cast("int")).rowsBetween(W.unboundedPreceding, 0))
+    less = asked.unionByName(counts, allowMissingColumns=True).withColumn("_less", F.coalesce(so_far, F.lit(0))).filter("_m is null").drop("_m")
+    # The simulated value of exactly that rank, where the observed curve leaves it in place.
+    rank_at = ranked.select(*keys, "i", "_curve", F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("_high").alias("r")), F.struct(F.lit(-1).alias("sign"), F.col("_low").alias("r")))).alias("p"))
+    rank_at = rank_at.select(*keys, "i", "_curve", "p.sign", F.col("p.r").cast("double").alias("statistic"))
+    free = o.drop("_n").join(tail.select(*keys, "curve_id", "sign", F.col("statistic").cast("double").alias("statistic")), [*keys, "curve_id"])
+    free = free.filter(F.when(F.col("sign") > 0, F.col("_c")).otherwise(F.col("_b")) >= F.col("statistic"))
+    least = depth.withColumnRenamed("_low", "_dl").withColumnRenamed("_high", "_dh")
+    level = free.join(rank_at, [*keys, "i", "sign", "statistic"]).join(least, [*keys, "_curve"]).filter(F.when(F.col("sign") > 0, F.col("_dh")).otherwise(F.col("_dl")) == F.col("statistic"))
+    equal = level.select(*keys, "curve_id", "_curve").distinct().groupBy(*keys, "curve_id").agg(F.count(F.lit(1)).alias("_equal"))
+    out = less.join(equal, [*keys, "curve_id"], "left")
+    p = (F.col("_less") + F.coalesce("_equal", F.lit(0)) + 1) / (F.col("_n") + 1)
+    return out.select(*keys, "curve_id", "statistic", "sign", p.alias("p_value"))
 
 
 def rank_envelope(obs: DataFrame, sims: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -66,52 +118,71 @@ def bh_qvalues(df: DataFrame, p: str, keys: list[str], tie: list[str], out: str
     return ranked.withColumn(out, F.least(F.lit(1.0), q)).drop("_r", "_m")
 
 
+def rejection_rates(tests: DataFrame, keys: list[str], alpha: float, count: str) -> DataFrame:
+    """Shares of tests with q < alpha: all, and those of either sign."""
+    no = F.col("q_value") < alpha
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    return tests.groupBy(*keys).agg(F.count(F.lit(1)).alias(count), share(no).alias("rejected"), share(no & (F.col("sign") > 0)).alias("rejected_positive"), share(no & (F.col("sign") < 0)).alias("rejected_negative"))
+
+
 def monte_carlo_per_cell(obs: DataFrame, sims: DataFrame, n_grid: int = 100, statistic: str = "integrated") -> DataFrame:
     """Each cell's observed sample against the simulated samples of each null mode, per measure and joint.
 
-    ``obs``: measure, cell_id, value. ``sims``: measure, mode, cell_id, seed, value. All cells are done at once, by key.
+    ``obs``: measure, cell_id, value. ``sims``: measure, mode, cell_id, seed, value. All cells are done at once, by key. A
+    simulation that lacks a measure of the cell has a curve of 0 there. ``statistic``: supremum, integrated or rank.
     """
     keys = ["measure", "mode", "cell_id"]
     o, s = valid_samples(obs), valid_samples(sims)
-    oc = o.join(s.select(*keys).distinct(), ["measure", "cell_id"]).select(*keys, F.lit("obs").alias("curve_id"), "value")
-    sc = s.select(*keys, F.col("seed").alias("curve_id"), "value")
-    grid = r_grid(oc.unionByName(sc), keys, n=n_grid)
-    curves = [written(ecdf(c, grid, [*keys, "curve_id"], keys), "curves") for c in (oc, sc)]
+    runs = s.select("mode", "cell_id", F.col("seed").alias("curve_id")).distinct().join(o.select("measure", "cell_id").distinct(), "cell_id")
+    oc = o.join(runs.select(*keys).distinct(), ["measure", "cell_id"]).select(*keys, F.lit("obs").alias("curve_id"), "value")
+    sc = s.select(*keys, F.col("seed").alias("curve_id"), "value").join(runs.select(*keys).distinct(), keys, "left_semi")
+    grid = written(r_grid(oc.unionByName(sc), keys, n=n_grid), "grid")
+    each_key = [*keys, "curve_id"]
+    curves = [written(ecdf(oc, grid, each_key, keys), "curves"), written(ecdf(sc, grid, each_key, keys, runs.select(*each_key)), "curves")]
     each = envelope_test(*curves, keys, statistic)
-    joint = envelope_test(*[joint_curves(c, [*keys, "curve_id"], n_grid) for c in curves], ["mode", "cell_id"], statistic).withColumn("measure", F.lit("joint"))
+    joint = envelope_test(*[written(joint_curves(c, each_key, n_grid), "joint") for c in curves], ["mode", "cell_id"], statistic).withColumn("measure", F.lit("joint"))
     return each.unionByName(joint).drop("curve_id")
 
 
 def summarize_cells(tests: DataFrame, alpha: float = 0.05) -> tuple[DataFrame, DataFrame]:
-    """Tests with q-values per (measure, mode), and rejection rates in all and by sign."""
+    """Tests with q-values per (measure, mode), and the rejection rates (q < alpha) in all and by sign."""
     q = bh_qvalues(tests, "p_value", ["measure", "mode"], ["cell_id"])
-    no = F.col("p_value") <= alpha
-    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    return q, q.groupBy("measure", "mode").agg(F.count(F.lit(1)).alias("n_cells"), share(no).alias("rejected"), share(no & (F.col("sign") > 0)).alias("rejected_positive"), share(no & (F.col("sign") < 0)).alias("rejected_negative"))
+    return q, rejection_rates(q, ["measure", "mode"], alpha, "n_cells")
 
 
 def pairwise_curve_test(curves: DataFrame, statistic: str = "integrated", alpha: float = 0.05, joint_n: int | None = 100) -> tuple[DataFrame, DataFrame]:
     """Every curve of mode a against the curves of mode b, for all ordered pairs of modes; at least two curves of b.
 
-    ``curves``: measure, mode, curve_id, i, x, y. Gives tests (with q-values by pair and measure) and rejection rates.
+    ``curves``: measure, mode, curve_id, i, x, y. Gives tests (with q-values by pair and measure) and rejection rates. The joint test
+    takes the measures in which b has two curves and a has one; the curves of a mode go together by their number in the order of
+    curve_id, up to the least number of curves over these measures. ``statistic``: supremum, integrated or rank.
     """
     curves = written(curves, "curves")
-    if joint_n:
-        curves = curves.unionByName(joint_curves(curves, ["measure", "mode", "curve_id"], joint_n).withColumn("measure", F.lit("joint")), allowMissingColumns=True)
-    size = curves.select("measure", "mode", "curve_id").distinct().groupBy("measure", "mode").agg(F.count(F.lit(1)).alias("_n"))
-    a = size.select("measure", F.col("mode").alias("mode_a"))
-    b = size.filter("_n >= 2").select("measure", F.col("mode").alias("mode_b"))
-    pairs = a.join(b, "measure").filter("mode_a <> mode_b")
-    obs = pairs.join(curves.withColumnRenamed("mode", "mode_a"), ["measure", "mode_a"]).select("measure", "mode_a", "mode_b", "curve_id", "i", "y")
+    size = written(curves.select("measure", "mode", "curve_id").distinct().groupBy("measure", "mode").agg(F.count(F.lit(1)).alias("n")), "curve-counts")
+    a = size.select("measure", F.col("mode").alias("mode_a"), F.col("n").alias("n_a"))
+    b = size.filter("n >= 2").select("measure", F.col("mode").alias("mode_b"), F.col("n").alias("n_b"))
+    pairs = written(a.join(b, "measure").filter("mode_a <> mode_b"), "curve-pairs")
     # Moments and simulated statistics depend on mode b alone; the pair enters with the observed curves.
+    obs = pairs.join(curves.withColumnRenamed("mode", "mode_a"), ["measure", "mode_a"]).select("measure", "mode_b", F.struct("mode_a", "curve_id").alias("curve_id"), "i", "y")
     sims = curves.withColumnRenamed("mode", "mode_b").join(b, ["measure", "mode_b"], "left_semi").select("measure", "mode_b", "curve_id", "i", "y")
-    # A mode's name may hold any character; the separator is one that texts do not use.
-    keyed = obs.withColumn("curve_id", F.concat_ws("␟", "mode_a", "curve_id")).drop("mode_a")
-    t = envelope_test(keyed, sims, ["measure", "mode_b"], statistic)
-    t = t.withColumn("mode_a", F.substring_index("curve_id", "␟", 1)).withColumn("curve_id", F.substring_index("curve_id", "␟", -1))
-    t = bh_qvalues(t, "p_value", ["measure", "mode_a", "mode_b"], ["curve_id"])
-    rates = t.groupBy("measure", "mode_a", "mode_b").agg(F.count(F.lit(1)).alias("n_curves"), F.avg(F.when(F.col("p_value") <= alpha, 1.0).otherwise(0.0)).alias("rejected"), F.avg(F.when(F.col("q_value") <= alpha, 1.0).otherwise(0.0)).alias("rejected_q"))
-    return t, rates
+    tests = envelope_test(obs, sims, ["measure", "mode_b"], statistic).select("measure", "curve_id.mode_a", "mode_b", "curve_id.curve_id", "statistic", "sign", "p_value")
+    if joint_n:
+        number = F.row_number().over(W.partitionBy("measure", "mode").orderBy("curve_id")) - 1
+        numbered = curves.select("measure", "mode", "curve_id").distinct().withColumn("no", number)
+        even = unit_curves(curves, ["measure", "mode", "curve_id"], joint_n).join(numbered, ["measure", "mode", "curve_id"])
+        place = written(size.select("measure").distinct().withColumn("_m", F.row_number().over(W.orderBy("measure")) - 1), "measures")  # one row a measure
+        even = written(even.join(place, "measure").select("measure", "mode", "no", (F.col("_m") * joint_n + F.col("i")).alias("i"), "y"), "joint-curves")
+        # The set of measures of a pair; most pairs of a mode b share one.
+        sets = pairs.groupBy("mode_a", "mode_b").agg(F.sort_array(F.collect_set("measure")).alias("set"), F.min("n_a").alias("n_a"), F.min("n_b").alias("n_b"))
+        side = lambda own, other: sets.select(*own, "set", F.explode("set").alias("measure"), *other).distinct()
+        joint_obs = side(["mode_a", "mode_b"], ["n_a"]).join(even.withColumnRenamed("mode", "mode_a"), ["measure", "mode_a"]).filter("no < n_a")
+        joint_sims = side(["mode_b"], ["n_b"]).join(even.withColumnRenamed("mode", "mode_b"), ["measure", "mode_b"]).filter("no < n_b")
+        joint_obs = joint_obs.select("mode_b", "set", F.struct("mode_a", F.col("no").cast("string").alias("curve_id")).alias("curve_id"), "i", "y")
+        joint_sims = joint_sims.select("mode_b", "set", F.lpad(F.col("no").cast("string"), 12, "0").alias("curve_id"), "i", "y")
+        joint = envelope_test(joint_obs, joint_sims, ["mode_b", "set"], statistic)
+        tests = tests.unionByName(joint.select(F.lit("joint").alias("measure"), "curve_id.mode_a", "mode_b", "curve_id.curve_id", "statistic", "sign", "p_value"))
+    tests = bh_qvalues(tests, "p_value", ["measure", "mode_a", "mode_b"], ["curve_id"])
+    return tests, rejection_rates(tests, ["measure", "mode_a", "mode_b"], alpha, "n_curves")
 
 
 def sample_curves(samples: DataFrame, n: int | None = 100, bin_width: float | None = None) -> DataFrame:

@@ -165,6 +165,6 @@ def occupancy_emd(occ: DataFrame) -> DataFrame:
     return every.join(pairs.select(*every.columns, "emd"), every.columns, "left")
 
 
-def occupancy_ks(occ: DataFrame, baseline: DataFrame, level: float = 0.05, method: str = "asymptotic") -> DataFrame:
+def occupancy_ks(occ: DataFrame, baseline: DataFrame, level: float = 0.05, method: str = "exact") -> DataFrame:
     """KS test of each cell's ratio values against the baseline's of the same cell."""
     return ks_all_baselines(_values(occ), baseline, level, method)

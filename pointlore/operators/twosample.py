@@ -58,15 +58,18 @@ def baseline_pairs(samples: DataFrame, baseline: DataFrame) -> DataFrame:
     return left.unionByName(right)
 
 
-def ks_all_baselines(samples: DataFrame, baseline: DataFrame, level: float = 0.05, method: str = "asymptotic") -> DataFrame:
-    """F07 (F01 for one baseline): KS statistic, earth mover's distance and p-value against each baseline's sample of the cell."""
+def ks_all_baselines(samples: DataFrame, baseline: DataFrame, level: float = 0.05, method: str = "exact") -> DataFrame:
+    """F07 (F01 for one baseline): KS statistic, earth mover's distance and p-value against each baseline's sample of the cell.
+
+    ``method``: exact (up to 10,000 values a side, else the series) or asymptotic (the series).
+    """
     out = signed_walk(baseline_pairs(samples, baseline), ["measure", "baseline", "mode", "cell_id", "seed"])
     n, m = F.col("n1").cast("double"), F.col("n2").cast("double")
     p = ks_p_exact("ks", "n1", "n2") if method == "exact" else ks_p_asymptotic(F.col("ks"), n, m)
     return out.withColumn("p_value", p).withColumn("similar", F.col("p_value") >= level).withColumn("different", F.col("p_value") < level)
 
 
-def ks_test(samples: DataFrame, baseline: str, level: float = 0.05, method: str = "asymptotic") -> DataFrame:
+def ks_test(samples: DataFrame, baseline: str, level: float = 0.05, method: str = "exact") -> DataFrame:
     """F01"""
     return ks_all_baselines(samples, samples.sparkSession.createDataFrame([(baseline,)], "baseline string"), level, method)
 

@@ -22,12 +22,12 @@ def b02_emptied_groups(spark, d):
     return B.filter_samples(samples_events(spark, d), 100.0)[1]
 
 
-@query(f"""WITH {POINTS_VEC}, {CELLS_VEC}, samples AS (SELECT 'z' AS measure, mode, cell_id, seed, abs(z) AS value FROM points WHERE cell_id <> '3' OR mode <> '1')
+@query(f"""WITH {POINTS_VEC}, {CELLS_VEC}, samples AS (SELECT 'z' AS measure, mode, cell_id, seed, abs(z) AS value FROM points)
 SELECT measure, mode, s.cell_id, round(sum(value / coalesce(intracellular_radius, 1.0)), 6) + 0.0 AS total, count(*) AS n
 FROM samples s LEFT JOIN cells c ON c.cell_id = s.cell_id AND c.cell_id <> '7' GROUP BY ALL""")
 def b04_normalize_samples(spark, d):
     """Cell 7 has no shape facts and keeps factor 1."""
-    s = points_vec(spark, d).filter("cell_id <> '3' or mode <> '1'").select(F.lit("z").alias("measure"), "mode", "cell_id", "seed", F.abs("z").alias("value"))
+    s = points_vec(spark, d).select(F.lit("z").alias("measure"), "mode", "cell_id", "seed", F.abs("z").alias("value"))
     cells = cells_vec(spark, d).filter("cell_id <> '7'").withColumn("structure_id", F.lit("S1"))
     out = B.normalize_samples(s, cells, modes_of(s), "intracellular_radius")
     return out.groupBy("measure", "mode", "cell_id").agg(r6(F.sum("value")).alias("total"), F.count("*").alias("n"))

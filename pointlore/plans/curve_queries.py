@@ -195,21 +195,21 @@ KSP = "CASE WHEN sqrt(n1 * n2 / (n1 + n2)::DOUBLE) * ks < 0.2 THEN 1.0 ELSE grea
 @query(f"WITH {SAMPLES_EVENTS}, {base_sql(chr(39).join(['SELECT ', 'view', ' AS baseline']))}, {walk_sql(KSKEYS, 'sides')} SELECT mode, cell_id, n1, n2, round(ks, 6) + 0.0 AS ks, round(emd, 6) + 0.0 AS emd FROM walk")
 def f01_f03_ks_emd(spark, d):
     """KS distance and earth mover's distance of every user's values against the baseline mode."""
-    o = T.ks_test(samples_events(spark, d), "view")
+    o = T.ks_test(samples_events(spark, d), "view", method="asymptotic")
     return o.select("mode", "cell_id", "n1", "n2", r6("ks").alias("ks"), r6("emd").alias("emd"))
 
 
 @query(f"WITH {SAMPLES_ITEMS}, {base_sql('SELECT DISTINCT mode AS baseline FROM samples')}, {walk_sql(KSKEYS, 'sides')} SELECT {KSKEYS}, round(ks, 6) + 0.0 AS ks, round(emd, 6) + 0.0 AS emd, round({KSP}, 5) + 0.0 AS p_value FROM walk")
 def f07_ks_all_baselines(spark, d):
     s = samples_items(spark, d)
-    o = T.ks_all_baselines(s, s.select(F.col("mode").alias("baseline")).distinct())
+    o = T.ks_all_baselines(s, s.select(F.col("mode").alias("baseline")).distinct(), method="asymptotic")
     return o.select(*KSKEYS.split(", "), r6("ks").alias("ks"), r6("emd").alias("emd"), (F.round("p_value", 5) + 0.0).alias("p_value"))
 
 
 @query()
 def f01_ks_exact(spark, d):
     """Exact p-values (path counting); tested against enumeration."""
-    o = T.ks_test(samples_events(spark, d), "view", method="exact")
+    o = T.ks_test(samples_events(spark, d), "view")
     return o.select("mode", "cell_id", r6("ks").alias("ks"), r6("p_value").alias("p_value"), "similar")
 
 
@@ -224,13 +224,13 @@ boot AS (SELECT measure, baseline, mode, experiment_number, sum(t * s) / sum(t *
 
 @query(f"{BOOT} SELECT measure, baseline, mode, experiment_number, round(similar_fraction, 6) + 0.0 AS similar_fraction FROM boot")
 def f02_ks_bootstrap(spark, d):
-    b = T.ks_bootstrap(T.ks_test(samples_items(spark, d), "A"), 100)
+    b = T.ks_bootstrap(T.ks_test(samples_items(spark, d), "A", method="asymptotic"), 100)
     return b.select("measure", "baseline", "mode", "experiment_number", r6("similar_fraction").alias("similar_fraction"))
 
 
 @query(f"{BOOT} SELECT measure, mode, count(*) AS n, round(avg(similar_fraction), 6) + 0.0 AS mean, round(stddev_samp(similar_fraction), 6) + 0.0 AS std, round(quantile_cont(similar_fraction, 0.5), 6) + 0.0 AS median, round(quantile_cont(similar_fraction, 0.025), 6) + 0.0 AS lo, round(quantile_cont(similar_fraction, 0.975), 6) + 0.0 AS hi FROM boot GROUP BY 1, 2")
 def f10_ks_summary(spark, d):
-    s = T.ks_summary(T.ks_bootstrap(T.ks_test(samples_items(spark, d), "A"), 100))
+    s = T.ks_summary(T.ks_bootstrap(T.ks_test(samples_items(spark, d), "A", method="asymptotic"), 100))
     return s.select("measure", "mode", "n", *[r6(c).alias(c) for c in ("mean", "std", "median", "lo", "hi")])
 
 
@@ -267,7 +267,7 @@ def f12_emd_means(spark, d):
 
 @query(f"WITH {SAMPLES_ITEMS}, {base_sql(chr(39).join(['SELECT ', 'A', ' AS baseline']))}, {walk_sql(KSKEYS, 'sides')} SELECT measure, mode, round(avg(({KSP} >= 0.05)::INT::DOUBLE), 6) + 0.0 AS similar_share FROM walk GROUP BY ALL")
 def f12_ks_means(spark, d):
-    return T.ks_means(T.ks_test(samples_items(spark, d), "A")).select("measure", "mode", r6("similar_share").alias("similar_share"))
+    return T.ks_means(T.ks_test(samples_items(spark, d), "A", method="asymptotic")).select("measure", "mode", r6("similar_share").alias("similar_share"))
 
 
 # --- envelope tests ----------------------------------------------------------------------------
@@ -276,9 +276,9 @@ CURVES = f"{SAMPLES_ITEMS}, {grid_sql('measure', n=50)}, {ecdf_sql(K4, 'measure'
 
 
 def pair_test_sql(statistic: str) -> str:
-    """CTE ``tests``: every curve of a against b's curves, per measure (joint tests are left to unit tests)."""
+    """CTE ``tests``: every curve of a against b's curves, per measure."""
     stat = "max(abs(z))" if statistic == "supremum" else "coalesce(sum(t), 0)"
-    sign = "max_by(y - m, (abs(z), -i))" if statistic == "supremum" else "avg(y - m)"
+    sign = "max_by(z, (abs(z), -i))" if statistic == "supremum" else "avg(z)"
     measured = f"SELECT %s, {stat} AS statistic, CASE WHEN {sign} < 0 THEN -1 ELSE 1 END AS sign FROM (SELECT *, (abs(z) + abs(lead(z) OVER (PARTITION BY %s ORDER BY i))) / 2 AS t FROM (SELECT c.*, %s m, (y - m) / CASE WHEN coalesce(s, 0) = 0 THEN 1e-9 ELSE s END AS z FROM curves c JOIN mom ON c.measure = mom.measure AND c.i = mom.i %s)) GROUP BY %s"
     o = measured % (("measure, mode, b, curve_id",) * 2 + ("mom.mode AS b,", "AND c.mode <> mom.mode", "ALL"))
     s = measured % (("measure, mode, curve_id",) * 2 + ("", "AND c.mode = mom.mode", "ALL"))
@@ -286,6 +286,20 @@ def pair_test_sql(statistic: str) -> str:
 tests AS (SELECT o.measure, o.mode AS mode_a, o.b AS mode_b, o.curve_id, o.statistic, o.sign, (count(*) FILTER (s.statistic >= o.statistic - 1e-12) + 1) / (count(*) + 1)::DOUBLE AS p_value FROM obs o JOIN sim s ON s.measure = o.measure AND s.mode = o.b GROUP BY ALL)"""
 
 
+JOINT = f"""{SAMPLES_ITEMS}, {grid_sql('measure', n=50)}, {ecdf_sql(K4, 'measure', 'c0')}, c1 AS (SELECT measure, mode, cell_id || '_' || seed AS curve_id, i, x, y FROM c0),
+nos AS (SELECT measure, mode, curve_id, row_number() OVER (PARTITION BY measure, mode ORDER BY curve_id) - 1 AS no FROM (SELECT DISTINCT measure, mode, curve_id FROM c1)), least_n AS (SELECT mode, min(n) AS n FROM (SELECT measure, mode, count(*) AS n FROM nos GROUP BY ALL) GROUP BY 1),
+place AS (SELECT measure, row_number() OVER (ORDER BY measure) - 1 AS m FROM (SELECT DISTINCT measure FROM c1)),
+curves AS (SELECT measure, mode, curve_id, i, y FROM c1 UNION ALL SELECT 'joint', mode, no::VARCHAR, m * 50 + i, y FROM c1 JOIN nos USING (measure, mode, curve_id) JOIN least_n l USING (mode) JOIN place USING (measure) WHERE no < l.n)"""
+PAIR = "measure, mode_a, mode_b"
+RATES = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY {PAIR} ORDER BY p_value, curve_id) AS r, count(*) OVER (PARTITION BY {PAIR}) AS m FROM tests),
+q AS (SELECT *, least(1.0, min(p_value * m / r) OVER (PARTITION BY {PAIR} ORDER BY r DESC)) AS q_value FROM ranked)
+SELECT {PAIR}, count(*) AS n_curves, round(avg((q_value < 0.05)::INT::DOUBLE), 6) + 0.0 AS rejected, round(avg((q_value < 0.05 AND sign > 0)::INT::DOUBLE), 6) + 0.0 AS rejected_positive, round(avg((q_value < 0.05 AND sign < 0)::INT::DOUBLE), 6) + 0.0 AS rejected_negative FROM q GROUP BY ALL"""
+
+
+def _rates(r):
+    return r.select("measure", "mode_a", "mode_b", "n_curves", *[r6(c).alias(c) for c in ("rejected", "rejected_positive", "rejected_negative")])
+
+
 def _e06(spark, d, statistic, joint=None):
     return E.pairwise_curve_test(E.sample_curves(samples_items(spark, d), 50), statistic, 0.05, joint)
 
@@ -309,17 +323,27 @@ def e04_bh_qvalues(spark, d):
     return t.select("measure", "mode_a", "mode_b", "curve_id", r6("q_value").alias("q_value"))
 
 
-@query(f"WITH {CURVES}, {pair_test_sql('integrated')} SELECT measure, mode_a, mode_b, count(*) AS n_curves, round(avg((p_value <= 0.05)::INT::DOUBLE), 6) + 0.0 AS rejected FROM tests GROUP BY ALL")
+@query(f"WITH {CURVES}, {pair_test_sql('integrated')}, {RATES}")
 def e07_pairwise_envelope_rates(spark, d):
-    _, rates = _e06(spark, d, "integrated")
-    return rates.select("measure", "mode_a", "mode_b", "n_curves", r6("rejected").alias("rejected"))
+    return _rates(_e06(spark, d, "integrated")[1])
 
 
-@query()
+@query(f"WITH {JOINT}, {pair_test_sql('integrated')}, {RATES}")
 def e07_pairwise_envelope_joint(spark, d):
     """With the joint test over measures."""
-    _, rates, _ = E.pairwise_envelope_test(samples_items(spark, d), n=50)
-    return rates.select("measure", "mode_a", "mode_b", "n_curves", r6("rejected").alias("rejected"), r6("rejected_q").alias("rejected_q"))
+    return _rates(E.pairwise_envelope_test(samples_items(spark, d), n=50)[1])
+
+
+@query(f"""WITH {CURVES.replace('i, x, y FROM c0', 'i, x, round(y, 9) AS y FROM c0')}, s AS (SELECT *, row_number() OVER (PARTITION BY measure, mode, i ORDER BY y, curve_id) AS r, count(*) OVER (PARTITION BY measure, mode, i) AS n, avg(y) OVER (PARTITION BY measure, mode, i) AS m FROM curves),
+pt AS (SELECT o.measure, o.mode AS mode_a, s.mode AS mode_b, o.curve_id, o.i, count(*) FILTER (s.y < o.y) AS below, max(s.n) AS n, max(o.y - s.m) AS dev FROM curves o JOIN s ON s.measure = o.measure AND s.i = o.i AND s.mode <> o.mode GROUP BY ALL),
+ob AS (SELECT measure, mode_a, mode_b, curve_id, min(below) + 1 AS u, min(n + 1 - below) AS v, CASE WHEN avg(dev) < 0 THEN -1 ELSE 1 END AS sign FROM pt GROUP BY ALL),
+si AS (SELECT o.measure, o.mode AS mode_a, s.mode AS mode_b, o.curve_id, s.curve_id AS sc, max(s.n) AS n, min(s.r + (o.y <= s.y)::INT) AS u, min(s.n + 2 - s.r - (o.y <= s.y)::INT) AS v FROM curves o JOIN s ON s.measure = o.measure AND s.i = o.i AND s.mode <> o.mode GROUP BY ALL)
+SELECT ob.measure, ob.mode_a, ob.mode_b, ob.curve_id, ob.sign, CASE WHEN sign > 0 THEN ob.v ELSE ob.u END::DOUBLE AS statistic, round((count(*) FILTER (CASE WHEN sign > 0 THEN si.v <= ob.v ELSE si.u <= ob.u END) + 1) / (max(si.n) + 1)::DOUBLE, 6) + 0.0 AS p_value FROM ob JOIN si USING (measure, mode_a, mode_b, curve_id) GROUP BY ALL""")
+def e06_rank(spark, d):
+    """The rank test of every curve against every other mode's curves."""
+    c = E.sample_curves(samples_items(spark, d), 50).withColumn("y", F.round("y", 9))
+    t, _ = E.pairwise_curve_test(c, "rank", 0.05, None)
+    return t.select("measure", "mode_a", "mode_b", "curve_id", "sign", "statistic", r6("p_value").alias("p_value"))
 
 
 @query(f"WITH {SAMPLES_ITEMS}, {grid_sql('measure, mode', n=50)}, {ecdf_sql(K4, 'measure, mode')} {env_sql('measure, mode', 'curve')}")
@@ -340,23 +364,50 @@ def e02_rank_envelope(spark, d):
     return tests.select("measure", "u", "v", "sign", r6("p_value").alias("p_value"))
 
 
-def _e03(spark, d):
+def e03_sql(seed: str) -> str:
+    """CTE ``tests``: observed samples of mode A in each cell against simulated ones of the other modes, per measure and joint; ``seed`` names a simulation."""
+    keys = "measure, mode, cell_id"
+    return f"""WITH base AS (SELECT 'quantity' AS measure, l_returnflag AS mode, CAST(l_suppkey AS VARCHAR) AS cell_id, l_linestatus AS seed, l_quantity AS value FROM lineitem UNION ALL SELECT 'price', l_returnflag, CAST(l_suppkey AS VARCHAR), l_linestatus, l_extendedprice / 1000 FROM lineitem),
+sim0 AS (SELECT {keys}, {seed} AS curve_id, value FROM base WHERE mode <> 'A'),
+want AS (SELECT measure, r.mode, cell_id, r.curve_id FROM (SELECT DISTINCT mode, cell_id, curve_id FROM sim0) r JOIN (SELECT DISTINCT measure, cell_id FROM base WHERE mode = 'A') USING (cell_id)), kept AS (SELECT DISTINCT {keys} FROM want),
+samples AS (SELECT b.measure, k.mode, b.cell_id, 'obs' AS curve_id, value FROM base b JOIN kept k USING (measure, cell_id) WHERE b.mode = 'A' UNION ALL SELECT {keys}, curve_id, value FROM sim0 SEMI JOIN kept USING ({keys})), {grid_sql(keys, n=40)},
+c1 AS (SELECT k.measure, k.mode, k.cell_id, k.curve_id, g.i, coalesce(avg((s.value <= g.x)::INT::DOUBLE), 0) AS y FROM (SELECT {keys}, curve_id FROM want UNION ALL SELECT {keys}, 'obs' FROM kept) k JOIN grid g USING ({keys}) LEFT JOIN samples s ON s.measure = k.measure AND s.mode = k.mode AND s.cell_id = k.cell_id AND s.curve_id = k.curve_id GROUP BY ALL),
+place AS (SELECT measure, row_number() OVER (ORDER BY measure) - 1 AS m FROM (SELECT DISTINCT measure FROM c1)), curves AS (SELECT * FROM c1 UNION ALL SELECT 'joint', mode, cell_id, curve_id, m * 40 + i, y FROM c1 JOIN place USING (measure)),
+mom AS (SELECT {keys}, i, avg(y) AS m, coalesce(stddev_samp(y), 0) AS s FROM curves WHERE curve_id <> 'obs' GROUP BY ALL), z AS (SELECT c.*, (y - m) / CASE WHEN s = 0 THEN 1e-9 ELSE s END AS z FROM curves c JOIN mom USING ({keys}, i)),
+st AS (SELECT {keys}, curve_id, coalesce(sum(t), 0) AS statistic, CASE WHEN avg(z) < 0 THEN -1 ELSE 1 END AS sign FROM (SELECT *, (abs(z) + abs(lead(z) OVER (PARTITION BY {keys}, curve_id ORDER BY i))) / 2 AS t FROM z) GROUP BY ALL),
+tests AS (SELECT o.measure, o.mode, o.cell_id, o.sign, o.statistic, (count(*) FILTER (s.statistic >= o.statistic - 1e-12) + 1) / (count(*) + 1)::DOUBLE AS p_value FROM st o JOIN st s USING ({keys}) WHERE o.curve_id = 'obs' AND s.curve_id <> 'obs' GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY measure, mode ORDER BY p_value, cell_id) AS r, count(*) OVER (PARTITION BY measure, mode) AS n FROM tests), q AS (SELECT *, least(1.0, min(p_value * n / r) OVER (PARTITION BY measure, mode ORDER BY r DESC)) AS q_value FROM ranked)"""
+
+
+def cell_rates_sql(alpha: float) -> str:
+    share = lambda c, name: f"round(avg((q_value < {alpha}{c})::INT::DOUBLE), 6) + 0.0 AS {name}"
+    return f"SELECT measure, mode, count(*) AS n_cells, {share('', 'rejected')}, {share(' AND sign > 0', 'rejected_positive')}, {share(' AND sign < 0', 'rejected_negative')} FROM q GROUP BY ALL"
+
+
+def _cell_rates(rates):
+    return rates.select("measure", "mode", "n_cells", *[r6(c).alias(c) for c in ("rejected", "rejected_positive", "rejected_negative")])
+
+
+def _e03(spark, d, statistic="integrated"):
     s = samples_items(spark, d)
     obs = s.filter("mode = 'A'").select("measure", "cell_id", "value")
-    return E.monte_carlo_per_cell(obs, s.filter("mode <> 'A'").withColumn("seed", F.concat_ws("_", "seed", (F.floor(F.col("value") * 7) % 5).cast("string"))), 40)
+    sims = s.filter("mode <> 'A'").withColumn("seed", F.concat_ws("_", "seed", (F.floor(F.col("value") * 7) % 5).cast("string")))
+    return E.monte_carlo_per_cell(obs, sims, 40, statistic)
 
 
-@query()
+E03_SEED = "seed || '_' || (floor(value * 7)::BIGINT % 5)"
+
+
+@query(f"{e03_sql(E03_SEED)} SELECT measure, mode, cell_id, sign, round(p_value, 6) + 0.0 AS p_value FROM tests")
 def e03_monte_carlo_per_cell(spark, d):
     """Each supplier's returned items against its others as null models."""
-    t = _e03(spark, d)
-    return t.select("measure", "mode", "cell_id", (F.round("statistic", 4) + 0.0).alias("statistic"), "sign", r6("p_value").alias("p_value"))
+    return _e03(spark, d).select("measure", "mode", "cell_id", "sign", r6("p_value").alias("p_value"))
 
 
-@query()
+@query(f"{e03_sql(E03_SEED)} {cell_rates_sql(0.5)}")
 def e05_summarize_cells(spark, d):
-    rates = E.summarize_cells(_e03(spark, d))[1]
-    return rates.select("measure", "mode", "n_cells", *[r6(c).alias(c) for c in ("rejected", "rejected_positive", "rejected_negative")])
+    """At a level that some of the few simulations of a cell can reach."""
+    return _cell_rates(E.summarize_cells(_e03(spark, d), 0.5)[1])
 
 
 @query(f"WITH {SAMPLES_ITEMS}, {grid_sql('measure, mode', n=50)} SELECT measure, round(max(x), 6) + 0.0 AS x_max FROM grid GROUP BY 1")

@@ -102,34 +102,6 @@ def p06_correlation_pairs(spark, d):
     return P.correlation_pairs(profiles(spark, d), e).select("id_1", "id_2", "structure_1", "structure_2", r6("r").alias("r"))
 
 
-
-
-E03 = f"""WITH base AS (SELECT 'quantity' AS measure, l_returnflag AS mode, CAST(l_suppkey AS VARCHAR) AS cell_id, l_linestatus AS seed, l_quantity AS value FROM lineitem UNION ALL SELECT 'price', l_returnflag, CAST(l_suppkey AS VARCHAR), l_linestatus, l_extendedprice / 1000 FROM lineitem),
-sim AS (SELECT measure, mode, cell_id, seed || '_' || (floor(value * 7)::BIGINT % 5) AS curve_id, value FROM base WHERE mode <> 'A'),
-samples AS (SELECT b.measure, m.mode, b.cell_id, 'obs' AS curve_id, value FROM base b JOIN (SELECT DISTINCT measure, mode, cell_id FROM sim) m USING (measure, cell_id) WHERE b.mode = 'A' UNION ALL SELECT * FROM sim), {grid_sql('measure, mode, cell_id', n=40)},
-curves AS (SELECT s.measure, s.mode, s.cell_id, s.curve_id, g.i, avg((s.value <= g.x)::INT::DOUBLE) AS y FROM samples s JOIN grid g USING (measure, mode, cell_id) GROUP BY ALL),
-mom AS (SELECT measure, mode, cell_id, i, avg(y) AS m, coalesce(stddev_samp(y), 0) AS s FROM curves WHERE curve_id <> 'obs' GROUP BY ALL), z AS (SELECT c.*, y - m AS dev, (y - m) / CASE WHEN s = 0 THEN 1e-9 ELSE s END AS z FROM curves c JOIN mom USING (measure, mode, cell_id, i)),
-st AS (SELECT measure, mode, cell_id, curve_id, coalesce(sum(t), 0) AS statistic, CASE WHEN avg(dev) < 0 THEN -1 ELSE 1 END AS sign FROM (SELECT *, (abs(z) + abs(lead(z) OVER (PARTITION BY measure, mode, cell_id, curve_id ORDER BY i))) / 2 AS t FROM z) GROUP BY ALL),
-tests AS (SELECT o.measure, o.mode, o.cell_id, o.sign, o.statistic, (count(*) FILTER (s.statistic >= o.statistic - 1e-12) + 1) / (count(*) + 1)::DOUBLE AS p_value FROM st o JOIN st s USING (measure, mode, cell_id) WHERE o.curve_id = 'obs' AND s.curve_id <> 'obs' GROUP BY ALL)"""
-
-
-@query(f"{E03} SELECT measure, mode, cell_id, sign, round(p_value, 6) + 0.0 AS p_value FROM tests")
-def e03_monte_carlo_single(spark, d):
-    """E03 without the joint test."""
-    from .curve_queries import _e03
-
-    return _e03(spark, d).filter("measure <> 'joint'").select("measure", "mode", "cell_id", "sign", r6("p_value").alias("p_value"))
-
-
-@query(f"{E03} SELECT measure, mode, count(*) AS n_cells, round(avg((p_value <= 0.05)::INT::DOUBLE), 6) + 0.0 AS rejected, round(avg((p_value <= 0.05 AND sign > 0)::INT::DOUBLE), 6) + 0.0 AS rejected_positive FROM tests GROUP BY ALL")
-def e05_summarize_single(spark, d):
-    from ..operators.envelopes import summarize_cells
-    from .curve_queries import _e03
-
-    r = summarize_cells(_e03(spark, d))[1].filter("measure <> 'joint'")
-    return r.select("measure", "mode", "n_cells", r6("rejected").alias("rejected"), r6("rejected_positive").alias("rejected_positive"))
-
-
 # SQL for queries registered elsewhere, with the helpers of this module.
 ORACLE_SQL["g10_occupancy_kde"] = f"""WITH {SAMPLES_ORDERS}, av AS (SELECT measure, cell_id, value FROM samples), tp AS (SELECT measure, cell_id, max(value) AS top, quantile_cont(value, 0.95) AS p95 FROM av GROUP BY ALL),
 e AS (SELECT measure, quantile_cont(top, 1.0) AS x1 FROM tp GROUP BY 1), kg AS (SELECT measure, cell_id, i::INT AS i, i * (x1 / 49) AS x FROM e JOIN tp USING (measure), range(50) r(i)),

@@ -14,7 +14,7 @@ from ..operators import occupancy as G
 from ..operators import profiles as P
 from ..operators import twosample as T
 from ..sources import files as A
-from .curve_queries import KSKEYS, KSP, PAIRS, base_sql, grid_sql, hist_sql, norm_sql, walk_sql
+from .curve_queries import KSKEYS, KSP, PAIRS, _cell_rates, base_sql, cell_rates_sql, e03_sql, grid_sql, hist_sql, norm_sql, pair_test_sql, walk_sql
 from . import workflows as Q
 
 W0 = 25.0
@@ -130,15 +130,17 @@ def f06_occupancy_ks(spark, d):
     return o.select("measure", "mode", "cell_id", "n1", "n2", r6("ks").alias("ks"))
 
 
-@query()
+@query(f"""WITH {COMMON}, oc AS (SELECT measure, mode, cell_id, i, coalesce(round(occupancy, 9), 0) AS y FROM common), top AS (SELECT greatest(quantile_cont(y, 0.95), 1e-9) AS x1 FROM oc),
+curves AS (SELECT 'ratio' AS measure, mode, cell_id AS curve_id, i, y FROM oc UNION ALL SELECT 'ecdf', mode, cell_id, k::INT, avg((y <= k * (x1 / 39))::INT::DOUBLE) FROM oc, top, range(40) t(k) GROUP BY ALL), {pair_test_sql('integrated')}
+SELECT measure AS comparison, mode_a, mode_b, curve_id, sign, round(p_value, 6) + 0.0 AS p_value FROM tests""")
 def e08_envelope_occupancy(spark, d):
-    """Ratio curves and their value distributions, all ordered pairs of modes."""
-    c = written(_binned(spark, d)[0])
+    """Ratio curves and their value distributions, all ordered pairs of modes; the only measure, without its joint test."""
+    c = written(_rounded(spark, d))
     out = None
     for kind in ("ratio", "ecdf"):
-        r = E.pairwise_envelope_test_occupancy(c, kind, n=40)[1].withColumn("comparison", F.lit(kind))
-        out = r if out is None else out.unionByName(r)
-    return out.select("comparison", "measure", "mode_a", "mode_b", "n_curves", r6("rejected").alias("rejected"))
+        t = E.pairwise_envelope_test_occupancy(c, kind, n=40)[0].filter("measure <> 'joint'").withColumn("comparison", F.lit(kind))
+        out = t if out is None else out.unionByName(t)
+    return out.select("comparison", "mode_a", "mode_b", "curve_id", "sign", r6("p_value").alias("p_value"))
 
 
 # --- mixtures ------------------------------------------------------------------------------------
@@ -492,12 +494,13 @@ def _folder(spark) -> str:
 
 
 def _positions(spark, d, folder: str):
-    """points_vec as positions JSON, a file per mode."""
+    """points_vec as positions JSON: a document for every cell, files by mode."""
     p = points_vec(spark, d)
     xyz = F.transform(F.sort_array(F.collect_list(F.struct("point_id", F.array("x", "y", "z").alias("v")))), lambda s: s["v"])  # points of one cell
     cell = p.groupBy("mode", "cell_id").agg(xyz.alias("pts"))
-    one = cell.groupBy("mode").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("_", "cell_id", "mode"), F.create_map(F.lit("dot"), F.col("pts")))))).alias("value"))
-    one.write.partitionBy("mode").text(folder)
+    name, inner = F.concat_ws("_", "cell_id", "mode"), F.create_map(F.lit("dot"), F.col("pts"))
+    one = cell.select("mode", F.col("cell_id").alias("cell"), F.to_json(F.create_map(name, inner)).alias("value"))
+    one.write.partitionBy("mode", "cell").text(folder)
     return p
 
 
@@ -505,7 +508,7 @@ def _positions(spark, d, folder: str):
 def a01_read_points(spark, d):
     folder = _folder(spark)
     _positions(spark, d, folder)
-    p = A.read_points(spark, f"{folder}/mode=*", "dot")
+    p = A.read_points(spark, f"{folder}/mode=*/cell=*", "dot")
     return p.groupBy("cell_id", "seed").agg(F.count("*").alias("n"), *[(F.round(F.sum(c), 4) + 0.0).alias(f"s{c}") for c in "xyz"])
 
 
@@ -513,7 +516,7 @@ def a01_read_points(spark, d):
 def a03_read_all_modes(spark, d):
     folder = _folder(spark)
     _positions(spark, d, folder)
-    p = A.read_all_modes(spark, {m: {"path": f"{folder}/mode={m}", "ingredient": "dot"} for m in ("0", "1", "2")})
+    p = A.read_all_modes(spark, {m: {"path": f"{folder}/mode={m}/cell=*", "ingredient": "dot"} for m in ("0", "1", "2")})
     return p.groupBy("mode", "cell_id", "seed").agg(F.count("*").alias("n"), (F.round(F.sum("x"), 4) + 0.0).alias("sx"))
 
 
@@ -534,20 +537,21 @@ def a07_refresh(spark, d):
     return A.refresh(spark, folder, ["price"], modes, compute).select("measure", "mode", "n", "total")
 
 
-@query(f"WITH {POINTS_VEC} SELECT cell_id, count(*) AS vertices, round(sum(x), 3) + 0.0 AS sx, greatest(count(*) - 2, 0) AS triangles FROM points WHERE mode = '0' GROUP BY 1 HAVING count(*) >= 3")
+@query(f"WITH {POINTS_VEC} SELECT mode, cell_id, count(*) AS vertices, round(sum(x), 3) + 0.0 AS sx, greatest(count(*) - 2, 0) AS triangles FROM points GROUP BY ALL HAVING count(*) >= 3")
 def a06_read_meshes(spark, d):
-    """One OBJ file per cell: its points as vertices, one polygon over them, read as a fan."""
+    """One OBJ file per mode and cell: its points as vertices, one polygon over them, read as a fan."""
     folder = _folder(spark)
-    p = points_vec(spark, d).filter("mode = '0'")
+    p = points_vec(spark, d)
     lines = F.transform(F.sort_array(F.collect_list(F.struct("point_id", F.concat_ws(" ", F.lit("v"), "x", "y", "z").alias("l")))), lambda s: s["l"])  # points of one cell
-    obj = p.groupBy("cell_id").agg(lines.alias("l"), F.count("*").alias("n")).filter("n >= 3")
+    obj = p.groupBy("mode", "cell_id").agg(lines.alias("l"), F.count("*").alias("n")).filter("n >= 3")
     face = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda k: k.cast("string")), " ")
-    obj.select("cell_id", F.concat(F.lit("# mesh\n"), F.array_join("l", "\n"), F.lit("\nvn 0 0 1\nf "), face).alias("value")).write.partitionBy("cell_id").text(folder)
-    v, t = A.read_meshes(spark, f"{folder}/cell_id=*")
-    files = spark.read.text(f"{folder}/cell_id=*", wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract(F.col("_metadata.file_path"), "cell_id=([^/]*)/", 1).alias("cell_id"))
+    obj.select("mode", "cell_id", F.concat(F.lit("# mesh\n"), F.array_join("l", "\n"), F.lit("\nvn 0 0 1\nf "), face).alias("value")).write.partitionBy("mode", "cell_id").text(folder)
+    v, t = A.read_meshes(spark, f"{folder}/mode=*/cell_id=*")
+    part = lambda c: F.regexp_extract(F.col("_metadata.file_path"), f"{c}=([^/]*)/", 1).alias(c)
+    files = spark.read.text(f"{folder}/mode=*/cell_id=*", wholetext=True).select(F.col("_metadata.file_path").alias("file"), part("mode"), part("cell_id"))
     vs = v.groupBy("file").agg(F.count("*").alias("vertices"), (F.round(F.sum("x"), 3) + 0.0).alias("sx"))
     ts = t.groupBy("file").agg(F.count("*").alias("triangles"))
-    return files.join(vs, "file").join(ts, "file").select("cell_id", "vertices", "sx", "triangles")
+    return files.join(vs, "file").join(ts, "file").select("mode", "cell_id", "vertices", "sx", "triangles")
 
 
 # --- pipelines -----------------------------------------------------------------------------------
@@ -564,11 +568,11 @@ def q02_occupancy_analysis(spark, d):
     return out["emd_means"].select("measure", "mode_1", "mode_2", (F.round("mean_emd", 5) + 0.0).alias("mean_emd"))
 
 
-@query()
+@query(f"{e03_sql('(floor(value * 7)::BIGINT % 5)::VARCHAR')} {cell_rates_sql(0.4)}")
 def q03_randomness_test(spark, d):
     s = samples_items(spark, d)
     sims = s.filter("mode <> 'A'").withColumn("seed", (F.floor(F.col("value") * 7) % 5).cast("string"))
-    return Q.randomness_test(s.filter("mode = 'A'").select("measure", "cell_id", "value"), sims, 40).select("measure", "mode", "n_cells", r6("rejected").alias("rejected"))
+    return _cell_rates(Q.randomness_test(s.filter("mode = 'A'").select("measure", "cell_id", "value"), sims, 40, alpha=0.4))
 
 
 @query(f"WITH {CV.replace('range(3)', 'range(10)')}, j AS (SELECT repeat, fold, c0, c1 FROM fit WHERE scope = 'joint'), b AS (SELECT * FROM j UNION ALL SELECT NULL, NULL, avg(c0), avg(c1) FROM j) SELECT repeat, fold, m AS mode, CASE WHEN m = 'R' THEN 'radial' ELSE 'uniform' END AS gradient, round(CASE WHEN m = 'R' THEN c1 ELSE c0 END / (c0 + c1), 5) + 0.0 AS weight FROM b, (VALUES ('R'), ('N')) v(m)")
@@ -592,6 +596,6 @@ SELECT measure, mode, count(*) AS n, round(avg(ks), 6) + 0.0 AS mean_ks, round(a
 def q06_variation(spark, d):
     """Modes are the levels of a variation; everything is compared with the first level."""
     s = samples_items(spark, d)
-    return Q.variation(s, "A").select("measure", "mode", "n", r6("mean_ks").alias("mean_ks"), r6("mean_emd").alias("mean_emd"), r6("similar_share").alias("similar_share"))
+    return Q.variation(s, "A", method="asymptotic").select("measure", "mode", "n", r6("mean_ks").alias("mean_ks"), r6("mean_emd").alias("mean_emd"), r6("similar_share").alias("similar_share"))
 
 

@@ -67,7 +67,7 @@ def colocalisation(pairs: DataFrame, baseline: str, with_mode: str, without_mode
     return out.withColumn("aic_with", F.round("aic_with", 4) + 0.0).withColumn("aic_without", F.round("aic_without", 4) + 0.0)
 
 
-def variation(samples: DataFrame, baseline: str) -> DataFrame:
+def variation(samples: DataFrame, baseline: str, method: str = "exact") -> DataFrame:
     """Q06: per mode, mean KS and earth mover's distance to the baseline and the share of similar samples."""
-    ks = T.ks_test(samples, baseline)
+    ks = T.ks_test(samples, baseline, method=method)
     return ks.groupBy("measure", "mode").agg(F.count(F.lit(1)).alias("n"), F.avg("ks").alias("mean_ks"), F.avg("emd").alias("mean_emd"), F.avg(F.col("similar").cast("double")).alias("similar_share"))

@@ -84,8 +84,8 @@ def read_meshes(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
     v = text.select("file", F.posexplode(tokens("v")).alias("_i", "_t")).select("file", (F.col("_i") + 1).alias("vertex"), *[F.col("_t")[j + 1].cast("double").alias(c) for j, c in enumerate("xyz")])
     f = text.select("file", F.posexplode(tokens("f")).alias("face", "_t"))
     corner = lambda s: F.split(s, "/")[0].cast("int")
-    f = f.withColumn("_c", F.transform(F.slice("_t", 2, 1_000_000), corner)).withColumn("_k", F.explode(F.sequence(F.lit(1), F.size("_c") - 2)))
-    tri = f.select("file", (F.col("face") * 1000 + F.col("_k")).alias("tri_id"), F.col("_c")[0].alias("a"), F.col("_c")[F.col("_k")].alias("b"), F.col("_c")[F.col("_k") + 1].alias("c"))
+    f = f.withColumn("_c", F.transform(F.slice("_t", F.lit(2), F.size("_t")), corner)).withColumn("_k", F.explode(F.sequence(F.lit(1), F.size("_c") - 2)))
+    tri = f.select("file", (F.shiftleft(F.col("face").cast("long"), 32) + F.col("_k")).alias("tri_id"), F.col("_c")[0].alias("a"), F.col("_c")[F.col("_k")].alias("b"), F.col("_c")[F.col("_k") + 1].alias("c"))
     for k in "abc":
         tri = tri.join(v.select("file", F.col("vertex").alias(k), *[F.col(c).alias(f"{k}{c}") for c in "xyz"]), ["file", k])
     return v, tri.drop("a", "b", "c")
