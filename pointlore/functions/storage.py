@@ -3,7 +3,8 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -22,3 +23,18 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def running_before(df: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over the rows of a key that come before each row in ``order``, which no two rows of a key share.
+
+    Rows lie in ranges of (keys, order); a range adds up its own rows and starts at the sum of the ranges before it, so the rows of
+    one key may fill any number of tasks.
+    """
+    rows = written(df, "rows")
+    laid = written(rows.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = laid.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum"))
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    start = sums.select(*keys, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inside = W.partitionBy(*keys, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return laid.join(start, [*keys, "_range"]).withColumn(out, F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_range", "_start")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import written
 from ..model import KEYS, STD_FLOOR
-from .curves import _grid, ecdf, joint_curves, pointwise_envelope, r_grid, unit_curves
+from .curves import _grid, ecdf, exact_quantile, joint_curves, pointwise_envelope, r_grid, unit_curves
 from .expressions import valid_samples
 
 
@@ -206,7 +206,7 @@ def pairwise_envelope_test_occupancy(occ: DataFrame, comparison: str = "ratio",
     c = occ.select("measure", "mode", F.col("cell_id").alias("curve_id"), "i", "x", F.coalesce("occupancy", F.lit(0.0)).alias("y"))
     if comparison == "ecdf":
         values = c.select("measure", "mode", "curve_id", F.col("y").alias("value"))
-        top = values.groupBy("measure").agg(F.greatest(F.percentile("value", F.lit(0.95)), F.lit(1e-9)).alias("x1"))
+        top = exact_quantile(values, ["measure"], "value", 0.95, "q").select("measure", F.greatest("q", F.lit(1e-9)).alias("x1"))
         grid = _grid(top.select("measure", F.lit(n).alias("n"), F.lit(0.0).alias("x0"), "x1"), ["measure"])
         c = ecdf(values, grid, ["measure", "mode", "curve_id"], ["measure"])
     return pairwise_curve_test(c, statistic, alpha, n)

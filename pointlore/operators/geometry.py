@@ -55,7 +55,7 @@ def nearest_neighbour(points: DataFrame, cell_width: float | None = None, keys:
 
 def z_distances(points: DataFrame, cells: DataFrame) -> DataFrame:
     """Height over the cell's bottom, and that over the cell's height (null for flat cells)."""
-    j = points.join(F.broadcast(cells.select("cell_id", F.col("mem_z_min").alias("_lo"), F.col("mem_z_max").alias("_hi"))), "cell_id")
+    j = points.join(cells.select("cell_id", F.col("mem_z_min").alias("_lo"), F.col("mem_z_max").alias("_hi")), "cell_id")
     up, span = F.abs(F.col("z") - F.col("_lo")), F.col("_hi") - F.col("_lo")
     return j.withColumn("z_distance", up).withColumn("scaled_z_distance", F.when(span > 1e-8, up / F.when(span > 1e-8, span))).drop("_lo", "_hi")
 
@@ -258,7 +258,7 @@ def ripley_k(points: DataFrame, volumes: DataFrame, r_max: float = 0.5, n: int =
 def ripley_k_summary(points: DataFrame, cells: DataFrame) -> DataFrame:
     """Mean and 95 % range over cells and seeds; volume of the cell's sphere, distances in cell diameters."""
     radius = F.lit(0.5)
-    v = points.select(*GROUP).distinct().join(F.broadcast(cells.select("cell_id", F.col("mem_diameter").alias("scale"))), "cell_id").withColumn("volume", F.lit(4 / 3 * math.pi) * radius * radius * radius)
+    v = points.select(*GROUP).distinct().join(cells.select("cell_id", F.col("mem_diameter").alias("scale")), "cell_id").withColumn("volume", F.lit(4 / 3 * math.pi) * radius * radius * radius)
     k = ripley_k(points, v)
     return k.groupBy("mode", "i").agg(F.max("r").alias("r"), F.avg("k").alias("mean"), F.percentile("k", F.lit(0.025)).alias("lo"), F.percentile("k", F.lit(0.975)).alias("hi"))
 
@@ -320,7 +320,7 @@ def weight_maps(points: DataFrame, cells: DataFrame, length: float | None = None
     """Distance and decay weight of slice points by kind. ``points``: cell_id, point_id, z, nucleus, membrane."""
     from .expressions import decay_weights
 
-    z = points.join(F.broadcast(cells.select("cell_id", "mem_z_max")), "cell_id")
+    z = points.join(cells.select("cell_id", "mem_z_max"), "cell_id")
     kinds = {"nucleus": F.col("nucleus"), "membrane": F.col("membrane"), "top": F.col("mem_z_max") - F.col("z"), "uniform": F.lit(None).cast("double")}
     long = z.select("cell_id", "point_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("distance")) for k, v in kinds.items()])).alias("p")).select("cell_id", "point_id", "p.kind", "p.distance")
     return decay_weights(long, length, ["cell_id", "kind"]).withColumn("weight", F.when(F.col("kind") == "uniform", 1.0).otherwise(F.col("weight")))

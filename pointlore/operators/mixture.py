@@ -19,7 +19,7 @@ def baseline_cells(occ: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
     cells = occ.filter(F.col("mode") == mode).select("measure", "cell_id").distinct()
     first = cells.agg(F.min("measure").alias("measure"))
     chosen = cells.join(F.broadcast(first), "measure", "left_semi").select("cell_id")
-    expected = cells.select("measure").distinct().crossJoin(F.broadcast(chosen))
+    expected = chosen.crossJoin(F.broadcast(cells.select("measure").distinct())).select("measure", "cell_id")
     return chosen, expected.exceptAll(cells).withColumn("side", F.lit("missing")).unionByName(cells.exceptAll(expected).withColumn("side", F.lit("extra")))
 
 
@@ -27,11 +27,15 @@ def baseline_grid(occ_comb: DataFrame, baseline: str) -> DataFrame:
     return occ_comb.filter(F.col("mode") == baseline).select("measure", "i", "x")
 
 
+def baseline_curves(occ: DataFrame, grid: DataFrame, baseline: str) -> DataFrame:
+    """Every cell's baseline curve on the grid, 0 outside the cell's range: measure, cell_id, i, x, y."""
+    curves = occ.filter(F.col("mode") == baseline).select("measure", "cell_id", "i", "x", F.col("occupancy").alias("y"))
+    return interp(curves, grid, ["measure", "cell_id"], ["measure"], "zero")
+
+
 def mean_curve(occ: DataFrame, cells: DataFrame, grid: DataFrame, baseline: str, keys: list[str]) -> DataFrame:
     """Mean baseline curve of the cells of each key on the baseline grid, 0 outside a cell's range. ``cells``: keys, cell_id."""
-    curves = occ.filter(F.col("mode") == baseline).select("measure", "cell_id", "i", "x", F.col("occupancy").alias("y"))
-    on_grid = interp(curves, grid, ["measure", "cell_id"], ["measure"], "zero")
-    return cells.join(on_grid, "cell_id").groupBy(*keys, "measure", "i").agg(F.coalesce(F.avg("y"), F.lit(0.0)).alias("b"))
+    return cells.join(baseline_curves(occ, grid, baseline), "cell_id").groupBy(*keys, "measure", "i").agg(F.coalesce(F.avg("y"), F.lit(0.0)).alias("b"))
 
 
 def design(occ_comb: DataFrame, grid: DataFrame, modes: list[str]) -> DataFrame:
@@ -110,6 +114,10 @@ def evaluate(occ: DataFrame, coefs: DataFrame, matrix: DataFrame, grid: DataFram
         observed = mean_curve(occ, cells, grid, baseline, keys).withColumn("cell_id", F.lit(None).cast("string"))
     else:
         observed = mean_curve(occ, cells, grid, baseline, [*keys, "cell_id"])
+    return _errors(observed, coefs, matrix, modes, keys)
+
+
+def _errors(observed: DataFrame, coefs: DataFrame, matrix: DataFrame, modes: list[str], keys: list[str]) -> DataFrame:
     fit = reconstruction(coefs, matrix, modes, keys)
     err = F.col("b") - F.col("fit")
     joined = observed.join(fit, [*keys, "measure", "i"])
@@ -133,10 +141,20 @@ def cross_validate(occ: DataFrame, occ_comb: DataFrame, modes: list[str], baseli
     matrix = written(design(occ_comb, grid, modes), "design")
     few = F.when(F.count(F.lit(1)) < folds, F.raise_error(F.lit("fewer cells than folds")).cast("int")).otherwise(0)
     placed = placed.join(placed.groupBy("repeat").agg(few.alias("_few")), "repeat").filter("_few = 0").drop("_few")
-    train = placed.withColumnRenamed("fold", "_own").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).filter("fold <> _own").select("repeat", "fold", "cell_id")
-    coefs, mse = fit_mixture(mean_curve(occ, train, grid, baseline, keys), matrix, modes, keys)
+    curves = written(baseline_curves(occ, grid, baseline), "curves")
+    # Each fold's sums once: its own mean curve is the test's, that of all others is what the repeat's sums leave.
+    sums = placed.join(curves, "cell_id").groupBy(*keys, "measure", "i").agg(F.sum("y").alias("s"), F.count("y").alias("n"))
+    sums = written(sums, "fold-sums")
+    every = sums.groupBy("repeat", "measure", "i").agg(F.sum("s").alias("_s"), F.sum("n").alias("_n")).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    rest = every.join(sums, [*keys, "measure", "i"], "left").withColumn("_rest", F.col("_n") - F.coalesce("n", F.lit(0)))
+    train = rest.select(*keys, "measure", "i", F.coalesce(F.try_divide(F.col("_s") - F.coalesce("s", F.lit(0.0)), "_rest"), F.lit(0.0)).alias("b"))
+    coefs, mse = fit_mixture(written(train, "train"), matrix, modes, keys)
     coefs = written(coefs, "coefs")
-    test = evaluate(occ, coefs, matrix, grid, placed.select("repeat", "fold", "cell_id"), modes, baseline, keys, grouping)
+    if grouping == "combined":
+        observed = sums.select(*keys, "measure", "i", F.coalesce(F.try_divide("s", "n"), F.lit(0.0)).alias("b"), F.lit(None).cast("string").alias("cell_id"))
+    else:
+        observed = placed.join(curves, "cell_id").select(*keys, "measure", "i", F.coalesce("y", F.lit(0.0)).alias("b"), "cell_id")
+    test = _errors(observed, coefs, matrix, modes, keys)
     return {"folds": placed, "coefs": coefs, "train": mse, "test": test, "grid": grid, "matrix": matrix}
 
 

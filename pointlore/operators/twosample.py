@@ -5,15 +5,18 @@ from pyspark.sql import functions as F
 
 from ..functions.special import ks_p_asymptotic, ks_p_exact, normal_quantile, normal_two_sided, student_two_sided
 from ..model import KEYS
+from ..functions.storage import running_before
 from .expressions import support_label, valid_samples
 
 
 def signed_walk(values: DataFrame, keys: list[str]) -> DataFrame:
-    """KS distance and earth mover's distance of the two sides of each key, in one window.
+    """KS distance and earth mover's distance of the two sides of each key.
 
     ``values``: keys, side (0 or 1), value, w (multiplicity). Every side's weights add up to one; the running sum of the signed
-    weights is the difference of the two distribution functions.
+    weights is the difference of the two distribution functions. One shuffle, by the keys, serves the totals, the folding of
+    equal values and the running sum.
     """
+    values = values.repartition(*keys)
     n = lambda side: F.sum(F.when(F.col("side") == side, F.col("w"))).over(W.partitionBy(*keys))
     v = values.withColumn("n1", n(0)).withColumn("n2", n(1)).filter("n1 is not null and n2 is not null")
     folded = v.groupBy(*keys, "value").agg(
@@ -168,21 +171,15 @@ def cohens_d(df: DataFrame, side: str, a: str, b: str, value: str = "value", key
     return s.select(*keys, (d if signed else F.abs(d)).alias("d"))
 
 
-def _ranked(df: DataFrame, value: str, keys: list[str], out: str) -> DataFrame:
-    """Average ranks, and the size of each tie."""
-    ties = F.count(F.lit(1)).over(W.partitionBy(*keys, value))
-    return df.withColumn("_ties", ties).withColumn(out, F.rank().over(W.partitionBy(*keys).orderBy(value)) + (F.col("_ties") - 1) / 2)
-
-
 def mann_whitney(df: DataFrame, side: str, a: str, b: str, value: str = "value", keys: list[str] | None = None) -> DataFrame:
     """U of side a, two-sided p (normal, tie-corrected, continuity-corrected), rank-biserial correlation."""
     keys = keys or ["_all"]
     d = df.filter(F.col(side).isin(a, b)).withColumn("_all", F.lit(0)) if keys == ["_all"] else df.filter(F.col(side).isin(a, b))
-    r = _ranked(d, value, keys, "_r")
-    g = r.groupBy(*keys).agg(
-        F.sum(F.when(F.col(side) == a, F.col("_r"))).alias("_r1"), F.count(F.when(F.col(side) == a, 1)).cast("double").alias("_n1"),
-        F.count(F.when(F.col(side) == b, 1)).cast("double").alias("_n2"), F.sum(F.pow(F.col("_ties").cast("double"), 2) - 1).alias("_t"),
-    )
+    # Equal values are one row with their counts; a tie has the mean of its ranks.
+    n = lambda s: F.count(F.when(F.col(side) == s, 1))
+    folded = running_before(d.groupBy(*keys, value).agg(n(a).alias("_a"), n(b).alias("_b"), F.count(F.lit(1)).alias("_ties")), keys, value, "_ties", "_before")
+    rank, t = F.col("_before") + (F.col("_ties") + 1) / 2, F.col("_ties").cast("double")
+    g = folded.groupBy(*keys).agg(F.sum(rank * F.col("_a")).alias("_r1"), F.sum("_a").cast("double").alias("_n1"), F.sum("_b").cast("double").alias("_n2"), F.sum(t * (t * t - 1)).alias("_t"))
     u = F.col("_r1") - F.col("_n1") * (F.col("_n1") + 1) / 2
     n = F.col("_n1") + F.col("_n2")
     sd = F.sqrt(F.col("_n1") * F.col("_n2") / 12 * (n + 1 - F.try_divide(F.col("_t"), n * (n - 1))))
@@ -197,8 +194,10 @@ def wilcoxon(pairs: DataFrame, a: str, b: str, keys: list[str] | None = None) ->
     keys = keys or ["_all"]
     d = pairs.withColumn("_all", F.lit(0)) if keys == ["_all"] else pairs
     d = d.withColumn("_d", F.col(a) - F.col(b)).filter("_d <> 0").withColumn("_abs", F.abs("_d"))
-    r = _ranked(d, "_abs", keys, "_r")
-    g = r.groupBy(*keys).agg(F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("w_minus"), F.count(F.lit(1)).cast("double").alias("_n"), F.sum(F.pow(F.col("_ties").cast("double"), 2) - 1).alias("_t"))
+    n = lambda c: F.count(F.when(c, 1))
+    folded = running_before(d.groupBy(*keys, "_abs").agg(n(F.col("_d") > 0).alias("_a"), n(F.col("_d") < 0).alias("_b"), F.count(F.lit(1)).alias("_ties")), keys, "_abs", "_ties", "_before")
+    rank, t = F.col("_before") + (F.col("_ties") + 1) / 2, F.col("_ties").cast("double")
+    g = folded.groupBy(*keys).agg(F.sum(rank * F.col("_a")).alias("w_plus"), F.sum(rank * F.col("_b")).alias("w_minus"), F.sum("_ties").cast("double").alias("_n"), F.sum(t * (t * t - 1)).alias("_t"))
     sd = F.sqrt(F.col("_n") * (F.col("_n") + 1) * (2 * F.col("_n") + 1) / 24 - F.col("_t") / 48)
     z = F.try_divide(F.least("w_plus", "w_minus") - F.col("_n") * (F.col("_n") + 1) / 4, sd)
     g = g.withColumn("statistic", F.least("w_plus", "w_minus")).withColumn("z", z).withColumn("p_value", normal_two_sided("z"))
