@@ -25,9 +25,9 @@ WIDTH, BLOCK, SEGMENT = 6, 256, 1 << 14
 
 
 def lay_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All bytes, each text padded to whole blocks; blocks and bytes of each text."""
+    """All bytes, each text padded to whole blocks and so far that no filter reaches the next text; blocks and bytes of each text."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    blocks = np.maximum(1, -(-sizes // BLOCK))
+    blocks = -(-(sizes + WIDTH - 1) // BLOCK)
     x = np.frombuffer(b"".join(t.ljust(int(b) * BLOCK, b"\0") for t, b in zip(texts, blocks)) + bytes(WIDTH), np.uint8)
     return x, blocks, sizes
 
@@ -109,6 +109,40 @@ def crop(text: bytes, label: int, g: np.random.Generator) -> bytes:
     return text[at : at + n]
 
 
+def gradients(net: ByteNet, texts: list[bytes], y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the mean log loss, for the parts of ``net`` in their order."""
+    filters = net.bias.size
+    x, blocks, sizes = lay_out(texts)
+    n = len(x) - WIDTH
+    r = net.taps[0].take(x[:n], 0)
+    for k in range(1, WIDTH):
+        r += net.taps[k].take(x[k : n + k], 0)
+    r[outside(blocks, sizes)] = -1e9
+    r = r.reshape(-1, BLOCK, filters)
+    arg = r.argmax(1)
+    top = np.take_along_axis(r, arg[:, None], 1)[:, 0]
+    at, after, chunk, start, count, vec = net.pool(top, blocks, sizes)
+    h, p = net.head(vec)
+    d = (p - y) / len(texts)
+    g_out, g_ob = h.T @ d, np.array([d.sum()], np.float32)
+    dh = np.outer(d, net.out) * (h > 0)
+    g_hid, g_hb = vec.T @ dh, dh.sum(0)
+    dv = dh @ net.hidden.T
+    owner = np.repeat(np.arange(len(texts)), count)
+    dc = dv[owner, filters : 2 * filters] / count[owner][:, None]
+    for lo, ext in ((0, np.maximum.reduceat(chunk, start)), (2 * filters, np.minimum.reduceat(chunk, start))):
+        same = chunk == ext[owner]
+        dc += dv[owner, lo : lo + filters] * same / np.add.reduceat(same, start, dtype=np.float32)[owner]
+    dc *= chunk > 0
+    src = np.where(top[at] >= top[after], at[:, None], after[:, None])
+    pos = src * BLOCK + np.take_along_axis(arg, src, 0)
+    g_taps, cols = np.zeros_like(net.taps), np.broadcast_to(np.arange(filters), pos.shape)
+    for k in range(WIDTH):
+        np.add.at(g_taps[k], (x[pos + k], cols), dc)
+    g_taps[:, 0] = 0
+    return g_taps, dc.sum(0), g_hid, g_hb, g_out, g_ob
+
+
 def fit(texts: list[bytes], labels: np.ndarray, filters: int = 16, units: int = 16, epochs: int = 12, batch: int = 32, rate: float = 0.01, seed: int = 7) -> ByteNet | None:
     """Adam on the log loss; None without both labels."""
     if len(set(labels.tolist())) < 2:
@@ -122,38 +156,10 @@ def fit(texts: list[bytes], labels: np.ndarray, filters: int = 16, units: int =
         order = g.permutation(len(texts))
         for s in range(0, len(order), batch):
             pick = order[s : s + batch]
-            x, blocks, sizes = lay_out([crop(texts[i], labels[i], g) for i in pick])
-            y = labels[pick].astype(np.float32)
-            n = len(x) - WIDTH
-            r = net.taps[0].take(x[:n], 0)
-            for k in range(1, WIDTH):
-                r += net.taps[k].take(x[k : n + k], 0)
-            r[outside(blocks, sizes)] = -1e9
-            r = r.reshape(-1, BLOCK, filters)
-            arg = r.argmax(1)
-            top = np.take_along_axis(r, arg[:, None], 1)[:, 0]
-            at, after, chunk, start, count, vec = net.pool(top, blocks, sizes)
-            h, p = net.head(vec)
-            d = (p - y) / len(pick)
-            g_out, g_ob = h.T @ d, np.array([d.sum()], np.float32)
-            dh = np.outer(d, net.out) * (h > 0)
-            g_hid, g_hb = vec.T @ dh, dh.sum(0)
-            dv = dh @ net.hidden.T
-            owner = np.repeat(np.arange(len(pick)), count)
-            dc = dv[owner, filters : 2 * filters] / count[owner][:, None]
-            for lo, ext in ((0, np.maximum.reduceat(chunk, start)), (2 * filters, np.minimum.reduceat(chunk, start))):
-                same = chunk == ext[owner]
-                dc += dv[owner, lo : lo + filters] * same / np.add.reduceat(same, start, dtype=np.float32)[owner]
-            dc *= chunk > 0
-            src = np.where(top[at] >= top[after], at[:, None], after[:, None])
-            pos = src * BLOCK + np.take_along_axis(arg, src, 0)
-            g_taps, cols = np.zeros_like(net.taps), np.broadcast_to(np.arange(filters), pos.shape)
-            for k in range(WIDTH):
-                np.add.at(g_taps[k], (x[pos + k], cols), dc)
-            g_taps[:, 0] = 0
+            grads = gradients(net, [crop(texts[i], labels[i], g) for i in pick], labels[pick].astype(np.float32))
             t += 1
             step = rate * min(1.0, 2.0 * (1 - (t - 1) / steps))
-            for i, grad in enumerate((g_taps, dc.sum(0), g_hid, g_hb, g_out, g_ob)):
+            for i, grad in enumerate(grads):
                 m[i] = 0.9 * m[i] + 0.1 * grad
                 v[i] = 0.999 * v[i] + 0.001 * grad * grad
                 parts[i] -= (step * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
