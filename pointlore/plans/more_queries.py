@@ -102,6 +102,72 @@ def p06_correlation_pairs(spark, d):
     return P.correlation_pairs(profiles(spark, d), e).select("id_1", "id_2", "structure_1", "structure_2", r6("r").alias("r"))
 
 
+@query(f"WITH {POINTS_VEC} SELECT cell_id, mode AS seed, count(*) AS n, round(sum(x), 4) + 0.0 AS sx FROM points GROUP BY ALL")
+def a02_read_point_files(spark, d):
+    """Simulated positions: a file for every cell, its name ending in the cell, its keys the seeds; files of another rule and inverted ones are left out."""
+    folder = shared_path(spark, "files")
+    p = points_vec(spark, d)
+    xyz = F.transform(F.sort_array(F.collect_list(F.struct("point_id", F.array("x", "y", "z").alias("v")))), lambda s: s["v"])  # points of one cell and mode
+    cell = p.groupBy("mode", "cell_id").agg(xyz.alias("pts")).groupBy("cell_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("mode", F.create_map(F.lit("dot"), F.col("pts")))))).alias("value"))
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for k, rule in enumerate(("near", "near_invert", "far")):
+        cell.write.partitionBy("cell_id").text(f"{folder}/{rule}")
+        fs = name(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for part in fs.globStatus(name(f"{folder}/{rule}/cell_id=*/part-*")):
+            own = part.getPath().getParent().getName().removeprefix("cell_id=")
+            fs.rename(part.getPath(), name(f"{folder}/positions_{rule}_{own}.json"))
+    got = A.read_point_files(spark, folder, "near", "dot")
+    return got.groupBy("cell_id", "seed").agg(F.count("*").alias("n"), (F.round(F.sum("x"), 4) + 0.0).alias("sx"))
+
+
+@query("SELECT column_name AS \"column\", CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE lower(column_type) END AS type, CASE column_name WHEN 's_name' THEN 'name of the supplier' ELSE '' END AS description FROM (DESCRIBE SELECT * FROM supplier)")
+def k08_column_metadata(spark, d):
+    from ..operators import catalog as K
+
+    return K.column_metadata(table(spark, d, "supplier"), {"s_name": "name of the supplier"})
+
+
+THREE = ["2-HIGH", "3-MEDIUM", "5-LOW"]
+
+
+def _three_sql() -> str:
+    """Non-negative least squares of three columns by trying every set of columns, each solved in closed form."""
+    g = lambda p, q: f"g{min(p, q)}{max(p, q)}"
+    tries = ["SELECT measure, 0.0::DOUBLE AS c0, 0.0::DOUBLE AS c1, 0.0::DOUBLE AS c2 FROM su"]
+    for p in range(3):
+        tries.append(f"SELECT measure, {', '.join((f'r{p} / {g(p, p)}' if j == p else '0') + f' AS c{j}' for j in range(3))} FROM su")
+    for p, q in ((0, 1), (0, 2), (1, 2)):
+        det = f"({g(p, p)} * {g(q, q)} - {g(p, q)} * {g(p, q)})"
+        one = {p: f"(r{p} * {g(q, q)} - r{q} * {g(p, q)}) / {det}", q: f"(r{q} * {g(p, p)} - r{p} * {g(p, q)}) / {det}"}
+        tries.append(f"SELECT measure, {', '.join(one.get(j, '0') + f' AS c{j}' for j in range(3))} FROM su")
+    rows = [[g(i, j) for j in range(3)] for i in range(3)]
+    det3 = lambda m: f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
+    put = lambda k: [[f"r{i}" if j == k else rows[i][j] for j in range(3)] for i in range(3)]
+    tries.append(f"SELECT measure, {', '.join(f'{det3(put(k))} / {det3(rows)} AS c{k}' for k in range(3))} FROM su")
+    rss = "bb - 2 * (c0 * r0 + c1 * r1 + c2 * r2) + " + " + ".join(f"c{p} * c{q} * {g(p, q)}" for p in range(3) for q in range(3))
+    sums = ", ".join([f"sum(a{p} * a{q}) AS {g(p, q)}" for p in range(3) for q in range(p, 3)] + [f"sum(a{p} * b) AS r{p}" for p in range(3)])
+    return f"""WITH {SAMPLES_ORDERS}, {grid_sql('measure', w=20.0)}, {hist_sql('measure, mode, cell_id', 'measure', 20.0)}, oc AS (SELECT measure, mode, cell_id, i, y / sum(y) OVER (PARTITION BY measure, mode, cell_id) AS y FROM hist),
+me AS (SELECT measure, mode, i, avg(y) AS y FROM oc GROUP BY ALL), wide AS (SELECT measure, i, {', '.join(f"max(y) FILTER (mode = '{m}') AS a{j}" for j, m in enumerate(THREE))}, max(y) FILTER (mode = '1-URGENT') AS b FROM me GROUP BY ALL),
+su AS (SELECT measure, {sums}, sum(b * b) AS bb FROM wide GROUP BY 1), tries AS ({' UNION ALL '.join(tries)}),
+best AS (SELECT measure, arg_min(c0, rss) AS c0, arg_min(c1, rss) AS c1, arg_min(c2, rss) AS c2 FROM (SELECT t.*, {rss} AS rss FROM tries t JOIN su USING (measure) WHERE c0 >= 0 AND c1 >= 0 AND c2 >= 0) GROUP BY 1)
+SELECT scope, m AS mode, round(CASE k WHEN 0 THEN c0 WHEN 1 THEN c1 ELSE c2 END, 4) + 0.0 AS coef FROM best, (VALUES {', '.join(f"({k}, '{m}')" for k, m in enumerate(THREE))}) v(k, m), (SELECT unnest([measure, 'joint']) AS scope FROM best)"""
+
+
+@query(_three_sql())
+def h04_fit_three_modes(spark, d):
+    """Three columns: the solver for more than two. One measure, so the joint fit is the same."""
+    from pyspark.sql import Window
+
+    s = samples_orders(spark, d)
+    h = D.histogram(s, D.r_grid(s, ["measure"], bin_width=20.0), ["measure", "mode", "cell_id"], ["measure"], 20.0)
+    occ = h.withColumn("occupancy", F.col("y") / F.sum("y").over(Window.partitionBy("measure", "mode", "cell_id")))
+    comb = occ.groupBy("measure", "mode", "i").agg(F.max("x").alias("x"), F.avg("occupancy").alias("occupancy"))
+    grid = H.baseline_grid(comb, "1-URGENT")
+    target = comb.filter("mode = '1-URGENT'").select("measure", "i", F.col("occupancy").alias("b"))
+    coefs, _ = H.fit_mixture(target, H.design(comb, grid, THREE), THREE, [])
+    return coefs.select("scope", "mode", (F.round("coef", 4) + 0.0).alias("coef"))
+
+
 # SQL for queries registered elsewhere, with the helpers of this module.
 ORACLE_SQL["g10_occupancy_kde"] = f"""WITH {SAMPLES_ORDERS}, av AS (SELECT measure, cell_id, value FROM samples), tp AS (SELECT measure, cell_id, max(value) AS top, quantile_cont(value, 0.95) AS p95 FROM av GROUP BY ALL),
 e AS (SELECT measure, quantile_cont(top, 1.0) AS x1 FROM tp GROUP BY 1), kg AS (SELECT measure, cell_id, i::INT AS i, i * (x1 / 49) AS x FROM e JOIN tp USING (measure), range(50) r(i)),
