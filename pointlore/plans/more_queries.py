@@ -178,3 +178,10 @@ ORACLE_SQL["d13_joint_curves"] = f"""WITH {SAMPLES_ITEMS}, {grid_sql('measure',
 no AS (SELECT measure, row_number() OVER (ORDER BY measure) - 1 AS no FROM (SELECT DISTINCT measure FROM samples))
 SELECT a.mode, a.cell_id, a.seed, (no * 40 + j)::INT AS i, round(no + j / 39.0::DOUBLE, 6) + 0.0 AS x, round(a.y + (b.y - a.y) * (t - k), 6) + 0.0 AS y
 FROM t JOIN curve a ON a.i = k JOIN curve b ON b.measure = a.measure AND b.mode = a.mode AND b.cell_id = a.cell_id AND b.seed = a.seed AND b.i = k + 1 JOIN no ON no.measure = a.measure"""
+
+ORACLE_SQL["q02_occupancy_analysis"] = ORACLE_SQL["f05_occupancy_emd"].split(" SELECT p.*, round(emd, 5)")[0] + " SELECT measure, mode_1, mode_2, round(avg(emd), 5) + 0.0 AS mean_emd FROM walk GROUP BY ALL"
+
+_DISTANCES = f"""WITH {POINTS_VEC}, {CELLS_VEC}, samples AS (SELECT 'pairwise' AS measure, a.mode, a.cell_id, '0' AS seed, {DIST} AS value FROM points a JOIN points b ON {G3} AND a.point_id < b.point_id
+UNION ALL SELECT 'nearest', mode, cell_id, '0', v FROM (SELECT a.mode, a.cell_id, a.point_id, min({DIST}) AS v FROM points a JOIN points b ON {G3} AND a.point_id <> b.point_id GROUP BY ALL)
+UNION ALL SELECT 'z', mode, cell_id, '0', abs(z - mem_z_min) FROM points JOIN cells USING (cell_id)),"""
+ORACLE_SQL["q01_distance_analysis"] = ORACLE_SQL["f09_emd_summary"].replace(f"WITH {SAMPLES_ORDERS},", _DISTANCES)

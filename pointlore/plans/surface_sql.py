@@ -70,3 +70,9 @@ r4 AS (SELECT *, {_dot('s', 'h')} / det AS u, {_dot('r', 'k')} / det AS v, {_dot
 r5 AS (SELECT point_id, within, around, min(t) FILTER (u >= -1e-9 AND v >= -1e-9 AND u + v <= 1 + 1e-9 AND t > 1e-9) AS t, max({_dot('r', 'r')}) AS l FROM r4 GROUP BY ALL),
 r6 AS (SELECT point_id, CASE WHEN NOT within AND around AND sqrt(l) > 1e-8 THEN 1 / t END AS d FROM r5)
 SELECT point_id, round(CASE WHEN d >= 0 AND d <= 1 THEN d END, 6) + 0.0 AS scaled_distance FROM r6"""
+# The regular grid (step 4) of each cell's box, its points inside the membrane, and what is kept of them.
+ORACLE_SQL["c07_available_space"] = f"""WITH {POINTS_VEC}, {RADII}, {spheres('tri', 1)}, box AS (SELECT cell_id, ceil(radius) AS r, radius FROM rad),
+g AS (SELECT cell_id, row_number() OVER () AS point_id, -r + i * 4 AS x, -r + j * 4 AS y, -r + k * 4 AS z FROM box, range(60) a(i), range(60) b(j), range(60) c(k) WHERE -r + i * 4 < r + 2 AND -r + j * 4 < r + 2 AND -r + k * 4 < r + 2),
+{distances('far', 'g', 'tri')}, pair AS (SELECT m.cell_id, m.z, m.distance AS membrane, n.distance AS nucleus, radius {BOTH.replace('FROM far n JOIN', 'FROM far n JOIN rad USING (cell_id) JOIN')} AND m.distance > 0),
+l AS (SELECT cell_id, unnest(['membrane', 'nucleus', 'z', 'scaled_z']) AS measure, unnest([membrane, nucleus, CASE WHEN nucleus >= 0 THEN abs(z + radius) END, CASE WHEN nucleus >= 0 THEN abs(z + radius) / (2 * radius) END]) AS value FROM pair)
+SELECT measure, cell_id, count(*) AS n, round(avg(value), 5) + 0.0 AS mean FROM l WHERE value IS NOT NULL GROUP BY ALL"""
