@@ -21,7 +21,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from .common import maybe_in, stage, table, with_groups
@@ -142,12 +142,17 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def cells_of(pdf: pd.DataFrame):
+    """The rows of each root."""
+    return pdf.sort_values("root", kind="stable").groupby("root", sort=False)
+
+
 def jaccard_join(
     docs: DataFrame,
     similarity: float = 0.8,
     shingle: int = 5,
     leaf: int = 64,
-    depth: int = 5,
+    depth: int = 4,
     first_look: int = 3,
     miss: float = 1e-4,
     block: int = 512,
@@ -261,29 +266,37 @@ def find_pairs(nodes: DataFrame, similarity: float, leaf: int, depth: int, first
         rows, edges = nodes.select("nid", "sketch").mapInPandas(splitter(these, range(first_look)), "nid long, path long"), []
         for level in range(first_look, depth + 1):
             rows = stage(rows, f"join-level-{level}")
-            sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-            hit = stage(rows.join(sizes, "path"), f"join-hits-{level}")
+            sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.count(F.lit(1)).alias("weight")).filter("m > 1")
+            hit = stage(with_groups(rows, stage(sizes, f"join-sizes-{level}"), ["path"], "weight", rows.count()).filter("m is not null"), f"join-hits-{level}")
             group = hit.withColumn("g", F.col("nid")) if known is None else hit.join(known.withColumnRenamed("node", "nid"), "nid", "left").withColumn("g", F.coalesce("root", "nid"))
             told = group.groupBy("path", "m").agg(F.min("g").alias("g1"), F.max("g").alias("g2"), F.bit_xor(F.xxhash64("nid")).alias("xor")).filter("g1 <> g2")
             # Runs often find the same bucket again; one of each is enough.
-            once = told.groupBy("m", "g1", "g2", "xor").agg(F.min("path").alias("path")).select("path")
-            inside = stage(hit.join(once, "path"), f"join-buckets-{level}")
-            small, large = inside.filter(F.col("m") <= leaf), inside.filter(F.col("m") > leaf)
-            bucket = with_sketch(small).groupBy("path").agg(F.collect_list(entry).alias("bucket")).select("bucket")  # at most ``leaf`` entries
-            edges.append(stage(bucket.mapInPandas(compare, "a long, b long").distinct(), f"join-small-{level}"))
-            # In a large bucket every set is compared with one pivot; a bucket that is close to its pivot as a whole is done.
-            # Salted by the bucket's size, as all sets of a bucket meet its pivot.
-            salts = F.ceil(F.col("m") / F.lit(8 * block)).cast("int")
-            pivot = large.groupBy("path", "m").agg(F.min_by("nid", F.xxhash64("nid")).alias("pivot"))
-            pivot = pivot.join(nodes.select(F.col("nid").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch")), "pivot").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("m")
-            salted = with_sketch(large).withColumn("salt", F.pmod(F.xxhash64("nid"), salts).cast("int"))
-            stars = stage(salted.join(pivot, ["path", "salt"]).mapInPandas(star, "path long, nid long, m long, pivot long, near boolean"), f"join-stars-{level}")
-            edges.append(stars.filter("near and nid <> pivot").select(F.col("nid").alias("a"), F.col("pivot").alias("b")).distinct())
-            open_paths = stars.filter("not near").groupBy("path").agg(F.count(F.lit(1)).alias("far"))
-            open_rows = stage(stars.join(open_paths, "path"), f"join-open-{level}")
+            once = told.groupBy("m", "g1", "g2", "xor").agg(F.min("path").alias("path")).select("path", F.lit(True).alias("once"), F.col("m").alias("weight"))
+            inside = stage(with_groups(hit, stage(once, f"join-once-{level}"), ["path"], "weight", hit.count()).filter("once").drop("once"), f"join-buckets-{level}")
+            is_small = F.col("m") <= leaf
+            some = inside.agg(F.max(is_small).alias("small"), F.max(~is_small).alias("large")).first()
+            full = with_sketch(inside)
+            if some["small"] and some["large"]:
+                full = stage(full, f"join-sketches-{level}")
+            if some["small"]:
+                bucket = full.filter(is_small).groupBy("path").agg(F.collect_list(entry).alias("bucket")).select("bucket")  # at most ``leaf`` entries
+                edges.append(stage(bucket.mapInPandas(compare, "a long, b long").distinct(), f"join-small-{level}"))
+            open_rows = None
+            if some["large"]:
+                # In a large bucket every set is compared with one pivot; a bucket that is close to its pivot as a whole is done.
+                # Salted by the bucket's size, as all sets of a bucket meet its pivot.
+                large, salts = inside.filter(~is_small), F.ceil(F.col("m") / F.lit(8 * block)).cast("int")
+                pivot = large.groupBy("path", "m").agg(F.min_by("nid", F.xxhash64("nid")).alias("pivot"))
+                pivot = pivot.join(nodes.select(F.col("nid").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch")), "pivot").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("m")
+                salted = full.filter(~is_small).withColumn("salt", F.pmod(F.xxhash64("nid"), salts).cast("int"))
+                stars = stage(salted.join(pivot, ["path", "salt"]).mapInPandas(star, "path long, nid long, m long, pivot long, near boolean"), f"join-stars-{level}")
+                edges.append(stars.filter("near and nid <> pivot").select(F.col("nid").alias("a"), F.col("pivot").alias("b")).distinct())
+                open_paths = stars.filter("not near").groupBy("path").agg(F.count(F.lit(1)).alias("far"))
+                open_rows = stage(stars.join(open_paths, "path"), f"join-open-{level}")
             if trace is not None:
-                trace.append((level, small.select("path").distinct().count(), large.select("path").distinct().count(), open_paths.count()))
-            if open_rows.isEmpty():
+                n_open = open_rows.select("path").distinct().count() if open_rows is not None else 0
+                trace.append((level, inside.filter(is_small).select("path").distinct().count(), inside.filter(~is_small).select("path").distinct().count(), n_open))
+            if open_rows is None or open_rows.isEmpty():
                 return edges
             if level < depth:
                 rows = with_sketch(open_rows.select("path", "nid")).mapInPandas(splitter(None, range(level, level + 1)), "nid long, path long")
@@ -297,7 +310,8 @@ def find_pairs(nodes: DataFrame, similarity: float, leaf: int, depth: int, first
         return [*edges, pairs.mapInPandas(compare, "a long, b long").distinct()]
 
     def all_of(found: list[DataFrame]) -> DataFrame:
-        out = found[0]
+        out = nodes.sparkSession.createDataFrame([], "a long, b long")
+        found = [out, *found]
         for more in found[1:]:
             out = out.unionByName(more)
         return out
@@ -307,9 +321,7 @@ def find_pairs(nodes: DataFrame, similarity: float, leaf: int, depth: int, first
     first = min(2, runs)
     edges = stage(all_of(search(range(first), None)), "join-edges")
     if runs > first:
-        # One hop is enough to know most of what is connected.
-        hop = edges.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("root"))
-        edges = edges.unionByName(all_of(search(range(first, runs), hop)))
+        edges = edges.unionByName(all_of(search(range(first, runs), stage(components(edges), "join-known"))))
     return edges
 
 
@@ -322,33 +334,44 @@ def exact_classes(full: DataFrame, similarity: float, block: int, block_bytes: i
     Without o that is a count of w in order: no pairs. Only sets with w beyond half of the bound can need an o, and
     only they meet the other sets' differences, block by block.
     """
-    pivots = full.filter("nid = pivot").select("root", F.col("items").alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("own"))
+    columns = ["root", "node", "copies", "parts", "own", "pivot", "nid"]
 
-    def differ(sets: pd.DataFrame, pivot: pd.DataFrame) -> pd.DataFrame:
-        p = np.frombuffer(pivot["p"].iloc[0], np.uint64)
+    def from_pivot(sets: pd.DataFrame, p: np.ndarray) -> pd.DataFrame:
         rows = []
         for x in sets["items"]:
             x = np.frombuffer(x, np.uint64)
             d = np.setxor1d(x, p, assume_unique=True)
             adds = (len(d) + len(x) - len(p)) // 2
             rows.append((len(p), len(d) - adds, adds, d.tobytes()))
-        out = pd.DataFrame(rows, columns=["n_pivot", "lacks", "adds", "diff"])
-        return pd.concat([sets[["root", "node", "copies", "parts", "own", "pivot", "nid"]].reset_index(drop=True), out], axis=1)
-
-    about = "root long, node binary, copies long, parts int, own int, pivot long, nid long, n_pivot long, lacks long, adds long"
-    diffs = stage(full.groupBy("root", "own").cogroup(pivots.groupBy("root", "own")).applyInPandas(differ, f"{about}, diff binary"), "join-diffs")
-
-    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links that need no o, for every (lacks, adds) of a cell."""
-        w = pdf["lacks"].to_numpy() + similarity * pdf["adds"].to_numpy()
-        bound = (1 - similarity) * pdf["n_pivot"].iloc[0] + 1e-9
-        by = np.argsort(w)
-        total = np.concatenate(([0], np.cumsum(pdf["n"].to_numpy()[by])))
-        return pdf[["root", "parts", "lacks", "adds"]].assign(plain=total[np.searchsorted(w[by], bound - w, "right")], itself=2 * w <= bound, far=(2 * w > bound) & (w + w.max() > bound), alone=w > bound)
+        return pd.concat([sets[columns].reset_index(drop=True), pd.DataFrame(rows, columns=["n_pivot", "lacks", "adds", "diff"])], axis=1)
 
+    def differ(sets: pd.DataFrame, pivot: pd.DataFrame) -> pd.DataFrame:
+        return from_pivot(sets, np.frombuffer(pivot["p"].iloc[0], np.uint64))
+
+    def differ_cells(sets: pd.DataFrame) -> pd.DataFrame:
+        """Whole cells, many in a group."""
+        return pd.concat([from_pivot(c, np.frombuffer(c["items"][c["nid"] == c["pivot"]].iloc[0], np.uint64)) for _, c in cells_of(sets)])
+
+    about = "root long, node binary, copies long, parts int, own int, pivot long, nid long, n_pivot long, lacks long, adds long, diff binary"
+    # Cells of one part are dealt out to lots of bounded size; a larger cell is a group for each part, and each gets the pivot.
+    lots = lambda rows, size: max(1, -(-(rows.agg(F.sum(F.octet_length(size))).first()[0] or 0) // (block_bytes // 4)))
+    whole, cut = full.filter("parts = 1"), full.filter("parts > 1")
+    lot = F.pmod(F.xxhash64("root"), F.lit(lots(whole, "items"))).alias("lot")
+    pivots = cut.filter("nid = pivot").select("root", F.col("items").alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("own"))
+    diffs = whole.groupBy(lot).applyInPandas(differ_cells, about).unionByName(cut.groupBy("root", "own").cogroup(pivots.groupBy("root", "own")).applyInPandas(differ, about))
+    diffs = stage(diffs, "join-diffs")
+
+    # Links that need no o, for every (lacks, adds) of a cell: how many w' are within the bound less w. A running count in order.
     counted = diffs.groupBy("root", "parts", "n_pivot", "lacks", "adds").agg(F.sum("copies").alias("n"))
-    ranks = counted.groupBy("root").applyInPandas(rank, "root long, parts int, lacks long, adds long, plain long, itself boolean, far boolean, alone boolean")
-    ranks = ranks.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    w, bound = F.col("lacks") + similarity * F.col("adds"), (1 - similarity) * F.col("n_pivot") + 1e-9
+    counted = stage(counted.withColumn("w", w).withColumn("bound", bound), "join-counts")
+    points = counted.select("root", F.col("w").alias("at"), F.lit(0).alias("asks"), "n", "w")
+    asks = counted.select("root", (F.col("bound") - F.col("w")).alias("at"), F.lit(1).alias("asks"), F.lit(0).cast("long").alias("n"), "w", "parts", "lacks", "adds", "bound")
+    by = W.partitionBy("root")
+    so_far = F.sum("n").over(by.orderBy("at", "asks").rowsBetween(W.unboundedPreceding, 0))
+    ranks = points.unionByName(asks, allowMissingColumns=True).withColumn("plain", so_far).withColumn("most", F.max("w").over(by)).filter("asks = 1")
+    far = (2 * F.col("w") > F.col("bound")) & (F.col("w") + F.col("most") > F.col("bound"))
+    ranks = ranks.select("root", "lacks", "adds", "plain", (2 * F.col("w") <= F.col("bound")).alias("itself"), far.alias("far"), (F.col("w") > F.col("bound")).alias("alone"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("own"))
     known = stage(diffs.join(ranks, ["root", "own", "lacks", "adds"]).withColumn("links", F.col("plain") - F.when(F.col("itself"), F.col("copies")).otherwise(0)), "join-ranks")
 
     # Far sets and all sets of their cells, in blocks.
@@ -357,12 +380,15 @@ def exact_classes(full: DataFrame, similarity: float, block: int, block_bytes: i
     part = lambda n, b: F.greatest(F.ceil(F.col(n) / F.lit(block)), F.ceil(F.col(b) / F.lit(block_bytes))).cast("int")
     wide = stage(wide.select("root", part("far_m", "far_b").alias("ni"), part("m", "b").alias("nj"), "m"), "join-wide")
     laid = with_groups(known, wide, ["root"], "m", total).filter("ni is not null")
-    columns = ["root", "i", "j", "asks", "node", "copies", "far", "n_pivot", "lacks", "adds", "diff"]
+    columns = ["root", "i", "j", "asks", "node", "copies", "far", "n_pivot", "lacks", "adds", "diff", "ni", "nj"]
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = laid.filter("far").withColumn("i", own("ni")).withColumn("j", spread("nj")).withColumn("asks", F.lit(True)).select(*columns)
     asked = laid.withColumn("j", own("nj")).withColumn("i", spread("ni")).withColumn("asks", F.lit(False)).select(*columns)
 
+    def meet_cells(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([meet(c) for _, c in cells_of(pdf)])
+
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         f, a = pdf[pdf["asks"]].reset_index(drop=True), pdf[~pdf["asks"]].reset_index(drop=True)
         if not len(f) or not len(a):
@@ -381,7 +407,11 @@ def exact_classes(full: DataFrame, similarity: float, block: int, block_bytes: i
         links = np.concatenate((more @ a["copies"].to_numpy(), np.where(a["far"].to_numpy(bool), 0, f["copies"].to_numpy() @ more)))
         return pd.DataFrame({"node": node, "links": links.astype(np.int64), "to": node[root]})
 
-    met = stage(asking.unionByName(asked).groupBy("root", "i", "j").applyInPandas(meet, "node binary, links long, to binary"), "join-met")
+    sides = asking.unionByName(asked)
+    lone = sides.filter("ni = 1 and nj = 1")
+    lot = F.pmod(F.xxhash64("root"), F.lit(lots(lone, "diff"))).alias("lot")
+    found = "node binary, links long, to binary"
+    met = stage(lone.groupBy(lot).applyInPandas(meet_cells, found).unionByName(sides.filter("ni > 1 or nj > 1").groupBy("root", "i", "j").applyInPandas(meet, found)), "join-met")
     more = met.groupBy("node").agg(F.sum("links").alias("more"))
     sizes = known.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.max(F.when(F.col("nid") == F.col("pivot"), F.col("node"))).alias("pivot_node"))
     sizes = sizes.join(wide.select("root", F.lit(True).alias("mixed")), "root", "left")
