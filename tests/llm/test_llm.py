@@ -592,6 +592,19 @@ def test_warc_round_trip(spark, tmp_path):
     warc.write_archives(pages.limit(0), str(tmp_path / "e"))
 
 
+def test_warc_of_clashing_columns_and_no_rows(spark, tmp_path):
+    rows = [(1, "u", "same", "h", 3, 9), (2, "u", "same", "h", 3, 9), (2, "v", "same", "h", 3, 9), (None, "u", "same", "h", 3, 9), (3, "u", "b" * 99, "h", 3, 9), (4, "u", "b" * 99, "h", 3, 9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, sha string, n int, head int")
+    warc.write_archives(pages, str(tmp_path / "a"), revisit_from=10)
+    got = collections.Counter((r["record_id"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, str(tmp_path / "a")).collect())
+    assert got == {(1, "response", None): 1, (2, "response", None): 2, (None, "response", None): 1, (3, "revisit", 4): 1, (4, "response", None): 1}
+    warc.write_archives(pages, str(tmp_path / "b"))
+    got = collections.Counter((r["record_id"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, str(tmp_path / "b")).collect())
+    assert got == {(1, "revisit", 2): 1, (2, "response", None): 2, (None, "revisit", 2): 1, (3, "revisit", 4): 1, (4, "response", None): 1}
+    warc.write_archives(pages.limit(0), str(tmp_path / "c"))
+    assert warc.read_archives(spark, str(tmp_path / "c")).count() == 0
+
+
 # --- contamination -----------------------------------------------------------------------------------
 
 
@@ -736,7 +749,7 @@ def test_quality_learns_and_covers_the_whole_text(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows] + [(None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
     docs = docs_of(spark, [(i, t, "s") for i, t in rows])
     net = quality.fit_on(docs, labels)
-    late = docs_of(spark, [(1000, good(3000) + " " + bad(3000), "s"), (1001, good(6000), "s"), (1002, "", "s"), (1003, None, "s"), (None, good(30), "s")])
+    late = docs_of(spark, [(1004, good(200_000), "s"), (1000, good(3000) + " " + bad(3000), "s"), (1001, good(6000), "s"), (1002, "", "s"), (1003, None, "s"), (None, good(30), "s")])
     scored = quality.score_quality(docs.unionByName(late), net)
     by = {r["doc_id"]: r for r in scored.collect()}
     right = sum(by[i]["predicted"] == i % 2 for i, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2)
@@ -860,10 +873,17 @@ def test_pipeline(spark):
             assert all(brute_hits(r["text"], items)[1] == 0 for r in docs.collect())
     assert sizes[0] > sizes[1] > sizes[2] > sizes[3]
     assert P.STAGES[-1][1](spark, docs, DATA).count() == sizes[-1]
-    for name in ("near_duplicates", "mix"):
-        got = dict(P.STAGES)[name](spark, nasty(spark), DATA)
-        assert got.columns == nasty(spark).columns and got.count() > 0
-        assert dict(P.STAGES)[name](spark, empty(spark), DATA).count() == 0
+
+
+def test_pipeline_stages_take_anything(spark):
+    import corpus_pipeline as P
+
+    for name, step in P.STAGES[:-1]:
+        got = step(spark, nasty(spark), DATA)
+        assert got.columns == nasty(spark).columns and got.count() > 0, name
+        assert step(spark, empty(spark), DATA).count() == 0, name
+    shard = P.STAGES[-1][1]
+    assert shard(spark, nasty(spark), DATA).count() == len(NASTY) and shard(spark, empty(spark), DATA).count() == 0
 
 
 def test_pipeline_decides_row_by_row(spark):
