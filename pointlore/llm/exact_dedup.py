@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_in, probably_in, stage, table
+from .common import maybe_in, probably_in, stage, table, with_groups
 
 
 def rice_encode(values: np.ndarray, bits: int) -> bytes:
@@ -124,11 +124,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     one = groups.groupBy("key", "sha", "len").agg(F.max("n").alias("n"), F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("two texts share a SHA-256"))).alias("bad"))
     # Of rows that share the largest id the last one stays.
     head = told.filter("suspect").groupBy("sha", "len").agg(F.max(F.struct("doc_id", "row")).alias("head"))
-    known = one.filter("bad is null").join(head, ["sha", "len"]).select("sha", "len", "n", F.col("head.doc_id").alias("keep_id"), F.col("head.row").alias("keep_row"))
+    known = one.filter("bad is null").join(head, ["sha", "len"]).select("sha", "len", "n", F.col("n").alias("rows"), F.col("head.doc_id").alias("keep_id"), F.col("head.row").alias("keep_row"))
     out = ["doc_id", "keep_id", "n", "kept", "sha"]
     # Rows that are no suspects never move.
     alone = told.filter("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("kept"), "sha")
-    joined = told.filter("suspect").join(known, ["sha", "len"], "left")
+    joined = with_groups(told.filter("suspect"), stage(known, "dedup-groups"), ["sha", "len"], "rows", total)
     single = F.col("n").isNull()
     copies = joined.select("doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("n"), (single | (F.col("row") == F.col("keep_row"))).alias("kept"), "sha")
     every = alone.select(*out).unionByName(copies.select(*out))
