@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_in, probably_in, shared_dir, stage, table
+from .common import maybe_in, probably_in, shared_dir, stage, table, with_groups
 
 SKIPPABLE, SEEK_SKIPPABLE, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, b"\xb1\xea\x92\x8f"
 #: Spark has no sink for plain binary files. A bundle is the one line of a text file in ISO-8859-1, which the writer copies byte
@@ -128,7 +128,7 @@ def write_archives(
     rows = pages.select(rid.cast("long").alias("rid"), url.cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha"), F.octet_length(payload).alias("n"))
     digests = stage(rows.select("rid", "sha", "n"), "warc-digests")
     heads = digests.filter(F.col("n") >= revisit_from).groupBy("sha", "n").agg(F.max("rid").alias("head"), F.count(F.lit(1)).alias("copies"))
-    heads = stage(heads.filter("copies > 1 and head is not null").select("sha", "n", "head"), "warc-heads")
+    heads = stage(heads.filter("copies > 1 and head is not null").select("sha", "n", "head", "copies"), "warc-heads")
     # Only rows whose payload probably occurs twice are joined with the heads, and of those only rows that may be a response
     # carry their payload along: the largest id of each payload, rows without an id and payloads below ``revisit_from``.
     key, own = F.xxhash64("sha", "n"), F.xxhash64("sha", "n", "rid")
@@ -138,7 +138,7 @@ def write_archives(
     alone = seen.filter("not twice").select("rid", "url", "sha", "n", F.lit(None).cast("long").alias("head"), "payload")
     held = probably_in(seen.filter("twice"), own, largest, "first")
     carried = F.when(F.col("first") | F.col("rid").isNull() | (F.col("n") < revisit_from), F.col("payload"))
-    known = held.select("rid", "url", "sha", "n", carried.alias("payload")).join(heads, ["sha", "n"], "left")
+    known = with_groups(held.select("rid", "url", "sha", "n", carried.alias("payload")), heads, ["sha", "n"], "copies", digests.count())
     revisit = F.col("head").isNotNull() & ~F.col("rid").eqNullSafe(F.col("head"))
     copies = known.select("rid", "url", "sha", "n", F.when(revisit, F.col("head")).alias("head"), F.when(~revisit, F.col("payload")).alias("payload"))
     ready = alone.unionByName(copies)
