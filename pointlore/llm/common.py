@@ -133,3 +133,17 @@ def probably_in(df: DataFrame, key: Column, keys: DataFrame, out: str, bits: int
 def maybe_in(df: DataFrame, key: Column, keys: DataFrame, bits: int = 27) -> DataFrame:
     """Rows of ``df`` whose long ``key`` may be among the longs of ``keys``: none of those is missed."""
     return probably_in(df, key, keys, "_hit", bits).filter("_hit").drop("_hit")
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[Column | str], label: str) -> DataFrame:
+    """``df`` with ``pos``, the place of each row within its keys by ``order`` (from 0), and ``n``, the rows of its keys.
+
+    Keys must not be null. Rows lie in ranges of (keys, order), written once; a range numbers its own rows and starts at the count of
+    the ranges before it, so that one key may fill any number of tasks. Rows that agree in ``order`` get places in any sequence.
+    """
+    laid = stage(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), label)
+    every, before = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    counts = laid.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    starts = counts.select(*keys, "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"), F.sum("_rows").over(every).alias("n"))
+    inside = W.partitionBy(*keys, "_range").orderBy(*order)
+    return laid.join(starts, [*keys, "_range"]).withColumn("pos", (F.col("_start") + F.row_number().over(inside) - 1).cast("long")).drop("_range", "_start")
