@@ -20,12 +20,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from .common import stage, table
-from .hashing import mix
+from .hashing import LOWER, mix
 
-BLANK = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BLANK = b" \t\n\x0b\x0c\r"
 NO_ID = (1 << 63) - 1  # a null id comes last
 
 
@@ -86,28 +86,65 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(BLANK)), UPPER, LOWER)
-
-
-def _hashes(key: Column) -> list[Column]:
-    return [F.xxhash64(key), F.xxhash64(F.lit("second"), key)]
-
-
 def _u64(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, np.uint64)
 
 
-def line_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, shard_keys: int = 1 << 18, shard_lines: int = 1 << 22) -> tuple[DataFrame, int]:
+def hash_lines(text: bytes, min_chars: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Two hashes of the key of each line that has at least ``min_chars`` code points, the numbers of these lines, and how many lines there are."""
+    lines = text.translate(LOWER).split(b"\n")
+    digests, at = [], []
+    for i, line in enumerate(lines):
+        if len(line) >= min_chars:
+            key = line.strip(BLANK)
+            # A code point has at most four bytes.
+            if len(key) >= 4 * min_chars or len(key) >= min_chars and len(key.decode("utf-8", "replace")) >= min_chars:
+                digests.append(xxh3_128_digest(key))
+                at.append(i)
+    return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2), np.array(at, np.uint32), len(lines)
+
+
+def _gathered(batches, columns: tuple[str, ...], min_chars: int, sender_lines: int):
+    """Documents of about ``sender_lines`` lines at a time: the named columns, hashes by line, document and number of each line."""
+    held, lines = [], 0
+
+    def together():
+        cols = {c: np.concatenate([h[0][c] for h in held]) for c in columns}
+        docs = [d for h in held for d in h[1]]
+        return cols, np.concatenate([d[0] for d in docs]), np.repeat(np.arange(len(docs), dtype=np.uint32), [len(d[1]) for d in docs]), np.concatenate([d[1] for d in docs])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        docs = [hash_lines(t.as_py(), min_chars) for t in batch.column("text")]
+        held.append(({c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns}, docs))
+        lines += sum(d[2] for d in docs)
+        if lines >= sender_lines:
+            yield together()
+            held, lines = [], 0
+    if held:
+        yield together()
+
+
+def line_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, shard_keys: int = 1 << 18, shard_lines: int = 1 << 22, sender_lines: int = 1 << 20) -> tuple[DataFrame, int]:
     """The index and its number of shards. Index: shard, sizes, bits (the perfect hash), prints, counts, owners (arrays by place).
 
     A shard has about ``shard_keys`` repeated keys and answers for about ``shard_lines`` of the lines of ``docs``.
     """
-    lines = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.explode(_lines(_whole(text_col))).alias("line"))
-    keyed = lines.select("id", _key(F.col("line")).alias("key")).filter(F.char_length("key") >= min_chars)
-    a, b = _hashes(F.col("key"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("owner", pa.int64()), ("last", pa.int64()), ("n", pa.int64())])
+
+    def keys(batches):
+        for cols, hashes, doc_at, _ in _gathered(batches, ("id",), min_chars, sender_lines):
+            if len(hashes):
+                order = np.lexsort((hashes[:, 1], hashes[:, 0]))
+                a, b, ids = hashes[order, 0], hashes[order, 1], cols["id"][doc_at[order]]
+                start = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+                n = np.diff(np.append(start, len(a)))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[start].view(np.int64), b[start].view(np.int64), np.minimum.reduceat(ids, start), np.maximum.reduceat(ids, start), n)], schema=schema)
+
+    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), _whole(text_col).cast("binary").alias("text"))
     seen = Observation()
-    found = keyed.select("id", a.alias("a"), b.alias("b")).groupBy("a", "b").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
+    found = plain.mapInArrow(keys, "a long, b long, owner long, last long, n long").groupBy("a", "b").agg(F.min("owner").alias("owner"), F.max("last").alias("last"), F.sum("n").alias("n"))
     repeated = stage(found.observe(seen, F.sum("n").alias("lines")).filter("owner < last").drop("last"), "line-keys")
     shards = max(1, -(-repeated.count() // shard_keys), -(-(seen.get["lines"] or 0) // shard_lines))
 
@@ -123,42 +160,26 @@ def line_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return stage(index, "line-index"), shards
 
 
-def _packer(shards: int, sender_lines: int):
-    """Arrow batches of documents (id, print, size, a, b; a and b by line, 0 for short ones) to rows for shards and one row for the sender itself."""
+def _packer(shards: int, min_chars: int, sender_lines: int):
+    """Arrow batches of documents (id, print, length, text) to rows for the shards and one row for the sender itself."""
     schema = pa.schema([("sender", pa.string()), ("shard", pa.int64()), ("start", pa.int64()), *[(c, pa.binary()) for c in ("a", "b", "ids", "prints", "lengths", "doc_at", "line_at", "key_at")]])
 
-    def flush(held: list) -> pa.RecordBatch:
-        ids, prints, lengths, a, b, n = (np.concatenate([h[k] for h in held]) for k in range(6))
-        doc_at, line_at = np.repeat(np.arange(len(n), dtype=np.uint32), n), (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint32)
-        long_enough = (a != 0) | (b != 0)
-        a, b, doc_at, line_at = a[long_enough], b[long_enough], doc_at[long_enough], line_at[long_enough]
-        shard = np.mod(a, shards)
-        order = np.lexsort((b, a, shard))
-        a, b, shard = a[order], b[order], shard[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        key_at = np.empty(len(a), np.uint32)
-        key_at[order] = np.cumsum(new) - 1
-        a, b, shard = a[new], b[new], shard[new]
-        sender = uuid.uuid4().hex
-        rows = []
-        for s, start, count in zip(*np.unique(shard, return_index=True, return_counts=True)):
-            rows.append((sender, int(s), int(start), a[start : start + count].tobytes(), b[start : start + count].tobytes(), *[None] * 6))
-        rows.append((sender, -1, len(a), None, None, ids.tobytes(), prints.tobytes(), lengths.tobytes(), doc_at.tobytes(), line_at.tobytes(), key_at.tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
     def send(batches):
-        held, lines = [], 0
-        for batch in batches:
-            cols = {c: batch.column(c) for c in ("id", "print", "length", "a", "b")}
-            n = np.diff(cols["a"].offsets.to_numpy())
-            held.append([*[cols[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "print", "length")], *[cols[c].flatten().to_numpy(zero_copy_only=False) for c in "ab"], n])
-            lines += int(n.sum())
-            if lines >= sender_lines:
-                yield flush(held)
-                held, lines = [], 0
-        if held:
-            yield flush(held)
+        for cols, hashes, doc_at, line_at in _gathered(batches, ("id", "print", "length"), min_chars, sender_lines):
+            shard = np.mod(hashes[:, 0].view(np.int64), shards)
+            order = np.lexsort((hashes[:, 1], hashes[:, 0], shard))
+            a, b, shard = hashes[order, 0], hashes[order, 1], shard[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            key_at = np.empty(len(a), np.uint32)
+            key_at[order] = np.cumsum(new) - 1
+            a, b, shard = a[new], b[new], shard[new]
+            sender, rows = uuid.uuid4().hex, []
+            for s, start, count in zip(*np.unique(shard, return_index=True, return_counts=True)):
+                rows.append((sender, int(s), int(start), a[start : start + count].tobytes(), b[start : start + count].tobytes(), *[None] * 6))
+            own = (cols["id"], cols["print"], cols["length"], doc_at, line_at, key_at)
+            rows.append((sender, -1, len(a), None, None, *[x.tobytes() for x in own]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return send, "sender string, shard long, start long, a binary, b binary, ids binary, prints binary, lengths binary, doc_at binary, line_at binary, key_at binary"
 
@@ -199,14 +220,12 @@ def _decide(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, shard_keys: int = 1 << 18, shard_lines: int = 1 << 22, sender_lines: int = 1 << 20) -> DataFrame:
     """One row per row of ``docs``: the id, ``text`` without the lines that another document keeps, n_lines (before) and n_dropped."""
-    index, shards = line_index(docs, id_col, text_col, min_chars, shard_keys, shard_lines)
+    index, shards = line_index(docs, id_col, text_col, min_chars, shard_keys, shard_lines, sender_lines)
     # Rows of one id and text lose the same lines, so these three tell which decision is theirs.
     marked = docs.select(F.col(id_col).alias("given"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), _whole(text_col).alias("text"))
-    marked = marked.select("*", F.xxhash64("text").alias("print"), F.octet_length("text").alias("length"))
-    keys = F.transform(_lines(F.col("text")), _key)
-    either = lambda k: F.transform(keys, lambda x: F.when(F.char_length(x) >= min_chars, _hashes(x)[k]).otherwise(F.lit(0).cast("long")))
-    send, shape = _packer(shards, sender_lines)
-    sent = stage(marked.select("id", "print", "length", either(0).alias("a"), either(1).alias("b")).mapInArrow(send, shape), "line-senders")
+    marked = marked.select("*", F.xxhash64("text").alias("print"), F.octet_length("text").cast("long").alias("length"))
+    send, shape = _packer(shards, min_chars, sender_lines)
+    sent = stage(marked.select("id", "print", "length", F.col("text").cast("binary").alias("text")).mapInArrow(send, shape), "line-senders")
     replies = sent.filter("shard >= 0").select("shard", "sender", "start", "a", "b").groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_answer, "sender string, known binary, owners binary")
     own = sent.filter("shard < 0").select("sender", "start", "ids", "prints", "lengths", "doc_at", "line_at", "key_at")
     lost = own.groupBy("sender").cogroup(replies.groupBy("sender")).applyInPandas(_decide, "id long, print long, length long, drop array<boolean>")
