@@ -147,3 +147,17 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column | str], label: s
     starts = counts.select(*keys, "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"), F.sum("_rows").over(every).alias("n"))
     inside = W.partitionBy(*keys, "_range").orderBy(*order)
     return laid.join(starts, [*keys, "_range"]).withColumn("pos", (F.col("_start") + F.row_number().over(inside) - 1).cast("long")).drop("_range", "_start")
+
+
+#: DuckDB: crc_table (t), the 256 remainders of the checksum's polynomial.
+CRC32_TABLE_SQL = ", ".join(
+    ["crc_0 AS (SELECT i AS k, CAST(i AS BIGINT) AS v FROM range(256) r(i))"]
+    + [f"crc_{k + 1} AS (SELECT k, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM crc_{k})" for k in range(8)]
+    + ["crc_table AS (SELECT list(v ORDER BY k) AS t FROM crc_8)"]
+)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB: unsigned CRC-32 of an ASCII text, where crc_table is joined."""
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295)"

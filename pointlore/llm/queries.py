@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators, and SQL where it can express them."""
 
-from . import decontaminate, exact_dedup, jaccard_join, line_dedup, lm_score, mixing, pii, quality, secret_scan, sharding, warc
+from . import decontaminate, exact_dedup, jaccard_join, line_dedup, lm_score, merkle, mixing, pii, quality, secret_scan, sharding, warc
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_lm_score": lm_score.op8_lm_score,
     "op9_quality": quality.op9_quality,
     "op10_pii": pii.op10_pii,
+    "op11_merkle": merkle.op11_merkle,
     "op12_line_dedup": line_dedup.op12_line_dedup,
 }
 
@@ -21,5 +22,6 @@ ORACLE_SQL = {
     "op4_warc": warc.OP4_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
+    "op11_merkle": merkle.OP11_SQL,
     "op12_line_dedup": line_dedup.OP12_SQL,
 }
