@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators, and SQL where it can express them."""
 
-from . import decontaminate, exact_dedup, jaccard_join, line_dedup, lm_score, merkle, mixing, pii, quality, secret_scan, sharding, warc
+from . import conversation, decontaminate, exact_dedup, jaccard_join, line_dedup, lm_score, merkle, mixing, pii, quality, secret_scan, sharding, warc
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_pii": pii.op10_pii,
     "op11_merkle": merkle.op11_merkle,
     "op12_line_dedup": line_dedup.op12_line_dedup,
+    "op13_conversation": conversation.op13_conversation,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op11_merkle": merkle.OP11_SQL,
     "op12_line_dedup": line_dedup.OP12_SQL,
+    "op13_conversation": conversation.OP13_SQL,
 }
