@@ -126,7 +126,7 @@ def _gathered(batches, columns: tuple[str, ...], min_chars: int, sender_lines: i
         yield together()
 
 
-def line_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, shard_keys: int = 1 << 18, shard_lines: int = 1 << 22, sender_lines: int = 1 << 20) -> tuple[DataFrame, int]:
+def line_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, shard_keys: int = 1 << 18, shard_lines: int = 1 << 20, sender_lines: int = 1 << 20) -> tuple[DataFrame, int]:
     """The index and its number of shards. Index: shard, sizes, bits (the perfect hash), prints, counts, owners (arrays by place).
 
     A shard has about ``shard_keys`` repeated keys and answers for about ``shard_lines`` of the lines of ``docs``.
@@ -218,7 +218,7 @@ def _decide(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["id", "print", "length", "drop"])
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, shard_keys: int = 1 << 18, shard_lines: int = 1 << 22, sender_lines: int = 1 << 20) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, shard_keys: int = 1 << 18, shard_lines: int = 1 << 20, sender_lines: int = 1 << 20) -> DataFrame:
     """One row per row of ``docs``: the id, ``text`` without the lines that another document keeps, n_lines (before) and n_dropped."""
     index, shards = line_index(docs, id_col, text_col, min_chars, shard_keys, shard_lines, sender_lines)
     # Rows of one id and text lose the same lines, so these three tell which decision is theirs.
