@@ -1,5 +1,6 @@
 """Distribution functions and the tiny solver (U1-U3): Arrow UDFs over one row per test or fit, never per sample."""
 
+import functools
 import itertools
 import math
 from statistics import NormalDist
@@ -68,6 +69,52 @@ def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2)))
 
 
+@functools.lru_cache(maxsize=None)
+def _signed_rank_counts(n: int) -> tuple[list[int], list[int]]:
+    """In how many ways each sum, and each sum or less, arises from a subset of the ranks 1 .. n."""
+    counts = [1]
+    for rank in range(1, n + 1):
+        more = counts + [0] * rank
+        for i, c in enumerate(counts):
+            more[i + rank] += c
+        counts = more
+    return counts, list(itertools.accumulate(counts))
+
+
+@F.pandas_udf(DoubleType())
+def signed_rank_p_exact(w: pd.Series, n: pd.Series) -> pd.Series:
+    """Two-sided p-value of the lesser sum of ranks ``w`` of ``n`` (50 or fewer) untied differences; null where ``w`` is."""
+    return pd.Series([None if pd.isna(x) else min(1.0, 2 * _signed_rank_counts(int(k))[1][int(x)] / (1 << int(k))) for x, k in zip(w, n)], dtype="float64")
+
+
+def _rank_sum_tail(u: int, n: int, m: int) -> int:
+    """In how many of the orders of n and m untied values at most ``u`` pairs are the wrong way round, n <= m.
+
+    By the two-index recurrence over sizes, N(n, m, u) = N(n - 1, m, u - m) + N(n, m - 1, u), whose sum over m is a product: the
+    counts of n parts of at most m each. A part of k columns more is a running sum with stride k, the bound m takes shifted counts off.
+    """
+    top = u + 1
+    counts = np.zeros(top, dtype=object)
+    counts[0] = 1
+    for k in range(1, n + 1):
+        pad = -top % k
+        counts = np.cumsum(np.concatenate([counts, np.zeros(pad, dtype=object)]).reshape(-1, k), axis=0).ravel()[:top]
+        if m + k < top:
+            counts[m + k :] -= counts[: top - m - k].copy()
+    return int(counts.sum())
+
+
+@functools.lru_cache(maxsize=100_000)
+def _rank_sum_p(u: int, n: int, m: int) -> float:
+    return min(1.0, 2 * _rank_sum_tail(u, n, m) / math.comb(n + m, n))
+
+
+@F.pandas_udf(DoubleType())
+def rank_sum_p_exact(u: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    """Two-sided p-value of the lesser U of untied samples of ``n`` and ``m`` values; null where ``u`` is."""
+    return pd.Series([None if pd.isna(x) else _rank_sum_p(int(x), int(min(a, b)), int(max(a, b))) for x, a, b in zip(u, n, m)], dtype="float64")
+
+
 @F.pandas_udf(DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     return p.map(lambda x: None if pd.isna(x) else NormalDist().inv_cdf(min(max(x, 1e-300), 1 - 1e-16)))

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..functions.special import ks_p_asymptotic, ks_p_exact, normal_quantile, normal_two_sided, student_two_sided
+from ..functions.special import ks_p_asymptotic, ks_p_exact, normal_quantile, normal_two_sided, rank_sum_p_exact, signed_rank_p_exact, student_two_sided
 from ..model import KEYS
 from ..functions.storage import running_before
 from .expressions import support_label, valid_samples
@@ -152,6 +152,17 @@ def emd_means(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("measure", "mode_1", "mode_2").agg(F.avg("emd").alias("mean_emd"))
 
 
+def emd_by_cell(pairs: DataFrame, baseline: str) -> DataFrame:
+    """for each cell of the baseline and each other mode, the mean over that mode's samples."""
+    p = emd_vs_baseline(pairs, baseline)
+    return p.groupBy("measure", F.col("mode_1").alias("mode"), F.col("cell_id_2").alias("cell_id")).agg(F.avg("emd").alias("mean_emd"))
+
+
+def similar_fraction_means(boot: DataFrame) -> DataFrame:
+    """mean similar fraction of a mode in each measure and over all measures (measure null); absent experiments are skipped."""
+    return boot.groupingSets([["measure", "mode"], ["mode"]], "measure", "mode").agg(F.avg("similar_fraction").alias("similar_fraction"))
+
+
 def ks_means(ks: DataFrame) -> DataFrame:
     """F12"""
     return ks.groupBy("measure", "mode").agg(F.avg(F.col("similar").cast("double")).alias("similar_share"))
@@ -171,8 +182,18 @@ def cohens_d(df: DataFrame, side: str, a: str, b: str, value: str = "value", key
     return s.select(*keys, (d if signed else F.abs(d)).alias("d"))
 
 
+#: Fixed bounds of the exact tests: the smaller side of a rank-sum test, the pairs of a signed-rank test.
+EXACT_SIDE, EXACT_PAIRS = 8, 50
+#: Beyond so many sums to count the exact rank-sum distribution gives way to the normal one.
+EXACT_SUMS = 2_000_000
+
+
 def mann_whitney(df: DataFrame, side: str, a: str, b: str, value: str = "value", keys: list[str] | None = None) -> DataFrame:
-    """U of side a, two-sided p (normal, tie-corrected, continuity-corrected), rank-biserial correlation."""
+    """U of side a, two-sided p, rank-biserial correlation 1 - 2 U / (n1 n2).
+
+    p is counted exactly where nothing is tied and a side has at most ``EXACT_SIDE`` values; else it is normal, with corrections for
+    ties and continuity. A group that lacks a side has no p. z is the normal one in either case.
+    """
     keys = keys or ["_all"]
     d = df.filter(F.col(side).isin(a, b)).withColumn("_all", F.lit(0)) if keys == ["_all"] else df.filter(F.col(side).isin(a, b))
     # Equal values are one row with their counts; a tie has the mean of its ranks.
@@ -181,27 +202,41 @@ def mann_whitney(df: DataFrame, side: str, a: str, b: str, value: str = "value",
     rank, t = F.col("_before") + (F.col("_ties") + 1) / 2, F.col("_ties").cast("double")
     g = folded.groupBy(*keys).agg(F.sum(rank * F.col("_a")).alias("_r1"), F.sum("_a").cast("double").alias("_n1"), F.sum("_b").cast("double").alias("_n2"), F.sum(t * (t * t - 1)).alias("_t"))
     u = F.col("_r1") - F.col("_n1") * (F.col("_n1") + 1) / 2
-    n = F.col("_n1") + F.col("_n2")
-    sd = F.sqrt(F.col("_n1") * F.col("_n2") / 12 * (n + 1 - F.try_divide(F.col("_t"), n * (n - 1))))
-    big = F.greatest(F.col("u"), F.col("_n1") * F.col("_n2") - F.col("u"))
-    g = g.withColumn("u", u).withColumn("z", F.try_divide(big - F.col("_n1") * F.col("_n2") / 2 - 0.5, sd))
-    out = g.withColumn("p_value", F.least(F.lit(1.0), normal_two_sided(F.greatest("z", F.lit(0.0))))).withColumn("rank_biserial", 1 - F.try_divide(2 * F.col("u"), F.col("_n1") * F.col("_n2")))
+    n, both = F.col("_n1") + F.col("_n2"), F.col("_n1") * F.col("_n2")
+    sd = F.sqrt(both / 12 * (n + 1 - F.try_divide(F.col("_t"), n * (n - 1))))
+    g = g.withColumn("u", u).withColumn("z", F.try_divide(F.greatest(F.col("u"), both - F.col("u")) - both / 2 - 0.5, sd))
+    lesser = F.least(F.col("u"), both - F.col("u"))
+    exact = (F.col("_t") == 0) & (F.least("_n1", "_n2") <= EXACT_SIDE) & (lesser < EXACT_SUMS) & (both > 0)
+    g = g.withColumn("_exact", rank_sum_p_exact(F.when(exact, lesser), F.col("_n1"), F.col("_n2")))
+    normal = F.when(both > 0, F.least(F.lit(1.0), normal_two_sided(F.greatest("z", F.lit(0.0)))))
+    out = g.withColumn("p_value", F.coalesce("_exact", normal)).withColumn("rank_biserial", 1 - F.try_divide(2 * F.col("u"), both))
     return out.select(*[k for k in keys if k != "_all"], "u", "z", "p_value", "rank_biserial")
 
 
 def wilcoxon(pairs: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:
-    """signed ranks of the differences (zeros dropped), normal p, effect sign * Z / sqrt(n) with Z from p."""
+    """signed ranks of the differences a - b: the lesser sum, two-sided p, effect.
+
+    Zeros are dropped. p is counted exactly where there are at most ``EXACT_PAIRS`` pairs, no zeros and no ties among the differences;
+    else it is normal, corrected for ties. The effect is the normal quantile of 1 - p / 2 over the root of all pairs, zeros included,
+    with the sign of the mean difference (plus where that is 0). Pairs without a difference are left out; a group of zeros only has
+    statistic 0, no p and no effect.
+    """
     keys = keys or ["_all"]
     d = pairs.withColumn("_all", F.lit(0)) if keys == ["_all"] else pairs
-    d = d.withColumn("_d", F.col(a) - F.col(b)).filter("_d <> 0").withColumn("_abs", F.abs("_d"))
+    d = d.withColumn("_d", F.col(a) - F.col(b)).filter("_d is not null").withColumn("_abs", F.abs("_d"))
+    every = d.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("_pairs"), F.avg("_d").alias("_mean"))
     n = lambda c: F.count(F.when(c, 1))
-    folded = running_before(d.groupBy(*keys, "_abs").agg(n(F.col("_d") > 0).alias("_a"), n(F.col("_d") < 0).alias("_b"), F.count(F.lit(1)).alias("_ties")), keys, "_abs", "_ties", "_before")
+    moved = d.filter("_d <> 0").groupBy(*keys, "_abs").agg(n(F.col("_d") > 0).alias("_a"), n(F.col("_d") < 0).alias("_b"), F.count(F.lit(1)).alias("_ties"))
+    folded = running_before(moved, keys, "_abs", "_ties", "_before")
     rank, t = F.col("_before") + (F.col("_ties") + 1) / 2, F.col("_ties").cast("double")
     g = folded.groupBy(*keys).agg(F.sum(rank * F.col("_a")).alias("w_plus"), F.sum(rank * F.col("_b")).alias("w_minus"), F.sum("_ties").cast("double").alias("_n"), F.sum(t * (t * t - 1)).alias("_t"))
     sd = F.sqrt(F.col("_n") * (F.col("_n") + 1) * (2 * F.col("_n") + 1) / 24 - F.col("_t") / 48)
     z = F.try_divide(F.least("w_plus", "w_minus") - F.col("_n") * (F.col("_n") + 1) / 4, sd)
-    g = g.withColumn("statistic", F.least("w_plus", "w_minus")).withColumn("z", z).withColumn("p_value", normal_two_sided("z"))
-    effect = F.signum(F.col("w_plus") - F.col("w_minus")) * F.abs(normal_quantile(F.col("p_value") / 2)) / F.sqrt("_n")
+    g = every.join(g, keys, "left").withColumn("statistic", F.coalesce(F.least("w_plus", "w_minus"), F.lit(0.0))).withColumn("z", z)
+    exact = (F.col("_t") == 0) & (F.col("_pairs") <= EXACT_PAIRS) & (F.col("_pairs") == F.col("_n"))
+    g = g.withColumn("_exact", signed_rank_p_exact(F.when(exact, F.col("statistic")), F.col("_n"))).withColumn("p_value", F.coalesce("_exact", normal_two_sided("z")))
+    sign = F.when(F.col("_mean") < 0, -1.0).otherwise(1.0)
+    effect = sign * F.abs(normal_quantile(F.col("p_value") / 2)) / F.sqrt("_pairs")
     return g.select(*[k for k in keys if k != "_all"], "statistic", "z", "p_value", effect.alias("effect"))
 
 

@@ -250,23 +250,36 @@ def f13_cohens_d(spark, d):
     return o.select("l_suppkey", r6("d").alias("d"))
 
 
-@query("""WITH r AS (SELECT l_suppkey, l_returnflag, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_suppkey, l_quantity) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY l_suppkey, l_quantity) AS t FROM lineitem WHERE l_returnflag IN ('A', 'R')),
-g AS (SELECT l_suppkey, sum(r) FILTER (l_returnflag = 'A') AS r1, count(*) FILTER (l_returnflag = 'A') AS n1, count(*) FILTER (l_returnflag = 'R') AS n2, sum(t * t - 1) AS t FROM r GROUP BY 1),
-u AS (SELECT *, r1 - n1 * (n1 + 1) / 2.0::DOUBLE AS u, n1 + n2 AS n FROM g)
-SELECT l_suppkey, round(u, 6) + 0.0 AS u, round((greatest(u, n1 * n2 - u) - n1 * n2 / 2.0::DOUBLE - 0.5) / sqrt(n1 * n2 / 12.0::DOUBLE * (n + 1 - t / (n * (n - 1.0::DOUBLE)))), 6) + 0.0 AS z, round(1 - 2 * u / (n1 * n2), 6) + 0.0 AS rank_biserial FROM u""")
+def _mann_whitney(df, side, a, b, value, key):
+    return T.mann_whitney(df, side, a, b, value, [key]).select(key, *[r6(c).alias(c) for c in ("u", "z", "p_value", "rank_biserial")])
+
+
+def _wilcoxon(df, key):
+    return T.wilcoxon(df, "a", "b", [key]).select(key, *[r6(c).alias(c) for c in ("statistic", "z", "p_value", "effect")])
+
+
+@query()
 def f14_mann_whitney(spark, d):
-    o = T.mann_whitney(table(spark, d, "lineitem"), "l_returnflag", "A", "R", "l_quantity", ["l_suppkey"])
-    return o.select("l_suppkey", r6("u").alias("u"), r6("z").alias("z"), r6("rank_biserial").alias("rank_biserial"))
+    """Hundreds of tied values a side: the normal p-value."""
+    return _mann_whitney(table(spark, d, "lineitem"), "l_returnflag", "A", "R", "l_quantity", "l_suppkey")
 
 
-@query("""WITH d AS (SELECT l_suppkey, l_quantity - 25 - l_tax * 100 AS d FROM lineitem WHERE l_quantity - 25 - l_tax * 100 <> 0), k AS (SELECT l_suppkey, round(d, 6) AS d FROM d WHERE round(d, 6) <> 0),
-r AS (SELECT *, rank() OVER (PARTITION BY l_suppkey ORDER BY abs(d)) + (count(*) OVER (PARTITION BY l_suppkey, abs(d)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY l_suppkey, abs(d)) AS t FROM k),
-g AS (SELECT l_suppkey, coalesce(sum(r) FILTER (d > 0), 0) AS p, coalesce(sum(r) FILTER (d < 0), 0) AS m, count(*)::DOUBLE AS n, sum(t * t - 1)::DOUBLE AS t FROM r GROUP BY 1)
-SELECT l_suppkey, round(least(p, m), 6) + 0.0 AS statistic, round((least(p, m) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - t / 48), 6) + 0.0 AS z FROM g""")
+@query()
+def f14_mann_whitney_small(spark, d):
+    """A few orders a customer, rarely tied: the counted p-value."""
+    return _mann_whitney(table(spark, d, "orders"), "o_orderstatus", "O", "F", "o_totalprice", "o_custkey")
+
+
+@query()
 def f15_wilcoxon(spark, d):
-    p = table(spark, d, "lineitem").withColumn("a", F.round(F.col("l_quantity") - 25 - F.col("l_tax") * 100, 6)).withColumn("b", F.lit(0.0))
-    o = T.wilcoxon(p, "a", "b", ["l_suppkey"])
-    return o.select("l_suppkey", r6("statistic").alias("statistic"), r6("z").alias("z"))
+    """Hundreds of tied differences, zeros among them: the normal p-value."""
+    return _wilcoxon(table(spark, d, "lineitem").withColumn("a", F.round(F.col("l_quantity") - 25 - F.col("l_tax") * 100, 6)).withColumn("b", F.lit(0.0)), "l_suppkey")
+
+
+@query()
+def f15_wilcoxon_small(spark, d):
+    """A few orders a customer: the counted p-value."""
+    return _wilcoxon(table(spark, d, "orders").withColumn("a", F.col("o_totalprice")).withColumn("b", F.lit(150000.0)), "o_custkey")
 
 
 @query("""WITH g AS (SELECT l_returnflag, count(*) * ln(sum(l_tax * l_tax) / count(*)) + 2 * 2 AS a1, count(*) * ln(sum(l_discount * l_discount) / count(*)) + 2 * 3 AS a2 FROM lineitem GROUP BY 1)

@@ -265,6 +265,21 @@ def f12_emd_means(spark, d):
     return T.emd_means(T.emd_all_pairs(samples_orders(spark, d))).select("measure", "mode_1", "mode_2", r6("mean_emd").alias("mean_emd"))
 
 
+BY_CELL = """o AS (SELECT measure, CASE WHEN mode_1 = '1-URGENT' THEN mode_2 ELSE mode_1 END AS mode, CASE WHEN mode_1 = '1-URGENT' THEN cell_id_1 ELSE cell_id_2 END AS cell_id, emd FROM walk
+  WHERE (mode_1 = '1-URGENT') <> (mode_2 = '1-URGENT')), cells AS (SELECT measure, mode, cell_id, avg(emd) AS mean_emd FROM o GROUP BY ALL)"""
+
+
+@query(f"{PAIRS}, {BY_CELL} SELECT measure, mode, cell_id, round(mean_emd, 6) + 0.0 AS mean_emd FROM cells")
+def f12_emd_by_cell(spark, d):
+    return T.emd_by_cell(T.emd_all_pairs(samples_orders(spark, d)), "1-URGENT").select("measure", "mode", "cell_id", r6("mean_emd").alias("mean_emd"))
+
+
+@query(f"{BOOT} SELECT measure, mode, round(avg(similar_fraction), 6) + 0.0 AS similar_fraction FROM boot GROUP BY GROUPING SETS ((measure, mode), (mode))")
+def f12_similar_fractions(spark, d):
+    b = T.ks_bootstrap(T.ks_test(samples_items(spark, d), "A", method="asymptotic"), 100)
+    return T.similar_fraction_means(b).select("measure", "mode", r6("similar_fraction").alias("similar_fraction"))
+
+
 @query(f"WITH {SAMPLES_ITEMS}, {base_sql(chr(39).join(['SELECT ', 'A', ' AS baseline']))}, {walk_sql(KSKEYS, 'sides')} SELECT measure, mode, round(avg(({KSP} >= 0.05)::INT::DOUBLE), 6) + 0.0 AS similar_share FROM walk GROUP BY ALL")
 def f12_ks_means(spark, d):
     return T.ks_means(T.ks_test(samples_items(spark, d), "A", method="asymptotic")).select("measure", "mode", r6("similar_share").alias("similar_share"))

@@ -582,13 +582,12 @@ def q04_mixed_rule(spark, d):
     return out["weights"].withColumn("weight", F.round("weight", 5) + 0.0)
 
 
-@query(f"""{PAIRS}, o AS (SELECT CASE WHEN mode_1 = '1-URGENT' THEN mode_2 ELSE mode_1 END AS m, emd FROM walk WHERE (mode_1 = '1-URGENT') <> (mode_2 = '1-URGENT')),
-a AS (SELECT count(*) FILTER (m = '2-HIGH') * ln(sum(emd * emd) FILTER (m = '2-HIGH') / count(*) FILTER (m = '2-HIGH')) + 6 AS a1, count(*) FILTER (m = '3-MEDIUM') * ln(sum(emd * emd) FILTER (m = '3-MEDIUM') / count(*) FILTER (m = '3-MEDIUM')) + 4 AS a2 FROM o)
-SELECT round(a1, 4) + 0.0 AS aic_with, round(a2, 4) + 0.0 AS aic_without, CASE WHEN a1 < a2 THEN 'with structure' ELSE 'without structure' END AS best,
-CASE WHEN abs(a1 - a2) <= 2 THEN 'Both models have substantial support' WHEN abs(a1 - a2) <= 7 THEN 'Considerably less support for losing model' WHEN abs(a1 - a2) <= 10 THEN 'Little support for losing model' ELSE 'Essentially no support for losing model' END AS interpretation FROM a""")
+@query()
 def q05_colocalisation(spark, d):
-    p = T.emd_all_pairs(samples_orders(spark, d))
-    return Q.colocalisation(p, "1-URGENT", "2-HIGH", "3-MEDIUM").select("aic_with", "aic_without", "best", "interpretation")
+    """The urgent orders' cells against two other priorities, one of them as the model with the extra structure."""
+    out = Q.colocalisation(T.emd_all_pairs(samples_orders(spark, d)), "1-URGENT", "2-HIGH", "3-MEDIUM")
+    exact = ["measure", "n_with", "n_without", "best", "interpretation", "effect"]
+    return out.select(*exact, *[r6(c).alias(c) for c in ("mean_with", "mean_without", "mean_difference", "cohens_d", "p_value", "test_statistic", "r_effect")], *[(F.round(c, 4) + 0.0).alias(c) for c in ("aic_with", "aic_without", "weight_with")])
 
 
 @query(f"""WITH {SAMPLES_ITEMS}, {base_sql("SELECT 'A' AS baseline")}, {walk_sql(KSKEYS, 'sides')}
