@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import written
 from .expressions import expand_box, round_out
+from .surfaces import classify_points, grid_sizes, inside_grid, nearest, numbered_rows, of_surface, scaled_surface_distance, surface_distance  # noqa: F401
 
 GROUP = ["mode", "cell_id", "seed"]
 XYZ = ("x", "y", "z")
@@ -60,145 +61,37 @@ def z_distances(points: DataFrame, cells: DataFrame) -> DataFrame:
     return j.withColumn("z_distance", up).withColumn("scaled_z_distance", F.when(span > 1e-8, up / F.when(span > 1e-8, span))).drop("_lo", "_hi")
 
 
-# --- vectors as structs ------------------------------------------------------------------------
-
-
-def vec(x, y, z) -> Column:
-    return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
-
-
-def sub(a: Column, b: Column) -> Column:
-    return vec(*[a[c] - b[c] for c in XYZ])
-
-
-def add(a: Column, b: Column, t: Column) -> Column:
-    return vec(*[a[c] + t * b[c] for c in XYZ])
-
-
-def dot(a: Column, b: Column) -> Column:
-    return a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
-
-
-def cross(a: Column, b: Column) -> Column:
-    return vec(a["y"] * b["z"] - a["z"] * b["y"], a["z"] * b["x"] - a["x"] * b["z"], a["x"] * b["y"] - a["y"] * b["x"])
-
-
-def _with_vectors(df: DataFrame) -> DataFrame:
-    corner = lambda k: vec(*[F.col(f"{k}{c}") for c in XYZ])
-    p, a, b, c = vec(*[F.col(k) for k in XYZ]), corner("a"), corner("b"), corner("c")
-    df = df.withColumn("_p", p).withColumn("_a", a).withColumn("_b", b).withColumn("_c", c)
-    df = df.withColumn("_ab", sub(F.col("_b"), F.col("_a"))).withColumn("_ac", sub(F.col("_c"), F.col("_a"))).withColumn("_ap", sub(F.col("_p"), F.col("_a")))
-    return df
-
-
-def _segment(p: Column, a: Column, d: Column) -> Column:
-    """Nearest point to p on the segment from a along d."""
-    t = F.coalesce(F.try_divide(dot(sub(p, a), d), dot(d, d)), F.lit(0.0))
-    return add(a, d, F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))
-
-
-def _nearest_on_triangle(df: DataFrame) -> DataFrame:
-    """``_q``: nearest point of the triangle: the projection where it falls inside, else the best of the three edges."""
-    d00, d01, d11 = (dot(F.col(u), F.col(v)) for u, v in (("_ab", "_ab"), ("_ab", "_ac"), ("_ac", "_ac")))
-    d20, d21 = dot(F.col("_ap"), F.col("_ab")), dot(F.col("_ap"), F.col("_ac"))
-    den = d00 * d11 - d01 * d01
-    df = df.withColumn("_v", F.try_divide(d11 * d20 - d01 * d21, den)).withColumn("_w", F.try_divide(d00 * d21 - d01 * d20, den))
-    face = add(add(F.col("_a"), F.col("_ab"), F.col("_v")), F.col("_ac"), F.col("_w"))
-    inside = (F.col("_v") >= 0) & (F.col("_w") >= 0) & (F.col("_v") + F.col("_w") <= 1)
-    edges = [_segment(F.col("_p"), F.col("_a"), F.col("_ab")), _segment(F.col("_p"), F.col("_a"), F.col("_ac")), _segment(F.col("_p"), F.col("_b"), sub(F.col("_c"), F.col("_b")))]
-    for k, e in enumerate(edges):
-        df = df.withColumn(f"_e{k}", e)
-    square = lambda q: dot(sub(F.col("_p"), q), sub(F.col("_p"), q))
-    best = F.array_min(F.array(*[F.struct(square(F.col(f"_e{k}")).alias("d"), F.col(f"_e{k}").alias("q")) for k in range(3)]))
-    df = df.withColumn("_best", best)
-    return df.withColumn("_q", F.when(inside, face).otherwise(F.col("_best.q"))).withColumn("_d2", square(F.col("_q")))
-
-
-def _solid_angle() -> Column:
-    a, b, c = (sub(F.col(k), F.col("_p")) for k in ("_a", "_b", "_c"))
-    la, lb, lc = (F.sqrt(dot(v, v)) for v in (a, b, c))
-    return 2 * F.atan2(dot(a, cross(b, c)), la * lb * lc + dot(a, b) * lc + dot(b, c) * la + dot(c, a) * lb)
-
-
-def surface_distance(points: DataFrame, triangles: DataFrame, keys: tuple[str, ...] = ("cell_id",), surface: str | None = None) -> DataFrame:
-    """Distance to a closed surface, positive inside; for ``surface`` 'nuc' the sign is turned.
-
-    Points and triangles meet on their keys; the sign is the winding number, the sum of solid angles. Adds distance, inside and the
-    nearest point nx, ny, nz.
-    """
-    t = triangles.filter(F.col("surface") == surface) if surface else triangles
-    t = t.select(*keys, *[f"{k}{c}" for k in "abc" for c in XYZ])
-    own = [c for c in points.columns]
-    j = _nearest_on_triangle(_with_vectors(points.join(t, list(keys)))).withColumn("_sa", _solid_angle())
-    g = j.groupBy(*own).agg(F.min("_d2").alias("_d2"), F.min_by("_q", "_d2").alias("_q"), (F.sum("_sa") / (4 * math.pi)).alias("_wind"))
-    inside = F.abs(F.col("_wind")) > 0.5
-    sign = F.when(inside, -1.0 if surface == "nuc" else 1.0).otherwise(1.0 if surface == "nuc" else -1.0)
-    return g.select(*own, (sign * F.sqrt("_d2")).alias("distance"), inside.alias("inside"), *[F.col(f"_q.{c}").alias(f"n{c}") for c in XYZ])
-
-
-def scaled_surface_distance(points: DataFrame, triangles: DataFrame, keys: tuple[str, ...] = ("cell_id",), inner: str = "nuc", outer: str = "mem") -> DataFrame:
-    """Along the ray from the nearest inner point through the point: its distance over the distance to the outer surface.
-
-    Null inside the inner or outside the outer surface, for rays of no length or without a hit, and outside [0, 1].
-    """
-    own = points.columns
-    near = surface_distance(points, triangles, keys, inner).withColumnRenamed("distance", "_inner").withColumnRenamed("inside", "_in")
-    far = surface_distance(points, triangles, keys, outer).select(*own, F.col("inside").alias("_out"))
-    start = near.join(far, own)
-    t = triangles.filter(F.col("surface") == outer).select(*keys, *[f"{k}{c}" for k in "abc" for c in XYZ])
-    j = start.join(t, list(keys))
-    corner = lambda k: vec(*[F.col(f"{k}{c}") for c in XYZ])
-    j = j.withColumn("_o", vec(*[F.col(f"n{c}") for c in XYZ])).withColumn("_ray", sub(vec(*[F.col(c) for c in XYZ]), F.col("_o")))
-    j = j.withColumn("_a", corner("a")).withColumn("_e1", sub(corner("b"), F.col("_a"))).withColumn("_e2", sub(corner("c"), F.col("_a")))
-    j = j.withColumn("_h", cross(F.col("_ray"), F.col("_e2"))).withColumn("_s", sub(F.col("_o"), F.col("_a")))
-    det = dot(F.col("_e1"), F.col("_h"))
-    j = j.withColumn("_det", det).withColumn("_u", F.try_divide(dot(F.col("_s"), F.col("_h")), F.col("_det"))).withColumn("_qv", cross(F.col("_s"), F.col("_e1")))
-    j = j.withColumn("_v2", F.try_divide(dot(F.col("_ray"), F.col("_qv")), F.col("_det"))).withColumn("_t", F.try_divide(dot(F.col("_e2"), F.col("_qv")), F.col("_det")))
-    eps = 1e-9
-    hit = (F.col("_u") >= -eps) & (F.col("_v2") >= -eps) & (F.col("_u") + F.col("_v2") <= 1 + eps) & (F.col("_t") > eps)
-    g = j.groupBy(*own, "_in", "_out").agg(F.min(F.when(hit, F.col("_t"))).alias("_t"), F.max(dot(F.col("_ray"), F.col("_ray"))).alias("_len"))
-    # The point lies at parameter 1 of the ray, the hit at t.
-    scaled = F.when(~F.col("_in") & F.col("_out") & (F.sqrt("_len") > 1e-8), F.try_divide(F.lit(1.0), F.col("_t")))
-    return g.withColumn("scaled_distance", F.when((scaled >= 0) & (scaled <= 1), scaled)).select(*own, "scaled_distance")
-
-
 def grid_points(boxes: DataFrame, spacing: float) -> DataFrame:
     """Regular grid of each box; an axis runs from its least value by ``spacing`` to at most half a step beyond the greatest."""
-    df = boxes
+    df = grid_sizes(boxes, spacing)
     for c in XYZ:
-        n = F.greatest(F.lit(0), F.ceil((F.col(f"{c}_max") + spacing / 2 - F.col(f"{c}_min")) / spacing) - 1)
-        df = df.withColumn(f"_{c}", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long")))).withColumn(c, F.col(f"{c}_min") + F.col(f"_{c}") * spacing)
-    return df.drop("_x", "_y", "_z", *[f"{c}_{e}" for c in XYZ for e in ("min", "max")])
+        df = df.withColumn(f"_{c}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"_n{c}")))).withColumn(c, F.col(f"{c}_min") + F.col(f"_{c}") * spacing)
+    return df.drop("_x", "_y", "_z", "_nx", "_ny", "_nz", *[f"{c}_{e}" for c in XYZ for e in ("min", "max")])
 
 
 def available_space(cells: DataFrame, triangles: DataFrame, spacing: float, scaled: bool = False) -> DataFrame:
     """Grid points inside the membrane with their distances to both surfaces and the bottom; long: measure, value.
 
-    Heights are kept outside the nucleus only. ``cells``: cell_id, x_min .. z_max of the membrane.
+    Only points inside are ever made. Heights are kept outside the nucleus only. ``cells``: cell_id, x_min .. z_max of the membrane.
     """
     ends = [round_out(F.col(f"{c}_{e}")).alias(f"{c}_{e}") for c in XYZ for e in ("min", "max")]
-    grid = grid_points(cells.select("cell_id", *ends), spacing)
-    mem = surface_distance(grid.repartition("cell_id"), triangles, surface="mem").filter("distance > 0").select("cell_id", *XYZ, F.col("distance").alias("membrane"))
-    both = surface_distance(mem, triangles, surface="nuc").select("cell_id", *XYZ, "membrane", F.col("distance").alias("nucleus"))
+    mem, keys = of_surface(triangles, "mem"), ("cell_id",)
+    rows = numbered_rows(inside_grid(cells.select("cell_id", *ends), mem, spacing))
+    far = nearest(rows, mem, keys).select("_row", F.sqrt("_d2").alias("membrane")).filter("membrane > 0")
+    named = rows.withColumnRenamed("_row", "_point")
+    inner = surface_distance(named, triangles, keys, "nuc").select(F.col("_point").alias("_row"), "cell_id", *XYZ, F.col("distance").alias("nucleus"))
     facts = cells.select("cell_id", F.col("z_min").alias("mem_z_min"), F.col("z_max").alias("mem_z_max"))
-    both = z_distances(both, facts)
+    both = z_distances(inner.join(far, "_row"), facts)
     outside = F.col("nucleus") >= 0
     pairs = [("membrane", F.col("membrane")), ("nucleus", F.col("nucleus")), ("z", F.when(outside, F.col("z_distance"))), ("scaled_z", F.when(outside, F.col("scaled_z_distance")))]
     if scaled:
-        both = both.join(scaled_surface_distance(both.select("cell_id", *XYZ), triangles), ["cell_id", *XYZ])
+        ratio = scaled_surface_distance(named, triangles).select(F.col("_point").alias("_row"), "scaled_distance")
+        both = both.join(ratio, "_row")
         pairs.append(("scaled_nucleus", F.col("scaled_distance")))
     long = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), v.alias("value")) for m, v in pairs])).alias("p")
     return both.select("cell_id", *XYZ, long).select("p.measure", "cell_id", *XYZ, "p.value").filter("value is not null")
 
 
-def classify_points(points: DataFrame, triangles: DataFrame) -> DataFrame:
-    """in_nucleus, in_membrane, in_cytoplasm."""
-    own = points.columns
-    nuc = surface_distance(points, triangles, surface="nuc").select(*own, F.col("inside").alias("in_nucleus"))
-    mem = surface_distance(points, triangles, surface="mem").select(*own, F.col("inside").alias("in_membrane"))
-    return nuc.join(mem, own).withColumn("in_cytoplasm", F.col("in_membrane") & ~F.col("in_nucleus"))
-
-
 def median_slice(points: DataFrame, axis: str, spacing: float, keys: tuple[str, ...] = ("cell_id",)) -> DataFrame:
     """Points near the median of an axis."""
     mid = points.groupBy(*keys).agg(F.percentile(axis, F.lit(0.5)).alias("_m"))
