@@ -37,7 +37,7 @@ def metric_summary(cells: DataFrame, metrics: list[str], keys: list[str]) -> Dat
 def release_table(files: DataFrame, stats: DataFrame, structures: DataFrame) -> DataFrame:
     """Files (stem, packing, condition, structure_name, rule) with cell id, rounded statistics and short rule."""
     f = files.withColumn("CellId", F.expr("regexp_replace(regexp_replace(stem, concat('^results_', packing, '_', condition, '_'), ''), '_seed_(?!.*_seed_).*$', '')"))
-    f = f.join(F.broadcast(structures.select("structure_name")), "structure_name", "left_semi").withColumn("rule_short", F.substring_index("rule", "_", 1))
+    f = f.join(structures.select("structure_name"), "structure_name", "left_semi").withColumn("rule_short", F.substring_index("rule", "_", 1))
     numbers = [c for c, t in stats.dtypes if t == "double"]
     rounded = stats.select("structure_name", "CellId", *[F.round(c, 4 if "sphericity" in c else 2).alias(c) for c in numbers])
     return f.join(rounded, ["structure_name", "CellId"], "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.storage import written
+from .components import connected, squared_distances
 from .expressions import expand_box, round_out
 from .surfaces import classify_points, grid_sizes, inside_grid, nearest, numbered_rows, of_surface, scaled_surface_distance, surface_distance  # noqa: F401
 
@@ -131,17 +132,52 @@ def distances(points: DataFrame, measures: list[str], cells: DataFrame | None =
     return df
 
 
+def pair_counts(points: DataFrame, scales: DataFrame, r_max: float, n: int, keys: list[str] = GROUP, splits: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Pairs of a group by the first of ``n`` grid points from 0 to ``r_max`` that their distance, over the group's scale, does not exceed.
+
+    Points lie in buckets of ``r_max / splits``. Two buckets whose boxes are further apart than r_max count nothing; where the least and the
+    greatest distance of their boxes fall on one grid point the product of their sizes counts, and the pairs of all other buckets are
+    looked at. Returns keys, i, count; and those pairs, for plans and tests. ``scales``: keys, scale.
+    """
+    step = r_max / (n - 1)
+
+    def first(v: Column) -> Column:
+        i = F.ceil(v / step)
+        return F.greatest(F.lit(0), F.when((i - 1) * step >= v, i - 1).when(i * step < v, i + 1).otherwise(i)).cast("int")
+
+    b, other = [f"_b{c}" for c in XYZ], [f"_d{c}" for c in XYZ]
+    placed = points.select(*keys, "point_id", *XYZ).join(scales.select(*keys, "scale"), keys)
+    placed = placed.select("*", *[F.floor(F.col(c) / (F.col("scale") * (r_max / splits))).cast("long").alias(k) for c, k in zip(XYZ, b)])
+    box = [f(c).alias(f"_{m}{c}") for c in XYZ for f, m in ((F.min, "lo"), (F.max, "hi"))]
+    buckets = written(placed.groupBy(*keys, "scale", *b).agg(*box, F.count(F.lit(1)).alias("_n")), "buckets")
+    ahead = [(i, j, k) for i in range(-splits, splits + 1) for j in range(-splits, splits + 1) for k in range(-splits, splits + 1) if (i, j, k) >= (0, 0, 0)]
+    ways = F.array(*[F.struct(*[F.lit(o).alias(c) for c, o in zip(XYZ, w)]) for w in ahead])
+    sent = buckets.withColumn("_o", F.explode(ways)).select(*keys, "scale", *b, "_n", *[f"_{m}{c}" for c in XYZ for m in ("lo", "hi")], *[(F.col(k) + F.col(f"_o.{c}")).alias(d) for c, k, d in zip(XYZ, b, other)])
+    there = buckets.select(*keys, *[F.col(k).alias(d) for k, d in zip(b, other)], F.col("_n").alias("_m"), *[F.col(f"_{m}{c}").alias(f"_{m}2{c}") for c in XYZ for m in ("lo", "hi")])
+    met = sent.join(there, [*keys, *other])
+    apart = [F.greatest(F.lit(0.0), F.col(f"_lo{c}") - F.col(f"_hi2{c}"), F.col(f"_lo2{c}") - F.col(f"_hi{c}")) for c in XYZ]
+    reach = [F.greatest(F.abs(F.col(f"_hi{c}") - F.col(f"_lo2{c}")), F.abs(F.col(f"_hi2{c}") - F.col(f"_lo{c}"))) for c in XYZ]
+    length = lambda parts: F.sqrt(sum((x * x for x in parts), F.lit(0.0))) / F.col("scale")
+    met = met.withColumn("_least", length(apart) * (1 - 1e-12)).withColumn("_most", length(reach) * (1 + 1e-12)).filter(F.col("_least") <= r_max)
+    met = written(met.withColumn("_i", first(F.col("_least"))).withColumn("_whole", first(F.col("_least")) == first(F.col("_most"))), "bucket-pairs")
+    own = sum(((F.col(k) == F.col(d)).cast("int") for k, d in zip(b, other)), F.lit(0)) == 3
+    whole = met.filter("_whole").select(*keys, F.col("_i").alias("i"), F.when(own, F.col("_n") * (F.col("_n") - 1) / 2).otherwise(F.col("_n") * F.col("_m")).cast("long").alias("_c"))
+    one = placed.select(*keys, *b, F.struct("point_id", *XYZ).alias("a"), "scale")
+    two = placed.select(*keys, *[F.col(k).alias(d) for k, d in zip(b, other)], F.struct("point_id", *XYZ).alias("b"))
+    looked = met.filter("not _whole").select(*keys, *b, *other, own.alias("_own")).join(one, [*keys, *b]).join(two, [*keys, *other])
+    looked = looked.filter(~F.col("_own") | (F.col("a.point_id") < F.col("b.point_id"))).select(*keys, (distance() / F.col("scale")).alias("_v"))
+    near = looked.filter(F.col("_v") <= r_max * (1 + 1e-9)).groupBy(*keys, first(F.col("_v")).alias("i")).agg(F.count(F.lit(1)).alias("_c"))
+    return whole.unionByName(near).groupBy(*keys, "i").agg(F.sum("_c").alias("_c")), looked
+
+
 def ripley_k(points: DataFrame, volumes: DataFrame, r_max: float = 0.5, n: int = 100, keys: list[str] = GROUP) -> DataFrame:
     """Volume times the share of pairs up to r, on a grid from 0 to ``r_max``; fewer than two points give 0.
 
-    ``volumes``: keys, volume, and scale (distances are divided by it). Pairs go to their first grid point and a running sum
+    ``volumes``: keys, volume, and scale (distances are divided by it). Pairs are counted at their first grid point and a running sum
     follows.
     """
     step = r_max / (n - 1)
-    d = pairwise_distances(points, keys).join(volumes, keys).withColumn("_v", F.col("value") / F.col("scale"))
-    i = F.ceil(F.col("_v") / step)
-    i = F.when((i - 1) * step >= F.col("_v"), i - 1).when(i * step < F.col("_v"), i + 1).otherwise(i)
-    counted = d.groupBy(*keys, F.greatest(F.lit(0), i).cast("int").alias("i")).agg(F.count(F.lit(1)).alias("_c"))
+    counted, _ = pair_counts(points, volumes, r_max, n, keys)
     sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).join(volumes, keys).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     by = W.partitionBy(*keys).orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     k = F.sum(F.coalesce("_c", F.lit(0))).over(by) * F.col("volume") * F.coalesce(F.try_divide(F.lit(2.0), F.col("_n") * (F.col("_n") - 1)), F.lit(0.0))
@@ -156,37 +192,44 @@ def ripley_k_summary(points: DataFrame, cells: DataFrame) -> DataFrame:
     return k.groupBy("mode", "i").agg(F.max("r").alias("r"), F.avg("k").alias("mean"), F.percentile("k", F.lit(0.025)).alias("lo"), F.percentile("k", F.lit(0.975)).alias("hi"))
 
 
+#: Half of the eight lines around a line of voxels.
+BESIDE = ((0, 1), (1, -1), (1, 0), (1, 1))
+
+
+def voxel_runs(voxels: DataFrame, key: list[str]) -> DataFrame:
+    """Stretches of voxels along z: keys, x, y, z (the first one's), last."""
+    by = W.partitionBy(*key, "x", "y").orderBy("z")
+    return voxels.select(*key, *XYZ).distinct().withColumn("_run", F.col("z") - F.row_number().over(by)).groupBy(*key, "x", "y", "_run").agg(F.min("z").alias("z"), F.max("z").alias("last")).drop("_run")
+
+
 def component_centroids(voxels: DataFrame, keys: tuple[str, ...] = ("image_id", "channel", "value")) -> DataFrame:
-    """C14: components of equal voxels (26 neighbours): label, centroid, size and whether it is the image's largest (first on ties).
+    """C14: components of equal voxels (26 neighbours): label (the least voxel), centroid, size and whether it is the image's largest
+    (first on ties); and the voxels with their labels.
 
-    Labels are least voxel numbers; each round takes the least label of the neighbourhood and jumps to that label's own label.
+    Voxels are folded into runs along z. Two runs on neighbouring lines touch where their stretches, one longer at both ends, overlap.
     """
     key = list(keys)
-    v = voxels.select(*key, *XYZ).distinct().withColumn("id", F.struct(*XYZ))
-    around = F.array(*[F.struct(*[F.lit(o).alias(c) for o, c in zip((i, j, k), XYZ)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)])
-    shifted = v.withColumn("_o", F.explode(around)).select(*key, F.col("id").alias("a"), F.struct(*[(F.col(c) + F.col(f"_o.{c}")).alias(c) for c in XYZ]).alias("b"))
-    edges = shifted.join(v.select(*key, F.col("id").alias("b")), [*key, "b"])
-    both = written(edges.select(*key, "a", "b").unionByName(edges.select(*key, F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = written(v.withColumn("label", F.col("id")))
-    while True:
-        other = both.join(labels.select(*key, F.col("id").alias("b"), "label"), [*key, "b"]).groupBy(*key, F.col("a").alias("id")).agg(F.min("label").alias("_m"))
-        low = labels.join(other, [*key, "id"], "left").withColumn("_new", F.least("label", F.coalesce("_m", "label")))
-        jump = low.select(*key, F.col("id").alias("_new"), F.col("_new").alias("_far"))
-        new = written(low.join(jump, [*key, "_new"], "left").select(*key, *XYZ, "id", F.least("_new", F.coalesce("_far", "_new")).alias("label"), (F.least("_new", F.coalesce("_far", "_new")) != F.col("label")).alias("_moved")))
-        labels = new.drop("_moved")
-        if new.filter("_moved").isEmpty():
-            break
-    size = labels.groupBy(*key, "label").agg(*[F.avg(c).alias(f"c{c}") for c in XYZ], F.count(F.lit(1)).alias("size"))
+    runs = written(voxel_runs(voxels, key).withColumn("id", F.struct(*XYZ)), "runs")
+    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in BESIDE])
+    moved = runs.withColumn("_o", F.explode(offsets)).select(*key, (F.col("x") + F.col("_o.i")).alias("x"), (F.col("y") + F.col("_o.j")).alias("y"), F.col("z").alias("_z"), F.col("last").alias("_last"), F.col("id").alias("a"))
+    touching = (F.col("z") <= F.col("_last") + 1) & (F.col("last") >= F.col("_z") - 1)
+    edges = moved.join(runs.withColumnRenamed("id", "b"), [*key, "x", "y"]).filter(touching).select(*key, "a", "b")
+    roots, _ = connected(runs.select(*key, "id"), edges, key)
+    labelled = written(runs.join(roots, [*key, "id"]).withColumnRenamed("root", "label"), "labels")
+    n = (F.col("last") - F.col("z") + 1).cast("long")
+    total = {"x": F.col("x") * n, "y": F.col("y") * n, "z": (F.col("z") + F.col("last")) * n / 2}
+    size = labelled.groupBy(*key, "label").agg(*[(F.sum(total[c]) / F.sum(n)).alias(f"c{c}") for c in XYZ], F.sum(n).alias("size"))
     place = F.row_number().over(W.partitionBy(*[k for k in key if k != "value"]).orderBy(F.col("size").desc(), "label"))
-    return size.withColumn("largest", place == 1), labels
+    each = labelled.select(*key, "x", "y", F.explode(F.sequence("z", "last")).alias("z"), "label")
+    return size.withColumn("largest", place == 1), each
 
 
 def distance_to_component(centroids: DataFrame, voxels: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
-    """From each centroid, rounded half to even, to the nearest voxel of the component (0 inside)."""
+    """From each centroid, rounded half to even, to the nearest voxel of the component (0 inside), by a distance transform."""
     key = list(keys)
-    c = centroids.select(*key, "label", *[F.bround(F.col(f"c{k}")).alias(f"r{k}") for k in XYZ])
-    d = F.sqrt(sum(((F.col(f"r{k}") - F.col(k)) * (F.col(f"r{k}") - F.col(k)) for k in XYZ), F.lit(0.0)))
-    return c.join(voxels.select(*key, *XYZ), key).groupBy(*key, "label").agg(F.min(d).alias("distance"))
+    c = written(centroids.select(*key, "label", *[F.bround(F.col(f"c{k}")).cast("long").alias(k) for k in XYZ]), "centroids")
+    voxels = voxels.select(*key, *[F.col(k).cast("long").alias(k) for k in XYZ])
+    return c.join(squared_distances(voxels, c, key), [*key, *XYZ]).select(*key, "label", F.sqrt("d2").alias("distance"))
 
 
 def mesh_bounds(vertices: DataFrame, keys: tuple[str, ...] = ("file",), expand: float = 1.2) -> DataFrame:

@@ -56,7 +56,7 @@ def fit_mixture(target: DataFrame, matrix: DataFrame, modes: list[str], keys: li
     The normal equations are sums per key and scope; a solver sees k*k + k numbers per fit. ``target``: keys, measure, i, b.
     """
     k = len(modes)
-    rows = _with_joint(target.join(F.broadcast(matrix), ["measure", "i"]))
+    rows = _with_joint(target.join(matrix, ["measure", "i"]))
     a = lambda j: F.col("a")[j]
     gram = F.array(*[F.sum(a(p) * a(q)) for p in range(k) for q in range(k)])
     right = F.array(*[F.sum(a(p) * F.col("b")) for p in range(k)])
@@ -101,7 +101,7 @@ def reconstruction(coefs: DataFrame, matrix: DataFrame, modes: list[str], keys:
 def fit_single(target: DataFrame, matrix: DataFrame, modes: list[str], keys: list[str]) -> DataFrame:
     """Best non-negative multiple of each mode alone: keys, scope, mode, coef, rss, n."""
     each = F.posexplode("a").alias("_j", "_a")
-    rows = _with_joint(target.join(F.broadcast(matrix), ["measure", "i"])).select(*keys, "scope", "b", each)
+    rows = _with_joint(target.join(matrix, ["measure", "i"])).select(*keys, "scope", "b", each)
     g = rows.groupBy(*keys, "scope", "_j").agg(F.sum(F.col("_a") * F.col("b")).alias("_ab"), F.sum(F.col("_a") * F.col("_a")).alias("_aa"), F.sum(F.col("b") * F.col("b")).alias("_bb"), F.count(F.lit(1)).alias("n"))
     c = F.coalesce(F.greatest(F.lit(0.0), F.try_divide("_ab", "_aa")), F.lit(0.0))
     rss = F.greatest(F.lit(0.0), F.col("_bb") - 2 * F.col("coef") * F.col("_ab") + F.col("coef") * F.col("coef") * F.col("_aa"))
@@ -188,7 +188,7 @@ def mixture_weights(cv: dict[str, DataFrame], names: DataFrame, scope: str = JOI
     both = c.select("repeat", "fold", "mode", "coef").unionByName(c.groupBy("mode").agg(F.avg("coef").alias("coef")).select(F.lit(None).cast("int").alias("repeat"), F.lit(None).cast("int").alias("fold"), "mode", "coef"))
     total = F.sum("coef").over(W.partitionBy("repeat", "fold"))
     w = both.withColumn("_t", total).withColumn("weight", F.when(F.col("_t") <= 0, F.raise_error(F.lit("the coefficients add up to nothing")).cast("double")).otherwise(F.col("coef") / F.col("_t")))
-    return w.join(F.broadcast(names), "mode").select("repeat", "fold", "mode", "gradient", "weight")
+    return w.join(names, "mode").select("repeat", "fold", "mode", "gradient", "weight")
 
 
 def information_criteria(df: DataFrame) -> DataFrame:

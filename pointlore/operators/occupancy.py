@@ -14,7 +14,7 @@ PLACE = ["measure", "structure_id", "cell_id"]
 
 def cells_by_structure(samples: DataFrame, modes: DataFrame, cap: int | None = None, seed: str = "cells") -> DataFrame:
     """Cells of each structure over all its modes; at most ``cap`` of them, in md5 order."""
-    cells = samples.join(F.broadcast(modes), "mode").select("structure_id", "cell_id").distinct()
+    cells = samples.join(modes, "mode").select("structure_id", "cell_id").distinct()
     if cap is None:
         return cells
     order = F.row_number().over(W.partitionBy("structure_id").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "structure_id", "cell_id")), "cell_id"))
@@ -27,7 +27,7 @@ def occupied_available(samples: DataFrame, available: DataFrame, modes: DataFram
     Also gives, per cell, how many values were dropped, and cells (mode, cell) without available space.
     """
     scale = F.when(F.col("measure").contains("scaled"), 1.0).otherwise(pixel) if pixel else F.lit(1.0)
-    occ = valid_samples(samples).join(F.broadcast(modes), "mode").withColumn("value", F.col("value") * scale)
+    occ = valid_samples(samples).join(modes, "mode").withColumn("value", F.col("value") * scale)
     av = valid_samples(available).withColumn("value", F.col("value") * scale)
     top = av.groupBy(*PLACE).agg(F.max("value").alias("_top"))
     joined = occ.join(top, PLACE, "left")

@@ -1,11 +1,13 @@
 """Two-sample comparison (F): KS, earth mover's distance, bootstraps, ranks, model comparison."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.special import ks_p_asymptotic, ks_p_exact, normal_quantile, normal_two_sided, rank_sum_p_exact, signed_rank_p_exact, student_two_sided
 from ..model import KEYS
-from ..functions.storage import running_before
+from ..functions.storage import running_before, written
 from .expressions import support_label, valid_samples
 
 
@@ -98,18 +100,46 @@ def ks_bootstrap(ks: DataFrame, n: int, keys: tuple[str, ...] = ("measure", "bas
     return full.join(got, [*keys, "mode", "experiment_number"], "left")
 
 
-def emd_all_pairs(samples: DataFrame, mode_order: list[str] | None = None, group: tuple[str, ...] = ("mode", "cell_id", "seed")) -> DataFrame:
-    """earth mover's distance of all unordered pairs of samples of a measure. The pair join repeats folded values only."""
+def _emd_tile(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All pairs of a tile: samples of its row with those of its column, each sorted, with the steps of its distribution function."""
+    rows, columns = pdf[~pdf["across"]], pdf[pdf["across"]]
+    out = []
+    for a, x, w, n in zip(rows["no"], rows["values"], rows["weights"], rows["n"]):
+        for b, y, v, m in zip(columns["no"], columns["values"], columns["weights"], columns["n"]):
+            if a < b:
+                every = np.concatenate([x, y])
+                order = np.argsort(every, kind="stable")
+                every = every[order]
+                apart = np.cumsum(np.concatenate([w / n, -v / m])[order])
+                out.append((a, b, int(n), int(m), float(np.abs(apart[:-1]) @ np.diff(every))))
+    return pd.DataFrame(out, columns=["no_1", "no_2", "n1", "n2", "emd"]).assign(measure=pdf["measure"].iloc[0])
+
+
+def emd_all_pairs(samples: DataFrame, mode_order: list[str] | None = None, group: tuple[str, ...] = ("mode", "cell_id", "seed"), tile_samples: int = 64, tile_values: int = 2_000_000) -> DataFrame:
+    """earth mover's distance of all unordered pairs of samples of a measure.
+
+    A sample is one row of sorted distinct values and their counts. Samples lie in tiles' rows and columns, at most ``tile_samples`` and
+    about ``tile_values`` values in each, so a sample is sent as often as there are tiles in a row, not once for every other sample.
+    """
     group = list(group)
     v = folded(valid_samples(samples), ["measure", *group])
     place = F.array_position(F.array(*[F.lit(m) for m in mode_order]), F.col("mode")) if mode_order else F.lit(0)
-    ids = v.select("measure", *group).distinct().withColumn("_id", F.struct(place.alias("p"), *group))
-    a = ids.select("measure", F.col("_id").alias("_a"), *[F.col(c).alias(f"{c}_1") for c in group])
-    b = ids.select("measure", F.col("_id").alias("_b"), *[F.col(c).alias(f"{c}_2") for c in group])
-    pairs = a.join(b, "measure").filter("_a < _b").drop("_a", "_b")
-    keys = ["measure", *[f"{c}_1" for c in group], *[f"{c}_2" for c in group]]
-    side = lambda k: pairs.join(v.select("measure", *[F.col(c).alias(f"{c}_{k}") for c in group], "value", "w"), ["measure", *[f"{c}_{k}" for c in group]]).select(*keys, F.lit(k - 1).alias("side"), "value", "w")
-    return signed_walk(side(1).unionByName(side(2)), keys).drop("ks")
+    each = v.groupBy("measure", *group).agg(F.array_sort(F.collect_list(F.struct("value", "w"))).alias("_p"), F.sum("w").alias("n"), F.count(F.lit(1)).alias("_size"))
+    each = written(each.select("measure", *group, place.alias("_place"), F.col("_p.value").alias("values"), F.col("_p.w").alias("weights"), "n", "_size"), "samples")
+    # One row per sample: their pairs are the result, so there are few of them.
+    by = W.partitionBy("measure").orderBy("_place", *group)
+    share = F.greatest(F.col("_size") / tile_values, F.lit(1.0 / tile_samples))
+    names = each.select("measure", *group, F.row_number().over(by).cast("long").alias("no"), F.floor(F.sum(share).over(by.rowsBetween(W.unboundedPreceding, 0)) - share + 1e-9).alias("tile"))
+    names = written(names, "sample-numbers")
+    tiles = names.select("measure", "tile").distinct()
+    at = each.join(names, ["measure", *group]).select("measure", "no", "tile", "values", "weights", "n")
+    across = at.join(tiles.withColumnRenamed("tile", "other"), "measure")
+    rows = across.filter("tile <= other").select("measure", F.col("tile").alias("row"), F.col("other").alias("column"), F.lit(False).alias("across"), "no", "values", "weights", "n")
+    columns = across.filter("other <= tile").select("measure", F.col("other").alias("row"), F.col("tile").alias("column"), F.lit(True).alias("across"), "no", "values", "weights", "n")
+    pairs = rows.unionByName(columns).groupBy("measure", "row", "column").applyInPandas(_emd_tile, "no_1 long, no_2 long, n1 long, n2 long, emd double, measure string")
+    for k in (1, 2):
+        pairs = pairs.join(names.select("measure", F.col("no").alias(f"no_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in group]), ["measure", f"no_{k}"])
+    return pairs.select("measure", *[f"{c}_{k}" for k in (1, 2) for c in group], "n1", "n2", "emd")
 
 
 def emd_intra(pairs: DataFrame) -> DataFrame:

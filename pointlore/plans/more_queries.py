@@ -27,7 +27,7 @@ def a08_save(spark, d):
 SELECT n.mode, n.cell_id, i::INT AS i, round(i * (0.5::DOUBLE / 99), 6) + 0.0 AS r, round(coalesce((SELECT count(*) FROM dd WHERE dd.mode = n.mode AND dd.cell_id = n.cell_id AND v <= i * (0.5::DOUBLE / 99)) * {4 / 3 * math.pi}::DOUBLE * 0.125::DOUBLE * 2 / nullif(n * (n - 1), 0), 0), 6) + 0.0 AS k FROM n, range(100) t(i)""")
 def c12_ripley_k(spark, d):
     p, c = points_vec(spark, d), cells_vec(spark, d)
-    v = p.select(*C.GROUP).distinct().join(F.broadcast(c.select("cell_id", F.col("mem_diameter").alias("scale"))), "cell_id").withColumn("volume", F.lit(4 / 3 * math.pi) * 0.125)
+    v = p.select(*C.GROUP).distinct().join(c.select("cell_id", F.col("mem_diameter").alias("scale")), "cell_id").withColumn("volume", F.lit(4 / 3 * math.pi) * 0.125)
     return C.ripley_k(p, v).select("mode", "cell_id", "i", r6("r").alias("r"), r6("k").alias("k"))
 
 
