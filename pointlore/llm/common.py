@@ -22,12 +22,52 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_open_scopes: list[list[DataFrame]] = []
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and any executor may be lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    if _open_scopes:
+        _open_scopes[-1].append(out)
+    return out
+
+
+def drop(*staged: DataFrame | None) -> None:
+    """Delete the files of staged tables that no plan will read again."""
+    for df in staged:
+        path = getattr(df, "staged_at", None)
+        if path:
+            df.staged_at = None
+            jvm_path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+class Scratch:
+    """``with Scratch() as s``: tables staged inside are deleted at its end, but for those that ``s.keep`` has passed on."""
+
+    def __enter__(self) -> "Scratch":
+        self.kept: list[DataFrame] = []
+        _open_scopes.append([])
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df)
+        return df
+
+    def __exit__(self, failed, *_) -> None:
+        inside = _open_scopes.pop()
+        if failed:
+            return
+        for df in inside:
+            if not any(df is k for k in self.kept):
+                drop(df)
+            elif _open_scopes:
+                _open_scopes[-1].append(df)
 
 
 def uniform(*cols: Column | str, seed: str = "") -> Column:

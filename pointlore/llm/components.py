@@ -7,7 +7,7 @@ The edges of a node of any degree stay spread over tasks, and no step makes more
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, with_groups
+from .common import drop, stage, with_groups
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,7 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = stage(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "cc-low")
         small = with_groups(large, low, ["a"], "n", large.count()).select(F.col("b").alias("x"), F.col("a").alias("y"), "m")
         ends = F.array(F.struct(F.col("x").alias("a"), F.col("m").alias("b")), F.struct(F.col("y").alias("a"), F.col("m").alias("b")))
-        e = stage(small.select(F.explode(ends).alias("p")).select("p.a", "p.b").filter("a <> b").distinct(), "cc-small")
+        last, e = e, stage(small.select(F.explode(ends).alias("p")).select("p.a", "p.b").filter("a <> b").distinct(), "cc-small")
+        drop(last, least, large, low)
         # Done when the edges are stars: each leaf has one root, and no root is a leaf.
         ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("leaf")), F.struct(F.col("b").alias("v"), F.lit(0).alias("leaf")))).alias("p"))
         if ends.groupBy("p.v").agg(F.sum("p.leaf").alias("n"), F.min("p.leaf").alias("l"), F.max("p.leaf").alias("h")).filter("n > 1 or l <> h").isEmpty():

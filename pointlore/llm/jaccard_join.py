@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import maybe_in, stage, table, with_groups
+from .common import Scratch, drop, maybe_in, stage, table, with_groups
 from .components import components
 from .hashing import mix, windows, word_hashes
 
@@ -184,12 +184,15 @@ def jaccard_join(
     members = stage(told.withColumn("doc_id", F.col("doc_id").cast(kind)), "join-members")
     nodes = members.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies"), F.any_value("sketch").alias("sketch"))
     nodes = stage(nodes.withColumn("nid", F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long")), "join-nodes")
-    edges = stage(find_pairs(nodes.select("nid", "n", "sketch"), similarity, leaf, depth, first_look, miss, block, trace), "join-edges")
-    cells = stage(components(edges).withColumnRenamed("node", "nid"), "join-cells")
+    with Scratch() as search:
+        edges = search.keep(stage(find_pairs(nodes.select("nid", "n", "sketch"), similarity, leaf, depth, first_look, miss, block, trace), "join-edges"))
+    with Scratch() as merge:
+        cells = merge.keep(stage(components(edges).withColumnRenamed("node", "nid"), "join-cells"))
 
     # Exact sets of the sets in cells, each from the text of one document. A cell's pivot is the set with the most edges.
     degree = edges.select(F.explode(F.array("a", "b")).alias("nid")).groupBy("nid").agg(F.count(F.lit(1)).alias("degree"))
     wanted = stage(cells.join(nodes.select("nid", "n", "node", "head", "copies"), "nid").join(degree, "nid"), "join-wanted")
+    drop(edges, cells)
     shape = wanted.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("items"), F.max_by("nid", F.struct("degree", "nid")).alias("pivot"))
     parts = F.greatest(F.ceil(F.col("m") / F.lit(block)), F.ceil(F.col("items") * 8 / F.lit(block_bytes))).cast("int")
     placed = with_groups(wanted, shape.select("root", "pivot", parts.alias("parts"), "m"), ["root"], "m", wanted.count()).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
@@ -204,12 +207,16 @@ def jaccard_join(
 
     sets = texts.mapInPandas(full_sets, "node binary, items binary")
     full = stage(sets.join(placed, "node").groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("items", "root", "copies", "parts", "own", "nid", "pivot")]), "join-sets")
-    groups = stage(exact_classes(full, similarity, block, block_bytes), "join-classes")
+    with Scratch() as exact:
+        groups = exact.keep(stage(exact_classes(full, similarity, block, block_bytes), "join-classes"))
+    drop(full, wanted)
     every = nodes.select("node", "head", "copies").join(groups, "node", "left").select("node", "head", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class", "node").alias("class"))
     every = stage(every, "join-groups")
+    drop(nodes, groups)
     heads = stage(every.groupBy("class").agg(F.min("head").alias("class_id"), F.count(F.lit(1)).alias("m")), "join-heads")
     classes = with_groups(every, heads, ["class"], "m", every.count())
     classes = stage(classes.select("node", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "copies"), "join-told")
+    drop(every, heads)
     out = with_groups(members.select("doc_id", "n", "node"), classes, ["node"], "copies", members.count())
     return out.select(F.col("doc_id").alias(id_col), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n").alias("n_shingles"))
 
@@ -263,16 +270,21 @@ def find_pairs(nodes: DataFrame, similarity: float, leaf: int, depth: int, first
     def search(these: range, known: DataFrame | None) -> list[DataFrame]:
         """Edges that the runs find. A bucket whose sets are all connected already tells nothing new and is left out."""
         # The first splits need no look at the buckets: a pair must share them all in any case.
-        rows, edges = nodes.select("nid", "sketch").mapInPandas(splitter(these, range(first_look)), "nid long, path long"), []
+        rows, edges, open_rows = nodes.select("nid", "sketch").mapInPandas(splitter(these, range(first_look)), "nid long, path long"), [], None
         for level in range(first_look, depth + 1):
             rows = stage(rows, f"join-level-{level}")
+            drop(open_rows)
             sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.count(F.lit(1)).alias("weight")).filter("m > 1")
-            hit = stage(with_groups(rows, stage(sizes, f"join-sizes-{level}"), ["path"], "weight", rows.count()).filter("m is not null"), f"join-hits-{level}")
+            sizes = stage(sizes, f"join-sizes-{level}")
+            hit = stage(with_groups(rows, sizes, ["path"], "weight", rows.count()).filter("m is not null"), f"join-hits-{level}")
+            drop(rows, sizes)
             group = hit.withColumn("g", F.col("nid")) if known is None else hit.join(known.withColumnRenamed("node", "nid"), "nid", "left").withColumn("g", F.coalesce("root", "nid"))
             told = group.groupBy("path", "m").agg(F.min("g").alias("g1"), F.max("g").alias("g2"), F.bit_xor(F.xxhash64("nid")).alias("xor")).filter("g1 <> g2")
             # Runs often find the same bucket again; one of each is enough.
             once = told.groupBy("m", "g1", "g2", "xor").agg(F.min("path").alias("path")).select("path", F.lit(True).alias("once"), F.col("m").alias("weight"))
-            inside = stage(with_groups(hit, stage(once, f"join-once-{level}"), ["path"], "weight", hit.count()).filter("once").drop("once"), f"join-buckets-{level}")
+            once = stage(once, f"join-once-{level}")
+            inside = stage(with_groups(hit, once, ["path"], "weight", hit.count()).filter("once").drop("once"), f"join-buckets-{level}")
+            drop(hit, once)
             is_small = F.col("m") <= leaf
             some = inside.agg(F.max(is_small).alias("small"), F.max(~is_small).alias("large")).first()
             full = with_sketch(inside)
@@ -290,12 +302,14 @@ def find_pairs(nodes: DataFrame, similarity: float, leaf: int, depth: int, first
                 pivot = pivot.join(nodes.select(F.col("nid").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch")), "pivot").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("m")
                 salted = full.filter(~is_small).withColumn("salt", F.pmod(F.xxhash64("nid"), salts).cast("int"))
                 stars = stage(salted.join(pivot, ["path", "salt"]).mapInPandas(star, "path long, nid long, m long, pivot long, near boolean"), f"join-stars-{level}")
-                edges.append(stars.filter("near and nid <> pivot").select(F.col("nid").alias("a"), F.col("pivot").alias("b")).distinct())
+                edges.append(stage(stars.filter("near and nid <> pivot").select(F.col("nid").alias("a"), F.col("pivot").alias("b")).distinct(), f"join-near-{level}"))
                 open_paths = stars.filter("not near").groupBy("path").agg(F.count(F.lit(1)).alias("far"))
                 open_rows = stage(stars.join(open_paths, "path"), f"join-open-{level}")
+                drop(stars)
             if trace is not None:
                 n_open = open_rows.select("path").distinct().count() if open_rows is not None else 0
                 trace.append((level, inside.filter(is_small).select("path").distinct().count(), inside.filter(~is_small).select("path").distinct().count(), n_open))
+            drop(inside, full)
             if open_rows is None or open_rows.isEmpty():
                 return edges
             if level < depth:
@@ -373,6 +387,7 @@ def exact_classes(full: DataFrame, similarity: float, block: int, block_bytes: i
     far = (2 * F.col("w") > F.col("bound")) & (F.col("w") + F.col("most") > F.col("bound"))
     ranks = ranks.select("root", "lacks", "adds", "plain", (2 * F.col("w") <= F.col("bound")).alias("itself"), far.alias("far"), (F.col("w") > F.col("bound")).alias("alone"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("own"))
     known = stage(diffs.join(ranks, ["root", "own", "lacks", "adds"]).withColumn("links", F.col("plain") - F.when(F.col("itself"), F.col("copies")).otherwise(0)), "join-ranks")
+    drop(diffs, counted)
 
     # Far sets and all sets of their cells, in blocks.
     total = known.count()
