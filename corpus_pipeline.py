@@ -8,7 +8,7 @@ decide row by row, by a key of their own: rows that share an id, or have none, a
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointlore.llm.common import stage, table
+from pointlore.llm.common import Scratch, drop, stage, table
 from pointlore.llm.decontaminate import drop_contaminated
 from pointlore.llm.jaccard_join import jaccard_join
 from pointlore.llm.mixing import mix_sources
@@ -32,9 +32,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of near duplicates: the one with the least id; a null id comes last."""
     rows = keyed(docs)
-    classes = jaccard_join(rows, id_col=KEY).select(KEY, "class_id")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), KEY)
-    heads = rows.select(KEY, order.alias("o")).join(classes, KEY).groupBy("class_id").agg(F.min("o").alias("o")).select(F.col(f"o.{KEY}").alias(KEY))
+    with Scratch() as join:
+        classes = jaccard_join(rows, id_col=KEY).select(KEY, "class_id")
+        heads = rows.select(KEY, order.alias("o")).join(classes, KEY).groupBy("class_id").agg(F.min("o").alias("o")).select(F.col(f"o.{KEY}").alias(KEY))
+        heads = join.keep(stage(heads, "pipeline-heads"))
     return rows.join(heads, KEY, "left_semi").select(*docs.columns)
 
 
@@ -66,5 +68,7 @@ ORACLE_SQL = None
 def run(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        with Scratch() as inside:
+            last, docs = docs, inside.keep(stage(step(spark, docs, sf_dir), f"pipeline-{name}"))
+        drop(last)
     return STAGES[-1][1](spark, docs, sf_dir)
