@@ -118,6 +118,9 @@ def merged(lists: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray
     return seen, total, np.split(place, np.cumsum([len(k) for k in keys])[:-1])
 
 
+MAX_PARTITIONS = 50_000
+
+
 def answer(lists: pd.DataFrame) -> pd.DataFrame:
     """The owner of a range: totals for every list; of words also (sender -1) how many are in the training texts."""
     _, total, places = merged(lists)
@@ -127,6 +130,11 @@ def answer(lists: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["parent", "range", "sender", "totals"])
 
 
+def partitions(groups: int) -> int:
+    """So many that a partition holds few groups, and no more than a driver can follow: groups do not need one each."""
+    return max(1, min(groups, MAX_PARTITIONS))
+
+
 def exchange(lists: DataFrame, n_keys: int, bits: int, max_keys: int, fan_bits: int) -> DataFrame:
     """ANSWERS to all ``lists``, which are cut into ranges of ``bits`` bits and hold ``n_keys`` keys of each length at most.
 
@@ -135,14 +143,14 @@ def exchange(lists: DataFrame, n_keys: int, bits: int, max_keys: int, fan_bits:
     """
     groups = -(-n_keys // (max_keys << bits))
     if groups <= 1 or bits + fan_bits > 40:
-        return lists.repartition(max(1, 3 << bits), "range").groupBy("range").applyInPandas(answer, ANSWERS)
+        return lists.repartition(partitions(3 << bits), "range").groupBy("range").applyInPandas(answer, ANSWERS)
     mine = stage(lists.withColumn("group", F.pmod(F.xxhash64("sender"), F.lit(groups))), "lm-lists")
 
     def ask(key, pdf: pd.DataFrame) -> pd.DataFrame:
         seen, total, _ = merged(pdf)
         return cut(seen, total, int(key[0]) >> 48, bits + fan_bits, int(key[1]), int(key[0]))
 
-    asked = mine.repartition(groups * 3 << bits, "range", "group").groupBy("range", "group").applyInPandas(ask, LISTS)
+    asked = mine.repartition(partitions(groups * 3 << bits), "range", "group").groupBy("range", "group").applyInPandas(ask, LISTS)
     answers = stage(exchange(asked, n_keys, bits + fan_bits, max_keys, fan_bits), "lm-totals")
 
     def pass_on(lists: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -299,7 +307,13 @@ def score_documents(
                     yield cut(level.keys, np.bincount(mine[mine >= 0], minlength=len(level.keys)).astype(np.uint64), length, bits, int(block), int(block))
 
     answers = stage(exchange(blocks.mapInPandas(ask, LISTS), n_all, bits, max_keys, fan_bits), "lm-answers")
-    v = sum(int(unpack(r["totals"], np.uint64)[0]) for r in answers.filter("parent < 0").select("totals").toLocalIterator())  # a number for every range of words
+
+    def words(batches):
+        """How many distinct training words the ranges of a batch hold."""
+        for pdf in batches:
+            yield pd.DataFrame({"n": [sum(int(unpack(t, np.uint64)[0]) for t in pdf["totals"])]})
+
+    v = int(answers.filter("parent < 0").select("totals").mapInPandas(words, "n long").agg(F.sum("n")).first()[0] or 0)
 
     def traverse(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         row = block.iloc[0]
@@ -316,7 +330,7 @@ def score_documents(
             "base_score": total(np.log10((seen + 1) / (n + v + 1))), "score": total(automaton.walk(sizes)),
         })
 
-    sides = blocks.repartition(max(1, n_blocks), "block"), answers.filter("parent >= 0").withColumnRenamed("sender", "block").repartition(max(1, n_blocks), "block")
+    sides = blocks.repartition(partitions(n_blocks), "block"), answers.filter("parent >= 0").withColumnRenamed("sender", "block").repartition(partitions(n_blocks), "block")
     scored = sides[0].groupBy("block").cogroup(sides[1].groupBy("block")).applyInPandas(traverse, "id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -3,11 +3,11 @@
 Three base kinds come from patterns alone. Values that stand behind a credential word and a separator
 (``:``, ``=``, " is ", " was ", or the blank after "bearer") are cut, at minimum cost, into dictionary
 words, dates, repeats, keyboard walks and brute-force stretches; a value whose cheapest cut needs at
-least 10**``min_log10`` guesses is a span of the kind ``guess``. Values of 8 characters or more are
-tried, of any length: shorter ones cannot reach the least ``min_log10`` that is of use (10).
+least 10**``min_log10`` guesses is a span of the kind ``guess``. Values are tried from the shortest
+length that can reach it (8 characters for 10), whatever their length.
 
-The dictionary holds the commonest words of the corpus itself, counted over all documents; a word's
-rank is its cost. ``max_words`` (20,000) bounds it, as it goes to every executor. Keyboard walks and
+The dictionary holds the commonest words of the corpus itself, counted over the distinct texts that
+hold them outside credential context; a word's rank is its cost. ``max_words`` (20,000) bounds it, as it goes to every executor. Keyboard walks and
 the number of repeats have no bound; a repeated unit has at most ``UNIT`` (64) characters.
 
 Patterns run in the JVM; only the proposed values go to Python, in Arrow batches.
@@ -36,8 +36,16 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 #: Wider than the base: a credential word, a separator, then one value.
 CONTEXT_WORDS = r"pass(?:word|wd|phrase|code)?|pwd|credentials?|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|bearer|login"
 SEPARATOR = r"[\"']?(?:\x20(?:key|code|value)){0,2}(?:\x20*+[:=]|\x20++(?:is|was)(?:\x20*+[:=]|(?=\x20)))"
-GUESS = rf"(?i)(?<![A-Za-z])(?:(?:{CONTEXT_WORDS}){SEPARATOR}|bearer(?=\x20))\x20*+[\"']?([A-Za-z0-9+/_.=!@#$%^&*~-]{{8,}}+)"
-GUESS_VALUE = f"{GUESS}$"
+
+
+def guess_pattern(least: int) -> str:
+    """Values of at least that many characters behind a credential word."""
+    return rf"(?i)(?<![A-Za-z])(?:(?:{CONTEXT_WORDS}){SEPARATOR}|bearer(?=\x20))\x20*+[\"']?([A-Za-z0-9+/_.=!@#$%^&*~-]{{{least},}}+)"
+
+
+GUESS = guess_pattern(8)
+#: Whatever stands behind a credential word: no word of a text, but perhaps somebody's secret.
+PROPOSED = f"{ASSIGN}|(?:{guess_pattern(1)})|{ACCESS}|{HEX}"
 
 KINDS = ("assign", "access", "hex", "guess")
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
@@ -47,12 +55,18 @@ DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|
 LEET = str.maketrans("@4301!5$7", "aaeolisst")
 UNIT = 64
 LETTER = math.log10(26)
+BRUTE = 1.0 + math.log10(2.6)  # a character that no part covers
+
 
+def common_words(docs: DataFrame, text_col: str = "text", max_words: int = 20_000, min_texts: int = 3) -> list[str]:
+    """The commonest words of 3 to 24 letters (A-Z, case ignored) of all documents, commonest first.
 
-def common_words(docs: DataFrame, text_col: str = "text", max_words: int = 20_000) -> list[str]:
-    """The commonest words of 3 to 24 letters (A-Z, case ignored) of all documents, commonest first."""
-    words = docs.select(F.explode(F.split(F.lower(F.col(text_col).cast("string")), "[^a-z]++")).alias("w"))
-    counted = words.filter(F.length("w").between(3, 24)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    A word counts once for each distinct text that holds it outside of what a pattern proposes as a secret, and is left out where fewer
+    than ``min_texts`` do. So a secret is no word, however often it has leaked, and copies of a text count for nothing.
+    """
+    text = F.col(text_col).cast("string")
+    words = docs.select(F.xxhash64(text).alias("h"), F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace(text, PROPOSED, " ")), "[^a-z]++"))).alias("w"))
+    counted = words.filter(F.length("w").between(3, 24)).distinct().groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_texts)
     counted = stage(counted, "secret-words")
     # A level of counts that enough words reach, from a sixteenth of an octave a row; what reaches it is put in order in a few tasks,
     # so that the driver is sent a few times ``max_words`` rows whatever the corpus.
@@ -102,7 +116,7 @@ class Guesser:
         best, walk, since, next_run, live_runs = [0.0] * (n + 1), Leads(), 0, 0, []
         for end in range(1, n + 1):
             c = value[end - 1]
-            cost = best[end - 1] + (1.0 if "0" <= c <= "9" else 1.0 + math.log10(2.6))  # brute force: ten guesses a digit
+            cost = best[end - 1] + (1.0 if "0" <= c <= "9" else BRUTE)  # brute force: ten guesses a digit
             for start, price in found.get(end, ()):
                 cost = min(cost, best[start] + price)
             if end > 1 and low[end - 2 : end] not in NEXT_KEYS:
@@ -168,8 +182,10 @@ def repeats(low: str) -> list[tuple[int, int, int]]:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_log10: float = 10.0, words: list[str] | None = None) -> DataFrame:
     """One row per document: its id and an array of spans (start, rank, end, kind, value, log10_guesses), by start and kind.
 
-    ``words``: a dictionary, commonest first, instead of the commonest words of ``docs``.
+    ``words``: a dictionary, commonest first, instead of the commonest words of ``docs``. A row's spans depend on its own text and on the
+    dictionary, that is on which words stand outside credential context in how many distinct texts; copies of the row change nothing.
     """
+    pattern = guess_pattern(max(1, math.ceil(min_log10 / BRUTE)))
     shared = docs.sparkSession.sparkContext.broadcast(common_words(docs, text_col) if words is None else words)
     made: list[Guesser] = []
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -178,13 +194,13 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         spans_of(text, ASSIGN, lambda v: F.length(F.regexp_extract(v, ASSIGN_VALUE, 1)) >= 6).alias("assign"),
         F.when(F.instr(text, "AKIA") > 0, spans_of(text, ACCESS)).alias("access"),
         spans_of(text, HEX).alias("hex"),
-        spans_of(text, GUESS).alias("guess"),
+        spans_of(text, pattern).alias("guess"),
     )
     value = lambda s, pattern: F.regexp_extract(s["v"], pattern, 1)
     asked = found.select(
         id_col, "access", "hex",
         F.transform("assign", lambda s: F.struct(s["s"], s["e"], value(s, ASSIGN_VALUE).alias("v"))).alias("assign"),
-        F.transform("guess", lambda s: F.struct((s["e"] - F.length(value(s, GUESS_VALUE))).alias("s"), s["e"], value(s, GUESS_VALUE).alias("v"))).alias("guess"),
+        F.transform("guess", lambda s: F.struct((s["e"] - F.length(value(s, f"{pattern}$"))).alias("s"), s["e"], value(s, f"{pattern}$").alias("v"))).alias("guess"),
     )
 
     @F.pandas_udf("array<double>")

@@ -197,16 +197,48 @@ def test_guess_cost_of_a_megabyte(piece):
 def test_guess_spans(spark):
     prose = "the token protected and secret agreement, login credentials page; authentication of the bearer presented"
     rows = [(1, "the password is Zq9!kk2#LmP0x7 ok", "a"), (2, "the password is password password", "a"), (3, prose, "a"), (4, "secret" + " " * 200_000 + "x", "a")]
-    rows += [(9, prose, "a")] * 20
+    rows += [(9, f"{prose} {i}", "a") for i in range(20)]
+    rows += [(5, f"they presented a new password committee, part {i}", "a") for i in range(3)]
     got = secret_scan.find_secrets(docs_of(spark, rows)).collect()
     by = {r["doc_id"]: [s["value"] for s in r["spans"]] for r in got}
-    assert by == {1: ["Zq9!kk2#LmP0x7"], 2: [], 3: [], 4: [], 9: []}
+    assert by == {1: ["Zq9!kk2#LmP0x7"], 2: [], 3: [], 4: [], 5: [], 9: []}
 
 
 def test_common_words(spark):
-    docs = docs_of(spark, [(1, "Beta beta alpha-alpha gamma", "a"), (2, "beta BETA12 ab " + "z" * 30, "a"), (3, None, "a")])
-    assert secret_scan.common_words(docs, max_words=2) == ["beta", "alpha"]
-    assert secret_scan.common_words(docs) == ["beta", "alpha", "gamma"]
+    docs = docs_of(spark, [(1, "Beta beta alpha-alpha gamma", "a"), (2, "beta BETA12 ab alpha " + "z" * 30, "a"), (3, None, "a"), (4, "beta login: gamma token=gamma the password is gamma", "a"), (1, "Beta beta alpha-alpha gamma", "a")])
+    assert secret_scan.common_words(docs, max_words=1, min_texts=1) == ["beta"]
+    assert secret_scan.common_words(docs, min_texts=2) == ["beta", "alpha"]
+    assert secret_scan.common_words(docs) == ["beta"]
+
+
+def test_secrets_are_no_words(spark):
+    """A secret of letters stays a secret: alone, copied, and leaked into many texts; copies change no other row's spans."""
+    secret = "qwxzkvjpbtrmzzhq"
+    prose = [(5000 + i, f"an ordinary sentence about ordinary things number {i}; the password is correcthorse today", "a") for i in range(12)]
+
+    def spans(rows):
+        return {r["doc_id"]: sorted((s["kind"], s["value"], s["log10_guesses"]) for s in r["spans"]) for r in secret_scan.find_secrets(docs_of(spark, rows)).collect()}
+
+    alone = spans([(1, f"login: {secret}", "a")])
+    assert [(k, v) for k, v, _ in alone[1]] == [("guess", secret)]
+    once = spans([*prose, (1, f"login: {secret}", "a")])
+    assert [(k, v) for k, v, _ in once[1]] == [("guess", secret)]
+    for n in (3, 1000):
+        copies = spans([*prose, *[(k, f"login: {secret}", "a") for k in range(n)]])
+        assert all(copies[k] == once[1] for k in range(n)) and all(copies[i] == once[i] for i, _, _ in prose)
+    leaked = spans([*prose, *[(k, f"case {k}, the login is {secret} and again token={secret}", "a") for k in range(30)]])
+    assert all(("guess", secret) in [x[:2] for x in leaked[k]] for k in range(30))
+
+
+def test_lm_partitions_are_bounded():
+    assert lm_score.partitions(0) == 1 and lm_score.partitions(7) == 7 and lm_score.partitions(10**7) == lm_score.MAX_PARTITIONS
+
+
+def test_shortest_values(spark):
+    """The shortest value that is tried follows from the least cost."""
+    docs = docs_of(spark, [(1, "login: zqxjk", "a")])
+    got = {m: [s["value"] for s in secret_scan.find_secrets(docs, min_log10=m).first()["spans"]] for m in (6.0, 7.0, 7.5, 10.0)}
+    assert got == {6.0: ["zqxjk"], 7.0: ["zqxjk"], 7.5: [], 10.0: []}
 
 
 def test_guess_spans_of_long_values(spark):
@@ -446,7 +478,7 @@ def test_mixing_prefers_heavy_rows(spark):
     got = mixing.mix_sources(docs_of(spark, rows), weights=(1, 11)).filter("doc_id < 5000").collect()
     part = {odd: sum(r["taken"] > 0 for r in got if r["doc_id"] % 2 == odd) / 1000 for odd in (0, 1)}
     weight = {odd: 1 / (1 + 20 * t.count("#") / len(t)) for odd, t in ((0, rows[0][1]), (1, rows[1][1]))}
-    u = np.array([(int(hashlib.md5(f"{i}|mix".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52) for i, _, s in rows if s == "a"])
+    u = np.array([(int(hashlib.md5(f"{i}|{hashlib.md5(t.encode()).hexdigest()}|0|mix".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52) for i, t, s in rows if s == "a"])
     key = -np.log(u) / np.array([weight[i % 2] for i, _, s in rows if s == "a"])
     first = np.argsort(key)
     taken = {r["doc_id"]: r["taken"] for r in got}
@@ -897,3 +929,18 @@ def test_pipeline_decides_row_by_row(spark):
     taken = P.mix(spark, none, DATA).count()
     whole = mixing.mix_sources(none).agg({"taken": "sum"}).collect()[0][0]
     assert abs(taken - whole / 3) <= 2
+
+
+def test_mixing_draws_without_ids(spark):
+    """Rows without an id, or with one id, draw for themselves, also where their texts agree: no bucket holds them all, and parts of them are taken."""
+    n = 6000
+    rows = [(None, f"text {i} of words", "a") for i in range(n)] + [(7, "the same words again", "a")] * n + [(None, "no id and the same words", "a")] * n + [(i, "words " * 9, "b") for i in range(50)]
+    got = mixing.mix_sources(docs_of(spark, rows).repartition(6)).filter("source_size > 10000").collect()
+    assert len(got) == 3 * n
+    budget = got[0]["target"] % got[0]["source_size"] / got[0]["source_size"]
+    least = min(r["taken"] / r["size"] for r in got)
+    for key in (lambda r: r["doc_id"] is None and r["size"] == 4, lambda r: r["doc_id"] == 7, lambda r: r["size"] == 6):
+        mine = [r["taken"] / r["size"] > least for r in got if key(r)]
+        assert len(mine) == n and abs(sum(mine) / n - budget) < 0.04
+    again = mixing.mix_sources(docs_of(spark, rows[::-1]).repartition(3)).filter("source_size > 10000").collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(map(tuple, again))
