@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.special import ks_p_asymptotic, ks_p_exact, normal_quantile, normal_two_sided, rank_sum_p_exact, signed_rank_p_exact, student_two_sided
 from ..model import KEYS
@@ -11,26 +12,52 @@ from ..functions.storage import running_before, written
 from .expressions import support_label, valid_samples
 
 
+#: Samples of at most so many distinct values are compared as arrays, larger ones as rows over many tasks.
+WHOLE = 1_000_000
+
+
 def signed_walk(values: DataFrame, keys: list[str]) -> DataFrame:
-    """KS distance and earth mover's distance of the two sides of each key.
+    """KS distance and earth mover's distance of the two sides of each key, whatever their size.
 
     ``values``: keys, side (0 or 1), value, w (multiplicity). Every side's weights add up to one; the running sum of the signed
-    weights is the difference of the two distribution functions. One shuffle, by the keys, serves the totals, the folding of
-    equal values and the running sum.
+    weights is the difference of the two distribution functions. The values of a key lie in ranges. A range tells the sum of its
+    weights and its first value; from those of the ranges before it each knows the difference that it starts with, and from the range
+    after it how far its last difference reaches. So the values of one key may fill any number of tasks.
     """
-    values = values.repartition(*keys)
-    n = lambda side: F.sum(F.when(F.col("side") == side, F.col("w"))).over(W.partitionBy(*keys))
-    v = values.withColumn("n1", n(0)).withColumn("n2", n(1)).filter("n1 is not null and n2 is not null")
-    folded = v.groupBy(*keys, "value").agg(
-        F.max("n1").alias("n1"), F.max("n2").alias("n2"),
-        F.sum(F.when(F.col("side") == 0, F.col("w") / F.col("n1")).otherwise(-F.col("w") / F.col("n2"))).alias("_w"),
-    )
-    by = W.partitionBy(*keys).orderBy("value")
-    walked = folded.withColumn("_f", F.sum("_w").over(by.rowsBetween(W.unboundedPreceding, 0))).withColumn("_dx", F.lead("value").over(by) - F.col("value"))
-    return walked.groupBy(*keys).agg(
-        F.max("n1").cast("long").alias("n1"), F.max("n2").cast("long").alias("n2"),
-        F.max(F.abs("_f")).alias("ks"), F.sum(F.abs("_f") * F.coalesce("_dx", F.lit(0.0))).alias("emd"),
-    )
+    sizes = values.groupBy(*keys).agg(*[F.sum(F.when(F.col("side") == k, F.col("w"))).alias(f"n{k + 1}") for k in (0, 1)]).filter("n1 is not null and n2 is not null")
+    sizes = written(sizes, "sizes")
+    signed = values.join(sizes, keys).groupBy(*keys, "value").agg(F.sum(F.when(F.col("side") == 0, F.col("w") / F.col("n1")).otherwise(-F.col("w") / F.col("n2"))).alias("_w"))
+    laid = written(written(signed, "signed").repartitionByRange(*keys, "value").withColumn("_range", F.spark_partition_id()), "ranges")
+    parts = laid.groupBy(*keys, "_range").agg(F.sum("_w").alias("_sum"), F.min("value").alias("_first"))
+    before = W.partitionBy(*keys).orderBy("_range")
+    parts = parts.select(*keys, "_range", F.coalesce(F.sum("_sum").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_start"), F.lead("_first").over(before).alias("_beyond"))
+    inside = W.partitionBy(*keys, "_range").orderBy("value")
+    apart = F.col("_start") + F.sum("_w").over(inside.rowsBetween(W.unboundedPreceding, 0))
+    reach = F.coalesce(F.lead("value").over(inside), F.col("_beyond")) - F.col("value")
+    walked = laid.join(parts, [*keys, "_range"]).select(*keys, F.abs(apart).alias("_f"), F.coalesce(reach, F.lit(0.0)).alias("_dx"))
+    out = walked.groupBy(*keys).agg(F.max("_f").alias("ks"), F.sum(F.col("_f") * F.col("_dx")).alias("emd"))
+    return sizes.join(out, keys).select(*keys, F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"), "ks", "emd")
+
+
+@F.pandas_udf(StructType([StructField("ks", DoubleType()), StructField("emd", DoubleType())]))
+def walk_arrays(x: pd.Series, w: pd.Series, n: pd.Series, y: pd.Series, v: pd.Series, m: pd.Series) -> pd.DataFrame:
+    """Both distances of two samples, each as its distinct values, their counts and the sum of these."""
+    out = []
+    for a, wa, na, b, wb, nb in zip(x, w, n, y, v, m):
+        every = np.concatenate([a, b])
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        apart = np.abs(np.cumsum(np.concatenate([wa / na, -wb / nb])[order]))
+        step = np.diff(every)
+        # Of equal values the last one tells the difference.
+        out.append((float(apart[np.append(step > 0, True)].max()), float(apart[:-1] @ step)))
+    return pd.DataFrame(out, columns=["ks", "emd"])
+
+
+def sample_arrays(values: DataFrame, keys: list[str]) -> DataFrame:
+    """Folded values as one row a sample: keys, values (ascending), weights, n."""
+    packed = values.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("value", "w"))).alias("_p"), F.sum("w").alias("n"))
+    return packed.select(*keys, F.col("_p.value").alias("values"), F.col("_p.w").alias("weights"), "n")
 
 
 def folded(samples: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,24 +70,48 @@ def emd(samples: DataFrame, keys: list[str], side: str) -> DataFrame:
     return signed_walk(folded(samples.withColumnRenamed(side, "side"), [*keys, "side"]), keys)
 
 
-def baseline_pairs(samples: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Values of each (measure, baseline, mode, cell, seed) on side 0 and of the baseline's sample on side 1.
+def baseline_pairs(groups: DataFrame, baseline: DataFrame) -> DataFrame:
+    """measure, baseline, mode, cell_id, seed, base_seed: which sample of each baseline a sample is compared with.
 
-    The baseline's sample is that of the same cell and seed, else of the cell's smallest seed; cells that it lacks are skipped.
-    ``baseline``: one column of baseline modes.
+    That of the same cell and seed, else of the cell's smallest seed; cells that the baseline lacks are skipped. ``groups``: the keys
+    of all samples; ``baseline``: one column of baseline modes.
     """
-    v = folded(valid_samples(samples), KEYS)
-    groups = v.select(*KEYS).distinct()
-    base = groups.join(F.broadcast(baseline), groups["mode"] == baseline["baseline"], "left_semi").select("measure", F.col("mode").alias("baseline"), "cell_id", F.col("seed").alias("base_seed"))
+    base = groups.join(baseline, groups["mode"] == baseline["baseline"], "left_semi").select("measure", F.col("mode").alias("baseline"), "cell_id", F.col("seed").alias("base_seed"))
     first = base.groupBy("measure", "baseline", "cell_id").agg(F.min("base_seed").alias("first_seed"))
     wanted = groups.join(first, ["measure", "cell_id"]).filter("mode <> baseline")
     same = base.withColumnRenamed("base_seed", "seed").withColumn("_same", F.lit(True))
-    wanted = wanted.join(same, ["measure", "baseline", "cell_id", "seed"], "left").withColumn("base_seed", F.when(F.col("_same"), F.col("seed")).otherwise(F.col("first_seed")))
+    wanted = wanted.join(same, ["measure", "baseline", "cell_id", "seed"], "left")
+    return wanted.select("measure", "baseline", "mode", "cell_id", "seed", F.when(F.col("_same"), F.col("seed")).otherwise(F.col("first_seed")).alias("base_seed"))
+
+
+def against_baselines(samples: DataFrame, baseline: DataFrame, whole: int = WHOLE) -> DataFrame:
+    """measure, baseline, mode, cell_id, seed, n1, n2, ks, emd of each sample and its baseline's.
+
+    A sample is folded into one row of sorted values, and a pair is one row with both. Pairs with a sample of more than ``whole``
+    distinct values are walked as rows instead.
+    """
+    v = written(folded(valid_samples(samples), KEYS), "folded")
+    sizes = written(v.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_size")), "sizes")
     keys = ["measure", "baseline", "mode", "cell_id", "seed"]
-    left = wanted.select(*keys).join(v, KEYS).select(*keys, F.lit(0).alias("side"), "value", "w")
-    b = v.select("measure", F.col("mode").alias("baseline"), "cell_id", F.col("seed").alias("base_seed"), "value", "w")
-    right = wanted.select(*keys, "base_seed").join(b, ["measure", "baseline", "cell_id", "base_seed"]).select(*keys, F.lit(1).alias("side"), "value", "w")
-    return left.unionByName(right)
+    there = ["measure", "baseline", "cell_id", "base_seed"]
+    as_base = lambda df: df.withColumnsRenamed({"mode": "baseline", "seed": "base_seed"})
+    large = sizes.filter(F.col("_size") > whole).drop("_size")
+    pairs, several = baseline_pairs(sizes.drop("_size"), baseline), not large.isEmpty()
+    few = v
+    if several:
+        pairs = written(pairs.join(large.withColumn("_l1", F.lit(True)), KEYS, "left").join(as_base(large).withColumn("_l2", F.lit(True)), there, "left").withColumn("_large", F.coalesce("_l1", "_l2", F.lit(False))), "pairs")
+        few = v.join(large, KEYS, "left_anti")
+    arrays = written(sample_arrays(few, KEYS), "arrays")
+    one = (pairs.filter("not _large") if several else pairs).join(arrays, KEYS)
+    two = as_base(arrays).select(*there, F.col("values").alias("_y"), F.col("weights").alias("_v"), F.col("n").alias("_m"))
+    met = one.join(two, there).select(*keys, F.col("n").cast("long").alias("n1"), F.col("_m").cast("long").alias("n2"), walk_arrays("values", "weights", "n", "_y", "_v", "_m").alias("_d"))
+    out = met.select(*keys, "n1", "n2", "_d.ks", "_d.emd")
+    if several:
+        long = pairs.filter("_large").select(*keys, "base_seed")
+        left = long.join(v, KEYS).select(*keys, F.lit(0).alias("side"), "value", "w")
+        right = long.join(as_base(v), there).select(*keys, F.lit(1).alias("side"), "value", "w")
+        out = out.unionByName(signed_walk(left.unionByName(right), keys))
+    return out
 
 
 def ks_all_baselines(samples: DataFrame, baseline: DataFrame, level: float = 0.05, method: str = "exact") -> DataFrame:
@@ -68,7 +119,7 @@ def ks_all_baselines(samples: DataFrame, baseline: DataFrame, level: float = 0.0
 
     ``method``: exact (up to 10,000 values a side, else the series) or asymptotic (the series).
     """
-    out = signed_walk(baseline_pairs(samples, baseline), ["measure", "baseline", "mode", "cell_id", "seed"])
+    out = against_baselines(samples, baseline)
     n, m = F.col("n1").cast("double"), F.col("n2").cast("double")
     p = ks_p_exact("ks", "n1", "n2") if method == "exact" else ks_p_asymptotic(F.col("ks"), n, m)
     return out.withColumn("p_value", p).withColumn("similar", F.col("p_value") >= level).withColumn("different", F.col("p_value") < level)
@@ -124,8 +175,7 @@ def emd_all_pairs(samples: DataFrame, mode_order: list[str] | None = None, group
     group = list(group)
     v = folded(valid_samples(samples), ["measure", *group])
     place = F.array_position(F.array(*[F.lit(m) for m in mode_order]), F.col("mode")) if mode_order else F.lit(0)
-    each = v.groupBy("measure", *group).agg(F.array_sort(F.collect_list(F.struct("value", "w"))).alias("_p"), F.sum("w").alias("n"), F.count(F.lit(1)).alias("_size"))
-    each = written(each.select("measure", *group, place.alias("_place"), F.col("_p.value").alias("values"), F.col("_p.w").alias("weights"), "n", "_size"), "samples")
+    each = written(sample_arrays(v, ["measure", *group]).withColumn("_place", place).withColumn("_size", F.size("values")), "samples")
     # One row per sample: their pairs are the result, so there are few of them.
     by = W.partitionBy("measure").orderBy("_place", *group)
     share = F.greatest(F.col("_size") / tile_values, F.lit(1.0 / tile_samples))

@@ -150,3 +150,40 @@ def test_tiles(spark):
             every = np.sort(np.concatenate([x, y]))
             gap = np.abs(np.searchsorted(x, every, "right") / len(x) - np.searchsorted(y, every, "right") / len(y))
             assert r["emd"] == pytest.approx(float(gap[:-1] @ np.diff(every)), abs=1e-12) and (r["n1"], r["n2"]) == (len(x), len(y))
+
+
+def plain_walk(x, y):
+    every = np.sort(np.concatenate([x, y]))
+    gap = np.abs(np.searchsorted(np.sort(x), every, "right") / len(x) - np.searchsorted(np.sort(y), every, "right") / len(y))
+    return gap.max(), gap[:-1] @ np.diff(every)
+
+
+def test_walk_over_ranges(spark):
+    """One key over many ranges, beside small, tied and one-sided ones."""
+    rng = np.random.default_rng(13)
+    groups = {"big": (rng.normal(0, 1, 6000).round(3), rng.normal(0.3, 2, 9000).round(3)), "tied": (np.zeros(50), np.zeros(70)), "small": (np.array([1.0, 2.0]), np.array([1.5])), "apart": (np.array([0.0]), np.array([10.0]))}
+    rows = [(g, side, float(v), 1.0) for g, pair in groups.items() for side, vs in enumerate(pair) for v in vs] + [("lone", 0, 1.0, 1.0)]
+    got = {r["k"]: r for r in T.signed_walk(spark.createDataFrame(rows, "k string, side int, value double, w double").repartition(8), ["k"]).collect()}
+    assert set(got) == set(groups)
+    for g, (x, y) in groups.items():
+        ks, emd = plain_walk(x, y)
+        assert got[g]["ks"] == pytest.approx(ks, abs=1e-9) and got[g]["emd"] == pytest.approx(emd, abs=1e-9) and (got[g]["n1"], got[g]["n2"]) == (len(x), len(y))
+
+
+def test_large_samples_take_the_ranges(spark):
+    """Samples as arrays and as rows give the same; baselines by seed, else by the smallest seed."""
+    rng = np.random.default_rng(14)
+    rows = [("d", m, c, s, float(v)) for m in "abc" for c in "pq" for s in "01" if not (m == "a" and s == "0" and c == "q") for v in rng.normal(ord(m) - 97, 1, rng.integers(2, 60)).round(1)]
+    samples = spark.createDataFrame(rows + [("d", "b", "only here", "0", 1.0)], "measure string, mode string, cell_id string, seed string, value double")
+    base = spark.createDataFrame([("a",), ("c",)], "baseline string")
+    key = lambda r: (r["baseline"], r["mode"], r["cell_id"], r["seed"])
+    runs = [{key(r): (r["n1"], r["n2"], round(r["ks"], 9), round(r["emd"], 9)) for r in T.against_baselines(samples, base, whole).collect()} for whole in (T.WHOLE, 25, 1)]
+    assert runs[0] == runs[1] == runs[2]
+    of = collections.defaultdict(list)
+    for _, m, c, s, v in rows:
+        of[m, c, s].append(v)
+    assert set(runs[0]) == {(b, m, c, s) for b in "ac" for m, c, s in of if m != b}
+    for (b, m, c, s), (n1, n2, ks, emd) in runs[0].items():
+        y = of[b, c, s] or of[b, c, "1"]
+        want = plain_walk(np.array(of[m, c, s]), np.array(y))
+        assert (n1, n2) == (len(of[m, c, s]), len(y)) and (ks, emd) == (pytest.approx(want[0], abs=1e-8), pytest.approx(want[1], abs=1e-8))
