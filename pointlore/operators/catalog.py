@@ -34,6 +34,15 @@ def metric_summary(cells: DataFrame, metrics: list[str], keys: list[str]) -> Dat
     return long.groupBy(*keys, "metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("lo"), F.max("value").alias("hi"))
 
 
+def metric_histogram(cells: DataFrame, metric: str, keys: list[str], width: float) -> DataFrame:
+    """Histogram of a metric per key: bins of ``width`` from the least value on, the last one closed; empty bins count 0."""
+    v = cells.filter(F.col(metric).isNotNull()).select(*keys, F.col(metric).cast("double").alias("_v"))
+    ends = v.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).withColumn("_bins", F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo")) / width)).cast("int"))
+    placed = v.join(ends, keys).groupBy(*keys, F.least(F.floor((F.col("_v") - F.col("_lo")) / width).cast("int"), F.col("_bins") - 1).alias("bin")).agg(F.count(F.lit(1)).alias("_c"))
+    every = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("_bins") - 1)))
+    return every.join(placed, [*keys, "bin"], "left").select(*keys, "bin", (F.col("_lo") + F.col("bin") * width).alias("left"), F.coalesce("_c", F.lit(0)).alias("count"))
+
+
 def release_table(files: DataFrame, stats: DataFrame, structures: DataFrame) -> DataFrame:
     """Files (stem, packing, condition, structure_name, rule) with cell id, rounded statistics and short rule."""
     f = files.withColumn("CellId", F.expr("regexp_replace(regexp_replace(stem, concat('^results_', packing, '_', condition, '_'), ''), '_seed_(?!.*_seed_).*$', '')"))

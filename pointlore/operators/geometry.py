@@ -252,6 +252,15 @@ def distance_agreement(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("cel
     return a.select(*keys, F.col("distance").alias("d_a")).join(b.select(*keys, F.col("distance").alias("d_b")), list(keys)).withColumn("difference", F.col("d_a") - F.col("d_b"))
 
 
+def agreement_summary(differences: DataFrame, distances: DataFrame, keys: tuple[str, ...] = ("cell_id",)) -> DataFrame:
+    """Per cell, how far two distances of its points differ, and the shares of points inside the nucleus and outside the membrane.
+
+    ``differences``: keys, difference; ``distances``: keys, nucleus (negative inside), membrane (negative outside).
+    """
+    apart = differences.groupBy(*keys).agg(F.count("difference").alias("n"), F.avg("difference").alias("mean_difference"), F.sqrt(F.avg(F.col("difference") * F.col("difference"))).alias("rms_difference"))
+    return apart.join(cytoplasm_qc(distances, list(keys)), list(keys), "left")
+
+
 def weight_maps(points: DataFrame, cells: DataFrame, length: float | None = None) -> DataFrame:
     """Distance and decay weight of slice points by kind. ``points``: cell_id, point_id, z, nucleus, membrane."""
     from .expressions import decay_weights

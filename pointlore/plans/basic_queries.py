@@ -184,6 +184,15 @@ def k05_metric_summary(spark, d):
     return m.select("l_suppkey", "metric", "n", r6("mean").alias("mean"), r6("std").alias("std"), "lo", "hi")
 
 
+@query("""WITH e AS (SELECT l_suppkey, min(l_extendedprice) AS lo, greatest(1, ceil((max(l_extendedprice) - min(l_extendedprice)) / 4000.0::DOUBLE))::INT AS bins FROM lineitem GROUP BY 1),
+b AS (SELECT l_suppkey, unnest(range(bins)) AS bin, lo, bins FROM e)
+SELECT b.l_suppkey, bin::INT AS bin, round(lo + bin * 4000.0::DOUBLE, 6) + 0.0 AS "left", count(l_extendedprice) AS "count"
+FROM b LEFT JOIN lineitem l ON l.l_suppkey = b.l_suppkey AND (l_extendedprice >= lo + bin * 4000.0::DOUBLE OR bin = 0) AND (l_extendedprice < lo + (bin + 1) * 4000.0::DOUBLE OR bin = bins - 1) GROUP BY ALL""")
+def k05_metric_histogram(spark, d):
+    h = K.metric_histogram(table(spark, d, "lineitem"), "l_extendedprice", ["l_suppkey"], 4000.0)
+    return h.select("l_suppkey", "bin", r6("left").alias("left"), "count")
+
+
 @query(f"""WITH f AS (SELECT *, {STEMS} AS stem, replace(lower(p_brand), '#', '') AS packing FROM part)
 SELECT p_partkey, regexp_replace(regexp_replace(stem, concat('^results_', packing, '_norm_'), ''), '_seed_[^_]*$', '') AS cell_id, split_part(p_type, ' ', 1) AS rule_short, round(s_acctbal, 2) AS radius
 FROM f LEFT JOIN supplier ON CAST(s_suppkey AS VARCHAR) = regexp_replace(regexp_replace(stem, concat('^results_', packing, '_norm_'), ''), '_seed_[^_]*$', '')""")

@@ -174,10 +174,17 @@ e AS (SELECT measure, quantile_cont(top, 1.0) AS x1 FROM tp GROUP BY 1), kg AS (
 {_kde_sql('measure, cell_id', 'av', 'ka')}, occ AS (SELECT measure, mode, cell_id, value FROM samples), {_kde_sql('measure, mode, cell_id', 'occ', 'ko')}, {norm_sql('measure, cell_id', 'na', 'ka')}, {norm_sql('measure, mode, cell_id', 'no', 'ko')}
 SELECT no.measure, no.mode, no.cell_id, no.i, round(no.x, 6) + 0.0 AS x, round(CASE WHEN no.x <= p95 THEN exp(ln(greatest(no.y, 1e-10)) - ln(greatest(na.y, 1e-10))) END, 5) + 0.0 AS occupancy FROM no JOIN na ON na.measure = no.measure AND na.cell_id = no.cell_id AND na.i = no.i JOIN tp ON tp.measure = no.measure AND tp.cell_id = no.cell_id"""
 
-ORACLE_SQL["d13_joint_curves"] = f"""WITH {SAMPLES_ITEMS}, {grid_sql('measure', n=60)}, {ecdf_sql('measure, mode, cell_id, seed', 'measure')}, t AS (SELECT j, j * 59 / 39.0::DOUBLE AS t, least(floor(j * 59 / 39.0::DOUBLE), 58)::INT AS k FROM range(40) r(j)),
-no AS (SELECT measure, row_number() OVER (ORDER BY measure) - 1 AS no FROM (SELECT DISTINCT measure FROM samples))
-SELECT a.mode, a.cell_id, a.seed, (no * 40 + j)::INT AS i, round(no + j / 39.0::DOUBLE, 6) + 0.0 AS x, round(a.y + (b.y - a.y) * (t - k), 6) + 0.0 AS y
-FROM t JOIN curve a ON a.i = k JOIN curve b ON b.measure = a.measure AND b.mode = a.mode AND b.cell_id = a.cell_id AND b.seed = a.seed AND b.i = k + 1 JOIN no ON no.measure = a.measure"""
+# Each curve once: counts by the first grid point that a value does not exceed, then a running sum.
+ORACLE_SQL["d13_joint_curves"] = f"""WITH {SAMPLES_ITEMS}, {grid_sql('measure', n=60)},
+first AS (SELECT s.*, g.x0, g.step, greatest(0, ceil((value - g.x0) / g.step))::INT AS about FROM samples s JOIN grid_s g USING (measure)),
+hits AS (SELECT measure, mode, cell_id, seed, CASE WHEN about > 0 AND x0 + (about - 1) * step >= value THEN about - 1 WHEN x0 + about * step < value THEN about + 1 ELSE about END AS i, count(*) AS c FROM first GROUP BY ALL),
+groups AS (SELECT measure, mode, cell_id, seed, count(*) AS n FROM samples GROUP BY ALL),
+curve AS MATERIALIZED (SELECT measure, mode, cell_id, seed, i, x, sum(coalesce(c, 0)) OVER (PARTITION BY measure, mode, cell_id, seed ORDER BY i) / n::DOUBLE AS y
+  FROM (SELECT p.measure, mode, cell_id, seed, p.n, g.i, g.x FROM groups p JOIN grid g ON g.measure = p.measure) LEFT JOIN hits USING (measure, mode, cell_id, seed, i)), t AS (SELECT j, j * 59 / 39.0::DOUBLE AS t, least(floor(j * 59 / 39.0::DOUBLE), 58)::INT AS k FROM range(40) r(j)),
+no AS (SELECT measure, row_number() OVER (ORDER BY measure) - 1 AS no FROM (SELECT DISTINCT measure FROM samples)),
+pairs AS MATERIALIZED (SELECT *, lead(y) OVER (PARTITION BY measure, mode, cell_id, seed ORDER BY i) AS y2 FROM curve)
+SELECT a.mode, a.cell_id, a.seed, (no * 40 + j)::INT AS i, round(no + j / 39.0::DOUBLE, 6) + 0.0 AS x, round(a.y + (a.y2 - a.y) * (t - k), 6) + 0.0 AS y
+FROM t JOIN pairs a ON a.i = k JOIN no ON no.measure = a.measure"""
 
 ORACLE_SQL["q02_occupancy_analysis"] = ORACLE_SQL["f05_occupancy_emd"].split(" SELECT p.*, round(emd, 5)")[0] + " SELECT measure, mode_1, mode_2, round(avg(emd), 5) + 0.0 AS mean_emd FROM walk GROUP BY ALL"
 

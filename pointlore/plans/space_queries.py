@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions.storage import shared_path, written
-from ..model import AVAILABLE_ORDERS, CELLS_VEC, POINTS_VEC, SAMPLES_EVENTS, SAMPLES_ITEMS, SAMPLES_ORDERS, available_orders, cells_vec, modes_of, points_vec, query, r6, samples_events, samples_items, samples_orders, table
+from ..model import ORACLE_SQL, AVAILABLE_ORDERS, CELLS_VEC, POINTS_VEC, SAMPLES_EVENTS, SAMPLES_ITEMS, SAMPLES_ORDERS, available_orders, cells_vec, modes_of, points_vec, query, r6, samples_events, samples_items, samples_orders, table
 from ..operators import curves as D
 from ..operators import envelopes as E
 from ..operators import geometry as C
@@ -14,7 +14,7 @@ from ..operators import occupancy as G
 from ..operators import profiles as P
 from ..operators import twosample as T
 from ..sources import files as A
-from .curve_queries import KSKEYS, KSP, PAIRS, _cell_rates, base_sql, cell_rates_sql, e03_sql, grid_sql, hist_sql, norm_sql, pair_test_sql, walk_sql
+from .curve_queries import KSKEYS, KSP, PAIRS, _cell_rates, _rates, base_sql, cell_rates_sql, e03_sql, grid_sql, hist_sql, norm_sql, pair_test_sql, walk_sql
 from . import workflows as Q
 
 W0 = 25.0
@@ -424,6 +424,17 @@ def c18_distance_agreement(spark, d):
     return C.distance_agreement(a, b).select("cell_id", "point_id", r6("difference").alias("difference"))
 
 
+@query()
+def c18_agreement_summary(spark, d):
+    """Per cell: how far the coarse and the fine membrane differ, points inside the nucleus, points outside the membrane."""
+    p, coarse, r = _surfaces(spark, d, 1)
+    keep = p.select("cell_id", "point_id", "x", "y", "z")
+    mem, nuc, fine = C.surface_distance(keep, coarse, surface="mem"), C.surface_distance(keep, coarse, surface="nuc"), C.surface_distance(keep, sphere(spark, r, 2), surface="mem")
+    both = mem.select("cell_id", "point_id", F.col("distance").alias("membrane")).join(nuc.select("cell_id", "point_id", F.col("distance").alias("nucleus")), ["cell_id", "point_id"])
+    out = C.agreement_summary(C.distance_agreement(mem, fine), both)
+    return out.select("cell_id", "n", *[r6(c).alias(c) for c in ("mean_difference", "rms_difference", "in_nucleus", "outside_membrane")], "flagged")
+
+
 @query(f"""WITH {POINTS_VEC}, {CELLS_VEC}, k AS (SELECT cell_id, point_id, unnest([abs(x), abs(y), mem_z_max - z, NULL]) AS d, unnest(['nucleus', 'membrane', 'top', 'uniform']) AS kind FROM points JOIN cells USING (cell_id)), s AS (SELECT *, exp(-(d / max(d) OVER (PARTITION BY cell_id, kind)) / 0.4) AS w FROM k)
 SELECT cell_id, point_id, kind, round(CASE WHEN kind = 'uniform' THEN 1 ELSE w / max(w) OVER (PARTITION BY cell_id, kind) END, 6) + 0.0 AS weight FROM s""")
 def b16_weight_maps(spark, d):
@@ -582,6 +593,42 @@ def q04_mixed_rule(spark, d):
     return out["weights"].withColumn("weight", F.round("weight", 5) + 0.0)
 
 
+@query()
+def q04_validation(spark, d):
+    """The second priority stands for the mixed rule: mean distances of all pairs of modes and shares of similar samples."""
+    out = Q.validate_rule(samples_orders(spark, d), _rounded(spark, d), "1-URGENT", method="asymptotic")["summary"]
+    return out.select("kind", "measure", "mode_1", "mode_2", (F.round("value", 5) + 0.0).alias("value"))
+
+
+_DISTANCE_KS = f"""WITH {SAMPLES_ORDERS}, {base_sql("SELECT '1-URGENT' AS baseline")}, {walk_sql(KSKEYS, 'sides')} SELECT measure, mode, avg(({KSP} >= 0.05)::INT::DOUBLE) AS v FROM walk GROUP BY ALL"""
+_OCCUPANCY_KS = ORACLE_SQL["f06_occupancy_ks"].split(" SELECT measure, mode, cell_id, n1, n2")[0] + f" SELECT measure, mode, avg(({KSP} >= 0.05)::INT::DOUBLE) AS v FROM walk GROUP BY ALL"
+_OCCUPANCY_EMD = ORACLE_SQL["f05_occupancy_emd"].split(" SELECT p.*, round(emd, 5)")[0] + " SELECT measure, mode_1, mode_2, avg(emd) AS v FROM walk GROUP BY ALL"
+ORACLE_SQL["q04_validation"] = f"""SELECT kind, measure, mode_1, mode_2, round(v, 5) + 0.0 AS value FROM (
+SELECT 'distance_emd' AS kind, measure, mode_1, mode_2, v FROM ({PAIRS} SELECT measure, mode_1, mode_2, avg(emd) AS v FROM walk GROUP BY ALL)
+UNION ALL SELECT 'occupancy_emd', measure, mode_1, mode_2, v FROM ({_OCCUPANCY_EMD})
+UNION ALL SELECT 'distance_similar', measure, mode, '1-URGENT', v FROM ({_DISTANCE_KS})
+UNION ALL SELECT 'occupancy_similar', measure, mode, '1-URGENT', v FROM ({_OCCUPANCY_KS}))"""
+
+
+@query()
+def q06_variation_distances(spark, d):
+    """All pairs inside a level and against the first one, from the whole analysis of a variation."""
+    out = Q.variation_analysis(samples_orders(spark, d), "1-URGENT", limits=(0.0, 600.0))["emd_views"]
+    return out.select("kind", "mode_1", "cell_id_1", "mode_2", "cell_id_2", r6("emd").alias("emd"))
+
+
+ORACLE_SQL["q06_variation_distances"] = ORACLE_SQL["f08_emd_views"]
+
+
+@query()
+def q06_variation_rates(spark, d):
+    """Rejection rates of all ordered pairs of levels, from the whole analysis of a variation."""
+    return _rates(Q.variation_analysis(samples_items(spark, d), "A", n_grid=50)["rates"])
+
+
+ORACLE_SQL["q06_variation_rates"] = ORACLE_SQL["e07_pairwise_envelope_joint"]
+
+
 @query()
 def q05_colocalisation(spark, d):
     """The urgent orders' cells against two other priorities, one of them as the model with the extra structure."""

@@ -76,3 +76,8 @@ g AS (SELECT cell_id, row_number() OVER () AS point_id, -r + i * 4 AS x, -r + j
 {distances('far', 'g', 'tri')}, pair AS (SELECT m.cell_id, m.z, m.distance AS membrane, n.distance AS nucleus, radius {BOTH.replace('FROM far n JOIN', 'FROM far n JOIN rad USING (cell_id) JOIN')} AND m.distance > 0),
 l AS (SELECT cell_id, unnest(['membrane', 'nucleus', 'z', 'scaled_z']) AS measure, unnest([membrane, nucleus, CASE WHEN nucleus >= 0 THEN abs(z + radius) END, CASE WHEN nucleus >= 0 THEN abs(z + radius) / (2 * radius) END]) AS value FROM pair)
 SELECT measure, cell_id, count(*) AS n, round(avg(value), 5) + 0.0 AS mean FROM l WHERE value IS NOT NULL GROUP BY ALL"""
+ORACLE_SQL["c18_agreement_summary"] = f"""{ORACLE_SQL['c18_distance_agreement'].split(chr(10) + 'SELECT cell_id, point_id')[0]},
+diff AS (SELECT a.cell_id, a.distance - b.distance AS d FROM far a JOIN near b USING (cell_id, point_id) WHERE a.surface = 'mem'),
+apart AS (SELECT cell_id, count(*) AS n, avg(d) AS m, sqrt(avg(d * d)) AS q FROM diff GROUP BY 1),
+share AS (SELECT cell_id, avg((surface = 'nuc' AND distance < 0)::INT::DOUBLE) * 2 AS i, avg((surface = 'mem' AND distance < 0)::INT::DOUBLE) * 2 AS o FROM far GROUP BY 1)
+SELECT cell_id, n, round(m, 6) + 0.0 AS mean_difference, round(q, 6) + 0.0 AS rms_difference, round(i, 6) + 0.0 AS in_nucleus, round(o, 6) + 0.0 AS outside_membrane, i + o > 0.1 AS flagged FROM apart JOIN share USING (cell_id)"""

@@ -59,6 +59,29 @@ def mixed_rule(occ: DataFrame, occ_comb: DataFrame, modes: list[str], baseline:
     return {"coefs": coefs, "mse": mse, "weights": H.mixture_weights(cv, names), "cv": H.cv_long(cv), "candidates": H.comparison_table(H.compare_candidates(target, cv["matrix"], modes))}
 
 
+def validate_rule(samples: DataFrame, occ: DataFrame, baseline: str, bootstrap: int = 100, method: str = "exact") -> dict[str, DataFrame]:
+    """Q04, second part: simulations of the mixed rule beside all other modes, by occupancy and by distances.
+
+    ``samples`` and ``occ`` (occupancy per cell) hold the baseline, the plain rules and the mixed one. Distances between all samples,
+    tests against the baseline with their bootstrap, pairwise envelopes; ``summary``: mean distance of each pair of modes and share of
+    similar samples of each mode, for occupancy and for distances.
+    """
+    samples, occ = written(samples, "samples"), written(occ, "occupancy")
+    base = samples.sparkSession.createDataFrame([(baseline,)], "baseline string")
+    pairs = {"occupancy": written(G.occupancy_emd(occ), "occupancy-emd"), "distance": written(T.emd_all_pairs(samples), "emd")}
+    tests = {"occupancy": written(G.occupancy_ks(occ, base, method=method), "occupancy-ks"), "distance": written(T.ks_all_baselines(samples, base, method=method), "ks")}
+    parts = []
+    for kind in pairs:
+        parts.append(T.emd_means(pairs[kind]).select(F.lit(f"{kind}_emd").alias("kind"), "measure", "mode_1", "mode_2", F.col("mean_emd").alias("value")))
+        parts.append(T.ks_means(tests[kind]).select(F.lit(f"{kind}_similar").alias("kind"), "measure", F.col("mode").alias("mode_1"), F.lit(baseline).alias("mode_2"), F.col("similar_share").alias("value")))
+    summary = parts[0]
+    for p in parts[1:]:
+        summary = summary.unionByName(p)
+    envelope, rates, _ = E.pairwise_envelope_test(samples)
+    out = {f"{kind}_emd": p for kind, p in pairs.items()} | {f"{kind}_ks": t for kind, t in tests.items()}
+    return out | {"ks_bootstrap": T.ks_bootstrap(tests["distance"], bootstrap), "envelope": envelope, "envelope_rates": rates, "summary": summary}
+
+
 def colocalisation(pairs: DataFrame, baseline: str, with_mode: str, without_mode: str, k_with: int = 5, k_without: int = 4) -> DataFrame:
     """Q05: distances of the baseline to a mode with and to one without the extra structure, as two models.
 
@@ -77,6 +100,17 @@ def colocalisation(pairs: DataFrame, baseline: str, with_mode: str, without_mode
     return out.withColumn("mean_difference", F.col("mean_with") - F.col("mean_without"))
 
 
+def variation_analysis(samples: DataFrame, baseline: str, bandwidth: float = 0.4, limits: tuple[float, float] | None = None, minimum: float = 0.0, alpha: float = 0.05, n_grid: int = 100) -> dict[str, DataFrame]:
+    """Q06: everything that Q01 compares, on modes that are levels of a variation or grid spacings: kernel densities with a fixed factor,
+    central tendencies, distances of all pairs inside a mode and against the baseline, pairwise envelopes for each measure and jointly."""
+    samples = written(samples, "samples")
+    curves, envelope = D.distance_pdfs(samples, "kde", limits=limits, minimum=minimum, alpha=alpha, bandwidth=bandwidth)
+    pairs = T.emd_all_pairs(samples)
+    tests, rates, own = E.pairwise_envelope_test(samples, alpha=alpha, n=n_grid)
+    views = T.emd_intra(pairs).withColumn("kind", F.lit("intra")).unionByName(T.emd_vs_baseline(pairs, baseline).withColumn("kind", F.lit("baseline")))
+    return {"pdfs": curves, "pdf_envelope": envelope, "distances": T.distance_summary(samples), "emd": pairs, "emd_views": views, "emd_summary": T.emd_summary(pairs), "tests": tests, "rates": rates, "envelopes": own, "ks": variation(samples, baseline)}
+
+
 def variation(samples: DataFrame, baseline: str, method: str = "exact") -> DataFrame:
     """Q06: per mode, mean KS and earth mover's distance to the baseline and the share of similar samples."""
     ks = T.ks_test(samples, baseline, method=method)
