@@ -109,13 +109,8 @@ def a02_read_point_files(spark, d):
     p = points_vec(spark, d)
     xyz = F.transform(F.sort_array(F.collect_list(F.struct("point_id", F.array("x", "y", "z").alias("v")))), lambda s: s["v"])  # points of one cell and mode
     cell = p.groupBy("mode", "cell_id").agg(xyz.alias("pts")).groupBy("cell_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("mode", F.create_map(F.lit("dot"), F.col("pts")))))).alias("value"))
-    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for k, rule in enumerate(("near", "near_invert", "far")):
-        cell.write.partitionBy("cell_id").text(f"{folder}/{rule}")
-        fs = name(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for part in fs.globStatus(name(f"{folder}/{rule}/cell_id=*/part-*")):
-            own = part.getPath().getParent().getName().removeprefix("cell_id=")
-            fs.rename(part.getPath(), name(f"{folder}/positions_{rule}_{own}.json"))
+    rules = F.explode(F.array(*[F.lit(r) for r in ("near", "near_invert", "far")]))
+    cell.withColumn("rule", rules).select("value", F.concat(F.lit("positions_"), "rule", F.lit("_"), "cell_id", F.lit(".json")).alias("file")).write.partitionBy("file").text(folder)
     got = A.read_point_files(spark, folder, "near", "dot")
     return got.groupBy("cell_id", "seed").agg(F.count("*").alias("n"), (F.round(F.sum("x"), 4) + 0.0).alias("sx"))
 

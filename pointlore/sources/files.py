@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 POSITIONS = "map<string, map<string, array<array<double>>>>"
@@ -27,14 +27,18 @@ def read_points(spark: SparkSession, path: str, ingredient: str) -> DataFrame:
 
 
 def read_point_files(spark: SparkSession, folder: str, rule: str, ingredient: str, prefix: str = "positions_", output: str | None = None) -> DataFrame:
-    """The files of a rule together. The key is {last part of the file's name}_{inner key}; nothing is written."""
-    raw = spark.read.text(f"{folder.rstrip('/')}/{prefix}*.json", wholetext=True).select(F.col("_metadata.file_name").alias("_file"), F.from_json("value", POSITIONS).alias("_json"))
+    """The files of a rule together. The key is {last part of the file's name}_{inner key}; nothing is written.
+
+    A folder whose name ends in .json, as Spark's writer makes them, counts as a file of that name.
+    """
+    every = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)
+    raw = every.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+\.json)(?:/[^/]*)?$", 1).alias("_file"), "value").filter(F.col("_file").startswith(prefix))
     raw = raw.filter(F.col("_file").contains(rule))
     if "invert" not in rule:
         raw = raw.filter(~F.col("_file").contains("invert"))
     if output:
         raw = raw.filter(F.col("_file") != output)
-    p = _points(raw, ingredient, ["_file"])
+    p = _points(raw.select("_file", F.from_json("value", POSITIONS).alias("_json")), ingredient, ["_file"])
     stem = F.regexp_replace("_file", r"\.json$", "")
     return p.select(F.element_at(F.split(stem, "_"), -1).alias("cell_id"), F.col("key").alias("seed"), "point_id", "x", "y", "z")
 
@@ -74,18 +78,32 @@ def ingest_csv(spark: SparkSession, path: str, out: str, schema: str, key: str =
     return spark.read.parquet(out)
 
 
+def ordinals(lines: DataFrame) -> DataFrame:
+    """``lines`` (file, block, at and others) with ``no``, the place of each in its file from 0.
+
+    A file is read in blocks of bytes, each by a task of its own. A block numbers its own lines and starts at the count of the blocks
+    before it in the file.
+    """
+    counts = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("file", "block", F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(W.partitionBy("file", "block").orderBy("at")) - 1
+    return lines.join(starts, ["file", "block"]).withColumn("no", F.col("_start") + inside).drop("_start", "block", "at")
+
+
 def read_meshes(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
     """OBJ files: vertices (file, vertex, x, y, z) and triangles (file, tri_id, ax .. cz). Polygons become fans.
 
-    A mesh is one file; its lines are numbered inside it, so no order across tasks is needed.
+    A file of any size is read in blocks; vertices and faces are numbered over them. Other lines (vn, vt, comments) are left out.
     """
-    text = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n").alias("_l"))
-    tokens = lambda kind: F.transform(F.filter("_l", lambda s: s.rlike(rf"^{kind}\s")), lambda s: F.split(F.trim(s), r"\s+"))
-    v = text.select("file", F.posexplode(tokens("v")).alias("_i", "_t")).select("file", (F.col("_i") + 1).alias("vertex"), *[F.col("_t")[j + 1].cast("double").alias(c) for j, c in enumerate("xyz")])
-    f = text.select("file", F.posexplode(tokens("f")).alias("face", "_t"))
+    lines = spark.read.text(glob).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.trim("value").alias("value"))
+
+    def of(kind: str) -> DataFrame:
+        return ordinals(lines.filter(F.col("value").rlike(rf"^{kind}\s")).select("file", "block", "at", F.split("value", r"\s+").alias("_t")))
+
+    v = of("v").select("file", (F.col("no") + 1).cast("int").alias("vertex"), *[F.col("_t")[j + 1].cast("double").alias(c) for j, c in enumerate("xyz")])
     corner = lambda s: F.split(s, "/")[0].cast("int")
-    f = f.withColumn("_c", F.transform(F.slice("_t", F.lit(2), F.size("_t")), corner)).withColumn("_k", F.explode(F.sequence(F.lit(1), F.size("_c") - 2)))
-    tri = f.select("file", (F.shiftleft(F.col("face").cast("long"), 32) + F.col("_k")).alias("tri_id"), F.col("_c")[0].alias("a"), F.col("_c")[F.col("_k")].alias("b"), F.col("_c")[F.col("_k") + 1].alias("c"))
+    f = of("f").withColumn("_c", F.transform(F.slice("_t", F.lit(2), F.size("_t")), corner)).withColumn("_k", F.explode(F.sequence(F.lit(1), F.size("_c") - 2)))
+    tri = f.select("file", (F.shiftleft(F.col("no").cast("long"), 32) + F.col("_k")).alias("tri_id"), F.col("_c")[0].alias("a"), F.col("_c")[F.col("_k")].alias("b"), F.col("_c")[F.col("_k") + 1].alias("c"))
     for k in "abc":
         tri = tri.join(v.select("file", F.col("vertex").alias(k), *[F.col(c).alias(f"{k}{c}") for c in "xyz"]), ["file", k])
     return v, tri.drop("a", "b", "c")

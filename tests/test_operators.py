@@ -305,3 +305,29 @@ def test_rank_sum_counts_of_uneven_sides():
     for n, m in [(1, 30), (4, 17), (8, 25)]:
         for u in (0, 1, n * m // 3, n * m // 2):
             assert special._rank_sum_tail(u, n, m) == sum(ways(n, m, k) for k in range(u + 1))
+
+
+# --- files in blocks -------------------------------------------------------------------------------
+
+
+def test_meshes_in_blocks(spark, tmp_path):
+    """A file far larger than a block is read by several tasks, with the same vertices and triangles."""
+    rng = np.random.default_rng(20)
+    vertices = rng.normal(0, 1, (40_000, 3)).round(6)
+    faces = [rng.choice(len(vertices), rng.integers(3, 6), replace=False) + 1 for _ in range(30_000)]
+    lines = ["# a mesh", *[f"v {x} {y} {z}" for x, y, z in vertices[:20_000]], "vn 0 0 1", *["f " + " ".join(f"{c}/1/1" for c in f) for f in faces[:10]], *[f"v  {x}\t{y} {z} " for x, y, z in vertices[20_000:]], *["f " + " ".join(map(str, f)) for f in faces[10:]]]
+    (tmp_path / "big.obj").write_text("\r\n".join(lines))
+    (tmp_path / "small.obj").write_text("v 0 0 0\nv 1 0 0\nv 0 1 0\nf 1 2 3\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")
+    try:
+        assert spark.read.text(str(tmp_path / "*.obj")).rdd.getNumPartitions() > 8
+        v, t = A.read_meshes(spark, str(tmp_path / "*.obj"))
+        got = {(r["file"].rpartition("/")[2], r["vertex"]): (r["x"], r["y"], r["z"]) for r in v.collect()}
+        tri = sorted((r["file"].rpartition("/")[2], r["tri_id"], *[(r[f"{k}x"], r[f"{k}y"], r[f"{k}z"]) for k in "abc"]) for r in t.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {("big.obj", i + 1): tuple(p) for i, p in enumerate(vertices.tolist())} | {("small.obj", 1): (0, 0, 0), ("small.obj", 2): (1, 0, 0), ("small.obj", 3): (0, 1, 0)}
+    at = lambda c: tuple(vertices[c - 1].tolist())
+    want = [("big.obj", (n << 32) + k, at(f[0]), at(f[k]), at(f[k + 1])) for n, f in enumerate(faces) for k in range(1, len(f) - 1)]
+    assert tri == sorted(want + [("small.obj", 1, (0, 0, 0), (1, 0, 0), (0, 1, 0))])
