@@ -37,7 +37,8 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         classes = jaccard_join(rows, id_col=KEY).select(KEY, "class_id")
         heads = rows.select(KEY, order.alias("o")).join(classes, KEY).groupBy("class_id").agg(F.min("o").alias("o")).select(F.col(f"o.{KEY}").alias(KEY))
         heads = join.keep(stage(heads, "pipeline-heads"))
-    return rows.join(heads, KEY, "left_semi").select(*docs.columns)
+    # One key for each row that stays: no table to broadcast, at any size.
+    return rows.join(heads.hint("shuffle_hash"), KEY, "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
