@@ -9,23 +9,31 @@ from ..functions.storage import running_before
 from ..model import RATIO_FLOOR, STD_FLOOR
 
 
-def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str) -> DataFrame:
-    """Interpolated quantile of every key, exact, in two scans: a mergeable sketch brackets it, then the values in the bracket are counted.
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles of every key, exact, in two scans: a mergeable sketch brackets each, then the values in the brackets are counted.
 
-    The sketch errs by a 10,000th of the ranks at most, and the bracket is five times as wide on either side; keys of up to 20,000
-    values are bracketed by all of them. So no task holds the distinct values of a large key.
+    The sketch errs by a 10,000th of the ranks at most, and a bracket is five times as wide on either side; keys of up to 20,000
+    values are bracketed by all of them. So no task holds the distinct values of a large key. ``at``: name -> share.
     """
     v = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    ends = v.groupBy(*keys).agg(F.percentile_approx("_v", [max(0.0, q - 5e-4), min(1.0, q + 5e-4)], 10_000).alias("_e"), F.count("_v").alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_z"))
+    ranks = [r for q in at.values() for r in (max(0.0, q - 5e-4), min(1.0, q + 5e-4))]
+    ends = v.groupBy(*keys).agg(F.percentile_approx("_v", ranks, 10_000).alias("_e"), F.count("_v").alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_z"))
     few = F.col("_n") <= 20_000
-    ends = ends.select(*keys, "_n", F.when(few, F.col("_a")).otherwise(F.col("_e")[0]).alias("_lo"), F.when(few, F.col("_z")).otherwise(F.col("_e")[1]).alias("_hi"))
-    near = v.join(_small(ends, keys), keys).filter("_v <= _hi").groupBy(*keys, F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
-    # What lies below the bracket is one row without a value, which comes first.
-    so_far = F.sum("_c").over(W.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
-    place = F.lit(q) * (F.col("_n") - 1)
-    at = lambda rank: F.min(F.when(F.col("_cum") > rank, F.col("_v")))
-    g = near.withColumn("_cum", so_far).groupBy(*keys).agg(at(F.floor(place)).alias("_l"), at(F.ceil(place)).alias("_r"), F.max(place - F.floor(place)).alias("_f"))
-    return g.select(*keys, (F.col("_l") * (1 - F.col("_f")) + F.col("_r") * F.col("_f")).alias(out))
+    bracket = lambda k, q: F.struct(F.lit(k).alias("k"), F.lit(q).alias("q"), F.when(few, F.col("_a")).otherwise(F.col("_e")[2 * k]).alias("lo"), F.when(few, F.col("_z")).otherwise(F.col("_e")[2 * k + 1]).alias("hi"))
+    ends = ends.select(*keys, "_n", F.explode(F.array(*[bracket(k, q) for k, q in enumerate(at.values())])).alias("_b"))
+    near = v.join(_small(ends, keys), keys).filter("_v <= _b.hi").groupBy(*keys, F.col("_b.k").alias("_k"), F.col("_b.q").alias("_q"), F.when(F.col("_v") >= F.col("_b.lo"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
+    # What lies below a bracket is one row without a value, which comes first.
+    so_far = F.sum("_c").over(W.partitionBy(*keys, "_k").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
+    place = F.col("_q") * (F.col("_n") - 1)
+    first = lambda rank: F.min(F.when(F.col("_cum") > rank, F.col("_v")))
+    g = near.withColumn("_cum", so_far).groupBy(*keys, "_k").agg(first(F.floor(place)).alias("_l"), first(F.ceil(place)).alias("_r"), F.max(place - F.floor(place)).alias("_f"))
+    found = F.col("_l") * (1 - F.col("_f")) + F.col("_r") * F.col("_f")
+    return g.groupBy(*keys).agg(*[F.max(F.when(F.col("_k") == k, found)).alias(name) for k, name in enumerate(at)])
+
+
+def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str) -> DataFrame:
+    """One of ``exact_quantiles``."""
+    return exact_quantiles(df, keys, value, {out: q})
 
 
 def r_grid(samples: DataFrame, keys: list[str], n: int | None = None, bin_width: float | None = None, eps: float = 1e-9) -> DataFrame:

@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..model import ALPHA, BIN_WIDTH, MIN_COUNT, PIXEL_SIZE_IN_UM, PSEUDOCOUNT, RATIO_FLOOR
-from .curves import fixed_grid, histogram, interp, kde, normalize_pdf, pdf_ratio, pointwise_envelope, r_grid
+from ..functions.storage import written
+from .curves import exact_quantile, fixed_grid, histogram, interp, kde, normalize_pdf, pdf_ratio, pointwise_envelope, r_grid
 from .expressions import valid_samples
 from .twosample import emd_all_pairs, ks_all_baselines
 
@@ -116,8 +117,8 @@ def _kde_ratio(occ, av, ends, grid_keys, bandwidth) -> DataFrame:
 
 def kde_common_grid(av: DataFrame, n: int = 100, percentile: float = 0.05, x_max: float | None = None) -> DataFrame:
     """Grid per measure up to the given percentile of the cells' largest available values (0 to 100)."""
-    tops = av.groupBy(*PLACE).agg(F.max("value").alias("top"))
-    cut = tops.groupBy("measure").agg(F.percentile("top", F.lit(percentile / 100)).alias("_cut"))
+    tops = written(av.groupBy(*PLACE).agg(F.max("value").alias("top")), "tops")
+    cut = exact_quantile(tops, ["measure"], "top", percentile / 100, "_cut")
     if x_max is None:
         ends = cut.select("measure", F.col("_cut").alias("x1"))
     else:
@@ -146,7 +147,7 @@ def sample_range(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def x_limit(occ: DataFrame, pct: float) -> DataFrame:
     """Percentile of the grid positions of a measure."""
-    return occ.groupBy("measure").agg(F.percentile("x", F.lit(pct / 100)).alias("x_limit"))
+    return exact_quantile(occ, ["measure"], "x", pct / 100, "x_limit")
 
 
 def _values(occ: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from ..functions.special import ks_p_asymptotic, ks_p_exact, normal_quantile, normal_two_sided, rank_sum_p_exact, signed_rank_p_exact, student_two_sided
 from ..model import KEYS
 from ..functions.storage import running_before, written
+from .curves import exact_quantile, exact_quantiles
 from .expressions import support_label, valid_samples
 
 
@@ -205,24 +206,27 @@ def emd_vs_baseline(pairs: DataFrame, baseline: str) -> DataFrame:
     return second.unionByName(first)
 
 
-def _summary(c: str, population: bool = False) -> list[Column]:
-    return [F.count(c).alias("n"), F.avg(c).alias("mean"), (F.stddev_pop(c) if population else F.stddev_samp(c)).alias("std"), F.percentile(c, F.lit(0.5)).alias("median"), F.percentile(c, F.lit(0.025)).alias("lo"), F.percentile(c, F.lit(0.975)).alias("hi")]
+def _summary(df: DataFrame, keys: list[str], c: str, population: bool = False) -> DataFrame:
+    """keys, n, mean, std, median, and the 2.5 and 97.5 % points. ``df`` is read twice."""
+    moments = df.groupBy(*keys).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), (F.stddev_pop(c) if population else F.stddev_samp(c)).alias("std"))
+    return moments.join(exact_quantiles(df, keys, c, {"median": 0.5, "lo": 0.025, "hi": 0.975}), keys, "left")
 
 
 def emd_summary(pairs: DataFrame) -> DataFrame:
-    """by unordered pair of modes, per measure and over all measures (measure null), in one scan."""
-    p = pairs.withColumn("mode_a", F.least("mode_1", "mode_2")).withColumn("mode_b", F.greatest("mode_1", "mode_2"))
-    return p.groupingSets([["mode_a", "mode_b", "measure"], ["mode_a", "mode_b"]], "mode_a", "mode_b", "measure").agg(*_summary("emd"))
+    """by unordered pair of modes, per measure and over all measures (measure null)."""
+    p = written(pairs.select(F.least("mode_1", "mode_2").alias("mode_a"), F.greatest("mode_1", "mode_2").alias("mode_b"), "measure", "emd"), "pairs")
+    every = _summary(p, ["mode_a", "mode_b"], "emd").withColumn("measure", F.lit(None).cast("string"))
+    return _summary(p, ["mode_a", "mode_b", "measure"], "emd").unionByName(every)
 
 
 def ks_summary(boot: DataFrame) -> DataFrame:
     """F10"""
-    return boot.groupBy("measure", "mode").agg(*_summary("similar_fraction"))
+    return _summary(written(boot.select("measure", "mode", "similar_fraction"), "bootstrap"), ["measure", "mode"], "similar_fraction")
 
 
 def distance_summary(samples: DataFrame, requested: DataFrame | None = None, minimum: float | None = None) -> DataFrame:
     """all cells and seeds together; requested groups without values are reported with n = 0."""
-    got = valid_samples(samples, minimum).groupBy("measure", "mode").agg(*_summary("value", True))
+    got = _summary(valid_samples(samples, minimum), ["measure", "mode"], "value", True)
     wanted = (requested if requested is not None else samples).select("measure", "mode").distinct()
     return wanted.join(got, ["measure", "mode"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
@@ -357,4 +361,4 @@ def long_rates(wide: DataFrame, keys: list[str], columns: list[str]) -> DataFram
 
 def emd_bound(pairs: DataFrame) -> DataFrame:
     """F18"""
-    return pairs.agg((F.percentile("emd", F.lit(0.99)) * 1.1).alias("bound"))
+    return exact_quantile(pairs.select(F.lit(0).alias("_all"), "emd"), ["_all"], "emd", 0.99, "_q").select((F.col("_q") * 1.1).alias("bound"))
