@@ -1,7 +1,7 @@
 """SQL of the exact and normal distributions of rank tests, and of the queries that use them."""
 
-from ..model import ORACLE_SQL
-from .curve_queries import BY_CELL, PAIRS
+from ..model import ORACLE_SQL, SAMPLES_EVENTS
+from .curve_queries import BY_CELL, KSKEYS, PAIRS, base_sql, walk_sql
 
 # erf as a series of positive terms; beyond 6 the rest is below 1e-15.
 _ERF = "list_sum(list_transform(range(220), lambda j: exp((2 * j + 1) * ln(greatest({x}, 1e-300)) - ({x}) * ({x}) - lgamma(j + 1.5::DOUBLE))))"
@@ -87,3 +87,13 @@ CASE WHEN abs(cd) < 0.2 THEN 'Negligible' WHEN abs(cd) < 0.5 THEN 'Small' WHEN a
 round(m1, 6) + 0.0 AS mean_with, round(m2, 6) + 0.0 AS mean_without, round(m1 - m2, 6) + 0.0 AS mean_difference, round(cd, 6) + 0.0 AS cohens_d, round(pv, 6) + 0.0 AS p_value, round(statistic, 6) + 0.0 AS test_statistic,
 round(CASE WHEN pv IS NOT NULL THEN {EFFECT} END, 6) + 0.0 AS r_effect, round(a1, 4) + 0.0 AS aic_with, round(a2, 4) + 0.0 AS aic_without,
 round(exp(-(a1 - least(a1, a2)) / 2) / (exp(-(a1 - least(a1, a2)) / 2) + exp(-(a2 - least(a1, a2)) / 2)), 4) + 0.0 AS weight_with FROM e LEFT JOIN rank_w USING (measure)"""
+
+# The exact p-value of a KS distance: of all lattice paths from (0, 0) to (n1, n2), those that stay inside the band, row by row.
+_INSIDE = "abs((i + 1) * n2 - {} * n1) < h"
+ORACLE_SQL["f01_ks_exact"] = f"""WITH RECURSIVE {SAMPLES_EVENTS}, {base_sql("SELECT 'view' AS baseline")}, {walk_sql(KSKEYS, 'sides')},
+w AS MATERIALIZED (SELECT mode, cell_id, ks, n1::BIGINT AS n1, n2::BIGINT AS n2, round(ks * n1 * n2)::BIGINT AS h FROM walk),
+lattice AS (SELECT mode, cell_id, ks, n1, n2, h, 0::BIGINT AS i, list_transform(range(n2 + 1), lambda j: CASE WHEN j * n1 < h THEN 1::HUGEINT ELSE 0::HUGEINT END) AS c FROM w
+  UNION ALL SELECT mode, cell_id, ks, n1, n2, h, i + 1, list_transform(range(n2 + 1), lambda j: CASE WHEN {_INSIDE.format('j')}
+    THEN list_sum(list_transform(range(j + 1), lambda k: CASE WHEN {_INSIDE.format('k')} THEN c[k + 1] ELSE 0::HUGEINT END)) ELSE 0::HUGEINT END) FROM lattice WHERE i < n1),
+p AS (SELECT mode, cell_id, ks, greatest(0, 1 - c[n2 + 1]::DOUBLE / exp(lgamma(n1 + n2 + 1) - lgamma(n1 + 1) - lgamma(n2 + 1))) AS p FROM lattice WHERE i = n1)
+SELECT mode, cell_id, round(ks, 6) + 0.0 AS ks, round(p, 6) + 0.0 AS p_value, p >= 0.05 AS "similar" FROM p"""
