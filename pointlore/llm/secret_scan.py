@@ -65,8 +65,11 @@ def common_words(docs: DataFrame, text_col: str = "text", max_words: int = 20_00
     than ``min_texts`` do. So a secret is no word, however often it has leaked, and copies of a text count for nothing.
     """
     text = F.col(text_col).cast("string")
-    words = docs.select(F.xxhash64(text).alias("h"), F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace(text, PROPOSED, " ")), "[^a-z]++"))).alias("w"))
-    counted = words.filter(F.length("w").between(3, 24)).distinct().groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_texts)
+    found = F.filter(F.array_distinct(F.split(F.lower(F.regexp_replace(text, PROPOSED, " ")), "[^a-z]++")), lambda w: F.length(w).between(3, 24))
+    # One row for each distinct text, with its words as one string.
+    texts = docs.select(F.xxhash64(text).alias("h"), F.array_join(found, " ").alias("words")).dropDuplicates(["h"])
+    words = texts.select(F.explode(F.split("words", " ")).alias("w")).filter("w <> ''")
+    counted = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_texts)
     counted = stage(counted, "secret-words")
     # A level of counts that enough words reach, from a sixteenth of an octave a row; what reaches it is put in order in a few tasks,
     # so that the driver is sent a few times ``max_words`` rows whatever the corpus.
