@@ -65,15 +65,18 @@ def mix_sources(
     # A draw is fixed by the id and the text; rows that share both, and the source, are told apart by a number.
     alike = F.md5(F.concat_ws("|", F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("-")), "mark", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))).cast("binary"))
     weighed = weighed.withColumn("alike", alike)
-    same = stage(weighed.groupBy("alike").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "mix-alike")
-    if same.isEmpty():
+    same = weighed.groupBy("alike").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    told_apart = same.isEmpty()
+    if told_apart:
         drawn = weighed.withColumn("nth", F.lit(0).cast("long"))
     else:
         told = with_groups(weighed, same.withColumn("again", F.lit(True)), ["alike"], "rows", weighed.count())
         twice = numbered(told.filter("again").drop("again"), ["alike"], ["at"], "mix-again")
         drawn = told.filter("again is null").drop("again").withColumn("nth", F.lit(0).cast("long")).unionByName(twice.withColumnRenamed("pos", "nth").drop("n"))
     draw = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("mark"), F.col("nth").cast("string"), seed=seed)
-    sized = stage(drawn.select(*own, "doc_id", "source", "size", "nth", (-F.log(draw) / F.col("quality")).alias("key")), "mix-sizes")
+    sized = drawn.select(*own, "doc_id", "source", "size", "nth", (-F.log(draw) / F.col("quality")).alias("key"))
+    if not told_apart:
+        sized = stage(sized, "mix-sizes")
     targets = source_targets(sized, weights, cap)
     known = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     # Steps of the key's logarithm: whatever the weights, a unit of it holds at most 1/e of the rows in expectation. With as
