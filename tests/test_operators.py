@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointlore.functions import special as S
+from pointlore.operators import catalog as K
 from pointlore.operators import curves as D
 from pointlore.operators import envelopes as E
 from pointlore.operators import expressions as B
@@ -331,3 +332,25 @@ def test_meshes_in_blocks(spark, tmp_path):
     at = lambda c: tuple(vertices[c - 1].tolist())
     want = [("big.obj", (n << 32) + k, at(f[0]), at(f[k]), at(f[k + 1])) for n, f in enumerate(faces) for k in range(1, len(f) - 1)]
     assert tri == sorted(want + [("small.obj", 1, (0, 0, 0), (1, 0, 0), (0, 1, 0))])
+
+
+def test_histogram_last_bin_ends_half_a_width_beyond_its_point(spark):
+    """Edges -0.5, 1.5, 3.5 and 4.5: what lies between 4.5 and the next step, 5.5, is outside."""
+    grid = frame(spark, [("m", i, 2.0 * i, 0.0, 2.0, 3) for i in range(3)], "measure string, i int, x double, x0 double, step double, n int")
+    s = frame(spark, [("m", v) for v in (-0.5, 1.5, 3.4, 3.5, 4.5, 4.6, 5.4, 5.5)], "measure string, value double")
+    got = {r["i"]: r["y"] for r in D.histogram(s, grid, ["measure"], ["measure"], 1.0).collect()}
+    assert got == {0: 1.0, 1: 2.0, 2: 2.0}
+
+
+def test_metric_histogram_value_on_an_edge(spark):
+    """32931.52 is the eighth edge, 931.52 + 8 * 4000, though its distance from 931.52 is a little less than 32000."""
+    c = frame(spark, [("k", v) for v in (931.52, 32931.52, 40000.0)], "k string, v double")
+    got = {r["bin"]: r["count"] for r in K.metric_histogram(c, "v", ["k"], 4000.0).collect()}
+    assert (got[7], got[8]) == (0, 1) and sum(got.values()) == 3
+
+
+@pytest.mark.parametrize("n, v", [(20, 0.21), (50, 0.11)])
+def test_quantile_of_equal_values_is_their_value(spark, n, v):
+    """To the last bit: edges of bins are made from it, and values lie on them."""
+    s = frame(spark, [("m", v)] * n, "measure string, value double")
+    assert D.exact_quantile(s, ["measure"], "value", 0.995, "q").first()["q"] == v
