@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .curves import _index_below
 
 
 def cells_for(catalog: DataFrame, structure: str, subset: bool = False) -> DataFrame:
@@ -35,10 +36,12 @@ def metric_summary(cells: DataFrame, metrics: list[str], keys: list[str]) -> Dat
 
 
 def metric_histogram(cells: DataFrame, metric: str, keys: list[str], width: float) -> DataFrame:
-    """Histogram of a metric per key: bins of ``width`` from the least value on, the last one closed; empty bins count 0."""
+    """Histogram of a metric per key: bins of ``width`` from the least value on, the last one closed; empty bins count 0.
+
+    A value lies in the bin of the last edge, least value + bin * width, that is not above it."""
     v = cells.filter(F.col(metric).isNotNull()).select(*keys, F.col(metric).cast("double").alias("_v"))
     ends = v.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).withColumn("_bins", F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo")) / width)).cast("int"))
-    placed = v.join(ends, keys).groupBy(*keys, F.least(F.floor((F.col("_v") - F.col("_lo")) / width).cast("int"), F.col("_bins") - 1).alias("bin")).agg(F.count(F.lit(1)).alias("_c"))
+    placed = v.join(ends, keys).groupBy(*keys, F.least(_index_below(F.col("_v"), F.col("_lo"), F.lit(float(width))).cast("int"), F.col("_bins") - 1).alias("bin")).agg(F.count(F.lit(1)).alias("_c"))
     every = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("_bins") - 1)))
     return every.join(placed, [*keys, "bin"], "left").select(*keys, "bin", (F.col("_lo") + F.col("bin") * width).alias("left"), F.coalesce("_c", F.lit(0)).alias("count"))
 
