@@ -137,18 +137,29 @@ def draw(n: Column, *parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n
 
 
+#: Draws of one experiment that are listed from one row.
+DRAWS = 10_000
+
+
 def ks_bootstrap(ks: DataFrame, n: int, keys: tuple[str, ...] = ("measure", "baseline")) -> DataFrame:
     """cells drawn with replacement, multiplicity kept; mean of ``similar`` per mode and experiment, null where nothing was drawn."""
     keys = list(keys)
+    # Read several times below: the tests are made once.
+    ks = written(ks.select(*keys, "mode", "cell_id", "similar"), "ks")
     cells = ks.select(*keys, "cell_id").distinct()
     numbered = cells.withColumn("_no", F.row_number().over(W.partitionBy(*keys).orderBy("cell_id")) - 1)
     size = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cells"))
-    draws = size.withColumn("experiment_number", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cells") - 1)))
+    # Stretches of an experiment's draws are dealt out before they are listed: one row a key would list all of them in one task.
+    stretches = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cells") - 1, F.lit(DRAWS).cast("long")))
+    parts = size.withColumn("experiment_number", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_from", stretches).repartition(*keys, "experiment_number", "_from")
+    draws = parts.withColumn("_d", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + DRAWS, F.col("_cells")) - 1)))
     draws = draws.withColumn("_no", draw(F.col("_cells"), *keys, F.col("experiment_number").cast("string"), F.col("_d").cast("string")).cast("int"))
-    times = draws.groupBy(*keys, "experiment_number", "_no").agg(F.count(F.lit(1)).alias("_times")).join(numbered, [*keys, "_no"])
-    per = ks.groupBy(*keys, "mode", "cell_id").agg(F.sum(F.col("similar").cast("double")).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    got = times.join(per, [*keys, "cell_id"]).groupBy(*keys, "mode", "experiment_number").agg(F.try_divide(F.sum(F.col("_times") * F.col("_s")), F.sum(F.col("_times") * F.col("_n"))).alias("similar_fraction"))
-    full = ks.select(*keys, "mode").distinct().withColumn("experiment_number", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    # A cell is one row with its modes, so a draw meets one row.
+    mode = ks.groupBy(*keys, "cell_id", "mode").agg(F.sum(F.col("similar").cast("double")).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    per = mode.groupBy(*keys, "cell_id").agg(F.collect_list(F.struct("mode", "_s", "_n")).alias("_modes")).join(numbered, [*keys, "cell_id"]).select(*keys, "_no", "_modes")
+    drawn = draws.select(*keys, "experiment_number", "_no").join(per, [*keys, "_no"]).select(*keys, "experiment_number", F.explode("_modes").alias("_m"))
+    got = drawn.groupBy(*keys, F.col("_m.mode").alias("mode"), "experiment_number").agg(F.try_divide(F.sum("_m._s"), F.sum("_m._n")).alias("similar_fraction"))
+    full = mode.select(*keys, "mode").distinct().withColumn("experiment_number", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return full.join(got, [*keys, "mode", "experiment_number"], "left")
 
 

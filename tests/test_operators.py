@@ -354,3 +354,42 @@ def test_quantile_of_equal_values_is_their_value(spark, n, v):
     """To the last bit: edges of bins are made from it, and values lie on them."""
     s = frame(spark, [("m", v)] * n, "measure string, value double")
     assert D.exact_quantile(s, ["measure"], "value", 0.995, "q").first()["q"] == v
+
+
+def test_bootstrap_lists_draws_in_stretches(spark, monkeypatch):
+    """Stretches change no draw."""
+    rows = [("m", "b", mode, str(c), "0", (c * k) % 3 == 0) for c in range(25) for k, mode in enumerate(("p", "q"), 1)]
+    ks = frame(spark, rows, "measure string, baseline string, mode string, cell_id string, seed string, similar boolean")
+    got = []
+    for size in (4, 10_000):
+        monkeypatch.setattr(T, "DRAWS", size)
+        got.append(sorted(tuple(r) for r in T.ks_bootstrap(ks, 5).collect()))
+    assert got[0] == got[1] and len(got[0]) == 10
+
+
+def test_own_envelopes_make_no_test(spark, monkeypatch):
+    """The envelopes of the modes come without curves of tests, and are those that the whole test gives."""
+    g = np.random.default_rng(3)
+    s = frame(spark, [("m", m, str(c), "0", float(v)) for m in "ab" for c in range(3) for v in g.uniform(size=9)], "measure string, mode string, cell_id string, seed string, value double")
+    whole = E.pairwise_envelope_test(s, n=10)[2].orderBy("mode", "i").collect()
+    monkeypatch.setattr(E, "pairwise_curve_test", None)
+    own = E.own_envelopes(s, n=10).orderBy("mode", "i").collect()
+    assert own == whole and len(own) == 20
+
+
+def test_curves_are_laid_out_without_windows(spark):
+    """One row a curve: neither the running shares nor the even curves sort points in windows."""
+    s = frame(spark, [("m", "a", v) for v in (0.1, 0.5, 0.5, 2.0)], "measure string, mode string, value double")
+    grid = D._grid(frame(spark, [("m", 3, 0.0, 1.0)], "measure string, n int, x0 double, x1 double"), ["measure"])
+    c = D.ecdf(s, grid, ["measure", "mode"], ["measure"])
+    assert [(r["x"], r["y"]) for r in c.orderBy("i").collect()] == [(0.0, 0.0), (0.5, 0.75), (1.0, 0.75)]
+    even = D.unit_curves(c, ["measure", "mode"], 5)
+    assert [r["y"] for r in even.orderBy("i").collect()] == [0.0, 0.375, 0.75, 0.75, 0.75]
+    assert "Window" not in even._jdf.queryExecution().executedPlan().toString()
+
+
+def test_envelope_of_folded_values(spark):
+    y = [0.25] * 5 + [0.5] * 3 + [1.0]
+    c = frame(spark, [("m", 0, 0.0, v) for v in y], "measure string, i int, x double, y double")
+    r = D.pointwise_envelope(c, ["measure"], 0.1).first()
+    assert [r["lo"], r["hi"], r["mean"], r["sd"]] == pytest.approx([np.quantile(y, 0.05), np.quantile(y, 0.95), np.mean(y), np.std(y, ddof=1)])
