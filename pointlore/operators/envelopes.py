@@ -195,10 +195,15 @@ def sample_curves(samples: DataFrame, n: int | None = 100, bin_width: float | No
 def pairwise_envelope_test(samples: DataFrame, statistic: str = "integrated", alpha: float = 0.05, n: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
     """E06 on distance samples, and each mode's envelope on its own grid where it has two samples or more."""
     tests, rates = pairwise_curve_test(sample_curves(samples, n), statistic, alpha, n)
+    return tests, rates, own_envelopes(samples, alpha, n)
+
+
+def own_envelopes(samples: DataFrame, alpha: float = 0.05, n: int = 100) -> DataFrame:
+    """Each mode's envelope on its own grid where it has two samples or more; needs no test."""
     s = valid_samples(samples)
     own = ecdf(s, r_grid(s, ["measure", "mode"], n=n), KEYS, ["measure", "mode"])
     many = s.select(*KEYS).distinct().groupBy("measure", "mode").count().filter("count > 1")
-    return tests, rates, pointwise_envelope(own.join(many, ["measure", "mode"], "left_semi"), ["measure", "mode"], alpha)
+    return pointwise_envelope(own.join(many, ["measure", "mode"], "left_semi"), ["measure", "mode"], alpha)
 
 
 def pairwise_envelope_test_occupancy(occ: DataFrame, comparison: str = "ratio", statistic: str = "integrated", alpha: float = 0.05, n: int = 100) -> tuple[DataFrame, DataFrame]:
