@@ -393,3 +393,15 @@ def test_envelope_of_folded_values(spark):
     c = frame(spark, [("m", 0, 0.0, v) for v in y], "measure string, i int, x double, y double")
     r = D.pointwise_envelope(c, ["measure"], 0.1).first()
     assert [r["lo"], r["hi"], r["mean"], r["sd"]] == pytest.approx([np.quantile(y, 0.05), np.quantile(y, 0.95), np.mean(y), np.std(y, ddof=1)])
+
+
+def test_facts_of_pairs_join_the_profiles(spark):
+    """The pairs meet no other table, and carry the facts of both sides."""
+    df = frame(spark, [(p, i, float((p * 7 + i * i) % 3 - 1)) for p in range(5) for i in range(12)], "profile_id long, i int, value double")
+    ids = frame(spark, [(p, f"s{p % 2}", "r", str(p)) for p in range(5)], "profile_id long, structure string, rule string, cell_id string")
+    pairs = P.correlation_pairs(df, ids)
+    want = {(r["id_1"], r["id_2"]): r["r"] for r in P.binary_correlation(df).collect()}
+    got = {(r["id_1"], r["id_2"]): r["r"] for r in pairs.collect()}
+    assert got == want and len(got) == 15
+    assert all((r["structure_1"], r["cell_id_2"]) == (f"s{r['id_1'] % 2}", str(r["id_2"])) for r in pairs.collect())
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
