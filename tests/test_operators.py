@@ -405,3 +405,14 @@ def test_facts_of_pairs_join_the_profiles(spark):
     assert got == want and len(got) == 15
     assert all((r["structure_1"], r["cell_id_2"]) == (f"s{r['id_1'] % 2}", str(r["id_2"])) for r in pairs.collect())
     assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_histogram_keeps_samples_without_a_value_inside(spark):
+    """A sample whose values all lie outside is counted as 0 everywhere; its points meet no join with the samples."""
+    grid = D._grid(frame(spark, [("m", 3, 0.0, 2.0)], "measure string, n int, x0 double, x1 double"), ["measure"])
+    s = frame(spark, [("m", "a", 0.0), ("m", "a", 2.0), ("m", "b", 9.0), ("m", "c", None), ("m", None, 1.0), ("z", "a", 1.0)], "measure string, mode string, value double")
+    h = D.histogram(s, grid, ["measure", "mode"], ["measure"], 1.0)
+    got = {(r["mode"], r["i"]): (r["x"], r["y"]) for r in h.collect()}
+    assert {k: v[1] for k, v in got.items() if v[1]} == {("a", 0): 1.0, ("a", 2): 1.0}
+    assert len(got) == 12 and all(v[0] == float(k[1]) for k, v in got.items())
+    assert h._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
