@@ -1,11 +1,13 @@
 """Envelope tests (E). Observed and simulated curves are long tables: keys, curve_id, i, x, y."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.storage import written
 from ..model import KEYS, STD_FLOOR
-from .curves import _grid, ecdf, exact_quantile, joint_curves, pointwise_envelope, r_grid, unit_curves
+from .curves import _grid, ecdf, even_curve, exact_quantile, joint_curves, pointwise_envelope, r_grid, unit_curves
 from .expressions import valid_samples
 
 
@@ -125,14 +127,89 @@ def rejection_rates(tests: DataFrame, keys: list[str], alpha: float, count: str)
     return tests.groupBy(*keys).agg(F.count(F.lit(1)).alias(count), share(no).alias("rejected"), share(no & (F.col("sign") > 0)).alias("rejected_positive"), share(no & (F.col("sign") < 0)).alias("rejected_negative"))
 
 
-def monte_carlo_per_cell(obs: DataFrame, sims: DataFrame, n_grid: int = 100, statistic: str = "integrated") -> DataFrame:
+def monte_carlo_per_cell(obs: DataFrame, sims: DataFrame, n_grid: int = 100, statistic: str = "integrated", whole: int = 1_000_000) -> DataFrame:
     """Each cell's observed sample against the simulated samples of each null mode, per measure and joint.
 
     ``obs``: measure, cell_id, value. ``sims``: measure, mode, cell_id, seed, value. All cells are done at once, by key. A
     simulation that lacks a measure of the cell has a curve of 0 there. ``statistic``: supremum, integrated or rank.
+
+    A cell is one row with its samples, and its tests are made there. Cells of more than ``whole`` values and points of curves, and
+    rank tests, are spread over rows instead.
     """
+    o, s = valid_samples(obs).select("measure", "cell_id", "value"), valid_samples(sims).select("measure", "mode", "cell_id", "seed", "value")
+    each = o.withColumn("mode", F.lit(None).cast("string")).withColumn("seed", F.lit(None).cast("string")).withColumn("_sim", F.lit(False)).unionByName(s.withColumn("seed", F.col("seed").cast("string")).withColumn("_sim", F.lit(True)))
+    each = each.filter("cell_id is not null and measure is not null and (not _sim or (mode is not null and seed is not null))")
+    sample = ["cell_id", "measure", "mode", "seed", "_sim"]
+    if statistic == "rank":
+        return _monte_carlo_rows(o, s, n_grid, statistic)
+    # Two cheap counts tell which cells are large; there are few of those.
+    sizes = each.groupBy(*sample).agg(F.count(F.lit(1)).alias("_n")).groupBy("cell_id").agg((F.sum("_n") + F.count(F.lit(1)) * n_grid).alias("_n"))
+    large = written(sizes.filter(F.col("_n") > whole).select("cell_id"), "large-cells")
+    several = not large.isEmpty()
+    few = each.join(large, "cell_id", "left_anti") if several else each
+    packed = few.groupBy(*sample).agg(F.collect_list("value").alias("values"))
+    cells = packed.groupBy("cell_id").agg(F.collect_list(F.struct("measure", "mode", "seed", "_sim", "values")).alias("samples"))
+
+    def test(batches):
+        for pdf in batches:
+            rows = [(m, mode, c, *t) for c, samples in zip(pdf["cell_id"], pdf["samples"]) for m, mode, t in _cell_tests(samples, n_grid, statistic)]
+            yield pd.DataFrame(rows, columns=["measure", "mode", "cell_id", "statistic", "sign", "p_value"]).astype({"statistic": "float64", "sign": "int32", "p_value": "float64"})
+
+    out = cells.mapInPandas(test, "measure string, mode string, cell_id string, statistic double, sign int, p_value double")
+    if several:
+        out = out.unionByName(_monte_carlo_rows(*[df.join(large, "cell_id", "left_semi") for df in (o, s)], n_grid, statistic))
+    return out
+
+
+def _measured(y: np.ndarray, mean: np.ndarray, sd: np.ndarray, statistic: str) -> tuple[np.ndarray, np.ndarray]:
+    """Statistic and sign of every row of curves (see envelope_test)."""
+    z = (y - mean) / sd
+    size = np.abs(z)
+    if statistic == "supremum":
+        at = size.argmax(1)
+        stat, sign = size.max(1), z[np.arange(len(z)), at]
+    else:
+        stat, sign = size.sum(1) - (size[:, 0] + size[:, -1]) / 2, z.mean(1)
+    return stat, np.where(sign < 0, -1, 1)
+
+
+def _curve_test(obs: np.ndarray, sims: np.ndarray, statistic: str) -> tuple[float, int, float]:
+    """One observed curve against the rows of ``sims``: statistic, sign, Monte Carlo p."""
+    mean = sims.sum(0) / len(sims)
+    sd = sims.std(0, ddof=1) if len(sims) > 1 else np.zeros(len(mean))
+    sd = np.where((sims.max(0) == sims.min(0)) | (sd == 0), STD_FLOOR, sd)
+    (stat,), (sign,) = _measured(obs[None], mean, sd, statistic)
+    return float(stat), int(sign), float(((_measured(sims, mean, sd, statistic)[0] >= stat - 1e-12).sum() + 1) / (len(sims) + 1))
+
+
+def _cell_tests(samples, n: int, statistic: str) -> list[tuple]:
+    """(measure, mode, test) of one cell: each measure, and all of them one after the other on even points."""
+    seen = {x["measure"]: np.sort(x["values"]) for x in samples if not x["_sim"]}
+    sims: dict = {}
+    for x in samples:
+        if x["_sim"]:
+            sims.setdefault(x["mode"], {}).setdefault(x["seed"], {})[x["measure"]] = np.sort(x["values"])
+    out = []
+    for mode, runs in sims.items() if seen else ():
+        joint = []
+        for measure in sorted(seen):
+            each = [seen[measure], *[r.get(measure, np.empty(0)) for r in runs.values()]]
+            pool = np.sort(np.concatenate(each))
+            place = 0.995 * (len(pool) - 1)
+            low, high = pool[int(np.floor(place))], pool[int(np.ceil(place))]
+            x1 = max(low + (high - low) * (place - np.floor(place)), 1e-9) * 1.05
+            x = np.arange(n) * (x1 / (n - 1) if n > 1 else 0.0)
+            y = np.array([np.searchsorted(v, x, "right") / len(v) if len(v) else np.zeros(n) for v in each])
+            out.append((measure, mode, _curve_test(y[0], y[1:], statistic)))
+            joint.append(np.array([even_curve(x, row, n) for row in y]))
+        every = np.round(np.concatenate(joint, 1), 12)
+        out.append(("joint", mode, _curve_test(every[0], every[1:], statistic)))
+    return out
+
+
+def _monte_carlo_rows(o: DataFrame, s: DataFrame, n_grid: int, statistic: str) -> DataFrame:
+    """E03 by rows: the values of one cell may fill any number of tasks."""
     keys = ["measure", "mode", "cell_id"]
-    o, s = valid_samples(obs), valid_samples(sims)
     runs = s.select("mode", "cell_id", F.col("seed").alias("curve_id")).distinct().join(o.select("measure", "cell_id").distinct(), "cell_id")
     oc = o.join(runs.select(*keys).distinct(), ["measure", "cell_id"]).select(*keys, F.lit("obs").alias("curve_id"), "value")
     sc = s.select(*keys, F.col("seed").alias("curve_id"), "value").join(runs.select(*keys).distinct(), keys, "left_semi")

@@ -416,3 +416,21 @@ def test_histogram_keeps_samples_without_a_value_inside(spark):
     assert {k: v[1] for k, v in got.items() if v[1]} == {("a", 0): 1.0, ("a", 2): 1.0}
     assert len(got) == 12 and all(v[0] == float(k[1]) for k, v in got.items())
     assert h._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def monte_carlo_rows(df):
+    return sorted((r["measure"], r["mode"], r["cell_id"], r["sign"], round(r["statistic"], 6), round(r["p_value"], 9)) for r in df.collect())
+
+
+@pytest.mark.parametrize("statistic", ["integrated", "supremum"])
+def test_cells_are_tested_as_rows_of_their_own(spark, statistic, monkeypatch):
+    """Whole cells and cells spread over rows give the same tests; a run without a measure has a curve of 0 there."""
+    g = np.random.default_rng(11)
+    obs = [(m, c, float(v)) for m in ("p", "q") for c in ("1", "2") for v in g.gamma(2, size=12) if (m, c) != ("q", "2")]
+    sims = [(m, mode, c, str(r), float(v)) for m in ("p", "q") for mode in "ab" for c in ("1", "2", "3") for r in range(4) for v in g.gamma(2 if mode == "a" else 5, size=9) if (m, r) != ("q", 3)]
+    obs, sims = frame(spark, obs, "measure string, cell_id string, value double"), frame(spark, sims, "measure string, mode string, cell_id string, seed string, value double")
+    spread = monte_carlo_rows(E.monte_carlo_per_cell(obs, sims, 10, statistic, whole=0))
+    mixed = monte_carlo_rows(E.monte_carlo_per_cell(obs, sims, 10, statistic, whole=130))
+    monkeypatch.setattr(E, "_monte_carlo_rows", None)
+    assert monte_carlo_rows(E.monte_carlo_per_cell(obs, sims, 10, statistic)) == spread == mixed
+    assert len(spread) == 10
