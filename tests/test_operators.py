@@ -18,6 +18,7 @@ from pointlore.operators import mixture as H
 from pointlore.operators import occupancy as G
 from pointlore.operators import profiles as P
 from pointlore.operators import twosample as T
+from pointlore.plans import workflows as Q
 from pointlore.plans.space_queries import sphere
 from pointlore.sources import files as A
 
@@ -434,3 +435,13 @@ def test_cells_are_tested_as_rows_of_their_own(spark, statistic, monkeypatch):
     monkeypatch.setattr(E, "_monte_carlo_rows", None)
     assert monte_carlo_rows(E.monte_carlo_per_cell(obs, sims, 10, statistic)) == spread == mixed
     assert len(spread) == 10
+
+
+def test_tables_of_an_analysis_are_made_when_asked_for(spark, monkeypatch):
+    """Rejection rates need no distances of all pairs of samples."""
+    monkeypatch.setattr(Q.T, "emd_all_pairs", None)
+    g = np.random.default_rng(5)
+    s = frame(spark, [("m", m, str(c), "0", float(v)) for m in "ab" for c in range(3) for v in g.uniform(size=9)], "measure string, mode string, cell_id string, seed string, value double")
+    out = Q.variation_analysis(s, "a", n_grid=10)
+    assert {"pdfs", "emd", "emd_views", "emd_summary", "ks", "tests", "rates", "envelopes"} <= set(out)
+    assert out["rates"].count() == 4
