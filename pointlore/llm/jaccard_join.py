@@ -262,8 +262,11 @@ def find_pairs(nodes: DataFrame, similarity: float, leaf: int, depth: int, first
             yield pdf[["path", "nid", "m", "pivot"]].assign(near=close(same, pdf["n"].to_numpy(), pdf["pivot_n"].to_numpy(), similarity) | (pdf["nid"] == pdf["pivot"]).to_numpy())
 
     def with_sketch(rows: DataFrame) -> DataFrame:
-        """Only the sketches of sets in open buckets move."""
-        return rows.join(maybe_in(nodes, F.col("nid"), rows.select("nid").distinct()), "nid")
+        """Only the sketches of sets in open buckets move, and each is met once: a set's rows, a few for each run, travel as one."""
+        rest = [c for c in rows.columns if c != "nid"]
+        each = rows.groupBy("nid").agg(F.collect_list(F.struct(*rest)).alias("rows"))
+        met = each.join(maybe_in(nodes, F.col("nid"), rows.select("nid").distinct()), "nid")
+        return met.select("nid", "n", "sketch", F.inline("rows"))
 
     entry = F.struct("nid", "n", "sketch")
 
@@ -276,10 +279,11 @@ def find_pairs(nodes: DataFrame, similarity: float, leaf: int, depth: int, first
             drop(open_rows)
             sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.count(F.lit(1)).alias("weight")).filter("m > 1")
             sizes = stage(sizes, f"join-sizes-{level}")
-            hit = stage(with_groups(rows, sizes, ["path"], "weight", rows.count()).filter("m is not null"), f"join-hits-{level}")
+            hit = with_groups(rows, sizes, ["path"], "weight", rows.count()).filter("m is not null")
+            group = hit.withColumn("g", F.col("nid")) if known is None else hit.join(known.withColumnRenamed("node", "nid"), "nid", "left").withColumn("g", F.coalesce("root", "nid")).drop("root")
+            hit = stage(group, f"join-hits-{level}")
             drop(rows, sizes)
-            group = hit.withColumn("g", F.col("nid")) if known is None else hit.join(known.withColumnRenamed("node", "nid"), "nid", "left").withColumn("g", F.coalesce("root", "nid"))
-            told = group.groupBy("path", "m").agg(F.min("g").alias("g1"), F.max("g").alias("g2"), F.bit_xor(F.xxhash64("nid")).alias("xor")).filter("g1 <> g2")
+            told = hit.groupBy("path", "m").agg(F.min("g").alias("g1"), F.max("g").alias("g2"), F.bit_xor(F.xxhash64("nid")).alias("xor")).filter("g1 <> g2")
             # Runs often find the same bucket again; one of each is enough.
             once = told.groupBy("m", "g1", "g2", "xor").agg(F.min("path").alias("path")).select("path", F.lit(True).alias("once"), F.col("m").alias("weight"))
             once = stage(once, f"join-once-{level}")
@@ -287,29 +291,33 @@ def find_pairs(nodes: DataFrame, similarity: float, leaf: int, depth: int, first
             drop(hit, once)
             is_small = F.col("m") <= leaf
             some = inside.agg(F.max(is_small).alias("small"), F.max(~is_small).alias("large")).first()
-            full = with_sketch(inside)
-            if some["small"] and some["large"]:
-                full = stage(full, f"join-sketches-{level}")
             if some["small"]:
-                bucket = full.filter(is_small).groupBy("path").agg(F.collect_list(entry).alias("bucket")).select("bucket")  # at most ``leaf`` entries
+                bucket = with_sketch(inside.filter(is_small)).groupBy("path").agg(F.collect_list(entry).alias("bucket")).select("bucket")  # at most ``leaf`` entries
                 edges.append(stage(bucket.mapInPandas(compare, "a long, b long").distinct(), f"join-small-{level}"))
             open_rows = None
             if some["large"]:
-                # In a large bucket every set is compared with one pivot; a bucket that is close to its pivot as a whole is done.
-                # Salted by the bucket's size, as all sets of a bucket meet its pivot.
-                large, salts = inside.filter(~is_small), F.ceil(F.col("m") / F.lit(8 * block)).cast("int")
-                pivot = large.groupBy("path", "m").agg(F.min_by("nid", F.xxhash64("nid")).alias("pivot"))
-                pivot = pivot.join(nodes.select(F.col("nid").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch")), "pivot").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("m")
-                salted = full.filter(~is_small).withColumn("salt", F.pmod(F.xxhash64("nid"), salts).cast("int"))
+                # In a large bucket the sets are compared with one pivot; a bucket that is close to its pivot as a whole is done. The pivot
+                # is of the largest part that is connected already, whose sets need no comparison with it.
+                large = inside.filter(~is_small)
+                parts = large.groupBy("path", "m", "g").agg(F.count(F.lit(1)).alias("c"), F.min_by("nid", F.xxhash64("nid")).alias("pivot"))
+                best = F.max_by(F.struct("pivot", "g"), F.struct("c", F.bitwise_not(F.xxhash64("pivot")), "pivot"))
+                pivots = stage(parts.groupBy("path", "m").agg(best.alias("best")).select("path", "m", "best.pivot", "best.g"), f"join-pivots-{level}")
+                asks = stage(large.join(pivots.select("path", "g"), ["path", "g"], "left_anti"), f"join-asks-{level}")
+                # Salted by the bucket's size, as all its sets may meet its pivot.
+                salts = F.ceil(F.col("m") / F.lit(8 * block)).cast("int")
+                pivot = pivots.join(nodes.select(F.col("nid").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch")), "pivot").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("m", "g")
+                salted = with_sketch(asks.drop("g")).withColumn("salt", F.pmod(F.xxhash64("nid"), salts).cast("int"))
                 stars = stage(salted.join(pivot, ["path", "salt"]).mapInPandas(star, "path long, nid long, m long, pivot long, near boolean"), f"join-stars-{level}")
                 edges.append(stage(stars.filter("near and nid <> pivot").select(F.col("nid").alias("a"), F.col("pivot").alias("b")).distinct(), f"join-near-{level}"))
-                open_paths = stars.filter("not near").groupBy("path").agg(F.count(F.lit(1)).alias("far"))
-                open_rows = stage(stars.join(open_paths, "path"), f"join-open-{level}")
-                drop(stars)
+                far = stars.filter("not near").select("path", "nid", F.lit(False).alias("near"))
+                open_paths = far.groupBy("path").agg(F.count(F.lit(1)).alias("far"))
+                open_rows = large.select("path", "nid", "m").join(open_paths, "path").join(far, ["path", "nid"], "left").withColumn("near", F.coalesce("near", F.lit(True)))
+                open_rows = stage(open_rows, f"join-open-{level}")
+                drop(stars, pivots, asks)
             if trace is not None:
                 n_open = open_rows.select("path").distinct().count() if open_rows is not None else 0
                 trace.append((level, inside.filter(is_small).select("path").distinct().count(), inside.filter(~is_small).select("path").distinct().count(), n_open))
-            drop(inside, full)
+            drop(inside)
             if open_rows is None or open_rows.isEmpty():
                 return edges
             if level < depth:

@@ -944,3 +944,22 @@ def test_mixing_draws_without_ids(spark):
         assert len(mine) == n and abs(sum(mine) / n - budget) < 0.04
     again = mixing.mix_sources(docs_of(spark, rows[::-1]).repartition(3)).filter("source_size > 10000").collect()
     assert collections.Counter(map(tuple, got)) == collections.Counter(map(tuple, again))
+
+
+def test_pivot_of_a_large_bucket_is_not_compared(spark, monkeypatch):
+    """In a large bucket only sets outside the pivot's connected part are compared with it."""
+    from pointlore.llm import jaccard_join as J
+
+    rows, stage = {}, J.stage
+
+    def counted(df, label):
+        out = stage(df, label)
+        rows.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "stage", counted)
+    text = [f"w{k}" for k in range(200)]
+    docs = spark.createDataFrame([(d, " ".join([*text, f"x{d}"])) for d in range(40)], "doc_id long, text string")
+    got = J.jaccard_join(docs, leaf=8).collect()
+    assert {r["class_id"] for r in got} == {0} and {r["n_links"] for r in got} == {39}
+    assert rows["join-asks-3"][0] == rows["join-buckets-3"][0] - rows["join-pivots-3"][0] > 0
