@@ -445,3 +445,10 @@ def test_tables_of_an_analysis_are_made_when_asked_for(spark, monkeypatch):
     out = Q.variation_analysis(s, "a", n_grid=10)
     assert {"pdfs", "emd", "emd_views", "emd_summary", "ks", "tests", "rates", "envelopes"} <= set(out)
     assert out["rates"].count() == 4
+
+
+def test_pairs_of_points_meet_in_blocks(spark):
+    """Every pair once, whatever the blocks."""
+    p = frame(spark, [("a", "1", "0", k, float(k), 0.0, 0.0) for k in range(30)], "mode string, cell_id string, seed string, point_id long, x double, y double, z double")
+    got = sorted((r["point_1"], r["point_2"], r["value"]) for r in C.pairwise_distances(p, block=7).collect())
+    assert got == [(a, b, float(b - a)) for a in range(30) for b in range(a + 1, 30)]
