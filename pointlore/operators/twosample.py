@@ -164,41 +164,76 @@ def ks_bootstrap(ks: DataFrame, n: int, keys: tuple[str, ...] = ("measure", "bas
 
 
 def _emd_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All pairs of a tile: samples of its row with those of its column, each sorted, with the steps of its distribution function."""
+    """All pairs of a tile in one range of values: samples of its row with those of its column, each sorted, with the steps of its
+    distribution function. Inside the range the difference starts with what lies before it, and it reaches to the ends of the range."""
     rows, columns = pdf[~pdf["across"]], pdf[pdf["across"]]
+    lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
     out = []
-    for a, x, w, n in zip(rows["no"], rows["values"], rows["weights"], rows["n"]):
-        for b, y, v, m in zip(columns["no"], columns["values"], columns["weights"], columns["n"]):
+    for a, x, w, n, p in zip(rows["no"], rows["values"], rows["weights"], rows["n"], rows["before"]):
+        for b, y, v, m, q in zip(columns["no"], columns["values"], columns["weights"], columns["n"], columns["before"]):
             if a < b:
                 every = np.concatenate([x, y])
                 order = np.argsort(every, kind="stable")
                 every = every[order]
-                apart = np.cumsum(np.concatenate([w / n, -v / m])[order])
-                out.append((a, b, int(n), int(m), float(np.abs(apart[:-1]) @ np.diff(every))))
+                start = p / n - q / m
+                apart = start + np.cumsum(np.concatenate([w / n, -v / m])[order])
+                area = float(np.abs(apart[:-1]) @ np.diff(every))
+                if lo is not None and not np.isnan(lo):
+                    area += abs(start) * ((every[0] if len(every) else hi if hi is not None and not np.isnan(hi) else lo) - lo)
+                if hi is not None and not np.isnan(hi) and len(every):
+                    area += abs(apart[-1]) * (hi - every[-1])
+                out.append((a, b, int(n), int(m), float(area)))
     return pd.DataFrame(out, columns=["no_1", "no_2", "n1", "n2", "emd"]).assign(measure=pdf["measure"].iloc[0])
 
 
-def emd_all_pairs(samples: DataFrame, mode_order: list[str] | None = None, group: tuple[str, ...] = ("mode", "cell_id", "seed"), tile_samples: int = 64, tile_values: int = 2_000_000) -> DataFrame:
+def _in_ranges(v: DataFrame, keys: list[str], values: int) -> DataFrame:
+    """Folded samples as a row for each range of values: keys, values, weights, n, before (weights below the range), range, lo, hi.
+
+    Ranges hold about ``values`` values of the measure's largest sample; their ends are shared by all samples of a measure, and a sample
+    has a row in each, also where it has no value. The first has no lower end and the last no upper one.
+    """
+    sizes = written(v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), F.sum("w").alias("n")), "sizes")
+    most = sizes.agg(F.max("_size")).first()[0] or 0
+    parts = -(-most // values)
+    if parts <= 1:
+        return sample_arrays(v, keys).select("*", F.lit(0.0).alias("before"), F.lit(0).alias("range"), *[F.lit(None).cast("double").alias(c) for c in ("lo", "hi")])
+    cuts = v.groupBy("measure").agg(F.array_sort(F.array_distinct(F.percentile_approx("value", [k / parts for k in range(1, parts)], 10_000))).alias("_cuts"))
+    at = v.join(F.broadcast(cuts), "measure").withColumn("range", F.size(F.filter("_cuts", lambda c: c <= F.col("value")))).drop("_cuts")
+    packed = sample_arrays(at, [*keys, "range"]).withColumnRenamed("n", "_in")
+    every = sizes.join(F.broadcast(cuts), "measure").withColumn("range", F.explode(F.sequence(F.lit(0), F.size("_cuts"))))
+    empty = F.expr("cast(array() as array<double>)")
+    so_far = F.sum(F.coalesce("_in", F.lit(0.0))).over(W.partitionBy(*keys).orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    # The sums of the ranges are told apart from their arrays: no window holds values.
+    before = every.join(packed.select(*keys, "range", "_in"), [*keys, "range"], "left").withColumn("before", F.coalesce(so_far, F.lit(0.0))).select(*keys, "range", "n", "before", F.when(F.col("range") > 0, F.get("_cuts", F.col("range") - 1)).alias("lo"), F.get("_cuts", F.col("range")).alias("hi"))
+    return before.join(packed.drop("_in"), [*keys, "range"], "left").withColumns({c: F.coalesce(c, empty) for c in ("values", "weights")})
+
+
+def emd_all_pairs(samples: DataFrame, mode_order: list[str] | None = None, group: tuple[str, ...] = ("mode", "cell_id", "seed"), tile_samples: int = 64, tile_values: int = 2_000_000, range_values: int = 250_000) -> DataFrame:
     """earth mover's distance of all unordered pairs of samples of a measure.
 
-    A sample is one row of sorted distinct values and their counts. Samples lie in tiles' rows and columns, at most ``tile_samples`` and
-    about ``tile_values`` values in each, so a sample is sent as often as there are tiles in a row, not once for every other sample.
+    A sample is one row of sorted distinct values and their counts; where samples have more than ``range_values`` of them, one row for
+    each range of values, and a distance is the sum of its parts in the ranges. Samples lie in tiles' rows and columns, at most
+    ``tile_samples`` and about ``tile_values`` values in each, so a sample is sent as often as there are tiles in a row, not once for
+    every other sample.
     """
     group = list(group)
     v = folded(valid_samples(samples), ["measure", *group])
     place = F.array_position(F.array(*[F.lit(m) for m in mode_order]), F.col("mode")) if mode_order else F.lit(0)
-    each = written(sample_arrays(v, ["measure", *group]).withColumn("_place", place).withColumn("_size", F.size("values")), "samples")
+    each = written(_in_ranges(v, ["measure", *group], range_values).withColumn("_place", place).withColumn("_size", F.size("values")), "samples")
     # One row per sample: their pairs are the result, so there are few of them.
     by = W.partitionBy("measure").orderBy("_place", *group)
     share = F.greatest(F.col("_size") / tile_values, F.lit(1.0 / tile_samples))
-    names = each.select("measure", *group, F.row_number().over(by).cast("long").alias("no"), F.floor(F.sum(share).over(by.rowsBetween(W.unboundedPreceding, 0)) - share + 1e-9).alias("tile"))
+    largest = each.groupBy("measure", *group, "_place").agg(F.max("_size").alias("_size"))
+    names = largest.select("measure", *group, F.row_number().over(by).cast("long").alias("no"), F.floor(F.sum(share).over(by.rowsBetween(W.unboundedPreceding, 0)) - share + 1e-9).alias("tile"))
     names = written(names, "sample-numbers")
     tiles = names.select("measure", "tile").distinct()
-    at = each.join(names, ["measure", *group]).select("measure", "no", "tile", "values", "weights", "n")
+    told = ["range", "lo", "hi", "no", "values", "weights", "n", "before"]
+    at = each.join(names, ["measure", *group]).select("measure", "tile", *told)
     across = at.join(tiles.withColumnRenamed("tile", "other"), "measure")
-    rows = across.filter("tile <= other").select("measure", F.col("tile").alias("row"), F.col("other").alias("column"), F.lit(False).alias("across"), "no", "values", "weights", "n")
-    columns = across.filter("other <= tile").select("measure", F.col("other").alias("row"), F.col("tile").alias("column"), F.lit(True).alias("across"), "no", "values", "weights", "n")
-    pairs = rows.unionByName(columns).groupBy("measure", "row", "column").applyInPandas(_emd_tile, "no_1 long, no_2 long, n1 long, n2 long, emd double, measure string")
+    rows = across.filter("tile <= other").select("measure", F.col("tile").alias("row"), F.col("other").alias("column"), F.lit(False).alias("across"), *told)
+    columns = across.filter("other <= tile").select("measure", F.col("other").alias("row"), F.col("tile").alias("column"), F.lit(True).alias("across"), *told)
+    pairs = rows.unionByName(columns).groupBy("measure", "row", "column", "range").applyInPandas(_emd_tile, "no_1 long, no_2 long, n1 long, n2 long, emd double, measure string")
+    pairs = pairs.groupBy("measure", "no_1", "no_2").agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.sum("emd").alias("emd"))
     for k in (1, 2):
         pairs = pairs.join(names.select("measure", F.col("no").alias(f"no_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in group]), ["measure", f"no_{k}"])
     return pairs.select("measure", *[f"{c}_{k}" for k in (1, 2) for c in group], "n1", "n2", "emd")

@@ -447,6 +447,20 @@ def test_tables_of_an_analysis_are_made_when_asked_for(spark, monkeypatch):
     assert out["rates"].count() == 4
 
 
+def test_distances_in_ranges_are_those_of_whole_samples(spark):
+    """Samples cut into ranges, one without a value in most of them, give the distances that sorting them whole does."""
+    g = np.random.default_rng(7)
+    values = {"a": g.uniform(size=40), "b": g.uniform(size=23) * 2, "c": np.array([0.4, 0.4, 0.41])}
+    s = frame(spark, [("m", k, "1", "0", float(v)) for k, vs in values.items() for v in vs], "measure string, mode string, cell_id string, seed string, value double")
+    for size in (4, 1000):
+        got = {(r["mode_1"], r["mode_2"]): r["emd"] for r in T.emd_all_pairs(s, range_values=size).collect()}
+        for (x, y), d in got.items():
+            every = np.sort(np.concatenate([values[x], values[y]]))
+            apart = [np.searchsorted(np.sort(values[k]), every, "right") / len(values[k]) for k in (x, y)]
+            assert d == pytest.approx((np.abs(apart[0] - apart[1])[:-1] * np.diff(every)).sum())
+        assert len(got) == 3
+
+
 def test_pairs_of_points_meet_in_blocks(spark):
     """Every pair once, whatever the blocks."""
     p = frame(spark, [("a", "1", "0", k, float(k), 0.0, 0.0) for k in range(30)], "mode string, cell_id string, seed string, point_id long, x double, y double, z double")
