@@ -408,6 +408,23 @@ def test_facts_of_pairs_join_the_profiles(spark):
     assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
 
 
+def test_copies_of_profiles_are_not_broadcast(spark):
+    """A profile has a copy for each block that it meets: their number grows with the square of the table. All pairs are there, whatever the blocks."""
+    g = np.random.default_rng(9)
+    m = g.normal(size=(30, 140))
+    df = frame(spark, [(r, i, float(v)) for r, row in enumerate(m) for i, v in enumerate(row)], "profile_id int, i int, value double")
+    pairs = P.binary_correlation(df, block=3)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    got = {(r["id_1"], r["id_2"]): r["r"] for r in pairs.collect()}
+    want = np.corrcoef((m[:, 70:] > 0).astype(float))
+    assert set(got) == {(i, j) for i in range(30) for j in range(i, 30)}
+    assert all(r == pytest.approx(want[i, j]) for (i, j), r in got.items())
+    long = frame(spark, [(r, i, float(m[r, i % 140] * (1 if i < 1200 else -1))) for r in range(4) for i in range(2200)], "profile_id int, i int, value double")
+    wide = {(r["id_1"], r["id_2"]): r["r"] for r in P.binary_correlation(long).collect()}
+    want = np.corrcoef([[m[r, i % 140] * (1 if i < 1200 else -1) > 0 for i in range(1100, 2200)] for r in range(4)])
+    assert len(wide) == 10 and all(r == pytest.approx(want[i, j]) for (i, j), r in wide.items())
+
+
 def test_histogram_keeps_samples_without_a_value_inside(spark):
     """A sample whose values all lie outside is counted as 0 everywhere; its points meet no join with the samples."""
     grid = D._grid(frame(spark, [("m", 3, 0.0, 2.0)], "measure string, n int, x0 double, x1 double"), ["measure"])
