@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..functions.storage import written
+from ..functions.storage import running_before, written
 from ..model import KEYS, STD_FLOOR
 from .curves import _grid, ecdf, even_curve, exact_quantile, joint_curves, pointwise_envelope, r_grid, unit_curves
 from .expressions import valid_samples
@@ -57,36 +57,33 @@ def rank_test(obs: DataFrame, sims: DataFrame, keys: list[str]) -> DataFrame:
     where the observed curve does not push it down, that is where c >= v (from below: likewise with u and b). The one simulated
     value of such a rank at such a point is looked up, so observed and simulated curves never meet in pairs.
     """
-    by = W.partitionBy(*keys, "i")
     s = sims.select(*keys, F.col("curve_id").cast("string").alias("_curve"), "i", "y")
-    ranked = s.withColumn("_low", F.row_number().over(by.orderBy("y", "_curve"))).withColumn("_n", F.count(F.lit(1)).over(by)).withColumn("_mean", F.avg("y").over(by))
-    ranked = written(ranked.withColumn("_high", F.col("_n") + 1 - F.col("_low")), "ranks")
-    depth = ranked.groupBy(*keys, "_curve").agg(F.min("_low").alias("_low"), F.min("_high").alias("_high"))
-    per_point = ranked.groupBy(*keys, "i").agg(F.max("_n").alias("_n"), F.max("_mean").alias("_mean"))
-    # Counts below each observed value: one sort of both sides, observed ones first among equals.
-    both = obs.select(*keys, "curve_id", "i", "y", F.lit(0).alias("_sim")).unionByName(s.select(*keys, "i", "y", F.lit(1).alias("_sim")), allowMissingColumns=True)
-    below = F.sum("_sim").over(by.orderBy("y", "_sim").rowsBetween(W.unboundedPreceding, 0))
-    o = both.withColumn("_b", below).filter("_sim = 0").join(per_point, [*keys, "i"]).withColumn("_c", F.col("_n") - F.col("_b"))
-    o = written(o.select(*keys, "curve_id", "i", "_b", "_c", "_n", (F.col("y") - F.col("_mean")).alias("_d")), "ranked")
-    tail = o.groupBy(*keys, "curve_id").agg(F.when(F.avg("_d") < 0, -1).otherwise(1).alias("sign"), (F.min("_b") + 1).alias("_u"), (F.min("_c") + 1).alias("_v"), F.max("_n").alias("_n"))
-    tail = tail.withColumn("statistic", F.when(F.col("sign") > 0, F.col("_v")).otherwise(F.col("_u"))).drop("_u", "_v")
-    # Simulated curves of a lesser least rank: a running count over the few distinct ranks of a key.
-    sides = depth.select(*keys, F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("_high").alias("r")), F.struct(F.lit(-1).alias("sign"), F.col("_low").alias("r")))).alias("p")).select(*keys, "p.sign", "p.r")
-    counts = sides.groupBy(*keys, "sign", F.col("r").cast("double").alias("statistic")).agg(F.count(F.lit(1)).alias("_m"))
-    asked = tail.withColumn("statistic", F.col("statistic").cast("double"))
-    so_far = F.sum("_m").over(W.partitionBy(*keys, "sign").orderBy("statistic", F.col("_m").isNotNull().cast("int")).rowsBetween(W.unboundedPreceding, 0))
-    less = asked.unionByName(counts, allowMissingColumns=True).withColumn("_less", F.coalesce(so_far, F.lit(0))).filter("_m is null").drop("_m")
-    # The simulated value of exactly that rank, where the observed curve leaves it in place.
-    rank_at = ranked.select(*keys, "i", "_curve", F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("_high").alias("r")), F.struct(F.lit(-1).alias("sign"), F.col("_low").alias("r")))).alias("p"))
-    rank_at = rank_at.select(*keys, "i", "_curve", "p.sign", F.col("p.r").cast("double").alias("statistic"))
-    free = o.drop("_n").join(tail.select(*keys, "curve_id", "sign", F.col("statistic").cast("double").alias("statistic")), [*keys, "curve_id"])
-    free = free.filter(F.when(F.col("sign") > 0, F.col("_c")).otherwise(F.col("_b")) >= F.col("statistic"))
-    least = depth.withColumnRenamed("_low", "_dl").withColumnRenamed("_high", "_dh")
-    level = free.join(rank_at, [*keys, "i", "sign", "statistic"]).join(least, [*keys, "_curve"]).filter(F.when(F.col("sign") > 0, F.col("_dh")).otherwise(F.col("_dl")) == F.col("statistic"))
-    equal = level.select(*keys, "curve_id", "_curve").distinct().groupBy(*keys, "curve_id").agg(F.count(F.lit(1)).alias("_equal"))
-    out = less.join(equal, [*keys, "curve_id"], "left")
-    p = (F.col("_less") + F.coalesce("_equal", F.lit(0)) + 1) / (F.col("_n") + 1)
-    return out.select(*keys, "curve_id", "statistic", "sign", p.alias("p_value"))
+    # One running count over both sides, observed ones first among equals: the simulated ones before a row. It goes over ranges, as
+    # a point has a row for every curve.
+    both = obs.select(*keys, "curve_id", "i", "y", F.lit(0).alias("_sim"), F.xxhash64("curve_id").alias("_h")).unionByName(s.select(*keys, "_curve", "i", "y", F.lit(1).alias("_sim")), allowMissingColumns=True)
+    placed = written(running_before(both, [*keys, "i"], ["y", "_sim", "_curve", "_h"], "_sim", "_b"), "placed")
+    per_point = written(s.groupBy(*keys, "i").agg(F.count(F.lit(1)).alias("_n"), F.avg("y").alias("_mean")), "points")
+    # From here a curve is one row with its points.
+    at = placed.join(per_point, [*keys, "i"]).withColumn("_c", F.col("_n") - F.col("_b"))
+    points = F.collect_list(F.struct("i", "_b", "_c")).alias("_at")
+    tail = at.filter("_sim = 0").groupBy(*keys, "curve_id").agg(F.when(F.avg(F.col("y") - F.col("_mean")) < 0, -1).otherwise(1).alias("sign"), (F.min("_b") + 1).alias("_u"), (F.min("_c") + 1).alias("_v"), F.max("_n").alias("_n"), points)
+    tail = tail.withColumn("statistic", F.when(F.col("sign") > 0, F.col("_v")).otherwise(F.col("_u")).cast("double"))
+    free = F.filter("_at", lambda x: F.when(F.col("sign") > 0, x["_c"]).otherwise(x["_b"]) >= F.col("statistic"))
+    tail = written(tail.select(*keys, "curve_id", "sign", "statistic", "_n", F.transform(free, lambda x: x["i"]).alias("_free")), "tails")
+    # A simulated curve's least rank from either side (one more than the simulated ones beyond it), and the points where it has that rank.
+    depth = at.filter("_sim = 1").groupBy(*keys, "_curve").agg(F.min("_b").alias("_l"), F.min("_c").alias("_h"), points)
+    holds = lambda c, least: F.transform(F.filter("_at", lambda x: x[c] == F.col(least)), lambda x: x["i"]).alias("held")
+    sides = F.array(F.struct(F.lit(1).alias("sign"), F.col("_h").cast("double").alias("statistic"), holds("_c", "_h")), F.struct(F.lit(-1).alias("sign"), (F.col("_l") + 1).cast("double").alias("statistic"), holds("_b", "_l")))
+    sides = depth.select(*keys, F.explode(sides).alias("p")).select(*keys, "p.sign", "p.statistic", "p.held")
+    # Simulated curves of a lesser least rank: a running count over the distinct ranks of a key. Those of just that rank come along; a
+    # point has one curve of a rank, so they are no more than the points.
+    found = sides.withColumn("_m", F.lit(1)).unionByName(tail.select(*keys, "sign", "statistic", F.lit(0).alias("_m")), allowMissingColumns=True)
+    ranks = found.groupBy(*keys, "sign", "statistic").agg(F.sum("_m").alias("_m"), F.collect_list("held").alias("_held"))
+    less = running_before(ranks, [*keys, "sign"], "statistic", "_m", "_less")
+    # Many observed curves share a low rank: they stream past the table of ranks unsorted.
+    out = tail.join(less.hint("shuffle_hash"), [*keys, "sign", "statistic"])
+    equal = F.size(F.filter("_held", lambda x: F.arrays_overlap(x, F.col("_free"))))
+    return out.select(*keys, "curve_id", "statistic", "sign", ((F.col("_less") + equal + 1) / (F.col("_n") + 1)).alias("p_value"))
 
 
 def rank_envelope(obs: DataFrame, sims: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

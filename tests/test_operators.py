@@ -483,3 +483,29 @@ def test_pairs_of_points_meet_in_blocks(spark):
     p = frame(spark, [("a", "1", "0", k, float(k), 0.0, 0.0) for k in range(30)], "mode string, cell_id string, seed string, point_id long, x double, y double, z double")
     got = sorted((r["point_1"], r["point_2"], r["value"]) for r in C.pairwise_distances(p, block=7).collect())
     assert got == [(a, b, float(b - a)) for a in range(30) for b in range(a + 1, 30)]
+
+
+def test_rank_test_spreads_a_point_over_ranges(spark, monkeypatch):
+    """A point has a row for each curve: its rows fill as many ranges as their number asks for, ties too, and no window holds them all."""
+    from pointlore.functions import storage
+
+    g = np.random.default_rng(4)
+    n, m, points = 60, 9, 5
+    sims, seen = g.integers(0, 6, (n, points)) / 4, g.integers(-1, 7, (m, points)) / 4
+    long = lambda y, name: [("k", f"{name}{c:02d}", i, float(v)) for c, row in enumerate(y) for i, v in enumerate(row)]
+    schema, ranges, write = "k string, curve_id string, i int, y double", [], storage.written
+    monkeypatch.setattr(storage, "written", lambda df, label="table": ranges.append(write(df, label)) or ranges[-1])
+    before = storage.running_before
+    monkeypatch.setattr(E, "running_before", lambda *a: before(*a, size=20))
+    got = {r["curve_id"]: (r["sign"], r["statistic"], r["p_value"]) for r in E.rank_test(frame(spark, long(seen, "o"), schema), frame(spark, long(sims, "s"), schema), ["k"]).collect()}
+    laid = next(r for r in ranges if "_range" in r.columns and "i" in r.columns)
+    assert laid.groupBy("i").agg(F.countDistinct("_range").alias("n")).agg(F.min("n")).first()[0] >= 3
+    low = np.array([[sum((sims[d, i], d) < (sims[c, i], c) for d in range(n)) + 1 for i in range(points)] for c in range(n)])
+    for k, y in enumerate(seen):
+        b = (sims < y).sum(0)
+        push = y <= sims  # an observed value stands before equal simulated ones
+        up = np.mean(y - sims.mean(0)) >= 0
+        own = (n - b).min() + 1 if up else b.min() + 1
+        other = (n + 2 - low - push).min(1) if up else (low + push).min(1)
+        assert got[f"o{k:02d}"] == (1 if up else -1, own, pytest.approx(((other <= own).sum() + 1) / (n + 1)))
+    assert len(got) == m
