@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 
@@ -25,13 +25,25 @@ def shared_dir(spark: SparkSession) -> str:
 _open_scopes: list[list[DataFrame]] = []
 
 
+def telling(df: DataFrame, **told: Column) -> DataFrame:
+    """``df``, of which ``stage`` is to tell these aggregates."""
+    df.asked = told
+    return df
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and any executor may be lost."""
+    """Write ``df`` to the shared folder and read it back: lineage is cut and any executor may be lost.
+
+    The write also tells ``n_rows`` and what ``telling`` asks for (``told``), so that no other job counts what was written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen, asked = Observation(), [F.count(F.lit(1)).alias("n_rows"), *[c.alias(k) for k, c in getattr(df, "asked", {}).items()]]
+    df.observe(seen, *asked).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
+    out.told = seen.get or out.agg(*asked).first().asDict()  # a plan that the optimizer empties tells nothing
+    out.n_rows = out.told["n_rows"]
     if _open_scopes:
         _open_scopes[-1].append(out)
     return out
@@ -97,8 +109,14 @@ def with_groups(df: DataFrame, groups: DataFrame, on: list[str], weight: str, to
     """Left join of rows with their groups; ``weight`` tells how many of the ``total`` rows a group has, and is dropped.
 
     Groups of more than a 10,000th of the rows are fewer than 10,000: those are broadcast, so their rows stay where they are. No
-    key of the shuffled join that is left has more rows than that.
+    key of the shuffled join that is left has more rows than that. Groups staged with their ``least`` and ``most`` weight meet the
+    rows in one join where all of them are on one side.
     """
+    told = getattr(groups, "told", {})
+    if told.get("least") is not None and told["least"] * 10_000 > total:
+        return df.join(F.broadcast(groups.drop(weight)), on, "left")
+    if told.get("most") is not None and told["most"] * 10_000 <= total:
+        return df.join(groups.drop(weight), on, "left")
     hot = F.col(weight) * 10_000 > total
     large, small = groups.filter(hot).drop(weight), groups.filter(~hot).drop(weight)
     there = df.join(F.broadcast(large.withColumn("_there", F.lit(True))), on, "left")
@@ -155,13 +173,13 @@ def spans_of(text: Column, pattern: str, valid=None, context: int = 32) -> Colum
     return F.when(text.rlike(pattern), looked).otherwise(none)
 
 
-def probably_in(df: DataFrame, key: Column, keys: DataFrame, out: str, bits: int = 27) -> DataFrame:
+def probably_in(df: DataFrame, key: Column, keys: DataFrame, out: str, bits: int = 27, most: int | None = None) -> DataFrame:
     """``df`` with a boolean ``out``: whether its long ``key`` may be among the longs of ``keys`` (one column).
 
     No key that is there is missed. A bitmap of at most 2**bits bits (16 MB) is broadcast; what hits it
-    by chance is for the caller to tell apart.
+    by chance is for the caller to tell apart. ``most`` bounds the number of keys where it is known; else they are counted.
     """
-    slots = 1 << max(15, min(bits, (32 * keys.count()).bit_length()))
+    slots = 1 << max(15, min(bits, (32 * (keys.count() if most is None else most)).bit_length()))
     place = F.pmod(F.xxhash64(keys.columns[0]), F.lit(slots))
     marks = keys.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bitmap"))
     probe = df.withColumn("_p", F.pmod(F.xxhash64(key), F.lit(slots))).withColumn("_bucket", F.bitmap_bucket_number("_p")).join(F.broadcast(marks), "_bucket", "left")
@@ -170,9 +188,14 @@ def probably_in(df: DataFrame, key: Column, keys: DataFrame, out: str, bits: int
     return probe.withColumn(out, hit).drop("_p", "_bucket", "_bitmap")
 
 
-def maybe_in(df: DataFrame, key: Column, keys: DataFrame, bits: int = 27) -> DataFrame:
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, bits: int = 27, most: int | None = None) -> DataFrame:
     """Rows of ``df`` whose long ``key`` may be among the longs of ``keys``: none of those is missed."""
-    return probably_in(df, key, keys, "_hit", bits).filter("_hit").drop("_hit")
+    return probably_in(df, key, keys, "_hit", bits, most).filter("_hit").drop("_hit")
+
+
+def weights(name: str) -> dict[str, Column]:
+    """What ``with_groups`` wants to know of staged groups."""
+    return {"least": F.min(name), "most": F.max(name)}
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column | str], label: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, drop, maybe_in, stage, table, with_groups
+from .common import Scratch, drop, maybe_in, stage, table, telling, weights, with_groups
 from .components import components
 from .hashing import mix, windows, word_hashes
 
@@ -185,7 +185,7 @@ def jaccard_join(
     nodes = members.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies"), F.any_value("sketch").alias("sketch"))
     nodes = stage(nodes.withColumn("nid", F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long")), "join-nodes")
     with Scratch() as search:
-        edges = search.keep(stage(find_pairs(nodes.select("nid", "n", "sketch"), similarity, leaf, depth, first_look, miss, block, trace), "join-edges"))
+        edges = search.keep(stage(find_pairs(nodes.select("nid", "n", "sketch"), similarity, leaf, depth, first_look, miss, block, trace, nodes.n_rows), "join-edges"))
     with Scratch() as merge:
         cells = merge.keep(stage(components(edges).withColumnRenamed("node", "nid"), "join-cells"))
 
@@ -195,8 +195,8 @@ def jaccard_join(
     drop(edges, cells)
     shape = wanted.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("items"), F.max_by("nid", F.struct("degree", "nid")).alias("pivot"))
     parts = F.greatest(F.ceil(F.col("m") / F.lit(block)), F.ceil(F.col("items") * 8 / F.lit(block_bytes))).cast("int")
-    placed = with_groups(wanted, shape.select("root", "pivot", parts.alias("parts"), "m"), ["root"], "m", wanted.count()).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    texts = maybe_in(read, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), wanted.select(F.xxhash64(F.coalesce(F.col("head").cast("string"), F.lit(""))).alias("h"))).select("text")
+    placed = with_groups(wanted, shape.select("root", "pivot", parts.alias("parts"), "m"), ["root"], "m", wanted.n_rows).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    texts = maybe_in(read, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), wanted.select(F.xxhash64(F.coalesce(F.col("head").cast("string"), F.lit(""))).alias("h")), most=wanted.n_rows).select("text")
 
     def full_sets(batches):
         for pdf in batches:
@@ -206,23 +206,23 @@ def jaccard_join(
                 yield pd.DataFrame({"node": [fingerprint(s) for s in sets], "items": [s.tobytes() for s in sets]})
 
     sets = texts.mapInPandas(full_sets, "node binary, items binary")
-    full = stage(sets.join(placed, "node").groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("items", "root", "copies", "parts", "own", "nid", "pivot")]), "join-sets")
+    full = stage(telling(sets.join(placed, "node").groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("items", "root", "copies", "parts", "own", "nid", "pivot")]), whole=F.sum(F.when(F.col("parts") == 1, F.octet_length("items")))), "join-sets")
     with Scratch() as exact:
         groups = exact.keep(stage(exact_classes(full, similarity, block, block_bytes), "join-classes"))
     drop(full, wanted)
     every = nodes.select("node", "head", "copies").join(groups, "node", "left").select("node", "head", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class", "node").alias("class"))
     every = stage(every, "join-groups")
     drop(nodes, groups)
-    heads = stage(every.groupBy("class").agg(F.min("head").alias("class_id"), F.count(F.lit(1)).alias("m")), "join-heads")
-    classes = with_groups(every, heads, ["class"], "m", every.count())
-    classes = stage(classes.select("node", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "copies"), "join-told")
+    heads = stage(telling(every.groupBy("class").agg(F.min("head").alias("class_id"), F.count(F.lit(1)).alias("m")), **weights("m")), "join-heads")
+    classes = with_groups(every, heads, ["class"], "m", every.n_rows)
+    classes = stage(telling(classes.select("node", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "copies"), **weights("copies")), "join-told")
     drop(every, heads)
-    out = with_groups(members.select("doc_id", "n", "node"), classes, ["node"], "copies", members.count())
+    out = with_groups(members.select("doc_id", "n", "node"), classes, ["node"], "copies", members.n_rows)
     return out.select(F.col("doc_id").alias(id_col), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n").alias("n_shingles"))
 
 
-def find_pairs(nodes: DataFrame, similarity: float, leaf: int, depth: int, first_look: int, miss: float, block: int, trace: list | None) -> DataFrame:
-    """Edges (a, b) between sets that are probably similar. nodes: nid, n, sketch."""
+def find_pairs(nodes: DataFrame, similarity: float, leaf: int, depth: int, first_look: int, miss: float, block: int, trace: list | None, n_nodes: int) -> DataFrame:
+    """Edges (a, b) between sets that are probably similar. nodes: nid, n, sketch; ``n_nodes`` rows."""
 
     def splitter(start: range | None, levels: range):
         """Rows (nid, path) after ``levels`` more splits; a path tells what a row shares so far. ``start``: runs that begin here."""
@@ -265,7 +265,7 @@ def find_pairs(nodes: DataFrame, similarity: float, leaf: int, depth: int, first
         """Only the sketches of sets in open buckets move, and each is met once: a set's rows, a few for each run, travel as one."""
         rest = [c for c in rows.columns if c != "nid"]
         each = rows.groupBy("nid").agg(F.collect_list(F.struct(*rest)).alias("rows"))
-        met = each.join(maybe_in(nodes, F.col("nid"), rows.select("nid").distinct()), "nid")
+        met = each.join(maybe_in(nodes, F.col("nid"), rows.select("nid"), most=n_nodes), "nid")
         return met.select("nid", "n", "sketch", F.inline("rows"))
 
     entry = F.struct("nid", "n", "sketch")
@@ -278,24 +278,23 @@ def find_pairs(nodes: DataFrame, similarity: float, leaf: int, depth: int, first
             rows = stage(rows, f"join-level-{level}")
             drop(open_rows)
             sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.count(F.lit(1)).alias("weight")).filter("m > 1")
-            sizes = stage(sizes, f"join-sizes-{level}")
-            hit = with_groups(rows, sizes, ["path"], "weight", rows.count()).filter("m is not null")
+            sizes = stage(telling(sizes, **weights("weight")), f"join-sizes-{level}")
+            hit = with_groups(rows, sizes, ["path"], "weight", rows.n_rows).filter("m is not null")
             group = hit.withColumn("g", F.col("nid")) if known is None else hit.join(known.withColumnRenamed("node", "nid"), "nid", "left").withColumn("g", F.coalesce("root", "nid")).drop("root")
             hit = stage(group, f"join-hits-{level}")
             drop(rows, sizes)
             told = hit.groupBy("path", "m").agg(F.min("g").alias("g1"), F.max("g").alias("g2"), F.bit_xor(F.xxhash64("nid")).alias("xor")).filter("g1 <> g2")
             # Runs often find the same bucket again; one of each is enough.
             once = told.groupBy("m", "g1", "g2", "xor").agg(F.min("path").alias("path")).select("path", F.lit(True).alias("once"), F.col("m").alias("weight"))
-            once = stage(once, f"join-once-{level}")
-            inside = stage(with_groups(hit, once, ["path"], "weight", hit.count()).filter("once").drop("once"), f"join-buckets-{level}")
-            drop(hit, once)
+            once = stage(telling(once, **weights("weight")), f"join-once-{level}")
             is_small = F.col("m") <= leaf
-            some = inside.agg(F.max(is_small).alias("small"), F.max(~is_small).alias("large")).first()
-            if some["small"]:
+            inside = stage(telling(with_groups(hit, once, ["path"], "weight", hit.n_rows).filter("once").drop("once"), small=F.count(F.when(is_small, 1))), f"join-buckets-{level}")
+            drop(hit, once)
+            if inside.told["small"]:
                 bucket = with_sketch(inside.filter(is_small)).groupBy("path").agg(F.collect_list(entry).alias("bucket")).select("bucket")  # at most ``leaf`` entries
                 edges.append(stage(bucket.mapInPandas(compare, "a long, b long").distinct(), f"join-small-{level}"))
             open_rows = None
-            if some["large"]:
+            if inside.n_rows > inside.told["small"]:
                 # In a large bucket the sets are compared with one pivot; a bucket that is close to its pivot as a whole is done. The pivot
                 # is of the largest part that is connected already, whose sets need no comparison with it.
                 large = inside.filter(~is_small)
@@ -318,7 +317,7 @@ def find_pairs(nodes: DataFrame, similarity: float, leaf: int, depth: int, first
                 n_open = open_rows.select("path").distinct().count() if open_rows is not None else 0
                 trace.append((level, inside.filter(is_small).select("path").distinct().count(), inside.filter(~is_small).select("path").distinct().count(), n_open))
             drop(inside)
-            if open_rows is None or open_rows.isEmpty():
+            if open_rows is None or not open_rows.n_rows:
                 return edges
             if level < depth:
                 rows = with_sketch(open_rows.select("path", "nid")).mapInPandas(splitter(None, range(level, level + 1)), "nid long, path long")
@@ -343,7 +342,7 @@ def find_pairs(nodes: DataFrame, similarity: float, leaf: int, depth: int, first
     first = min(2, runs)
     edges = stage(all_of(search(range(first), None)), "join-edges")
     if runs > first:
-        edges = edges.unionByName(all_of(search(range(first, runs), stage(components(edges), "join-known"))))
+        edges = edges.unionByName(all_of(search(range(first, runs), components(edges))))
     return edges
 
 
@@ -376,9 +375,9 @@ def exact_classes(full: DataFrame, similarity: float, block: int, block_bytes: i
 
     about = "root long, node binary, copies long, parts int, own int, pivot long, nid long, n_pivot long, lacks long, adds long, diff binary"
     # Cells of one part are dealt out to lots of bounded size; a larger cell is a group for each part, and each gets the pivot.
-    lots = lambda rows, size: max(1, -(-(rows.agg(F.sum(F.octet_length(size))).first()[0] or 0) // (block_bytes // 4)))
+    lots = lambda size: max(1, -(-(size or 0) // (block_bytes // 4)))
     whole, cut = full.filter("parts = 1"), full.filter("parts > 1")
-    lot = F.pmod(F.xxhash64("root"), F.lit(lots(whole, "items"))).alias("lot")
+    lot = F.pmod(F.xxhash64("root"), F.lit(lots(full.told["whole"]))).alias("lot")
     pivots = cut.filter("nid = pivot").select("root", F.col("items").alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("own"))
     diffs = whole.groupBy(lot).applyInPandas(differ_cells, about).unionByName(cut.groupBy("root", "own").cogroup(pivots.groupBy("root", "own")).applyInPandas(differ, about))
     diffs = stage(diffs, "join-diffs")
@@ -398,10 +397,11 @@ def exact_classes(full: DataFrame, similarity: float, block: int, block_bytes: i
     drop(diffs, counted)
 
     # Far sets and all sets of their cells, in blocks.
-    total = known.count()
+    total = known.n_rows
     wide = known.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("diff")).alias("b"), F.count(F.when(F.col("far"), 1)).alias("far_m"), F.sum(F.when(F.col("far"), F.octet_length("diff"))).alias("far_b")).filter("far_m > 0")
     part = lambda n, b: F.greatest(F.ceil(F.col(n) / F.lit(block)), F.ceil(F.col(b) / F.lit(block_bytes))).cast("int")
-    wide = stage(wide.select("root", part("far_m", "far_b").alias("ni"), part("m", "b").alias("nj"), "m"), "join-wide")
+    wide = wide.select("root", part("far_m", "far_b").alias("ni"), part("m", "b").alias("nj"), "m", (F.col("far_b") + F.col("b")).alias("size"))
+    wide = stage(telling(wide, lone=F.sum(F.when((F.col("ni") == 1) & (F.col("nj") == 1), F.col("size"))), **weights("m")), "join-wide")
     laid = with_groups(known, wide, ["root"], "m", total).filter("ni is not null")
     columns = ["root", "i", "j", "asks", "node", "copies", "far", "n_pivot", "lacks", "adds", "diff", "ni", "nj"]
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
@@ -432,13 +432,13 @@ def exact_classes(full: DataFrame, similarity: float, block: int, block_bytes: i
 
     sides = asking.unionByName(asked)
     lone = sides.filter("ni = 1 and nj = 1")
-    lot = F.pmod(F.xxhash64("root"), F.lit(lots(lone, "diff"))).alias("lot")
+    lot = F.pmod(F.xxhash64("root"), F.lit(lots(wide.told["lone"]))).alias("lot")
     found = "node binary, links long, to binary"
     met = stage(lone.groupBy(lot).applyInPandas(meet_cells, found).unionByName(sides.filter("ni > 1 or nj > 1").groupBy("root", "i", "j").applyInPandas(meet, found)), "join-met")
     more = met.groupBy("node").agg(F.sum("links").alias("more"))
     sizes = known.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.max(F.when(F.col("nid") == F.col("pivot"), F.col("node"))).alias("pivot_node"))
     sizes = sizes.join(wide.select("root", F.lit(True).alias("mixed")), "root", "left")
-    near = stage(with_groups(known.select("root", "node", "links", "alone"), stage(sizes, "join-sizes"), ["root"], "m", total), "join-near")
+    near = stage(with_groups(known.select("root", "node", "links", "alone"), stage(telling(sizes, **weights("m")), "join-sizes"), ["root"], "m", total), "join-near")
     # Whatever is linked to the pivot is one class; where far sets are, their links may add to it or connect others.
     star = near.filter("mixed and not alone and node <> pivot_node").select(F.col("node").alias("a"), F.col("pivot_node").alias("b"))
     reached = components(star.unionByName(met.filter("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b"))))

@@ -963,3 +963,59 @@ def test_pivot_of_a_large_bucket_is_not_compared(spark, monkeypatch):
     got = J.jaccard_join(docs, leaf=8).collect()
     assert {r["class_id"] for r in got} == {0} and {r["n_links"] for r in got} == {39}
     assert rows["join-asks-3"][0] == rows["join-buckets-3"][0] - rows["join-pivots-3"][0] > 0
+
+
+def test_near_duplicates_count_as_they_write(spark, monkeypatch):
+    """What a stage has written is counted by its write: the driver starts no other job for it, and looks at a star once."""
+    import corpus_pipeline as P
+    from pyspark.sql import DataFrame
+    from pointlore.llm import components as CC, jaccard_join as J
+
+    labels = []
+
+    def noted(df, label, f=CC.stage):
+        out = f(df, label)
+        assert out.n_rows == len(out.collect())
+        labels.append(label)
+        return out
+
+    def never(*_):
+        raise AssertionError("a job that only counts")
+
+    rows = [(i, t, "s", "en", 1) for i, t in near_rows()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars int")
+    monkeypatch.setattr(CC, "stage", noted)
+    monkeypatch.setattr(J, "stage", noted)
+    monkeypatch.setattr(DataFrame, "count", never)
+    monkeypatch.setattr(DataFrame, "isEmpty", never)
+    got = {r["doc_id"] for r in P.near_duplicates(spark, docs, DATA).collect()}
+    links, classes = brute_join([r[:2] for r in rows])
+    assert got == {i for (i, *_), c in zip(rows, classes) if i == c}
+    del labels[:]
+    pairs = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(50)] + [(100, 101 + k) for k in range(200)], "a long, b long")
+    assert {(r["node"], r["root"]) for r in CC.components(pairs).collect()} == {(k, k // 2 * 2 if k < 100 else 100) for k in range(301)}
+    assert labels == ["cc-edges", "cc-least"]
+
+
+@pytest.mark.parametrize("keys,total", [([1, 1, 2, 3], 4), ([1, 2, 3, 3, 3], 30_000), ([1] * 5 + [2, 3, 4], 20_000)])
+def test_with_groups_told_of_weights(spark, keys, total):
+    """All groups large, all small, or both: the same rows, whether or not the weights are known."""
+    from pointlore.llm import common
+
+    rows = spark.createDataFrame([(k, n) for n, k in enumerate([*keys, 9, None])], "k long, n int")
+    groups = rows.filter("k < 9").groupBy("k").count().selectExpr("k", "count", "10 * k AS at")
+    told = common.stage(common.telling(groups, **common.weights("count")), "t-groups")
+    assert told.told == {"n_rows": len(set(keys)), "least": 1 if 1 in map(keys.count, keys) else 2, "most": max(map(keys.count, keys))}
+    want = sorted((n, k, k * 10 if k in keys else None) for n, k in enumerate([*keys, 9]))
+    for g in (told, groups):
+        got = [(r["n"], r["k"], r["at"]) for r in common.with_groups(rows, g, ["k"], "count", total).select("n", "k", "at").collect()]
+        assert sorted(x for x in got if x[1] is not None) == want and len(got) == len(keys) + 2
+
+
+def test_stage_tells_of_nothing(spark):
+    from pyspark.sql import functions as F
+    from pointlore.llm import common
+
+    for df in (spark.range(0), spark.range(9).filter("id < 0"), spark.range(9).filter(F.lit(False)), spark.range(9).join(spark.range(0), "id")):
+        out = common.stage(common.telling(df, top=F.max("id")), "t-none")
+        assert out.told == {"n_rows": 0, "top": None} and out.n_rows == 0
