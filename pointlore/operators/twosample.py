@@ -75,13 +75,13 @@ def baseline_pairs(groups: DataFrame, baseline: DataFrame) -> DataFrame:
     """measure, baseline, mode, cell_id, seed, base_seed: which sample of each baseline a sample is compared with.
 
     That of the same cell and seed, else of the cell's smallest seed; cells that the baseline lacks are skipped. ``groups``: the keys
-    of all samples; ``baseline``: one column of baseline modes.
+    of all samples; ``baseline``: one column of baseline modes. Both tables grow with the cells, so neither is broadcast.
     """
     base = groups.join(baseline, groups["mode"] == baseline["baseline"], "left_semi").select("measure", F.col("mode").alias("baseline"), "cell_id", F.col("seed").alias("base_seed"))
     first = base.groupBy("measure", "baseline", "cell_id").agg(F.min("base_seed").alias("first_seed"))
-    wanted = groups.join(first, ["measure", "cell_id"]).filter("mode <> baseline")
+    wanted = groups.join(first.hint("merge"), ["measure", "cell_id"]).filter("mode <> baseline")
     same = base.withColumnRenamed("base_seed", "seed").withColumn("_same", F.lit(True))
-    wanted = wanted.join(same, ["measure", "baseline", "cell_id", "seed"], "left")
+    wanted = wanted.join(same.hint("merge"), ["measure", "baseline", "cell_id", "seed"], "left")
     return wanted.select("measure", "baseline", "mode", "cell_id", "seed", F.when(F.col("_same"), F.col("seed")).otherwise(F.col("first_seed")).alias("base_seed"))
 
 
@@ -146,18 +146,20 @@ def ks_bootstrap(ks: DataFrame, n: int, keys: tuple[str, ...] = ("measure", "bas
     keys = list(keys)
     # Read several times below: the tests are made once.
     ks = written(ks.select(*keys, "mode", "cell_id", "similar"), "ks")
-    cells = ks.select(*keys, "cell_id").distinct()
-    numbered = cells.withColumn("_no", F.row_number().over(W.partitionBy(*keys).orderBy("cell_id")) - 1)
-    size = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cells"))
+    # A cell is one row with its modes, so a draw meets one row.
+    mode = ks.groupBy(*keys, "cell_id", "mode").agg(F.sum(F.col("similar").cast("double")).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    cells = mode.groupBy(*keys, "cell_id").agg(F.collect_list(F.struct("mode", "_s", "_n")).alias("_modes"), F.lit(1).alias("_one"))
+    per = written(running_before(cells, keys, "cell_id", "_one", "_no").select(*keys, F.col("_no").cast("int"), "_modes"), "cells")
+    size = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cells"))
     # Stretches of an experiment's draws are dealt out before they are listed: one row a key would list all of them in one task.
     stretches = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cells") - 1, F.lit(DRAWS).cast("long")))
-    parts = size.withColumn("experiment_number", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_from", stretches).repartition(*keys, "experiment_number", "_from")
+    # Their number of partitions is given: stretches are so few that they would all be put into one.
+    tasks = int(ks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = size.withColumn("experiment_number", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_from", stretches).repartition(tasks, *keys, "experiment_number", "_from")
     draws = parts.withColumn("_d", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + DRAWS, F.col("_cells")) - 1)))
     draws = draws.withColumn("_no", draw(F.col("_cells"), *keys, F.col("experiment_number").cast("string"), F.col("_d").cast("string")).cast("int"))
-    # A cell is one row with its modes, so a draw meets one row.
-    mode = ks.groupBy(*keys, "cell_id", "mode").agg(F.sum(F.col("similar").cast("double")).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    per = mode.groupBy(*keys, "cell_id").agg(F.collect_list(F.struct("mode", "_s", "_n")).alias("_modes")).join(numbered, [*keys, "cell_id"]).select(*keys, "_no", "_modes")
-    drawn = draws.select(*keys, "experiment_number", "_no").join(per, [*keys, "_no"]).select(*keys, "experiment_number", F.explode("_modes").alias("_m"))
+    # The planner takes listed draws for as few as their stretches: they are shuffled to the cells and never broadcast.
+    drawn = draws.select(*keys, "experiment_number", "_no").join(per.hint("shuffle_hash"), [*keys, "_no"]).select(*keys, "experiment_number", F.explode("_modes").alias("_m"))
     got = drawn.groupBy(*keys, F.col("_m.mode").alias("mode"), "experiment_number").agg(F.try_divide(F.sum("_m._s"), F.sum("_m._n")).alias("similar_fraction"))
     full = mode.select(*keys, "mode").distinct().withColumn("experiment_number", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return full.join(got, [*keys, "mode", "experiment_number"], "left")

@@ -1,5 +1,6 @@
 """Closed forms, invariants and small brute-force twins for what SQL does not express."""
 
+import hashlib
 import itertools
 import math
 from statistics import NormalDist
@@ -368,6 +369,21 @@ def test_bootstrap_lists_draws_in_stretches(spark, monkeypatch):
     assert got[0] == got[1] and len(got[0]) == 10
 
 
+def test_bootstrap_broadcasts_no_draws(spark):
+    """A key has a row for each stretch of its draws, and 30 times as many draws: they are shuffled to the cells, which no window numbers."""
+    rows = [("m", "b", mode, f"{c:03d}", (c * k) % 3 == 0) for c in range(300) for k, mode in enumerate(("p", "q"), 1) if (c + k) % 7]
+    out = T.ks_bootstrap(frame(spark, rows, "measure string, baseline string, mode string, cell_id string, similar boolean"), 4)
+    got = {(r["mode"], r["experiment_number"]): r["similar_fraction"] for r in out.collect()}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.splitlines() if "Join [" in line and "_no#" in line and "ShuffledHashJoin" not in line] == []
+    assert "ShuffledHashJoin" in plan and "Window" not in plan
+    for e in range(4):
+        drawn = [f"{int(hashlib.md5(f'm|b|{e}|{j}'.encode()).hexdigest()[:8], 16) % 300:03d}" for j in range(300)]
+        for mode in "pq":
+            of = {c: s for _, _, m, c, s in rows if m == mode}
+            assert got[mode, e] == pytest.approx(np.mean([of[c] for c in drawn if c in of]))
+
+
 def test_own_envelopes_make_no_test(spark, monkeypatch):
     """The envelopes of the modes come without curves of tests, and are those that the whole test gives."""
     g = np.random.default_rng(3)
