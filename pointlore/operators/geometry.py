@@ -21,15 +21,18 @@ def distance(a: str = "a", b: str = "b") -> Column:
 def pairwise_distances(points: DataFrame, keys: list[str] = GROUP, block: int = 1000) -> DataFrame:
     """All n(n-1)/2 distances inside each group.
 
-    A group's points lie in blocks of about ``block``, and every two blocks meet once, so no task has the pairs of a whole group.
+    A group's points lie in blocks of about ``block``, and every two blocks meet once, so no task has the pairs of a whole group. A
+    point's copies, one for each block that its own meets, are shuffled and never broadcast.
     """
     blocks = points.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_blocks"))
     placed = points.join(blocks, keys).withColumn("_p", F.pmod(F.xxhash64("point_id"), F.col("_blocks")).cast("int"))
-    # A pair of blocks is named by both; a has the points of the lesser one.
-    a = placed.withColumn("_lo", F.col("_p")).withColumn("_hi", F.explode(F.sequence(F.col("_p"), F.col("_blocks") - 1))).alias("a")
-    b = placed.withColumn("_hi", F.col("_p")).withColumn("_lo", F.explode(F.sequence(F.lit(0), F.col("_p")))).alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "_lo", "_hi"]]
-    met = a.join(b, [*same, (F.col("a._lo") < F.col("a._hi")) | (F.col("a.point_id") < F.col("b.point_id"))])
+    # A pair of blocks is named by both; a has the points of the lesser one. The name is one text: keys may be constants, which a join
+    # forgets. Tasks are given: copies are so few beside the pairs that they would be put into one or two.
+    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), points.sparkSession.sparkContext.defaultParallelism)
+    met = F.to_json(F.struct(*keys, "_lo", "_hi")).alias("_met")
+    a = placed.withColumn("_lo", F.col("_p")).withColumn("_hi", F.explode(F.sequence(F.col("_p"), F.col("_blocks") - 1))).select("*", met).repartition(tasks, "_met").alias("a")
+    b = placed.withColumn("_hi", F.col("_p")).withColumn("_lo", F.explode(F.sequence(F.lit(0), F.col("_p")))).select("point_id", *XYZ, met).repartition(tasks, "_met").hint("merge").alias("b")
+    met = a.join(b, [F.col("a._met") == F.col("b._met"), (F.col("a._lo") < F.col("a._hi")) | (F.col("a.point_id") < F.col("b.point_id"))])
     ends = [f("a.point_id", "b.point_id").alias(f"point_{k}") for k, f in ((1, F.least), (2, F.greatest))]
     return met.select(*[F.col(f"a.{k}") for k in keys], *ends, distance().alias("value"))
 

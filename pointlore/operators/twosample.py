@@ -188,26 +188,35 @@ def _emd_tile(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["no_1", "no_2", "n1", "n2", "emd"]).assign(measure=pdf["measure"].iloc[0])
 
 
-def _in_ranges(v: DataFrame, keys: list[str], values: int) -> DataFrame:
-    """Folded samples as a row for each range of values: keys, values, weights, n, before (weights below the range), range, lo, hi.
+def _pack_range(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One sample's values in one range as arrays, ascending."""
+    order = np.argsort(pdf["value"].to_numpy())
+    return pd.DataFrame({"no": pdf["no"].iloc[:1].to_numpy(), "range": pdf["range"].iloc[:1].to_numpy(), "values": [pdf["value"].to_numpy()[order]], "weights": [pdf["w"].to_numpy()[order]], "_in": [float(pdf["w"].sum())]})
 
-    Ranges hold about ``values`` values of the measure's largest sample; their ends are shared by all samples of a measure, and a sample
-    has a row in each, also where it has no value. The first has no lower end and the last no upper one.
+
+def _in_ranges(v: DataFrame, names: DataFrame, values: int) -> DataFrame:
+    """Folded samples as a row for each range of values: no, values, weights, n, before (weights below the range), range, lo, hi.
+
+    ``v``: no, value, w; ``names``: measure and no of each sample. Ranges hold about ``values`` values of the measure's largest sample;
+    their ends are shared by all samples of a measure, and a sample has a row in each, also where it has no value. The first has no
+    lower end and the last no upper one.
     """
-    sizes = written(v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), F.sum("w").alias("n")), "sizes")
+    sizes = written(v.groupBy("no").agg(F.count(F.lit(1)).alias("_size"), F.sum("w").alias("n")), "sizes")
     most = sizes.agg(F.max("_size")).first()[0] or 0
     parts = -(-most // values)
     if parts <= 1:
-        return sample_arrays(v, keys).select("*", F.lit(0.0).alias("before"), F.lit(0).alias("range"), *[F.lit(None).cast("double").alias(c) for c in ("lo", "hi")])
-    cuts = v.groupBy("measure").agg(F.array_sort(F.array_distinct(F.percentile_approx("value", [k / parts for k in range(1, parts)], 10_000))).alias("_cuts"))
-    at = v.join(F.broadcast(cuts), "measure").withColumn("range", F.size(F.filter("_cuts", lambda c: c <= F.col("value")))).drop("_cuts")
-    packed = sample_arrays(at, [*keys, "range"]).withColumnRenamed("n", "_in")
-    every = sizes.join(F.broadcast(cuts), "measure").withColumn("range", F.explode(F.sequence(F.lit(0), F.size("_cuts"))))
+        return sample_arrays(v, ["no"]).select("*", F.lit(0.0).alias("before"), F.lit(0).alias("range"), *[F.lit(None).cast("double").alias(c) for c in ("lo", "hi")])
+    of = F.broadcast(names.select("no", "measure"))
+    cuts = v.join(of, "no").groupBy("measure").agg(F.array_sort(F.array_distinct(F.percentile_approx("value", [k / parts for k in range(1, parts)], 10_000))).alias("_cuts"))
+    cuts = written(names.select("no", "measure").join(F.broadcast(cuts), "measure").select("no", "_cuts"), "cuts")
+    at = v.join(F.broadcast(cuts), "no").select("no", F.size(F.filter("_cuts", lambda c: c <= F.col("value"))).alias("range"), "value", "w")
+    packed = written(at.groupBy("no", "range").applyInPandas(_pack_range, "no long, range int, values array<double>, weights array<double>, _in double"), "packed")
+    every = sizes.join(F.broadcast(cuts), "no").withColumn("range", F.explode(F.sequence(F.lit(0), F.size("_cuts"))))
     empty = F.expr("cast(array() as array<double>)")
-    so_far = F.sum(F.coalesce("_in", F.lit(0.0))).over(W.partitionBy(*keys).orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    so_far = F.sum(F.coalesce("_in", F.lit(0.0))).over(W.partitionBy("no").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
     # The sums of the ranges are told apart from their arrays: no window holds values.
-    before = every.join(packed.select(*keys, "range", "_in"), [*keys, "range"], "left").withColumn("before", F.coalesce(so_far, F.lit(0.0))).select(*keys, "range", "n", "before", F.when(F.col("range") > 0, F.get("_cuts", F.col("range") - 1)).alias("lo"), F.get("_cuts", F.col("range")).alias("hi"))
-    return before.join(packed.drop("_in"), [*keys, "range"], "left").withColumns({c: F.coalesce(c, empty) for c in ("values", "weights")})
+    before = every.join(packed.select("no", "range", "_in"), ["no", "range"], "left").withColumn("before", F.coalesce(so_far, F.lit(0.0))).select("no", "range", "n", "before", F.when(F.col("range") > 0, F.get("_cuts", F.col("range") - 1)).alias("lo"), F.get("_cuts", F.col("range")).alias("hi"))
+    return before.join(packed.drop("_in"), ["no", "range"], "left").withColumns({c: F.coalesce(c, empty) for c in ("values", "weights")})
 
 
 def emd_all_pairs(samples: DataFrame, mode_order: list[str] | None = None, group: tuple[str, ...] = ("mode", "cell_id", "seed"), tile_samples: int = 64, tile_values: int = 2_000_000, range_values: int = 250_000) -> DataFrame:
@@ -216,22 +225,27 @@ def emd_all_pairs(samples: DataFrame, mode_order: list[str] | None = None, group
     A sample is one row of sorted distinct values and their counts; where samples have more than ``range_values`` of them, one row for
     each range of values, and a distance is the sum of its parts in the ranges. Samples lie in tiles' rows and columns, at most
     ``tile_samples`` and about ``tile_values`` values in each, so a sample is sent as often as there are tiles in a row, not once for
-    every other sample.
+    every other sample. Values are folded once, under the number of their sample.
     """
     group = list(group)
-    v = folded(valid_samples(samples), ["measure", *group])
+    valid = valid_samples(samples)
     place = F.array_position(F.array(*[F.lit(m) for m in mode_order]), F.col("mode")) if mode_order else F.lit(0)
-    each = written(_in_ranges(v, ["measure", *group], range_values).withColumn("_place", place).withColumn("_size", F.size("values")), "samples")
     # One row per sample: their pairs are the result, so there are few of them.
-    by = W.partitionBy("measure").orderBy("_place", *group)
+    first = W.orderBy("measure", "_place", *group)
+    names = valid.select("measure", *group).distinct().withColumn("_place", place).withColumn("no", F.row_number().over(first).cast("long"))
+    names = written(names, "sample-names")
+    v = valid.join(F.broadcast(names.drop("_place")), ["measure", *group]).groupBy("no", "value").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    v = written(v, "folded")
+    each = written(_in_ranges(v, names, range_values).withColumn("_size", F.size("values")), "samples")
+    by = W.partitionBy("measure").orderBy("no")
     share = F.greatest(F.col("_size") / tile_values, F.lit(1.0 / tile_samples))
-    largest = each.groupBy("measure", *group, "_place").agg(F.max("_size").alias("_size"))
-    names = largest.select("measure", *group, F.row_number().over(by).cast("long").alias("no"), F.floor(F.sum(share).over(by.rowsBetween(W.unboundedPreceding, 0)) - share + 1e-9).alias("tile"))
+    largest = each.groupBy("no").agg(F.max("_size").alias("_size"))
+    names = names.join(largest, "no").select("measure", *group, "no", F.floor(F.sum(share).over(by.rowsBetween(W.unboundedPreceding, 0)) - share + 1e-9).alias("tile"))
     names = written(names, "sample-numbers")
     tiles = names.select("measure", "tile").distinct()
     told = ["range", "lo", "hi", "no", "values", "weights", "n", "before"]
-    at = each.join(names, ["measure", *group]).select("measure", "tile", *told)
-    across = at.join(tiles.withColumnRenamed("tile", "other"), "measure")
+    at = each.join(F.broadcast(names.select("no", "measure", "tile")), "no").select("measure", "tile", *told)
+    across = at.join(F.broadcast(tiles.withColumnRenamed("tile", "other")), "measure")
     rows = across.filter("tile <= other").select("measure", F.col("tile").alias("row"), F.col("other").alias("column"), F.lit(False).alias("across"), *told)
     columns = across.filter("other <= tile").select("measure", F.col("other").alias("row"), F.col("tile").alias("column"), F.lit(True).alias("across"), *told)
     pairs = rows.unionByName(columns).groupBy("measure", "row", "column", "range").applyInPandas(_emd_tile, "no_1 long, no_2 long, n1 long, n2 long, emd double, measure string")

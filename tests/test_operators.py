@@ -501,6 +501,27 @@ def test_pairs_of_points_meet_in_blocks(spark):
     assert got == [(a, b, float(b - a)) for a in range(30) for b in range(a + 1, 30)]
 
 
+def test_copies_of_points_are_not_broadcast(spark):
+    """Pairs of blocks keep their tasks where a key is a constant, and no copy of a point is broadcast."""
+    p = frame(spark, [("a", "1", k, float(k), 0.0, 0.0) for k in range(40)], "mode string, cell_id string, point_id long, x double, y double, z double").withColumn("seed", F.lit("0"))
+    pairs = C.pairwise_distances(p, block=4)
+    assert pairs.count() == 780
+    tasks = pairs.select(F.spark_partition_id().alias("t")).distinct().count()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    met = [line for line in plan.splitlines() if "Join [" in line and "point_id" in line and "<" in line]
+    assert tasks >= 3 and met and all("SortMergeJoin" in line for line in met)
+
+
+def test_values_of_samples_are_folded_once(spark, monkeypatch):
+    """Of all tables that distances of pairs write, two read the samples: their names, and their values with counts."""
+    g = np.random.default_rng(8)
+    s = frame(spark, [("m", k, "1", "0", float(v)) for k in "abc" for v in g.uniform(size=40)], "measure string, mode string, cell_id string, seed string, value double")
+    read, write = [], T.written
+    monkeypatch.setattr(T, "written", lambda df, label="table": read.append(df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")) or write(df, label))
+    pairs = T.emd_all_pairs(s, range_values=7)
+    assert pairs.count() == 3 and sum(read) == 2
+
+
 def test_rank_test_spreads_a_point_over_ranges(spark, monkeypatch):
     """A point has a row for each curve: its rows fill as many ranges as their number asks for, ties too, and no window holds them all."""
     from pointlore.functions import storage
