@@ -501,6 +501,30 @@ def test_pairs_of_points_meet_in_blocks(spark):
     assert got == [(a, b, float(b - a)) for a in range(30) for b in range(a + 1, 30)]
 
 
+def test_copies_of_profiles_follow_the_profiles(spark, monkeypatch):
+    """Many profiles lie in wider blocks, not in more of them; all pairs are there."""
+    laid, write = [], P.written
+    monkeypatch.setattr(P, "written", lambda df, label="table": laid.append(write(df, label)) or laid[-1])
+    rows = [(p, i, float((p * 7 + i * i) % 5 - 2)) for p in range(120) for i in range(12)]
+    pairs = P.binary_correlation(frame(spark, rows, "profile_id int, i int, value double"), block=1, most=9)
+    got = {(r["id_1"], r["id_2"]): r["r"] for r in pairs.collect()}
+    assert laid[-1].select("own").distinct().count() <= 9
+    assert set(got) == {(i, j) for i in range(120) for j in range(i, 120)}
+
+
+def test_coefficients_are_rounded_without_decimals(spark):
+    """All correlations of 32 positions and what lies near a tie: arithmetic gives the bits that the decimal gives."""
+    from pointlore.model import r6, r6_unit
+
+    n = spark.range(33 * 33 * 33).select((F.col("id") % 33).alias("a"), (F.floor(F.col("id") / 33) % 33).alias("b"), F.floor(F.col("id") / 1089).alias("k"))
+    r = n.filter("k <= a and k <= b").select(F.try_divide(32.0 * F.col("k") - F.col("a") * F.col("b"), F.sqrt((F.col("a") * (32 - F.col("a")) * F.col("b") * (32 - F.col("b"))).cast("double"))).alias("r"))
+    ties = spark.createDataFrame([(x * s,) for x in (1 / 128, 3 / 128, 0.0, 1.0, 0.1234564, 0.1234566, 1e-7) for s in (1, -1)], "r double")
+    both = r.unionByName(ties).select("r", r6("r").alias("x"), r6_unit("r").alias("y"))
+    assert both.filter("not (x <=> y)").collect() == [] and both.filter("y is not null").count() > 5000
+    plan = r.select(r6_unit("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan
+
+
 def test_copies_of_points_are_not_broadcast(spark):
     """Pairs of blocks keep their tasks where a key is a constant, and no copy of a point is broadcast."""
     p = frame(spark, [("a", "1", k, float(k), 0.0, 0.0) for k in range(40)], "mode string, cell_id string, point_id long, x double, y double, z double").withColumn("seed", F.lit("0"))
